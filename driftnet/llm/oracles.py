@@ -22,4 +22,45 @@ SELECT d.doc_id, CASE WHEN coalesce(k.n_removed, 0) = 0 THEN d.text ELSE coalesc
 FROM lines d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op4_line_dedup": OP4}
+OP2 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + 22 AS n,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM c
+), s AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY back DESC) AS stop FROM e
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY back DESC)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY back DESC) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(stop) FILTER (WHERE role = 'assistant' OR back = 1))::BIGINT AS formatted_chars,
+  count(*) FILTER (WHERE role = 'assistant' OR back = 1)::BIGINT AS n_examples
+FROM s GROUP BY conv_id
+"""
+
+OP8 = r"""
+WITH item_words AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 9), ' ') AS win, least(len(w), 10) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
+), d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), places AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), m AS (
+  SELECT a.doc_id, a.i, a.n, wins.item_id FROM (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM places, (SELECT DISTINCT n FROM wins) WHERE i + n - 1 <= len(w)) a
+  JOIN wins ON wins.win = a.win AND wins.n = a.n
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+ORACLE_SQL = {"op2_chat_prefix_targets": OP2, "op4_line_dedup": OP4, "op8_decontamination": OP8}
