@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings (operator 10).
 
-A document's features are hashed from its whole text: its distinct words, their beginnings and ends, and how
-much it repeats itself. All grades share one weight for each hashed feature; ordered thresholds on the sum
+A document's features are hashed from its whole text: its distinct words, their beginnings, and shares of
+repeated words, capitals and odd signs. All grades share one weight for each hashed feature; ordered thresholds on the sum
 part the grades, P(grade <= k) = logistic(threshold_k - score). From them come the expected grade and the tail probability
 that selection asks for.
 
@@ -17,6 +17,7 @@ columns are replaced. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from functools import lru_cache
 
@@ -26,7 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Hashed weights; labelled rows used at most; passes over them; grades.
-WEIGHTS, SAMPLE, EPOCHS, GRADES = 1 << 18, 12_000, 20, 3
+WEIGHTS, SAMPLE, EPOCHS, GRADES = 1 << 18, 20_000, 30, 3
+#: How often a feature of the whole text counts.
+WHOLE = 4
+#: Signs that prose seldom has.
+ODD = re.compile(r"[^\w\s.,;:!?'\"()-]")
 #: Words kept with their weights in a worker at most.
 KNOWN = 300_000
 
@@ -37,21 +42,23 @@ def _hash(kind: str, x: str) -> int:
 
 @lru_cache(maxsize=KNOWN // 4)
 def word_features(word: str) -> tuple[int, ...]:
-    """The features of a word: itself in small letters, its first four and last two characters, and its shape."""
-    small = word.lower()
-    bare = small.strip(".,;:!?\"'()[]{}")
-    shape = "u" if word.isupper() and len(word) > 1 else "t" if word.istitle() else "l" if word.islower() else "o"
-    return (_hash("w", bare), _hash("a", bare[:4]), _hash("z", small[-2:]), _hash("s", shape))
+    """The features of a word: itself in small letters without marks around it, and its first four characters."""
+    bare = word.lower().strip(".,;:!?\"'()[]{}")
+    return (_hash("w", bare), _hash("a", bare[:4]))
 
 
 def text_features(text: str | None) -> tuple[set[str], list[int]]:
-    """The distinct words of a text, and features of how often words follow themselves or come again."""
-    words = (text or "").split()
+    """The distinct words of a text, and features of the whole: its length, and in steps the shares of words that follow
+    themselves, are new, are in capitals, and of odd signs and exclamation marks."""
+    text = text or ""
+    words = text.split()
     distinct = set(words)
-    n = len(words)
-    again = sum(map(str.__eq__, words, words[1:])) if n > 1 else 0
-    level = lambda x: min(9, int(10 * x / max(n, 1)))
-    return distinct, [_hash("again", str(level(again))), _hash("fresh", f"{level(len(distinct))} {int(math.log2(n + 1) / 2)}"), _hash("long", str(int(math.log2(n + 1))))]
+    n = max(1, len(words))
+    size = int(math.log2(n + 1))
+    again = sum(map(str.__eq__, words, words[1:]))
+    shares = {"again": again, "capital": sum(map(str.isupper, words)), "odd": len(ODD.findall(text)), "loud": text.count("!!"), "short": sum(len(w) < 2 for w in words)}
+    told = [_hash(k, str(min(9, int(10 * x / n)))) for k, x in shares.items()]
+    return distinct, [*told, _hash("fresh", f"{int(10 * len(distinct) / n)} {size // 2}"), _hash("long", str(size))]
 
 
 def scale(n: int) -> float:
@@ -61,10 +68,10 @@ def scale(n: int) -> float:
 def features(text: str | None) -> np.ndarray:
     """All features of a text, one for each distinct word and kind."""
     distinct, more = text_features(text)
-    return np.array([*more * 4, *(f for w in distinct for f in word_features(w))], np.int32)
+    return np.array([*more * WHOLE, *(f for w in distinct for f in word_features(w))], np.int32)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 1.0, shrink: float = 1e-5, common: float = 0.0025) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 4.0, shrink: float = 1e-5, common: float = 0.005) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by adaptive stochastic gradient steps in a fixed order.
 
     Features that fewer than the share ``common`` of the documents have keep weight zero, as they could only be learned by heart.
@@ -80,6 +87,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = EPOCHS, batch:
     share = np.cumsum(present)[:-1] / present.sum()
     theta = np.log(share / (1 - share))
     rng = np.random.default_rng(0)
+    mean_w, mean_theta = np.zeros_like(w), np.zeros_like(theta)
     for epoch in range(epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(rows), batch):
@@ -100,7 +108,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = EPOCHS, batch:
             for k in range(GRADES - 1):
                 theta[k] += 0.2 * (up[y == k].sum() - down[y == k + 1].sum()) / len(some) / (1 + epoch)
             theta = np.maximum.accumulate(theta + np.arange(GRADES - 1) * 1e-6)
-    return w[:WEIGHTS].astype("float32"), theta
+        if epoch >= epochs // 2:  # the mean of the later passes is steadier than the last step
+            mean_w += w / (epochs - epochs // 2)
+            mean_theta += theta / (epochs - epochs // 2)
+    return mean_w[:WEIGHTS].astype("float32"), mean_theta
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
@@ -153,7 +164,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float =
         scores = np.zeros(len(text))
         for i, t in enumerate(text):
             distinct, more = text_features(t)
-            total = 4.0 * float(weights[more].sum())
+            total = WHOLE * float(weights[more].sum())
             for x in distinct:
                 v = known.get(x)
                 if v is None:
@@ -161,7 +172,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float =
                     if len(known) < KNOWN:
                         known[x] = v
                 total += v
-            scores[i] = total * scale(4 * (len(distinct) + len(more)))
+            scores[i] = total * scale(2 * len(distinct) + WHOLE * len(more))
         p = grade_probabilities(scores, theta)
         return pd.DataFrame({"expected_grade": p @ np.arange(GRADES), "tail_probability": p[:, -1]})
 

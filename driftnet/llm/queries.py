@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftnet.llm import ann, chat, decontaminate, packing, quality, sharding, simhash, spans
+from driftnet.llm import ann, chat, decontaminate, html, packing, quality, sharding, simhash, spans
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,9 +50,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "expected_grade", "tail_probability", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_prefix_targets, op3_kk_sharding, op4_line_dedup, op5_genetic_packing, op6_anisotropic_search, op7_simhash_dedup, op8_decontamination, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_prefix_targets, op3_kk_sharding, op4_line_dedup, op5_genetic_packing, op6_anisotropic_search, op7_simhash_dedup, op8_decontamination, op9_html_layout, op10_quality_classifier)}
