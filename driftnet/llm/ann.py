@@ -4,7 +4,7 @@ Vectors are coded in subspaces of ``WIDTH`` dimensions, four bits each. The code
 anisotropic loss: the part of the residual that is parallel to the vector, which is what changes large inner products, counts
 ``eta`` times as much as the rest. A search scans the codes of a block of candidates with a table of the query's
 products with each code (two codes to a byte, so a table of 256), keeps the ``REFINE`` best of the block, and reranks
-those with exact products of the original vectors. The codebooks are fitted on at most ``SAMPLE`` distinct vectors,
+those with exact products of the original vectors. The codebooks are fitted in one task on at most ``SAMPLE`` distinct vectors,
 those of smallest hash; every vector is coded and scanned.
 
 Equal vectors are one candidate that stands for its members; as many of the smallest ids are kept as one result can
@@ -48,6 +48,8 @@ def _split(x: np.ndarray) -> np.ndarray:
 
 def encode(x: np.ndarray, books: np.ndarray, weight: float, rounds: int = 3) -> np.ndarray:
     """Codes (n, subspaces) by coordinate descent on the anisotropic loss."""
+    if len(x) > 1024:
+        return np.concatenate([encode(x[at : at + 1024], books, weight, rounds) for at in range(0, len(x), 1024)])
     parts = _split(x)
     unit = _split(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30))
     m = parts.shape[1]
@@ -131,18 +133,21 @@ def index(vectors: DataFrame, keep: int, sample: int = SAMPLE) -> tuple[DataFram
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     few = vectors.withColumn("rank", rank).where(F.col("rank") <= keep)
     distinct = settle(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    got = distinct.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).select("v").toPandas()
-    if got.empty:
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows.sort_values("h", kind="stable")["v"].to_numpy()).astype("float64")
+        return pd.DataFrame({"books": [fit(x).tobytes()], "dims": [x.shape[1]]})
+
+    chosen = distinct.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample)
+    got = chosen.groupBy(F.lit(0).alias("one")).applyInPandas(one, "books binary, dims int").first()
+    if got is None:
         return distinct.select("v", "ids", F.lit(None).cast("binary").alias("code"), F.lit(0).cast("long").alias("block")), None
-    books = fit(np.stack(got["v"].to_numpy()).astype("float64"))
-    weight = eta(len(got["v"][0]))
+    books = np.frombuffer(got["books"]).reshape(-1, CODES, WIDTH)
+    weight = eta(got["dims"])
 
     @F.pandas_udf("binary")
     def coded(v: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(v), 1024):
-            out += [c.tobytes() for c in pack(encode(np.stack(v[at : at + 1024].to_numpy()).astype("float64"), books, weight))]
-        return pd.Series(out)
+        return pd.Series([c.tobytes() for c in pack(encode(np.stack(v.to_numpy()).astype("float64"), books, weight))])
 
     blocks = max(1, math.ceil(distinct.count() / BLOCK))
     return distinct.select("v", "ids", coded("v").alias("code"), F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block")), books
