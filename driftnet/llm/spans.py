@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftnet.storage import settle
+
 #: A line with its line break and the blank space after it.
 LINE = r"(?s).+?(?:\n[ \t\n\r\f]*|\z)"
 #: A sentence: up to closing marks and white space, or a line break.
@@ -37,10 +39,11 @@ def later_occurrences(runs: DataFrame) -> DataFrame:
     """(_dn_id, _dn_hash, spans): the spans (pos, len) of each document's runs that occurred before.
 
     ``runs`` has (h, _dn_id, _dn_hash, pos, len). A frequent run is combined to a row per task before the
-    shuffle; in the join, adaptive execution splits its rows.
+    shuffle. The repeated runs are kept in the shared folder, so both sides of the join are plain shuffles and adaptive execution can
+    split the rows of a frequent run.
     """
     place = F.struct(*KEY, "pos")
-    repeated = runs.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    repeated = settle(runs.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first"))
     later = runs.join(repeated, "h").where(place != F.col("first"))
     return later.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "len")).alias("_dn_spans"))
 
