@@ -101,7 +101,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0) -
 
     With ``slop`` 0 a hit is an exact phrase; else a place where all words of the window stand at most ``slop`` tokens outside of it.
     """
-    by_term = settle(anchored(docs, benchmark, n))
+    by_term = settle(anchored(docs, benchmark, n).coalesce(4))  # as large as the benchmark: a few files, not one for each shuffle partition
     small = by_term.count() <= BROADCAST_ROWS
     parts = []
     for k, terms in enumerate(_lists(by_term.select("term"))):
