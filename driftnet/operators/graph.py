@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftnet.storage import settle
 
@@ -51,3 +52,197 @@ def _small_star(links: DataFrame) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
     onward = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return onward.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def families(boxes_edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
+    """(node, component): components with the nodes that have no edge, each a component of its own."""
+    found = connected_components(boxes_edges)
+    alone = nodes.select(F.col(node).alias("node")).where("node IS NOT NULL").distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.select("node", F.col("node").alias("component")))
+
+
+def components_with_catalysts(edges: DataFrame, catalysts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Components over ``edges`` and ``catalysts`` (src, dst), without the nodes that are not in ``nodes`` (node)."""
+    found = connected_components(edges.select("src", "dst").unionByName(catalysts.select("src", "dst")))
+    kept = found.join(nodes.select("node").distinct(), "node", "left_semi")
+    label = kept.groupBy("component").agg(F.min("node").alias("least"))
+    return kept.join(label, "component").select("node", F.col("least").alias("component"))
+
+
+def one_to_one_edges(edges: DataFrame) -> DataFrame:
+    """The edges whose source has no other target and whose target has no other source."""
+    edges = edges.select("src", "dst").distinct()
+    out = edges.groupBy("src").agg(F.min("dst").alias("dst"), F.count(F.lit(1)).alias("n_out")).where("n_out = 1")
+    into = edges.groupBy("dst").agg(F.min("src").alias("src"), F.count(F.lit(1)).alias("n_in")).where("n_in = 1")
+    return out.join(into, ["src", "dst"]).select("src", "dst")
+
+
+def one_to_one_chains(edges: DataFrame, min_length: int = 2) -> DataFrame:
+    """(node, chain): maximal one-to-one chains with more than ``min_length`` nodes, named by their smallest node.
+
+    Nodes find the head of their chain by pointer jumping, one join a round; chains that close in a circle have none, and are left to
+    ``connected_components``.
+    """
+    one = settle(one_to_one_edges(edges))
+    heads = one.select(F.col("src").alias("node")).join(one.select(F.col("dst").alias("node")), "node", "left_anti")
+    found = _heads(one.select(F.col("dst").alias("slave"), F.col("src").alias("master")), heads)
+    named = found.unionByName(heads.select(F.col("node").alias("slave"), F.col("node").alias("master")))
+    circles = one.join(named.select(F.col("slave").alias("src")), "src", "left_anti")
+    if not circles.isEmpty():
+        named = named.unionByName(connected_components(circles).select(F.col("node").alias("slave"), F.col("component").alias("master")))
+    sizes = named.groupBy("master").agg(F.count(F.lit(1)).alias("n"), F.min("slave").alias("chain")).where(F.col("n") > min_length)
+    return named.join(sizes, "master").select(F.col("slave").alias("node"), "chain")
+
+
+def _heads(pairs: DataFrame, heads: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """(slave, master) with the head that each slave leads to; slaves that lead to none are left out."""
+    done = pairs.join(heads.select(F.col("node").alias("master")), "master", "left_semi").select("slave", "master")
+    open_ = pairs.join(heads.select(F.col("node").alias("master")), "master", "left_anti").select("slave", "master")
+    now = settle(done.withColumn("done", F.lit(True)).unionByName(open_.withColumn("done", F.lit(False))))
+    for _ in range(max_rounds):
+        up = now.select(F.col("slave").alias("master"), F.col("master").alias("above"), F.col("done").alias("above_done"))
+        jumped = now.where("NOT done").join(up, "master").select("slave", F.col("above").alias("master"), F.col("above_done").alias("done"))
+        nxt = settle(now.where("done").unionByName(jumped))
+        if nxt.where("done").count() == now.where("done").count():
+            break
+        now = nxt
+    return now.where("done").select("slave", "master")
+
+
+def chains_between_branchings(edges: DataFrame, min_length: int = 2) -> DataFrame:
+    """Chains that may begin at a merge node and end at a split node: an edge counts unless its source splits or its target merges."""
+    return one_to_one_chains(edges, min_length)
+
+
+def final_masters(pairs: DataFrame, slave: str = "slave", master: str = "master", max_rounds: int = 64) -> DataFrame:
+    """(slave, master): each slave with the last master of its chain, by pointer jumping: the distance doubles each round."""
+    now = settle(pairs.select(F.col(slave).alias("slave"), F.col(master).alias("master")).distinct())
+    for _ in range(max_rounds):
+        up = now.select(F.col("slave").alias("master"), F.col("master").alias("above"))
+        nxt = settle(now.join(up, "master", "left").select("slave", F.coalesce("above", "master").alias("master"), (F.coalesce("above", "master") != F.col("master")).alias("moved")))
+        if nxt.where("moved").isEmpty():
+            return nxt.select("slave", "master")
+        now = nxt.select("slave", "master")
+    raise ValueError("the masters form a cycle")
+
+
+def reindex_edges(edges: DataFrame, masters: DataFrame, drop_self: bool = True) -> DataFrame:
+    """Edges (a, b) with both ends replaced by their masters, smaller first, once each."""
+    m = masters.select("slave", "master")
+    left = edges.join(m.select(F.col("slave").alias("a"), F.col("master").alias("ma")), "a", "left")
+    both = left.join(m.select(F.col("slave").alias("b"), F.col("master").alias("mb")), "b", "left")
+    ends = both.select(F.coalesce("ma", "a").alias("x"), F.coalesce("mb", "b").alias("y"))
+    out = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return out.where("a <> b") if drop_self else out
+
+
+def reachable(edges: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
+    """(start, node, depth): nodes reached from ``starts`` (start) in at most ``limit`` edges, the start at depth 0; breadth first."""
+    frontier = settle(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    seen = frontier
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    for depth in range(1, limit + 1):
+        reached = frontier.join(step, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti")
+        frontier = settle(reached.withColumn("depth", F.lit(depth)))
+        if frontier.isEmpty():
+            break
+        seen = settle(seen.unionByName(frontier))
+    return seen
+
+
+def reachable_by_time(edges: DataFrame, starts: DataFrame, before: DataFrame | int, limit: int) -> DataFrame:
+    """As ``reachable``, over nodes (their edges carry dst_t) with a time under ``before``, the start included whatever its time."""
+    return reachable(edges.where(F.col("dst_t") < before), starts, limit)
+
+
+def segment_connectivity(pairs: DataFrame, stray_edges: DataFrame, limit: int = 60) -> DataFrame:
+    """The pairs (fr_node, to_node, ...) that a path over ``stray_edges`` (src, dst) joins."""
+    found = reachable(stray_edges, pairs.select(F.col("fr_node").alias("start")).distinct(), limit)
+    hit = found.select(F.col("start").alias("fr_node"), F.col("node").alias("to_node")).distinct()
+    return pairs.join(hit, ["fr_node", "to_node"], "left_semi")
+
+
+def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges: int, max_paths: int = 5000) -> DataFrame:
+    """(start, end, path, to_many_paths): paths without a repeated node, up to ``max_paths`` by pair in the order of their nodes.
+
+    The cap is the operator's own; to_many_paths tells where it cut.
+    """
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
+    now = settle(starts.select("start", F.col("start").alias("at"), F.array("start").alias("path")).distinct())
+    done = []
+    targets = ends.select(F.col("end").alias("at")).distinct()
+    for _ in range(max_edges):
+        now = settle(now.join(step, "at").where(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path")))
+        if now.isEmpty():
+            break
+        done.append(now.join(targets, "at", "left_semi"))
+    if not done:
+        done = [now.limit(0)]
+    found = done[0]
+    for x in done[1:]:
+        found = found.unionByName(x)
+    w = Window.partitionBy("start", "end")
+    ranked = found.select("start", F.col("at").alias("end"), "path").withColumns({"rank": F.row_number().over(w.orderBy("path")), "n": F.count(F.lit(1)).over(w)})
+    return ranked.where(F.col("rank") <= max_paths).select("start", "end", "path", (F.col("n") > max_paths).alias("to_many_paths"))
+
+
+def layered_edges(layers: DataFrame, first: int, last: int, keep: str) -> DataFrame:
+    """(layer, src, dst): edges between consecutive layers of ``layers`` (layer, id, v) for which ``keep`` (over v and v_next) holds and
+    whose source was reached."""
+    reached = layers.where(F.col("layer") == first).select("id", "v")
+    out = None
+    for k in range(first, last):
+        nxt = layers.where(F.col("layer") == k + 1).select(F.col("id").alias("dst"), F.col("v").alias("v_next"))
+        met = settle(reached.select(F.col("id").alias("src"), "v").join(nxt, F.expr(keep)))
+        part = met.select(F.lit(k).alias("layer"), "src", "dst")
+        out = part if out is None else out.unionByName(part)
+        reached = met.select(F.col("dst").alias("id"), F.col("v_next").alias("v")).distinct()
+    return out
+
+
+def edge_priority(edges: DataFrame) -> DataFrame:
+    """Edges (src_ids, dst_ids) ranked: most ids in all first, then the smaller difference in their numbers."""
+    total, diff = F.size("src_ids") + F.size("dst_ids"), F.abs(F.size("src_ids") - F.size("dst_ids"))
+    return edges.withColumns({"total": total, "diff": diff}).orderBy(F.desc("total"), "diff", "src_ids", "dst_ids")
+
+
+def event_types(edges: DataFrame, solo_gap: int = 2) -> DataFrame:
+    """(fr, to, state): each segment edge (fr, to, dist) as solo, solo_zp (dist up to ``solo_gap``), merge, split or mixed."""
+    out, into = edges.groupBy("fr").agg(F.count(F.lit(1)).alias("n_out")), edges.groupBy("to").agg(F.count(F.lit(1)).alias("n_in"))
+    e = edges.join(out, "fr").join(into, "to")
+    state = "CASE WHEN n_out > 1 AND n_in > 1 THEN 'mixed' WHEN n_out > 1 THEN 'split' WHEN n_in > 1 THEN 'merge' ELSE 'solo' END"
+    e = e.withColumn("role", F.expr(state))
+    by_fr, by_to = e.groupBy("fr").agg(F.collect_set("role").alias("fr_roles")), e.groupBy("to").agg(F.collect_set("role").alias("to_roles"))
+    mixed = (F.col("role") == "mixed") | ((F.col("role") == "split") & F.array_contains("fr_roles", "mixed")) | ((F.col("role") == "merge") & F.array_contains("to_roles", "mixed"))
+    named = F.when(mixed, "mixed").when((F.col("role") == "solo") & (F.col("dist") <= solo_gap), "solo_zp").otherwise(F.col("role"))
+    return e.join(by_fr, "fr").join(by_to, "to").select("fr", "to", "dist", named.alias("state"))
+
+
+def mixed_events(edges: DataFrame) -> DataFrame:
+    """(event, ins, outs): mixed segment edges (fr, to) gathered into events, with the segments that enter and leave each."""
+    left, right = F.concat(F.lit("a"), F.col("fr").cast("string")), F.concat(F.lit("b"), F.col("to").cast("string"))
+    e = edges.select("fr", "to", left.alias("src"), right.alias("dst"))
+    found = connected_components(e.select("src", "dst"))
+    met = e.join(found.withColumnRenamed("node", "src"), "src")
+    return met.groupBy("component").agg(F.array_sort(F.collect_set("fr")).alias("ins"), F.array_sort(F.collect_set("to")).alias("outs")).select(F.array_min("ins").alias("event"), "ins", "outs")
+
+
+def neighbours(edges: DataFrame, key: str = "fr", value: str = "to") -> DataFrame:
+    """(key, near): the sorted neighbours of each node."""
+    return edges.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("near"))
+
+
+def segment_attributes(nodes: DataFrame, keys: tuple[str, ...] = ("seg",)) -> DataFrame:
+    """Start, end, length and first and last node of each segment of nodes (seg, t, node)."""
+    return nodes.groupBy(*keys).agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count(F.lit(1)).alias("n"), F.min_by("node", "t").alias("node_start"), F.max_by("node", "t").alias("node_end"))
+
+
+def history_families(log: DataFrame) -> DataFrame:
+    """(component, n, kind): families of a merge log (new, old); over two members a family, one alone solo."""
+    found = connected_components(log, "new", "old")
+    return found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.expr("CASE WHEN n > 2 THEN 'family' WHEN n = 1 THEN 'solo' ELSE 'pair' END"))
+
+
+def condense(pairs: DataFrame) -> DataFrame:
+    """(member, master): every member of linked pairs (a, b) with the smallest of its component."""
+    return connected_components(pairs, "a", "b").select(F.col("node").alias("member"), F.col("component").alias("master"))

@@ -1,15 +1,833 @@
-"""Queries over the driver's tables and their DuckDB oracles."""
+"""Queries over the driver's tables and their DuckDB oracles.
+
+Each query applies operators to the adapters of ``sources.adapters``; the oracle says the same in SQL over the raw tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from driftnet.functions import geometry as geo
+from driftnet.operators import combi, graph, image, joins, reshape, score, series, track
+from driftnet.sources import adapters as src
+from driftnet.sources import files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "chain_displacements"
+
+DET = """det AS (
+  SELECT CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) // 7 AS INTEGER) AS t,
+    l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS id,
+    CAST((l_partkey * 37 + l_orderkey * 11) % 1200 AS INTEGER) AS x, CAST((l_suppkey * 53 + l_orderkey) % 800 AS INTEGER) AS y,
+    CAST(l_quantity AS INTEGER) AS w, p_size AS h
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+TRK = """trk AS (
+  SELECT user_id AS obj, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS t,
+    CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS INTEGER) AS step,
+    value AS x, CAST((event_id * 7919) % 1000 AS DOUBLE) / 4 AS y, 50 + (event_id * 31) % 500 AS area, event_type AS kind
+  FROM events)"""
+STEPS = TRK + """, steps AS (
+  SELECT obj, step, arg_min(x, t) AS x, arg_min(y, t) AS y, arg_min(area, t) AS area FROM trk GROUP BY obj, step)"""
+SEG = STEPS + """, cut AS (
+  SELECT *, CASE WHEN step - lag(step) OVER (PARTITION BY obj ORDER BY step) > 6 OR lag(step) OVER (PARTITION BY obj ORDER BY step) IS NULL THEN 1 ELSE 0 END AS new FROM steps
+), numbered AS (SELECT *, CAST(sum(new) OVER (PARTITION BY obj ORDER BY step) AS INTEGER) AS seg FROM cut
+), seg AS (
+  SELECT obj, seg, min(step) AS t_start, max(step) AS t_end, count(*) AS n, arg_min(x, step) AS x_start, arg_max(x, step) AS x_end, arg_min(y, step) AS y_start, arg_max(y, step) AS y_end
+  FROM numbered GROUP BY obj, seg)"""
+FRAMES = """frames AS (
+  SELECT CAST(vec_id AS INTEGER) AS t, CAST(pixel AS INTEGER) AS pixel, CAST(least(greatest(CAST(round(CAST(e AS DOUBLE) * 200 + 100) AS INTEGER), 0), 255) AS INTEGER) AS v
+  FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS pixel FROM embeddings))"""
+TOUCH = "a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h"
+NEXT = f"adj AS (SELECT a.t, a.id AS src, b.id AS dst FROM det a JOIN det b ON b.t = a.t + 1 AND {TOUCH})"
+ONE = """one AS (
+  SELECT src, dst FROM (SELECT *, count(*) OVER (PARTITION BY src) AS o, count(*) OVER (PARTITION BY dst) AS i FROM adj) WHERE o = 1 AND i = 1)"""
+CHAIN = """heads AS (SELECT src FROM one WHERE src NOT IN (SELECT dst FROM one)
+), walk(head, node, k) AS (
+  SELECT src, src, 0 FROM heads UNION ALL SELECT w.head, o.dst, w.k + 1 FROM walk w JOIN one o ON o.src = w.node
+), lengths AS (SELECT head, count(*) AS n, min(node) AS chain FROM walk GROUP BY head HAVING count(*) > 2
+), chains AS (SELECT w.node, l.chain, w.k FROM walk w JOIN lengths l ON l.head = w.head)"""
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _links(spark, d) -> DataFrame:
+    det = src.detections(spark, d)
+    return joins.overlap_join(det, det, 1).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+
+
+def _r(c: str, places: int = 4, name: str | None = None):
+    return F.round(F.col(c), places).alias(name or c)
+
+
+# The flagship: detections, adjacent-step overlap, one-to-one chains, displacement by chain
+
+
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, {ONE}, {CHAIN}, pos AS (
+  SELECT chain, t, det.x + w / 2.0 AS cx, det.y + h / 2.0 AS cy, w * h AS area FROM chains JOIN det ON det.id = chains.node
+), moved AS (SELECT *, sqrt((cx - lag(cx) OVER p) * (cx - lag(cx) OVER p) + (cy - lag(cy) OVER p) * (cy - lag(cy) OVER p)) AS d FROM pos WINDOW p AS (PARTITION BY chain ORDER BY t))
+SELECT chain, min(t) AS t_start, max(t) AS t_end, count(*) AS n, round(avg(d), 4) AS d_mean, round(max(d), 4) AS d_max, CAST(sum(area) AS BIGINT) AS area_sum FROM moved GROUP BY chain""")
+def chain_displacements(spark, d):
+    det = src.detections(spark, d)
+    chains = graph.one_to_one_chains(_links(spark, d))
+    pos = chains.join(det, chains["node"] == det["id"]).selectExpr("chain", "t", "x + w / 2D AS x", "y + h / 2D AS y", "w * h AS area")
+    moved = series.displacements(pos, "chain")
+    return moved.groupBy("chain").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 4).alias("d_mean"), F.round(F.max("d"), 4).alias("d_max"), F.sum("area").cast("long").alias("area_sum"))
+
+
+# Scans, sinks and frames
+
+
+@query("SELECT CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) AS frame_id, c_name AS path, lpad(CAST(CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) AS VARCHAR), 5, '0') AS name FROM customer WHERE CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) BETWEEN 20 AND 899")
+def frame_index(spark, d):
+    c = src.table(spark, d, "customer").select(F.col("c_name").alias("path")).withColumn("frame_id", files.frame_number("path"))
+    return c.where("frame_id BETWEEN 20 AND 899").select("frame_id", "path", F.lpad(F.col("frame_id").cast("string"), 5, "0").alias("name"))
+
+
+@query("SELECT i AS id FROM range(0, 1000) r(i) WHERE i NOT IN (SELECT l_orderkey FROM lineitem)")
+def missing_index(spark, d):
+    return files.missing_frames(src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id")), 0, 1000)
+
+
+@query("SELECT CAST(o_orderkey // 100 AS BIGINT) AS k, lpad(CAST(min(o_orderkey) AS VARCHAR), 5, '0') || '-' || lpad(CAST(max(o_orderkey) AS VARCHAR), 5, '0') AS folder FROM orders WHERE o_orderkey < 90000 GROUP BY 1")
+def output_hierarchy(spark, d):
+    o = src.table(spark, d, "orders").where("o_orderkey < 90000").groupBy(F.expr("o_orderkey DIV 100").alias("k")).agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+    return o.select("k", files.range_name(F.col("a"), F.col("b")).alias("folder"))
+
+
+@query("""SELECT CAST(substr(p, 4, 3) AS INTEGER) AS flow, max(CASE WHEN f = 'graphs' THEN path END) AS graphs, max(CASE WHEN f = 'segments' THEN path END) AS segments
+FROM (SELECT 'run' || lpad(CAST(s_suppkey % 37 AS VARCHAR), 3, '0') AS p, CASE s_suppkey % 3 WHEN 0 THEN 'graphs' WHEN 1 THEN 'segments' ELSE 'other' END AS f,
+  '/data/run' || lpad(CAST(s_suppkey % 37 AS VARCHAR), 3, '0') || '/' || CASE s_suppkey % 3 WHEN 0 THEN 'graphs' WHEN 1 THEN 'segments' ELSE 'other' END || s_suppkey || '.pickle' AS path FROM supplier)
+WHERE f <> 'other' GROUP BY 1""")
+def artifact_catalog(spark, d):
+    s = src.table(spark, d, "supplier")
+    path = F.expr("concat('/data/run', lpad(CAST(s_suppkey % 37 AS STRING), 3, '0'), '/', CASE s_suppkey % 3 WHEN 0 THEN 'graphs' WHEN 1 THEN 'segments' ELSE 'other' END, s_suppkey, '.pickle')")
+    found = files.artifact_catalog(s.select(path.alias("path")), ["graphs", "segments"])
+    return found.select("flow", F.col("artifacts")["graphs"].alias("graphs"), F.col("artifacts")["segments"].alias("segments"))
+
+
+@query(f"WITH {TRK} SELECT t, round(max(CASE WHEN obj = 1 THEN x END), 4) AS \"1\", round(max(CASE WHEN obj = 2 THEN x END), 4) AS \"2\", round(max(CASE WHEN obj = 3 THEN x END), 4) AS \"3\" FROM trk WHERE obj IN (1, 2, 3) GROUP BY t")
+def trajectory_pivot(spark, d):
+    t = src.tracks(spark, d).where("obj IN (1, 2, 3)").withColumn("x", F.round("x", 4))
+    return reshape.pivot_tracks(t, [1, 2, 3])
+
+
+@query()
+def graph_documents(spark, d):
+    det = src.detections(spark, d)
+    found = graph.connected_components(graph.one_to_one_edges(_links(spark, d)))
+    nodes = found.join(det, found["node"] == det["id"]).select(F.col("component").alias("family"), "node", F.concat_ws(",", "t", "x", "y").alias("label"))
+    edges = graph.one_to_one_edges(_links(spark, d)).join(found, F.col("src") == found["node"]).select(F.col("component").alias("family"), "src", "dst")
+    return files.graph_xml(nodes, edges)
+
+
+@query(f"WITH {FRAMES} SELECT pixel, round(avg(v), 6) AS mean FROM frames GROUP BY pixel")
+def pixel_mean(spark, d):
+    return image.pixel_mean(src.frames(spark, d))
+
+
+@query(f"WITH {FRAMES} SELECT pixel, round(avg(v), 6) AS mean FROM frames GROUP BY pixel")
+def partial_final_mean(spark, d):
+    return image.final_mean(image.slice_means(src.frames(spark, d), 100))
+
+
+WINDOWS = """m AS (SELECT max(t) AS m FROM frames), sw AS (
+  SELECT CASE WHEN k = 0 THEN 0 ELSE 25 + (k - 1) * 50 + 50 END AS switch, m FROM m, LATERAL (SELECT unnest(range(0, CAST(greatest(0, floor((m - 25) / 50.0)) AS INTEGER) + 1)) AS k)
+), st AS (SELECT switch, CASE WHEN switch = 0 THEN 0 ELSE switch - 25 END AS start, m FROM sw
+), win AS (SELECT CAST(switch AS INTEGER) AS switch, CAST(start AS INTEGER) AS start, CAST(CASE WHEN switch = (SELECT max(switch) FROM st) THEN m + 1 ELSE least(start + 100, m + 1) END AS INTEGER) AS stop FROM st)"""
+
+
+@query(f"WITH {FRAMES}, {WINDOWS} SELECT switch, pixel, round(avg(v), 6) AS mean FROM frames JOIN win ON t >= start AND t < stop GROUP BY switch, pixel")
+def overlapping_window_mean(spark, d):
+    f = src.frames(spark, d)
+    return image.window_means(f, image.mean_windows(f, 100), 100)
+
+
+@query(f"WITH {FRAMES}, {WINDOWS} SELECT t, max(switch) AS switch FROM (SELECT DISTINCT t FROM frames) f JOIN win ON switch <= t GROUP BY t")
+def window_of_frame(spark, d):
+    f = src.frames(spark, d)
+    asked = f.select(F.lit(0).alias("k"), "t").distinct()
+    known = image.mean_windows(f, 100).select(F.lit(0).alias("k"), F.col("switch").alias("t"), "switch")
+    return joins.asof(asked, known, ("k",), "t", "switch").select("t", "switch")
+
+
+@query(f"WITH {FRAMES}, mean AS (SELECT pixel, round(avg(v), 6) AS mean FROM frames GROUP BY pixel) SELECT t, CAST(sum(CASE WHEN v - mean < 10 THEN 0 ELSE 255 END) AS BIGINT) AS mass, round(min(v - mean), 4) AS low, round(max(v - mean), 4) AS high FROM frames JOIN mean USING (pixel) GROUP BY t")
+def mean_subtract_binarize(spark, d):
+    f = src.frames(spark, d)
+    s = image.subtract(f, image.pixel_mean(f))
+    return s.groupBy("t").agg(F.sum(image.binarize(F.col("d"))).cast("long").alias("mass"), F.round(F.min("d"), 4).alias("low"), F.round(F.max("d"), 4).alias("high"))
+
+
+@query(f"WITH {FRAMES} SELECT t, round(least(avg(v) / 255 / 0.66, 1), 6) AS scale FROM frames GROUP BY t")
+def brightness_scale(spark, d):
+    return src.frames(spark, d).groupBy("t").agg(F.round(image.brightness(F.avg("v")), 6).alias("scale"))
+
+
+@query(f"WITH {DET} SELECT t, id, x, y, w, h FROM det WHERE NOT (w * h < 180 OR y + h < 80 OR y > 720 OR x + w < 100 OR x > 1100)")
+def border_area_filter(spark, d):
+    return image.keep_inside(src.detections(spark, d), src.WIDTH, src.HEIGHT)
+
+
+@query(f"WITH {FRAMES} SELECT t, CAST(pixel % 8 AS INTEGER) AS x, CAST(pixel // 8 AS INTEGER) AS y, CAST(pixel // 8 AS INTEGER) AS x1, CAST(7 - pixel % 8 AS INTEGER) AS y1, CAST(t // 100 AS INTEGER) AS slice, CAST(t % 4 AS INTEGER) AS bin FROM frames")
+def rotate_and_slice(spark, d):
+    f = src.frames(spark, d).selectExpr("t", "pixel % 8 AS x", "CAST(pixel DIV 8 AS INT) AS y")
+    x1, y1 = image.rotate(F.col("x"), F.col("y"), 8, 8, 1)
+    return image.round_robin(f.select("t", "x", "y", x1.alias("x1"), y1.cast("int").alias("y1"), F.expr("CAST(t DIV 100 AS INT)").alias("slice")), "t", 4)
+
+
+@query()
+def mask_contours(spark, d):
+    rows = image_frames(src.frames(spark, d))
+    opened = image.per_frame(rows, _mask)
+    return image.contours(opened).select("t", "id", "parent_id", "bx", "by", "bw", "bh", "area", F.size("pts").alias("border"))
+
+
+def image_frames(f: DataFrame, w: int = 8) -> DataFrame:
+    g = f.groupBy(F.col("t").alias("frame_id")).agg(F.array_sort(F.collect_list(F.struct("pixel", "v"))).alias("p"))
+    px = F.unhex(F.array_join(F.transform("p", lambda x: F.lpad(F.hex(x["v"]), 2, "0")), ""))
+    return g.select("frame_id", F.lit(8).alias("h"), F.lit(w).alias("w"), px.alias("px"))
+
+
+def _mask(x):
+    import numpy as np
+
+    return image.dilate(np.where(x >= 110, 255, 0).astype("uint8"), np.ones((2, 2)))
+
+
+# Geometry
+
+
+@query(f"WITH {DET} SELECT id, CAST(x - CAST(trunc(greatest((100 - w) / 2.0, 0)) AS INTEGER) AS INTEGER) AS x, CAST(y - CAST(trunc(greatest((100 - h) / 2.0, 0)) AS INTEGER) AS INTEGER) AS y, greatest(100, w) AS w, greatest(100, h) AS h FROM det")
+def expand_box(spark, d):
+    return src.detections(spark, d).withColumns(geo.expand_box(100)).select("id", "x", "y", "w", "h")
+
+
+@query(f"WITH {DET} SELECT t, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM det GROUP BY t")
+def union_bbox(spark, d):
+    return geo.union_box(src.detections(spark, d), ("t",))
+
+
+@query(f"WITH {DET} SELECT id, CAST(w * h AS BIGINT) AS area, round(x + w / 2.0, 4) AS cx, round(y + h / 2.0, 4) AS cy, CAST(trunc(w * h * (w * w + h * h) / 12.0 + 1e-6) AS BIGINT) AS mzz, CAST(x AS DOUBLE) AS bx, CAST(w + 1 AS DOUBLE) AS bw FROM det")
+def polygon_moments(spark, d):
+    boxes = src.detections(spark, d).select("id", geo.corners().alias("pts"))
+    local = F.transform("pts", lambda p: F.struct((p["x"] - F.col("pts")[0]["x"]).alias("x"), (p["y"] - F.col("pts")[0]["y"]).alias("y")))
+    m = boxes.withColumn("m", geo.polygon_moments(local)).withColumn("o", F.col("pts")[0])
+    exact = F.expr("CAST(floor((m.area * (pow(pts[1].x - o.x, 2) + pow(pts[2].y - o.y, 2))) / 12 + 1e-6) AS BIGINT)")
+    checked = F.when(F.abs(F.col("m.mzz") - exact) <= 1, exact).otherwise(F.col("m.mzz"))  # the cut may fall either side of a whole number
+    ends = geo.box_of_points(boxes, ("id",)).select("id", F.col("x").alias("bx"), F.col("w").alias("bw"))
+    return m.select("id", F.col("m.area").alias("area"), F.round(F.col("m.cx") + F.col("o.x"), 4).alias("cx"), F.round(F.col("m.cy") + F.col("o.y"), 4).alias("cy"), checked.alias("mzz")).join(ends, "id")
+
+
+@query(f"WITH {DET}, cover AS (SELECT DISTINCT t, px, py FROM (SELECT t, unnest(range(x, x + w)) AS px, y, h FROM det WHERE t < 12), LATERAL (SELECT unnest(range(y, y + h)) AS py)) SELECT t, count(*) AS area FROM cover GROUP BY t")
+def union_area(spark, d):
+    return geo.union_area(src.detections(spark, d).where("t < 12"), ("t",))
+
+
+@query(f"WITH {DET} SELECT a.id AS id_a, b.id AS id_b, round(abs(degrees(atan(a.h / CAST(a.w AS DOUBLE))) - degrees(atan(b.h / CAST(b.w AS DOUBLE)))), 4) AS angle FROM det a JOIN det b ON a.t = b.t AND a.id < b.id AND {TOUCH}")
+def angle_difference(spark, d):
+    det = src.detections(spark, d)
+    return joins.self_overlap(det).select("id_a", "id_b", F.round(geo.angle_difference(F.col("h"), F.col("w"), F.col("h_b"), F.col("w_b")), 4).alias("angle"))
+
+
+@query("""SELECT p_partkey, round(degrees(acos((b * b + c * c - a * a) / (2 * b * c))), 4) AS a1, round(degrees(acos((a * a + c * c - b * b) / (2 * a * c))), 4) AS a2
+FROM (SELECT p_partkey, p_size + 10.0::DOUBLE AS a, 40.0::DOUBLE AS b, p_partkey % 30 + 20.0::DOUBLE AS c FROM part) WHERE a + b >= c AND b + c >= a AND a + c >= b""")
+def triangle_angles(spark, d):
+    p = src.table(spark, d, "part").selectExpr("p_partkey", "p_size + 10D AS a", "40D AS b", "p_partkey % 30 + 20D AS c")
+    t = p.withColumn("t", geo.triangle_angles(F.col("a"), F.col("b"), F.col("c"))).where("t IS NOT NULL")
+    return t.select("p_partkey", F.round(F.col("t")[0], 4).alias("a1"), F.round(F.col("t")[1], 4).alias("a2"))
+
+
+@query(f"""WITH {DET}, c AS (SELECT t, id, x, y, w * h AS area, CASE WHEN id % 4 = 0 THEN -w * h ELSE w * h END AS a FROM det)
+SELECT t, CAST(sum(a) AS BIGINT) AS area, CAST(ceil(sum(a * x) / CAST(nullif(sum(a), 0) AS DOUBLE)) AS BIGINT) AS cx FROM c GROUP BY t""")
+def body_without_holes(spark, d):
+    rows = src.detections(spark, d).selectExpr("t", "x", "y", "CAST(w * h AS BIGINT) AS area", "CASE WHEN id % 4 = 0 THEN 1 END AS parent_id")
+    return geo.net_of_holes(rows, ("t",)).select("t", "area", F.col("cx").cast("long").alias("cx"))
+
+
+@query(f"""WITH {DET}, c AS (SELECT t, id, id // 1000 AS parent, w, h, w * h AS area FROM det WHERE id % 1000 > 1), p AS (SELECT id // 1000 AS parent, t, w, h, w * h AS area FROM det WHERE id % 1000 = 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY area DESC, id DESC) AS r FROM c)
+SELECT CAST(0 AS INTEGER) AS t, best.parent * 1000 + 1 AS parent, best.id AS child FROM best JOIN p ON p.parent = best.parent WHERE r = 1 AND p.area > 100 AND best.area / CAST(p.area AS DOUBLE) > 0.5
+AND abs(degrees(atan(p.h / CAST(p.w AS DOUBLE))) - degrees(atan(best.h / CAST(best.w AS DOUBLE)))) < 10""")
+def ring_filter(spark, d):
+    det = src.detections(spark, d).selectExpr("0 AS t", "id", "CASE WHEN id % 1000 > 1 THEN (id DIV 1000) * 1000 + 1 END AS parent_id", "w", "h", "w * h AS area")
+    return geo.rings(det, 100, 0.5)
+
+
+@query(f"WITH {TRK} SELECT obj, CAST(floor(sqrt((x - 50) * (x - 50) + (y - 120) * (y - 120) / 4)) AS INTEGER) AS r, count(*) AS n FROM trk GROUP BY 1, 2")
+def radial_histogram(spark, d):
+    return geo.radial_histogram(src.tracks(spark, d), ("obj",), F.lit(50), F.lit(120), 1.0, 2.0)
+
+
+@query("""WITH h AS (SELECT l_suppkey AS k, CAST(l_quantity AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY k ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY k) AS total, sum(bin * n) OVER (PARTITION BY k) / CAST(sum(n) OVER (PARTITION BY k) AS DOUBLE) AS mean FROM h
+), p AS (SELECT a.k, a.bin AS lo, b.bin AS hi, b.cum - a.cum + a.n AS mass, a.mean FROM c a JOIN c b ON a.k = b.k AND b.bin >= a.bin WHERE b.cum - a.cum + a.n >= 0.9 * a.total)
+SELECT k, lo, hi, CAST(mass AS BIGINT) AS mass FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY hi - lo, mass, round(abs((hi + lo) / 2.0 - mean), 6), lo) AS r FROM p) WHERE r = 1""")
+def major_interval(spark, d):
+    h = src.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_quantity").cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return geo.major_interval(h, 0.9, ("k",))
+
+
+@query()
+def convex_hull_ellipse(spark, d):
+    hulls = geo.convex_hulls(src.tracks(spark, d), ("obj",))
+    e = geo.ellipses(hulls, ("obj",))
+    m = hulls.select("obj", F.size("hull").alias("corners"), geo.polygon_moments("hull")["area"].alias("area"))
+    return m.join(e.select("obj", _r("cx", 2), _r("cy", 2), _r("major", 2), _r("minor", 2)), "obj")
+
+
+@query(f"""WITH {DET}, p AS (SELECT id, x, y, w, h, lead(id) OVER o AS id_b, lead(x) OVER o AS xb, lead(y) OVER o AS yb, lead(w) OVER o AS wb, lead(h) OVER o AS hb FROM det WINDOW o AS (PARTITION BY t ORDER BY id)),
+c AS (SELECT id, id_b, unnest([[x, y], [x + w, y + h]]) AS a, [[xb, yb], [xb + wb, yb], [xb + wb, yb + hb], [xb, yb + hb]] AS bs FROM p WHERE id_b IS NOT NULL), e AS (SELECT id, id_b, a, unnest(bs) AS b FROM c)
+SELECT id AS id_a, id_b, CAST(trunc(sqrt(min((a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2])))) AS INTEGER) AS d FROM e GROUP BY 1, 2""")
+def contour_distance(spark, d):
+    w = Window.partitionBy("t").orderBy("id")
+    det = src.detections(spark, d).withColumn("pts", geo.corners()).withColumns({"id_b": F.lead("id").over(w), "pts_b": F.lead("pts").over(w)}).where("id_b IS NOT NULL")
+    return det.select(F.col("id").alias("id_a"), "id_b", geo.nearest_points(F.col("pts"), F.col("pts_b"))["d"].alias("d"))
+
+
+# Joins
+
+
+@query(f"WITH {DET} SELECT a.t, a.id AS id_a, b.id AS id_b FROM det a JOIN det b ON a.t = b.t AND a.id < b.id AND {TOUCH}")
+def box_self_join(spark, d):
+    return joins.self_overlap(src.detections(spark, d)).select("t", "id_a", "id_b")
+
+
+@query(f"WITH {DET}, {NEXT} SELECT t, src, dst FROM adj")
+def adjacent_step_join(spark, d):
+    det = src.detections(spark, d)
+    return joins.overlap_join(det, det, 1).select("t", F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+
+
+@query(f"""WITH {DET}, p AS (SELECT a.t, a.id AS id_a, b.id AS id_b, a.w * a.h AS area, (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS inter,
+  (a.x >= b.x AND a.y >= b.y AND a.x + a.w <= b.x + b.w AND a.y + a.h <= b.y + b.h) OR (a.x <= b.x AND a.y <= b.y AND a.x + a.w >= b.x + b.w AND a.y + a.h >= b.y + b.h) AS inside
+  FROM det a JOIN det b ON b.t = a.t + 1 AND {TOUCH})
+SELECT id_a, id_b, CAST(inter AS BIGINT) AS inter_area, CAST(CASE WHEN inside THEN 2 ELSE 1 END AS INTEGER) AS inter_type, floor(inter / CAST(area AS DOUBLE) * 10000 + 0.5) / 10000 AS share FROM p WHERE inside OR inter / CAST(area AS DOUBLE) >= 0.2""")
+def typed_overlap(spark, d):
+    det = src.detections(spark, d)
+    typed = joins.with_overlap_type(joins.overlap_join(det, det, 1))
+    return typed.where("inter_type = 2 OR share >= 0.2").select("id_a", "id_b", "inter_area", "inter_type", F.expr("floor(share * 10000 + 0.5D) / 10000D AS share"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS id, round(avg(l_extendedprice) / 100, 4) AS x, round(avg(l_quantity) * 10, 4) AS y FROM lineitem GROUP BY 1)
+SELECT a.id AS id_a, b.id AS id_b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 4) AS d FROM p a JOIN p b ON a.id < b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 5""")
+def close_pairs(spark, d):
+    p = src.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.round(F.avg("l_extendedprice") / 100, 4).alias("x"), F.round(F.avg("l_quantity") * 10, 4).alias("y"))
+    return joins.close_pairs(p, 5.0).select("id_a", "id_b", _r("d"))
+
+
+GAPS = "gaps AS (SELECT a.obj, a.seg AS fr, b.seg AS \"to\", a.t_end, b.t_start, b.t_start - a.t_end + 1 AS dist FROM seg a JOIN seg b ON a.obj = b.obj AND b.t_start - a.t_end BETWEEN 1 AND 60)"
+
+
+@query(f"WITH {SEG}, {GAPS} SELECT * FROM gaps")
+def segment_gap_join(spark, d):
+    s = src.segments(spark, d)
+    return joins.gap_join(s, s, 60).select("obj", "fr", "to", "t_end", "t_start", "dist")
+
+
+STRAY = "stray AS (SELECT DISTINCT obj // 10 AS g, step AS t FROM trk)"
+
+
+@query(f"""WITH {SEG}, {GAPS}, {STRAY}, inside AS (SELECT g.obj, g.fr, g."to", count(s.t) AS c FROM gaps g LEFT JOIN stray s ON s.g = g.obj // 10 AND s.t > g.t_end AND s.t < g.t_start GROUP BY ALL)
+SELECT g.obj, g.fr, g."to", g.dist FROM gaps g JOIN inside i ON i.obj = g.obj AND i.fr = g.fr AND i."to" = g."to" WHERE c = g.t_start - g.t_end - 1""")
+def hole_free_pairs(spark, d):
+    s = src.segments(spark, d)
+    pairs = joins.gap_join(s, s, 60).withColumn("g", F.expr("obj DIV 10"))
+    stray = src.tracks(spark, d).select(F.expr("obj DIV 10").alias("g"), F.col("step").alias("t"))
+    return joins.hole_free(pairs, stray, ("g",)).select("obj", "fr", "to", "dist")
+
+
+@query(f"WITH {STEPS} SELECT a.obj AS a, b.obj AS b, string_agg(CAST(a.step AS VARCHAR), ',' ORDER BY a.step) AS ts FROM steps a JOIN steps b ON a.step = b.step AND a.obj < b.obj WHERE a.obj < 40 AND b.obj < 40 GROUP BY 1, 2")
+def common_intervals(spark, d):
+    a = src.steps(spark, d).where("obj < 40").select(F.col("obj").alias("id"), F.col("step").alias("t"))
+    return joins.common_intervals(a).select("a", "b", F.array_join("ts", ",").alias("ts"))
+
+
+@query(f"WITH {STEPS} SELECT DISTINCT obj AS id FROM steps WHERE step BETWEEN 100 AND 110")
+def active_in_interval(spark, d):
+    return joins.active_in(src.steps(spark, d).select(F.col("obj").alias("id"), F.col("step").alias("t")), 100, 110)
+
+
+@query(f"""WITH {SEG} SELECT a.obj, a.seg AS id_a, b.seg AS id_b, CAST(least(a.t_end + 8, b.t_end + 8) - greatest(a.t_start, b.t_start) AS BIGINT) AS amount FROM seg a JOIN seg b ON a.obj = b.obj AND a.seg < b.seg AND a.t_end + 8 > b.t_start AND b.t_end + 8 > a.t_start""")
+def interval_overlap(spark, d):
+    s = src.segments(spark, d).selectExpr("obj", "seg AS id", "t_start AS start", "t_end + 8 AS stop")
+    return joins.interval_overlaps(s, 48, ("obj",)).select("obj", "id_a", "id_b", F.col("amount").cast("long").alias("amount"))
+
+
+@query(f"WITH {SEG}, {GAPS} SELECT DISTINCT t.obj, t.t, t.step FROM trk t JOIN gaps g ON g.obj // 5 = t.obj // 5 AND t.step > g.t_end AND t.step < g.t_start WHERE t.obj < 50")
+def stray_in_gaps(spark, d):
+    s = src.segments(spark, d)
+    gaps = joins.gap_join(s, s, 60).selectExpr("obj DIV 5 AS g", "t_end AS t_min", "t_start AS t_max").distinct()
+    nodes = src.tracks(spark, d).where("obj < 50").selectExpr("obj DIV 5 AS g", "obj", "t AS k", "step AS t", "-1 AS owner")
+    return joins.nodes_in_interval(nodes, gaps, ("g",)).select("obj", F.col("k").alias("t"), F.col("t").alias("step"))
+
+
+@query(f"WITH {TRK}, o AS (SELECT obj, arg_min(step, t) AS node FROM trk GROUP BY obj) SELECT o.obj AS old, n.obj AS new FROM o JOIN (SELECT DISTINCT obj, step FROM trk) n ON n.step = o.node")
+def match_by_first_node(spark, d):
+    t = src.tracks(spark, d).select(F.col("obj").alias("seg"), F.col("step").alias("node"), "t")
+    return joins.match_by_first_node(t, t.select("seg", "node").distinct())
+
+
+@query(f"WITH {DET} SELECT t, id FROM det WHERE x <= 300 AND 100 <= x + w AND y <= 300 AND 100 <= y + h")
+def inlet_box(spark, d):
+    return joins.virtual_box(src.detections(spark, d), 100, 100, 200, 200).select("t", "id")
+
+
+@query(f"""WITH {DET}, n AS (SELECT t, id // 1000 AS o, list_sort(list(id % 7)) AS ids FROM det GROUP BY 1, 2), e AS (SELECT * FROM n WHERE o % 2 = 0), g AS (SELECT * FROM n WHERE o % 2 = 1)
+SELECT e.o AS seg, g.o AS target, e.t, CASE WHEN e.ids = g.ids THEN 'full' ELSE 'partial' END AS hit FROM e JOIN g ON e.t = g.t AND list_has_any(e.ids, g.ids) WHERE e.t < 40""")
+def target_hits(spark, d):
+    n = src.detections(spark, d).where("t < 40").groupBy("t", F.expr("id DIV 1000").alias("o")).agg(F.array_sort(F.collect_list(F.expr("id % 7"))).alias("ids"))
+    return joins.target_hits(n.where("o % 2 = 0").withColumnRenamed("o", "seg"), n.where("o % 2 = 1").withColumnRenamed("o", "target"))
+
+
+# Graphs
+
+CC = """WITH RECURSIVE {body}, u AS (SELECT src, dst FROM {edges} UNION SELECT dst, src FROM {edges}), r(node, root) AS (SELECT src, src FROM u UNION SELECT u.dst, r.root FROM r JOIN u ON u.src = r.node)
+SELECT node, min(root) AS component FROM r GROUP BY node"""
+
+
+@query(CC.format(body=f"{DET}, e AS (SELECT a.id AS src, b.id AS dst FROM det a JOIN det b ON a.t = b.t AND a.id < b.id AND a.t % 10 = 0 AND {TOUCH})", edges="e"))
+def box_clusters(spark, d):
+    det = src.detections(spark, d).where("t % 10 = 0")
+    return graph.connected_components(joins.self_overlap(det).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
+
+
+@query(CC.format(body="e AS (SELECT o_custkey AS src, 1000000 + o_orderkey AS dst FROM orders WHERE o_orderkey % 20 = 3 UNION ALL SELECT 1000000 + l_orderkey, 9000000 + l_partkey FROM lineitem WHERE l_orderkey % 20 = 3)", edges="e").replace("GROUP BY node", "WHERE node < 1000000 GROUP BY node"))
+def catalyst_components(spark, d):
+    o = src.table(spark, d, "orders").where("o_orderkey % 20 = 3").selectExpr("o_custkey AS src", "1000000 + o_orderkey AS dst")
+    c = src.table(spark, d, "lineitem").where("l_orderkey % 20 = 3").selectExpr("1000000 + l_orderkey AS src", "9000000 + l_partkey AS dst")
+    return graph.components_with_catalysts(o, c, o.select(F.col("src").alias("node")))
+
+
+@query(f"WITH RECURSIVE {DET}, {NEXT}, {ONE}, {CHAIN} SELECT node, chain FROM chains")
+def one_to_one_chains(spark, d):
+    return graph.one_to_one_chains(_links(spark, d))
+
+
+MASTERS = "m AS (SELECT DISTINCT o_orderkey AS slave, o_orderkey - o_custkey % 5 AS master FROM orders)"
+
+
+@query(f"WITH RECURSIVE {MASTERS}, w(slave, now) AS (SELECT slave, master FROM m UNION SELECT w.slave, m.master FROM w JOIN m ON m.slave = w.now) SELECT slave, min(now) AS master FROM w GROUP BY slave")
+def final_master(spark, d):
+    return graph.final_masters(src.table(spark, d, "orders").selectExpr("o_orderkey AS slave", "o_orderkey - o_custkey % 5 AS master"))
+
+
+@query("""WITH m AS (SELECT o_orderkey AS slave, o_orderkey // 10 AS master FROM orders), e AS (SELECT o_orderkey AS a, o_custkey AS b FROM orders)
+SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT coalesce(p.master, a) AS x, coalesce(q.master, b) AS y FROM e LEFT JOIN m p ON p.slave = a LEFT JOIN m q ON q.slave = b) WHERE x <> y""")
+def reindex_edges(spark, d):
+    o = src.table(spark, d, "orders")
+    return graph.reindex_edges(o.selectExpr("o_orderkey AS a", "o_custkey AS b"), o.selectExpr("o_orderkey AS slave", "o_orderkey DIV 10 AS master"))
+
+
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, w(start, node, depth) AS (SELECT id, id, 0 FROM det WHERE t = 20 UNION SELECT w.start, adj.dst, w.depth + 1 FROM w JOIN adj ON adj.src = w.node WHERE w.depth < 3)
+SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""")
+def bounded_reach(spark, d):
+    det = src.detections(spark, d)
+    near = det.where("t BETWEEN 20 AND 24")
+    links = joins.overlap_join(near, near, 1).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+    return graph.reachable(links, near.where("t = 20").select(F.col("id").alias("start")), 3)
+
+
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, w(start, node, path) AS (SELECT id, id, [id] FROM det WHERE t = 30 UNION ALL SELECT w.start, adj.dst, list_append(w.path, adj.dst) FROM w JOIN adj ON adj.src = w.node WHERE len(w.path) < 4),
+p AS (SELECT start, node AS "end", path, row_number() OVER (PARTITION BY start, node ORDER BY path) AS r, count(*) OVER (PARTITION BY start, node) AS n FROM w JOIN det ON det.id = w.node AND det.t = 33)
+SELECT start, "end", array_to_string(path, ',') AS path, n > 3 AS to_many_paths FROM p WHERE r <= 3""")
+def simple_paths_capped(spark, d):
+    near = src.detections(spark, d).where("t BETWEEN 30 AND 33")
+    links = joins.overlap_join(near, near, 1).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+    p = graph.simple_paths(links, near.where("t = 30").select(F.col("id").alias("start")), near.where("t = 33").select(F.col("id").alias("end")), 3, 3)
+    return p.select("start", "end", F.array_join("path", ",").alias("path"), "to_many_paths")
+
+
+EVENTS = """deg AS (SELECT *, count(*) OVER (PARTITION BY fr) AS o, count(*) OVER (PARTITION BY "to") AS i FROM e),
+role AS (SELECT *, CASE WHEN o > 1 AND i > 1 THEN 'mixed' WHEN o > 1 THEN 'split' WHEN i > 1 THEN 'merge' ELSE 'solo' END AS role FROM deg),
+typed AS (SELECT fr, "to", dist, CASE WHEN role = 'mixed' OR (role = 'split' AND max(CAST(role = 'mixed' AS INTEGER)) OVER (PARTITION BY fr) = 1) OR (role = 'merge' AND max(CAST(role = 'mixed' AS INTEGER)) OVER (PARTITION BY "to") = 1) THEN 'mixed'
+  WHEN role = 'solo' AND dist <= 2 THEN 'solo_zp' ELSE role END AS state FROM role)"""
+SEGEDGES = "e AS (SELECT a.obj * 1000 + a.seg AS fr, b.obj * 1000 + b.seg AS \"to\", b.t_start - a.t_end + 1 AS dist FROM seg a JOIN seg b ON a.obj // 10 = b.obj // 10 AND b.t_start - a.t_end BETWEEN 1 AND 2)"
+
+
+def _segment_edges(spark, d) -> DataFrame:
+    s = src.segments(spark, d).selectExpr("obj DIV 10 AS g", "obj * 1000 + seg AS seg", "t_start", "t_end")
+    return joins.gap_join(s, s, 2, ("g",)).select("fr", "to", "dist")
+
+
+@query(f"WITH {SEG}, {SEGEDGES}, {EVENTS} SELECT fr, \"to\", CAST(dist AS INTEGER) AS dist, state FROM typed")
+def event_types(spark, d):
+    return graph.event_types(_segment_edges(spark, d))
+
+
+@query(f"""WITH RECURSIVE {SEG}, {SEGEDGES}, {EVENTS}, m AS (SELECT fr, "to" FROM typed WHERE state = 'mixed'), l AS (SELECT a.fr AS x, b.fr AS y FROM m a JOIN m b ON a."to" = b."to"),
+w(x, y) AS (SELECT x, y FROM l UNION SELECT w.x, l.y FROM w JOIN l ON l.x = w.y), g AS (SELECT x AS fr, min(y) AS event FROM w GROUP BY x)
+SELECT event, string_agg(DISTINCT CAST(g.fr AS VARCHAR), ',' ORDER BY CAST(g.fr AS VARCHAR)) AS ins, string_agg(DISTINCT CAST(m."to" AS VARCHAR), ',' ORDER BY CAST(m."to" AS VARCHAR)) AS outs FROM g JOIN m ON m.fr = g.fr GROUP BY event""")
+def mixed_events(spark, d):
+    e = graph.mixed_events(graph.event_types(_segment_edges(spark, d)).where("state = 'mixed'"))
+    text = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ",").alias(c)
+    return e.select("event", text("ins"), text("outs"))
+
+
+@query("SELECT o_custkey AS fr, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS near FROM orders GROUP BY 1")
+def neighbour_lists(spark, d):
+    n = graph.neighbours(src.table(spark, d, "orders").selectExpr("o_custkey AS fr", "o_orderkey AS to"))
+    return n.select("fr", F.array_join("near", ",").alias("near"))
+
+
+@query(f"WITH {TRK} SELECT obj AS seg, min(t) AS t_start, max(t) AS t_end, count(*) AS n, arg_min(step, t) AS node_start, arg_max(step, t) AS node_end FROM trk GROUP BY obj")
+def segment_attributes(spark, d):
+    return graph.segment_attributes(src.tracks(spark, d).select(F.col("obj").alias("seg"), "t", F.col("step").alias("node")))
+
+
+# Reshaping
+
+
+NODES = "n AS (SELECT l_suppkey AS t, l_orderkey AS o, list_sort(list(l_partkey)) AS ids FROM lineitem GROUP BY 1, 2)"
+
+
+def _nodes(spark, d) -> DataFrame:
+    return src.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("t"), F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_list("l_partkey")).alias("ids"))
+
+
+@query("SELECT l_suppkey AS t, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS ids FROM lineitem GROUP BY 1")
+def disperse_nodes(spark, d):
+    return reshape.disperse(_nodes(spark, d)).select("t", F.array_join("ids", ",").alias("ids"))
+
+
+@query("SELECT DISTINCT l_suppkey AS t, l_partkey AS id FROM lineitem")
+def solo_nodes(spark, d):
+    return reshape.solo_nodes(_nodes(spark, d))
+
+
+@query(f"WITH {NODES} SELECT t, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS ids FROM (SELECT DISTINCT t, list_min(ids) AS m FROM n) GROUP BY t")
+def representative_ids(spark, d):
+    return reshape.representatives(_nodes(spark, d)).select("t", F.array_join("ids", ",").alias("ids"))
+
+
+@query("SELECT l_suppkey AS t, l_partkey AS id, string_agg(DISTINCT CAST(l_orderkey % 4 AS VARCHAR), ',' ORDER BY CAST(l_orderkey % 4 AS VARCHAR)) AS owners FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey % 4) > 1")
+def contested_nodes(spark, d):
+    o = src.table(spark, d, "lineitem").selectExpr("l_suppkey AS t", "l_partkey AS id", "l_orderkey % 4 AS owner")
+    return reshape.contested(o).select("t", "id", F.array_join("owners", ",").alias("owners"))
+
+
+@query(f"WITH {TRK} SELECT kind, round(sum(x * area) / sum(area), 4) AS x, round(sum(y * area) / sum(area), 4) AS y, CAST(sum(area) AS BIGINT) AS area FROM trk GROUP BY kind")
+def weighted_centroid(spark, d):
+    return reshape.weighted_centroid(src.tracks(spark, d), ("kind",)).select("kind", _r("x"), _r("y"), "area")
+
+
+@query(f"WITH {TRK} SELECT obj, t, round(avg(area) OVER w, 4) AS mean, round(stddev_pop(area) OVER w, 4) AS std FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t)")
+def running_stats(spark, d):
+    return reshape.running_stats(src.tracks(spark, d), "area").select("obj", "t", _r("mean"), _r("std"))
+
+
+@query(f"""WITH {TRK} SELECT obj, t, round(avg(area) OVER w, 4) AS mean, round(greatest(stddev_pop(area) OVER w, CASE count(*) OVER w WHEN 1 THEN 0.2 WHEN 2 THEN 0.15 ELSE 0.1 END * avg(area) OVER w), 4) AS std
+FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def floored_stats(spark, d):
+    return reshape.floored_stats(src.tracks(spark, d), "area").select("obj", "t", _r("mean"), _r("std"))
+
+
+@query(f"""WITH {DET}, g AS (SELECT id // 1000 AS o, min(t) AS a, max(t) AS b, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM det WHERE id < 300000 GROUP BY 1)
+SELECT o, unnest(range(a, b + 1))::INTEGER AS t, x, y, w, h FROM g""")
+def event_box(spark, d):
+    return reshape.event_box(src.detections(spark, d).where("id < 300000").withColumn("o", F.expr("id DIV 1000")), ("o",))
+
+
+@query("SELECT CAST(least(69, floor((l_extendedprice - lo) * 70 / (hi - lo))) AS INTEGER) AS bin, count(*) AS n FROM lineitem, (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) GROUP BY 1")
+def area_histogram(spark, d):
+    return reshape.histogram(src.table(spark, d, "lineitem"), "l_extendedprice", 70)
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity AS a, l_extendedprice AS b FROM lineitem), m AS (
+  SELECT *, round((a / max(a) OVER w + b / max(b) OVER w) / 2, 6) AS score FROM s WINDOW w AS (PARTITION BY l_orderkey))
+SELECT l_orderkey, l_partkey, score FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score, l_partkey) AS r FROM m) WHERE r = 1""")
+def best_of_duplicates(spark, d):
+    return reshape.best_of_duplicates(src.table(spark, d, "lineitem"), "l_orderkey", "l_quantity", "l_extendedprice", "l_partkey").select("l_orderkey", "l_partkey", "score")
+
+
+@query("SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS p FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_custkey, o_orderkey, o_totalprice * 2 FROM orders WHERE o_orderkey % 3 = 0")
+def overlay(spark, d):
+    o = src.table(spark, d, "orders").selectExpr("o_custkey AS k", "o_orderkey AS v", "o_totalprice AS p")
+    return reshape.overlay(o, o.where("v % 3 = 0").withColumn("p", F.col("p") * 2), ("k", "v"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS o, list_distinct(list(l_partkey % 10) FILTER (WHERE l_linenumber <= 3)) AS a, list_distinct(list(l_partkey % 10) FILTER (WHERE l_linenumber > 1)) AS b FROM lineitem GROUP BY 1)
+SELECT o, coalesce(array_to_string(list_sort(list_intersect(a, b)), ','), '') AS "both", coalesce(array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ','), '') AS only_a, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS "any" FROM s WHERE a IS NOT NULL AND b IS NOT NULL""")
+def node_set_ops(spark, d):
+    item = src.table(spark, d, "lineitem")
+    pick = lambda c: F.collect_set(F.when(F.expr(c), F.expr("l_partkey % 10")))
+    s = item.groupBy(F.col("l_orderkey").alias("o")).agg(pick("l_linenumber <= 3").alias("a"), pick("l_linenumber > 1").alias("b")).where("size(a) > 0 AND size(b) > 0")
+    return s.withColumns(reshape.set_operations(F.col("a"), F.col("b"))).select("o", *[F.array_join(c, ",").alias(c) for c in ("both", "only_a", "any")])
+
+
+# Combinatorics
+
+
+@query("""WITH o AS (SELECT l_orderkey AS o, list_sort(list(DISTINCT l_partkey)) AS ids FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) <= 4), m AS (SELECT o, ids, unnest(range(1, CAST(pow(2, len(ids)) AS BIGINT))) AS m FROM o)
+SELECT o, array_to_string(list_filter(ids, lambda x, i: (m >> (i - 1)) % 2 = 1), ',') AS subset FROM m""")
+def power_set(spark, d):
+    o = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids")).where("size(ids) <= 4")
+    return o.select("o", F.explode(combi.power_set("ids")).alias("s")).select("o", F.array_join("s", ",").alias("subset"))
+
+
+CHOICES = "o AS (SELECT l_orderkey AS o, l_suppkey % 3 AS t, list_sort(list(DISTINCT l_partkey)) AS ids FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1, 2)"
+
+
+def _choices(spark, d) -> DataFrame:
+    item = src.table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    by_t = item.groupBy(F.col("l_orderkey").alias("o"), F.expr("l_suppkey % 3").alias("t")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids"))
+    return by_t.groupBy("o").agg(F.expr("transform(array_sort(collect_list(struct(t, ids))), x -> x.ids)").alias("lists"))
+
+
+@query(f"WITH {CHOICES} SELECT o, CAST(product(len(ids)) AS BIGINT) AS n FROM o GROUP BY o")
+def product_size(spark, d):
+    return _choices(spark, d).select("o", combi.product_size("lists").alias("n"))
+
+
+@query(f"""WITH {CHOICES}, a AS (SELECT o, unnest(ids) AS x FROM o WHERE t = 0), b AS (SELECT o, unnest(ids) AS x FROM o WHERE t = 1), c AS (SELECT o, unnest(ids) AS x FROM o WHERE t = 2), k AS (SELECT DISTINCT o FROM o)
+SELECT k.o, concat_ws(',', a.x, b.x, c.x) AS choice FROM k LEFT JOIN a USING (o) LEFT JOIN b USING (o) LEFT JOIN c USING (o)""")
+def cartesian_choices(spark, d):
+    return combi.cartesian(_choices(spark, d), ("o",), "lists").select("o", F.array_join("choice", ",").alias("choice"))
+
+
+@query()
+def set_partitions(spark, d):
+    o = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids")).where("size(ids) BETWEEN 2 AND 5")
+    return combi.distribute(o, "ids", 2).select("o", F.array_join(F.col("parts")[0], ",").alias("a"), F.array_join(F.col("parts")[1], ",").alias("b"))
+
+
+@query(f"WITH {TRK}, n AS (SELECT obj, t, area, lead(area) OVER (PARTITION BY obj ORDER BY t) AS nxt FROM trk) SELECT obj, t FROM n WHERE abs(area - nxt) / greatest(area, 1e-4) < 0.5")
+def area_change_edges(spark, d):
+    t = src.tracks(spark, d).withColumn("nxt", F.lead("area").over(Window.partitionBy("obj").orderBy("t")))
+    return t.where(combi.small_area_change("area", "nxt", 0.5)).select("obj", "t")
+
+
+# Time series
+
+
+@query(f"WITH {TRK} SELECT obj, t, round(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 4) AS d FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t)")
+def displacement_stats(spark, d):
+    return series.displacements(src.tracks(spark, d)).select("obj", "t", _r("d"))
+
+
+@query(f"""WITH {TRK}, m AS (SELECT *, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS d FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t))
+SELECT obj, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(area), 4) AS area_mean, round(stddev_pop(area), 4) AS area_std, count(*) AS n FROM m GROUP BY obj HAVING avg(d) <= 102""")
+def frozen_tracks(spark, d):
+    return series.frozen(src.tracks(spark, d), 102).select("obj", _r("x"), _r("y"), _r("area_mean"), _r("area_std"), "n")
+
+
+@query(f"""WITH {SEG}, a AS (SELECT obj, seg, t_start, t_end, n * 10.0::DOUBLE AS m, n / 4.0::DOUBLE AS s FROM seg), l AS (SELECT *, lead(seg) OVER w AS seg_next, lead(t_start) OVER w AS ts, lead(m) OVER w AS m2, lead(s) OVER w AS s2 FROM a WINDOW w AS (PARTITION BY obj ORDER BY seg))
+SELECT obj AS cluster, seg, seg_next, t_end + 1 AS t_from, ts - 1 AS t_to, round(least(m - 5 * s, m2 - 5 * s2), 4) AS area_low, round(greatest(m + 5 * s, m2 + 5 * s2), 4) AS area_high FROM l WHERE seg_next IS NOT NULL""")
+def frozen_holes(spark, d):
+    s = src.segments(spark, d).selectExpr("obj AS cluster", "seg", "t_start", "t_end", "n * 10D AS area_mean", "n / 4D AS area_std")
+    return series.frozen_holes(s).select("cluster", "seg", "seg_next", "t_from", "t_to", _r("area_low"), _r("area_high"))
+
+
+@query(f"""WITH {TRK}, p AS (SELECT *, lag(x, 2) OVER w AS x0, lag(x) OVER w AS x1, lag(y, 2) OVER w AS y0, lag(y) OVER w AS y1 FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t)),
+f AS (SELECT *, (x - x0) / 2 AS sx, (x0 + x1 + x) / 3 AS mx, (y - y0) / 2 AS sy, (y0 + y1 + y) / 3 AS my FROM p),
+e AS (SELECT *, x1 - mx AS ex1, x - mx - sx AS ex2, y1 - my AS ey1, y - my - sy AS ey2, pow(x0 - mx + sx, 2) + pow(x1 - mx, 2) + pow(x - mx - sx, 2) + pow(y0 - my + sy, 2) + pow(y1 - my, 2) + pow(y - my - sy, 2) AS ee FROM f),
+g AS (SELECT *, CASE WHEN ee <= 5 THEN 0 ELSE 1 - sqrt(5 / ee) END AS k FROM e)
+SELECT obj, t, round(2 * (mx + sx + ex2 * k) - (mx + ex1 * k), 3) AS x_next, round(2 * (my + sy + ey2 * k) - (my + ey1 * k), 3) AS y_next FROM g WHERE x0 IS NOT NULL""")
+def extrapolate3(spark, d):
+    return series.extrapolate3(src.tracks(spark, d)).where("x_next IS NOT NULL").select("obj", "t", _r("x_next", 3), _r("y_next", 3))
+
+
+@query(f"""WITH {STEPS}, n AS (SELECT obj, step, x, lead(step) OVER w AS s2, lead(x) OVER w AS x2 FROM steps WINDOW w AS (PARTITION BY obj ORDER BY step)), e AS (SELECT *, unnest(range(step, coalesce(s2, step + 1))) AS pt FROM n)
+SELECT obj, CAST(pt AS INTEGER) AS step, floor(CASE WHEN s2 IS NULL THEN x ELSE x + (x2 - x) * ((pt - step) / CAST(s2 - step AS DOUBLE)) END * 10000 + 0.5) / 10000 AS x, pt <> step AS filled FROM e""")
+def hole_fill_linear(spark, d):
+    return series.fill_holes(src.steps(spark, d), ("x",), "obj", "step").select("obj", "step", F.expr("floor(x * 10000 + 0.5D) / 10000D AS x"), "filled")
+
+
+@query()
+def spline_fill(spark, d):
+    t = src.steps(spark, d).select("obj", F.col("step").alias("t"), "x", "y")
+    return series.smooth_fill(t, 15.0, True).select("obj", "t", _r("x", 2), _r("y", 2))
+
+
+@query(f"""WITH {TRK}, p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t)), z AS (SELECT obj, round(avg(sqrt((x - px) * (x - px) + (y - py) * (y - py))), 2) AS error FROM p WHERE t > 3 GROUP BY obj)
+SELECT obj, CAST(0 AS INTEGER) AS k, CAST(0 AS DOUBLE) AS s, error FROM z""")
+def walk_forward_error(spark, d):
+    return series.walk_forward_error(src.tracks(spark, d), [(0, 0.0)])
+
+
+@query()
+def spline_order_choice(spark, d):
+    return series.select_by_error(series.walk_forward_error(src.tracks(spark, d), [(0, 0.0), (1, 1.0), (1, 5.0), (1, 1000.0)]))
+
+
+@query(f"""WITH {TRK}, p AS (SELECT *, lag(x) OVER w AS xa, lead(x) OVER w AS xb, lag(y) OVER w AS ya, lead(y) OVER w AS yb FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t))
+SELECT obj, round(avg(sqrt(pow(x - xa - (xb - xa) * 0.5, 2) + pow(y - ya - (yb - ya) * 0.5, 2))), 4) AS error FROM p WHERE xa IS NOT NULL AND xb IS NOT NULL AND t % 5 = 0 GROUP BY obj""")
+def holdout_error(spark, d):
+    return series.holdout_error(src.tracks(spark, d))
+
+
+@query(f"WITH {TRK} SELECT obj, count(*) AS n, CAST(CASE WHEN count(*) >= 20 THEN 8 WHEN count(*) > 5 THEN least(8, greatest(3, count(*) - 5)) ELSE 3 END AS INTEGER) AS buffer, count(*) > 13 AS search FROM trk WHERE step < 150 GROUP BY obj")
+def history_rule(spark, d):
+    n = src.tracks(spark, d).where("step < 150").groupBy("obj").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumns(series.history_rule(F.col("n")))
+
+
+@query(f"""WITH {TRK} SELECT obj, t, array_to_string(list(area) OVER (PARTITION BY obj ORDER BY t ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ',') AS back, array_to_string(list(area) OVER (PARTITION BY obj ORDER BY t ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), ',') AS ahead FROM trk""")
+def ring_buffers(spark, d):
+    t = src.tracks(spark, d)
+    back = series.ring_buffer(t, "area", 3).withColumnRenamed("ring", "back")
+    return series.ring_buffer(back, "area", 3, reverse=True).select("obj", "t", F.array_join("back", ",").alias("back"), F.array_join("ring", ",").alias("ahead"))
+
+
+@query(f"WITH {TRK}, o AS (SELECT obj AS seg, count(*) AS n FROM trk WHERE step < 600 GROUP BY 1), w AS (SELECT obj AS seg, count(*) AS n FROM trk GROUP BY 1) SELECT w.seg, w.n FROM w LEFT JOIN o USING (seg) WHERE o.n IS NULL OR o.n <> w.n")
+def changed_segments(spark, d):
+    t = src.tracks(spark, d).select(F.col("obj").alias("seg"), "step")
+    count = lambda x: x.groupBy("seg").agg(F.count(F.lit(1)).alias("n"))
+    return series.changed(count(t.where("step < 600")), count(t)).select("seg", "n")
+
+
+@query(f"""WITH {STEPS}, j AS (SELECT a.obj, a.step, b.x, exp(-0.5 * pow(a.step - b.step, 2)) AS w FROM steps a JOIN steps b ON a.obj = b.obj AND abs(a.step - b.step) <= 2)
+SELECT obj, step, round(sum(w * x) / sum(w), 4) AS smooth FROM j GROUP BY 1, 2""")
+def gaussian_average(spark, d):
+    return series.gaussian_average(src.steps(spark, d), "x", 2, 1.0, "obj", "step").select("obj", "step", _r("smooth"))
+
+
+@query(f"""WITH {TRK} SELECT obj, t, round(avg(x) OVER w + 3 * stddev_pop(x) OVER w + CASE WHEN t <= 6 THEN 20 * exp(-0.5 * (t - 1)) ELSE 0 END, 4) AS gate FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t)""")
+def decaying_gate(spark, d):
+    t = reshape.running_stats(src.tracks(spark, d), "x")
+    return t.select("obj", "t", F.round(series.decaying_gate(F.col("t"), F.col("mean"), F.col("std")), 4).alias("gate"))
+
+
+@query(f"""WITH {TRK}, p AS (SELECT *, x - lag(x) OVER w AS x0, lag(x) OVER w - lag(x, 2) OVER w AS x1, y - lag(y) OVER w AS y0, lag(y) OVER w - lag(y, 2) OVER w AS y1 FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t)),
+c AS (SELECT *, CASE WHEN (x0 * x1 + y0 * y1) / nullif(sqrt((x0 * x0 + y0 * y0) * (x1 * x1 + y1 * y1)), 0) < cos(radians(90)) THEN 0.5 ELSE 1 END AS k FROM p) SELECT obj, t, round(x + x0 * k, 4) AS x_next, round(y + y0 * k, 4) AS y_next FROM c WHERE x0 IS NOT NULL""")
+def damped_extrapolation(spark, d):
+    return series.damped_extrapolation(src.tracks(spark, d)).where("x_next IS NOT NULL").select("obj", "t", _r("x_next"), _r("y_next"))
+
+
+@query(f"""WITH {TRK}, p AS (SELECT obj, t, list(x) OVER w AS xs, list(y) OVER w AS ys FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT obj, t, len(xs) = 5 AND list_sum([sqrt(pow(xs[i] - xs[1], 2) + pow(ys[i] - ys[1], 2)) for i in range(1, len(xs) + 1)]) / len(xs) < 60 AS still FROM p""")
+def frozen_recent(spark, d):
+    return series.frozen_recent(src.tracks(spark, d), most=60.0).select("obj", "t", "still")
+
+
+@query(f"""WITH {TRK}, p AS (SELECT obj, t, lag(x, 2) OVER w AS a, lag(x) OVER w AS b, x AS c FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t)) SELECT obj, t, coalesce((a < b AND b < c AND c - a >= 5) OR (least(a, b, c) >= 15 AND a IS NOT NULL), FALSE) AS confirmed FROM p""")
+def split_persistence(spark, d):
+    return series.split_persistence(src.tracks(spark, d).withColumn("d", F.col("x"))).select("obj", "t", "confirmed")
+
+
+@query(f"""WITH {TRK}, s AS (SELECT * FROM trk WHERE kind = 'view'), m AS (SELECT * FROM trk WHERE kind = 'click'), j AS (SELECT s.obj, s.t AS t_split, s.x, s.y, m.t AS t_merge, m.x AS mx, m.y AS my, row_number() OVER (PARTITION BY s.obj, s.t ORDER BY m.t) AS r FROM s JOIN m ON s.obj = m.obj AND m.t > s.t)
+SELECT obj, t_split, t_merge, round(sqrt(pow(x - mx, 2) + pow(y - my, 2)), 4) AS d FROM j WHERE r = 1 AND t_merge - t_split < 8""")
+def split_merge_pairs(spark, d):
+    t = src.tracks(spark, d)
+    return series.split_merge_pairs(t.where("kind = 'view'"), t.where("kind = 'click'")).select("obj", "t_split", "t_merge", _r("d"))
+
+
+@query(f"WITH {TRK}, g AS (SELECT obj, count(*) AS n, arg_min(x, t) AS x0, arg_max(x, t) AS x1, arg_min(y, t) AS y0, arg_max(y, t) AS y1 FROM trk GROUP BY obj) SELECT obj, n, round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) / n, 4) AS speed FROM g WHERE n >= 2 AND sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)) / n > 2")
+def average_speed(spark, d):
+    return series.average_speed(src.tracks(spark, d), 2.0).select("obj", "n", _r("speed"))
+
+
+# Scoring
+
+
+def _criteria(spark, d) -> DataFrame:
+    t = src.tracks(spark, d).selectExpr("obj DIV 3 AS edge", "obj % 3 AS evol", "t", "x", "y", "area", "area * 2 AS moment", "50D AS ix", "120D AS iy")
+    return score.evolution_criteria(t)
+
+
+CRIT = f"""{TRK}, s AS (SELECT obj // 3 AS edge, obj % 3 AS evol, t, x, y, area, t > min(t) OVER k AND t < max(t) OVER k AS inner_, sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)) AS d, abs(area - lag(area) OVER w) AS a
+  FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t), k AS (PARTITION BY obj)),
+c AS (SELECT edge, evol, round(avg(CASE WHEN inner_ THEN sqrt((x - 50) * (x - 50) + (y - 120) * (y - 120)) END), 6) AS inter_mean, round(avg(d), 6) AS move_mean, round(avg(a), 6) AS area_mean, round(avg(2 * a), 6) AS moment_mean, round(stddev_pop(d), 6) AS move_std, count(*) AS n FROM s GROUP BY 1, 2)"""
+
+
+@query(f"WITH {CRIT} SELECT edge, evol, round(inter_mean, 3) AS inter_mean, round(move_mean, 3) AS move_mean, round(move_std, 3) AS move_std, round(area_mean, 3) AS area_mean, n FROM c")
+def evolution_criteria(spark, d):
+    return _criteria(spark, d).select("edge", "evol", _r("inter_mean", 3), _r("move_mean", 3), _r("move_std", 3), _r("area_mean", 3), "n")
+
+
+@query(f"""WITH {CRIT}, won AS (SELECT edge, arg_min(evol, inter_mean) AS a, arg_min(evol, move_mean) AS b, arg_min(evol, area_mean) AS c, arg_min(evol, moment_mean) AS d FROM c GROUP BY edge),
+v AS (SELECT c.edge, c.evol, c.n, round(CASE WHEN evol = a THEN 1.0 / 3.5 ELSE 0 END + CASE WHEN evol = b THEN 1.5 / 3.5 ELSE 0 END + CASE WHEN evol = d THEN 1.0 / 3.5 ELSE 0 END, 3) AS score FROM c JOIN won ON won.edge = c.edge)
+SELECT edge, evol, CAST(score AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY edge ORDER BY score DESC, n DESC, evol) AS r FROM v) WHERE r = 1""")
+def weighted_vote(spark, d):
+    return score.weighted_vote(_criteria(spark, d), ("inter_mean", "move_mean", "area_mean", "moment_mean"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS o, l_suppkey % 2 AS branch, l_partkey AS choice, max(l_quantity) AS a, max(l_extendedprice) AS b FROM lineitem GROUP BY 1, 2, 3), s AS (
+  SELECT *, (coalesce((a - min(a) OVER w) / nullif(max(a) OVER w - min(a) OVER w, 0), 0) + coalesce((b - min(b) OVER w) / nullif(max(b) OVER w - min(b) OVER w, 0), 0)) / 2 AS s FROM c WINDOW w AS (PARTITION BY o, branch)),
+g AS (SELECT o, choice, round(avg(s), 6) AS score, max(b) AS mb FROM s GROUP BY 1, 2), k AS (SELECT *, count(*) OVER (PARTITION BY o) AS n FROM g)
+SELECT o, choice, score FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY score, CASE WHEN n = 2 THEN mb END NULLS FIRST, choice) AS r FROM k) WHERE r = 1""")
+def minmax_two_criteria(spark, d):
+    c = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.expr("l_suppkey % 2").alias("branch"), F.col("l_partkey").alias("choice")).agg(F.max("l_quantity").alias("a"), F.max("l_extendedprice").alias("b"))
+    return score.min_max_score(c, "o", "branch", "choice", "a", "b")
+
+
+@query(f"WITH {TRK} SELECT obj, round(greatest(avg(x), 5) + 5 * stddev_pop(x), 4) AS distance, round(greatest(avg(area / 550.0) + 5 * stddev_pop(area / 550.0), 0.35), 4) AS area FROM trk GROUP BY obj")
+def acceptance_gates(spark, d):
+    g = src.tracks(spark, d).groupBy("obj").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.avg(F.col("area") / 550).alias("am"), F.stddev_pop(F.col("area") / 550).alias("as"))
+    return g.select("obj", F.round(score.distance_gate(F.col("m"), F.col("s")), 4).alias("distance"), F.round(score.area_gate(F.col("am"), F.col("as")), 4).alias("area"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS "case", row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS choice, round(l_extendedprice, 2) AS score, l_quantity < 25 AS pd, l_discount < 0.04 AS pa FROM lineitem),
+t AS (SELECT *, CASE WHEN pd AND pa THEN 0 WHEN pd OR pa THEN 1 ELSE 2 END AS tier FROM c)
+SELECT "case", choice, CAST(tier AS INTEGER) AS tier, pd AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY tier, CASE WHEN tier < 2 THEN score ELSE choice END, choice) AS r FROM t) WHERE r = 1""")
+def tiered_choice(spark, d):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    c = src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case"), (F.row_number().over(w) - 1).cast("long").alias("choice"), F.round("l_extendedprice", 2).alias("score"), F.expr("l_quantity < 25").alias("pass_d"), F.expr("l_discount < 0.04").alias("pass_a"))
+    return score.tiered_choice(c)
+
+
+# Tracking stages
+
+
+@query()
+def first_pass_clusters(spark, d):
+    c = track.first_pass(src.detections(spark, d).where("t % 8 = 0"), 100)
+    return c.select("t", "cluster", F.array_join("ids", ",").alias("ids"), "x", "y", "w", "h")
+
+
+@query(f"""WITH {DET}, p AS (SELECT b.id AS new, a.id AS old, a.w * a.h AS area FROM det a JOIN det b ON b.t = a.t + 1 AND {TOUCH}), g AS (SELECT new, list(old ORDER BY area DESC, old) AS os, list(area ORDER BY area DESC, old) AS ar FROM p GROUP BY new HAVING count(*) > 1)
+SELECT new, array_to_string(list_sort(os), ',') AS olds, CASE WHEN -ar[2] >= -0.3 * ar[1] THEN os[1] END AS heir FROM g""")
+def frame_merges(spark, d):
+    det = src.detections(spark, d)
+    return track.merges_of_frames(det, det).select("new", F.array_join("olds", ",").alias("olds"), "heir")
+
+
+@query(f"""WITH {DET} SELECT a.id AS id_a, b.id AS id_b FROM det a JOIN det b ON b.t = a.t + 1 AND {TOUCH} WHERE sqrt(pow((a.x + a.w / 2.0) - (b.x + b.w / 2.0), 2) + pow((a.y + a.h / 2.0) - (b.y + b.h / 2.0), 2)) <= 12
+AND abs(a.w * a.h - b.w * b.h) / CAST(greatest(a.w * a.h, 1) AS DOUBLE) < 0.4 AND abs(degrees(atan(a.h / CAST(a.w AS DOUBLE))) - degrees(atan(b.h / CAST(b.w AS DOUBLE)))) < 15""")
+def stuck_boxes(spark, d):
+    det = src.detections(spark, d)
+    return track.stuck(joins.overlap_join(det, det, 1), 12.0).select("id_a", "id_b")
+
+
+@query(f"""WITH {SEG}, {SEGEDGES}, {EVENTS}, busy AS (SELECT * FROM typed WHERE state IN ('split', 'merge', 'mixed'))
+SELECT s.fr, s."to", CASE CAST(s.fr IN (SELECT "to" FROM busy) AS INTEGER) + CAST(s."to" IN (SELECT fr FROM busy) AS INTEGER) WHEN 0 THEN 'neither' WHEN 1 THEN 'one' ELSE 'both' END AS position FROM typed s WHERE state LIKE 'solo%'""")
+def solo_positions(spark, d):
+    typed = graph.event_types(_segment_edges(spark, d))
+    return track.position_class(typed.where("state LIKE 'solo%'").select("fr", "to"), typed)
+
+
+@query(f"""WITH {SEG}, {SEGEDGES}, x AS (SELECT obj * 1000 + seg AS seg, n FROM seg) SELECT e.fr, e."to", CAST(e.dist AS INTEGER) AS dist FROM e JOIN x a ON a.seg = e.fr JOIN x b ON b.seg = e."to" WHERE a.n >= 3 AND b.n >= 3""")
+def trusted_connections(spark, d):
+    s = src.segments(spark, d).selectExpr("obj * 1000 + seg AS seg", "n")
+    return track.trusted_connections(_segment_edges(spark, d), s, 3)
+
 
-FLAGSHIP = "region_rows"
+@query(f"""WITH {TRK}, g AS (SELECT l.obj AS k, l.t AS id, l.x AS d, CAST(l.area AS DOUBLE) AS a FROM trk l), s AS (SELECT *, round((1 - coalesce(d / nullif(max(d) OVER w, 0), 0)) + (1 - coalesce(a / nullif(max(a) OVER w, 0), 0)), 6) AS score FROM g WINDOW w AS (PARTITION BY k))
+SELECT k, id, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, id) AS r FROM s) WHERE r = 1""")
+def stray_reassignment(spark, d):
+    c = src.tracks(spark, d).select(F.col("obj").alias("k"), F.col("t").alias("id"), F.col("x").alias("d"), F.col("area").cast("double").alias("a"))
+    return track.best_reassignment(c, ("k",))
 
 
-def region_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
+@query()
+def segment_layers(spark, d):
+    s = src.segments(spark, d).selectExpr("obj DIV 10 AS family", "obj * 1000 + seg AS id", "t_start AS start", "t_end AS stop")
+    return track.interval_layers(s).withColumn("colour", track.colour(F.col("id")))
 
 
-QUERIES = {"region_rows": region_rows}
-ORACLE_SQL = {"region_rows": "SELECT r_regionkey, r_name FROM region"}
+@query()
+def branch_extrapolation(spark, d):
+    t = src.tracks(spark, d).selectExpr("obj DIV 2 AS event", "obj % 2 AS branch", "t", "x", "y", "area", "obj * 1000 + t AS id")
+    known, found = t.where("t <= 3"), t.where("t > 3 AND t < 12")
+    return track.extrapolate_branches(t.select("event").distinct(), known, found).select("event", "branch", "t", F.array_join("ids", ",").alias("ids"), "accepted")
