@@ -121,7 +121,11 @@ def final_masters(pairs: DataFrame, slave: str = "slave", master: str = "master"
         up = now.select(F.col("slave").alias("master"), F.col("master").alias("above"))
         nxt = settle(now.join(up, "master", "left").select("slave", F.coalesce("above", "master").alias("master"), (F.coalesce("above", "master") != F.col("master")).alias("moved")))
         if nxt.where("moved").isEmpty():
-            return nxt.select("slave", "master")
+            out = nxt.select("slave", "master")
+            onward = pairs.select(F.col(slave).alias("last"), F.col(master).alias("next")).where("last <> next")
+            if not out.join(onward, out["master"] == onward["last"], "left_semi").isEmpty():
+                break
+            return out
         now = nxt.select("slave", "master")
     raise ValueError("the masters form a cycle")
 
