@@ -57,7 +57,9 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     def of(some: list[str]) -> DataFrame:
         return tokens.select(F.explode(F.filter("w", lambda t: t.isin(some))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
-    return reduce(DataFrame.unionByName, map(of, _lists(terms)))
+    lists = _lists(terms)
+    counts = reduce(DataFrame.unionByName, map(of, lists))
+    return F.broadcast(counts) if len(lists) == 1 else counts  # of one list there are at most TERMS rows
 
 
 def anchored(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
