@@ -5,7 +5,7 @@ Full pieces fill a sequence each. The others are dealt by hash into pools of abo
 evolve packings of each pool from different seeds, the best packing of every island migrates to the next one, and after the
 last epoch the best of a pool's islands counts. Crossover injects whole well-filled bins of one packing
 into another, drops the bins that share documents with them, and best-fits the displaced documents. What the pools leave poorly
-filled is pooled again, across pools, and packed the same way.
+filled, and a tenth of the rest, is pooled again, across pools, and packed the same way, until one pool is left.
 
 Defined cases: a null or empty text is the end token alone. Rows with equal doc_id are separate documents. Extra columns are
 ignored. An empty table gives an empty result. Very long texts are cut; nothing is dropped.
@@ -19,7 +19,7 @@ import random
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -35,8 +35,8 @@ from driftnet.storage import settle
 LENGTH = 2048
 #: Documents packed together on an island; islands of a pool; epochs between migrations; generations in an epoch.
 POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 16, 4
-#: Bins filled below this share are pooled again.
-WELL_FILLED = 0.97
+#: Bins filled below this share are pooled again, and one of so many others, whose documents fill what is left.
+WELL_FILLED, AGAIN = 0.99, 10
 
 # Token ids
 
@@ -260,13 +260,22 @@ def pack(parts: DataFrame, length: int = LENGTH, generations: int = GENERATIONS)
     A sequence's id is the smallest uid in it.
     """
     full = parts.where(F.col("length") == length).select("uid", F.col("uid").alias("sequence_id"))
-    placed, pools = _pack_round(parts.where(F.col("length") < length).select("uid", "length"), 1, length, generations)
-    if pools > 1:
-        bins = placed.groupBy("pool", "bin").agg(F.sum("length").alias("fill"))
-        placed = settle(placed.join(bins, ["pool", "bin"]))
-        again, _ = _pack_round(placed.where(F.col("fill") < WELL_FILLED * length).select("uid", "length"), 2, length, generations)
-        placed = placed.where(F.col("fill") >= WELL_FILLED * length).select("uid", "pool", "bin").unionByName(again.select("uid", (-1 - F.col("pool")).alias("pool"), "bin"))
-    placed = placed.select("uid", F.min("uid").over(Window.partitionBy("pool", "bin")).alias("sequence_id"))
+    left, pools, kept = parts.where(F.col("length") < length).select("uid", "length"), 2, []
+    while pools > 1:
+        found, pools = _pack_round(left, len(kept) + 1, length, generations)
+        placed = found.select("uid", "length", F.lit(len(kept)).alias("round"), "pool", "bin")
+        if pools > 1:
+            bins = placed.groupBy("pool", "bin").agg((F.sum("length") < WELL_FILLED * length).alias("poor"))
+            again = F.col("poor") | (F.pmod(F.xxhash64("pool", "bin"), F.lit(AGAIN)) == 0)
+            placed = settle(placed.join(bins.select("pool", "bin", again.alias("again")), ["pool", "bin"]))
+            left = placed.where("again").select("uid", "length")
+            if left.count() > pools * POOL // 2:  # most bins cannot be filled, as of documents over half a sequence
+                pools = 1
+            else:
+                placed = placed.where("NOT again")
+        kept.append(placed.select("uid", "round", "pool", "bin"))
+    placed = reduce(DataFrame.unionByName, kept)
+    placed = placed.select("uid", F.min("uid").over(Window.partitionBy("round", "pool", "bin")).alias("sequence_id"))
     return full.unionByName(placed)
 
 

@@ -139,7 +139,7 @@ def test_evolution_beats_best_fit_where_it_can():
     assert check_packing(sizes, packing.evolve(sizes, [], 1, 100, 60), 100) < len(bins)
 
 
-@pytest.mark.parametrize("pool", [8, 4096])
+@pytest.mark.parametrize("pool", [25, 4096])
 def test_packing_is_whole(spark, monkeypatch, pool):
     monkeypatch.setattr(packing, "POOL", pool)
     texts = [None, "", "short one", "word " * 3000, "x y z " * 700, "<|endoftext|>"] + [f"text {i} " * (i % 40 * 9 + 1) for i in range(60)]

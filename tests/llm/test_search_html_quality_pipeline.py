@@ -173,3 +173,14 @@ def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_stages_on_nulls_copies_and_nothing(spark):
+    rows = [(1, None, None, None, None), (None, "a b c d", "en", "s", 7), (2, "", "en", "s", 0), (3, "x\ny\nz\nw " * 40, "en", "s", 1), (3, "x\ny\nz\nw " * 40, "en", "s", 1), (4, "long " * 30_000, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            some = stage(spark, some, SF)
+            if name != "best-fit packing":
+                assert some.columns == docs.columns, name
+        some.collect()
