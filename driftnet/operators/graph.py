@@ -110,7 +110,11 @@ def _heads(pairs: DataFrame, heads: DataFrame, max_rounds: int = 64) -> DataFram
 
 
 def chains_between_branchings(edges: DataFrame, min_length: int = 2) -> DataFrame:
-    """Chains that may begin at a merge node and end at a split node: an edge counts unless its source splits or its target merges."""
+    """Chains that begin with nothing or a merge and end before a merge or at a split.
+
+    An edge counts unless its source splits or its target merges, so a merge node can begin a chain and a split node can end one: the same
+    edges as of ``one_to_one_chains``.
+    """
     return one_to_one_chains(edges, min_length)
 
 

@@ -299,3 +299,31 @@ def fullness(mask: np.ndarray, steps: int = 5) -> float:
         now = erode(now, np.ones((3, 3)))
     share = np.array(areas) / max(areas[0], 1)
     return float(np.polyfit(np.arange(steps + 1), share, 1)[0])
+
+
+def gray_to_rgb(image: np.ndarray) -> np.ndarray:
+    """Three equal channels of a grey image; a colour image as it is."""
+    return np.repeat(image[..., None], 3, axis=2) if image.ndim == 2 else image
+
+
+def mask_hits(contours: DataFrame, mask: DataFrame) -> DataFrame:
+    """The contours (t, id, pts) with a vertex on a pixel of a mask (x, y)."""
+    vertices = contours.select("t", "id", F.explode("pts").alias("p")).select("t", "id", F.col("p.x").cast("int").alias("x"), F.col("p.y").cast("int").alias("y"))
+    return vertices.join(mask.select("x", "y").distinct(), ["x", "y"], "left_semi").select("t", "id").distinct()
+
+
+def annotate(frames: DataFrame, boxes: DataFrame, value: int = 255) -> DataFrame:
+    """Frames with the outlines of their boxes (t, x, y, w, h) drawn in."""
+
+    def draw(f: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for i, h, w, px in zip(f["frame_id"], f["h"], f["w"], f["px"], strict=True):
+            image = np.frombuffer(px, np.uint8).reshape(h, w).copy()
+            for x, y, bw, bh in zip(b["x"], b["y"], b["w"], b["h"], strict=True):
+                image[max(y, 0) : y + bh, max(x, 0) : x + bw][[0, -1]] = value
+                image[max(y, 0) : y + bh, max(x, 0) : x + bw][:, [0, -1]] = value
+            out.append((i, h, w, image.tobytes()))
+        return pd.DataFrame(out, columns=["frame_id", "h", "w", "px"])
+
+    inside = boxes.select(F.col("t").cast("int").alias("frame_id"), "x", "y", "w", "h").join(frames.select("frame_id", F.col("h").alias("fh"), F.col("w").alias("fw")), "frame_id").where("x < fw AND y < fh AND x + w > 0 AND y + h > 0 AND w > 0 AND h > 0")
+    return frames.select("frame_id", "h", "w", "px").groupBy("frame_id").cogroup(inside.groupBy("frame_id")).applyInPandas(draw, FRAME)

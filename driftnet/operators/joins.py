@@ -136,3 +136,21 @@ def target_hits(extended: DataFrame, targets: DataFrame) -> DataFrame:
 def virtual_box(df: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
     """The boxes that touch one fixed box, such as an inlet; a filter, as the box is a constant."""
     return df.where(F.expr(f"x <= {x + w} AND {x} <= x + w AND y <= {y + h} AND {y} <= y + h"))
+
+
+def frozen_strays(holes: DataFrame, stray: DataFrame, radius: float = 5.0) -> DataFrame:
+    """(cluster, t, id): stray nodes (t, id, x, y, area) within a hole (cluster, t_from, t_to, x, y, area_low, area_high) in time, place and area.
+
+    Holes are spread over their steps, so the join is on the step.
+    """
+    at = holes.where("t_from <= t_to").select("cluster", "area_low", "area_high", F.col("x").alias("hx"), F.col("y").alias("hy"), F.explode(F.sequence("t_from", "t_to")).alias("t"))
+    near = F.sqrt((F.col("x") - F.col("hx")) ** 2 + (F.col("y") - F.col("hy")) ** 2) <= radius
+    return stray.join(at, "t").where(near & F.expr("area BETWEEN area_low AND area_high")).select("cluster", "t", "id")
+
+
+def overlap_share(a: DataFrame, b: DataFrame, accept: float = 0.9, candidate: float = 0.05) -> DataFrame:
+    """(id_a, id_b, share, verdict): how much of each new box b an old box a covers; from ``accept`` accepted, from ``candidate`` a candidate."""
+    p = overlap_join(a, b, 1)
+    share = F.expr("(least(x + w, x_b + w_b) - greatest(x, x_b)) * (least(y + h, y_b + h_b) - greatest(y, y_b)) / CAST(greatest(w_b * h_b, 1) AS DOUBLE)")
+    named = p.select("id_a", "id_b", share.alias("share"))
+    return named.where(F.col("share") >= candidate).withColumn("verdict", F.when(F.col("share") >= accept, "accepted").otherwise("candidate"))

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftnet.functions.geometry import expand_box, union_box
-from driftnet.operators.combi import set_partitions
+from driftnet.operators.combi import power_set, set_partitions
 from driftnet.operators.graph import connected_components, families, one_to_one_chains, reachable
 from driftnet.operators.joins import close_pairs, overlap_join, self_overlap
+from driftnet.operators.score import evolution_criteria, weighted_vote
 from driftnet.operators.series import frozen
+from driftnet.storage import settle
 
 
 def first_pass(boxes: DataFrame, side: int = 100) -> DataFrame:
@@ -240,6 +242,70 @@ def best_reassignment(candidates: DataFrame, keys: tuple[str, ...]) -> DataFrame
     return scored.groupBy(*keys).agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("_k")).select(*keys, "_k.id", (-F.col("_k.s")).alias("score"))
 
 
+# Connections between two segments
+
+
+def evolutions(choices: DataFrame, most: int = 5000, change: float = 2.0) -> DataFrame:
+    """(edge, evol, t, ids, x, y, area): ways to choose one subset of contours for each step, from (edge, t, ids, x, y, area).
+
+    Up to ``most`` of them all are made. Where there would be more, steps must change the area by less than ``change``, which is widened
+    to 5 if no way is left; subsets with most contours come first, and the first ``most`` ways count. If still none is left, the way of
+    all contours is given. The cap is the operator's own, and an edge is one group.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(n=rows["ids"].map(len), key=rows["ids"].map(tuple)).sort_values(["t", "n", "key"], ascending=[True, False, True])
+        layers = [g[["t", "ids", "x", "y", "area"]].to_dict("records") for _, g in rows.groupby("t")]
+        ways: list[list[dict]] = []
+        for limit in (math.inf, change, 5.0) if math.prod(map(len, layers)) <= most else (change, 5.0):
+            stack = [([], 0)]
+            while stack and len(ways) < most:
+                way, k = stack.pop()
+                if k == len(layers):
+                    ways.append(way)
+                    continue
+                for c in reversed(layers[k]):
+                    if not way or abs(c["area"] - way[-1]["area"]) / max(way[-1]["area"], 1e-4) < limit:
+                        stack.append(([*way, c], k + 1))
+            if ways:
+                break
+        ways = ways or [[x[0] for x in layers]]
+        edge = int(rows["edge"].iloc[0])
+        out = [(edge, i, int(c["t"]), list(map(int, c["ids"])), c["x"], c["y"], c["area"]) for i, w in enumerate(ways) for c in w]
+        return pd.DataFrame(out, columns=["edge", "evol", "t", "ids", "x", "y", "area"])
+
+    kind = "edge long, evol int, t int, ids array<long>, x double, y double, area double"
+    return choices.selectExpr("CAST(edge AS BIGINT) edge", "CAST(t AS INT) t", "CAST(ids AS array<bigint>) ids", "CAST(x AS DOUBLE) x", "CAST(y AS DOUBLE) y", "CAST(area AS DOUBLE) area").groupBy("edge").applyInPandas(one, kind)
+
+
+def resolve_connections(web: DataFrame, contours: DataFrame, mode: str = "absorb_all", longest: int = 6) -> DataFrame:
+    """(edge, t, ids): the contours that join two segments, step by step, from the stray web (edge, t, ids) and contours (t, id, x, y, area).
+
+    ``absorb_all`` takes every contour of a step. ``best_evolution`` tries the subsets of each step (all contours only, where there are over
+    ``longest``), holds each evolution against the line between its ends, and lets the criteria vote.
+    """
+    if mode == "absorb_all":
+        return web.select("edge", "t", "ids")
+    subsets = web.select("edge", "t", F.explode(F.when(F.size("ids") <= longest, power_set("ids")).otherwise(F.array("ids"))).alias("ids"))
+    parts = subsets.select("edge", "t", "ids", F.explode("ids").alias("id")).join(contours, ["t", "id"])
+    made = parts.groupBy("edge", "t", "ids").agg((F.sum(F.col("x") * F.col("area")) / F.sum("area")).alias("x"), (F.sum(F.col("y") * F.col("area")) / F.sum("area")).alias("y"), F.sum("area").alias("area"))
+    ways = settle(evolutions(made))
+    w = Window.partitionBy("edge", "evol")
+    end = lambda f, c: f(c, "t").over(w)
+    share = (F.col("t") - F.min("t").over(w)) / F.greatest(F.max("t").over(w) - F.min("t").over(w), F.lit(1))
+    line = lambda c: end(F.min_by, c) + (end(F.max_by, c) - end(F.min_by, c)) * share
+    rated = ways.withColumns({"ix": line("x"), "iy": line("y"), "moment": F.col("area") ** 2})
+    chosen = weighted_vote(evolution_criteria(rated), ("inter_mean", "move_mean", "area_mean", "moment_mean"))
+    return ways.join(chosen.select("edge", "evol"), ["edge", "evol"]).select("edge", "t", "ids")
+
+
+def outer_iterations(segment_nodes: DataFrame, passes: list) -> DataFrame:
+    """The passes (functions of the segment nodes) in turn, each on what the one before left, kept in the shared folder between."""
+    for step in passes:
+        segment_nodes = settle(step(segment_nodes))
+    return segment_nodes
+
+
 # Layout
 
 

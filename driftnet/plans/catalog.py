@@ -831,3 +831,116 @@ def branch_extrapolation(spark, d):
     t = src.tracks(spark, d).selectExpr("obj DIV 2 AS event", "obj % 2 AS branch", "t", "x", "y", "area", "obj * 1000 + t AS id")
     known, found = t.where("t <= 3"), t.where("t > 3 AND t < 12")
     return track.extrapolate_branches(t.select("event").distinct(), known, found).select("event", "branch", "t", F.array_join("ids", ",").alias("ids"), "accepted")
+
+
+@query(f"""WITH {DET} SELECT a.id AS id_a, b.id AS id_b FROM det a JOIN det b ON b.t = a.t + 1 AND {TOUCH}
+WHERE sqrt(pow((a.x + a.w / 2.0) - (b.x + b.w / 2.0), 2) + pow((a.y + a.h / 2.0) - (b.y + b.h / 2.0), 2)) < (sqrt(a.w * a.w + a.h * a.h) + sqrt(b.w * b.w + b.h * b.h)) / 2 AND abs(a.w * a.h - b.w * b.h) / CAST(greatest(a.w * a.h, 1) AS DOUBLE) < 0.3""")
+def moments_similarity(spark, d):
+    det = src.detections(spark, d)
+    return geo.moments_alike(joins.overlap_join(det, det, 1)).select("id_a", "id_b")
+
+
+@query(f"""WITH {TRK}, h AS (SELECT obj // 2 AS k, obj % 2 AS part, CAST(floor(x * 0.6 + y * 0.8) AS INTEGER) AS bin, count(*) AS n FROM trk GROUP BY ALL), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY k, part ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY k, part) AS total, sum(bin * n) OVER (PARTITION BY k, part) / CAST(sum(n) OVER (PARTITION BY k, part) AS DOUBLE) AS mean FROM h
+), p AS (SELECT a.k, a.part, a.bin AS lo, b.bin AS hi, b.cum - a.cum + a.n AS mass, a.mean FROM c a JOIN c b ON a.k = b.k AND a.part = b.part AND b.bin >= a.bin WHERE b.cum - a.cum + a.n >= 0.9 * a.total)
+SELECT k, part, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY k, part ORDER BY hi - lo, mass, round(abs((hi + lo) / 2.0 - mean), 6), lo) AS r FROM p) WHERE r = 1""")
+def split_by_projection(spark, d):
+    t = src.tracks(spark, d).selectExpr("obj DIV 2 AS k", "obj % 2 AS part", "x", "y")
+    return geo.split_by_projection(t, ("k",), F.lit(0.6), F.lit(0.8)).select("k", "part", "lo", "hi")
+
+
+@query(f"""WITH {DET}, v AS (SELECT id, unnest([x, x + w, x + w, x]) AS px, unnest([y, y, y + h, y + h]) AS py FROM det) SELECT DISTINCT id FROM v WHERE px % 10 = 3 AND py % 10 = 7 AND px < 600""")
+def contour_mask_hits(spark, d):
+    det = src.detections(spark, d).select("t", "id", geo.corners().alias("pts"))
+    mask = spark.range(60 * 90).select((F.col("id") % 60 * 10 + 3).cast("int").alias("x"), (F.floor(F.col("id") / 60) * 10 + 7).cast("int").alias("y"))
+    return image.mask_hits(det, mask).select("id")
+
+
+@query(f"WITH {DET}, f AS (SELECT *, id % 5 AS family FROM det) SELECT a.id AS src, b.id AS dst FROM f a JOIN f b ON a.family = b.family AND b.t = a.t + 1 AND {TOUCH}")
+def family_step_join(spark, d):
+    det = src.detections(spark, d).withColumn("family", F.expr("id % 5"))
+    return joins.overlap_join(det, det, 1, keys=("family",)).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+
+
+@query(f"""WITH {SEG}, l AS (SELECT obj, seg, t_end, x_end, y_end, lead(t_start) OVER (PARTITION BY obj ORDER BY seg) AS nxt FROM seg), h AS (SELECT obj AS cluster, t_end + 1 AS a, nxt - 1 AS b, x_end, y_end FROM l WHERE nxt IS NOT NULL)
+SELECT h.cluster, s.step AS t, s.obj AS id FROM h JOIN steps s ON s.step BETWEEN h.a AND h.b WHERE sqrt(pow(s.x - x_end, 2) + pow(s.y - y_end, 2)) <= 30 AND s.area BETWEEN 100 AND 400""")
+def frozen_stray_lookup(spark, d):
+    w = Window.partitionBy("obj").orderBy("seg")
+    holes = src.segments(spark, d).withColumn("nxt", F.lead("t_start").over(w)).where("nxt IS NOT NULL").selectExpr("obj AS cluster", "t_end + 1 AS t_from", "nxt - 1 AS t_to", "x_end AS x", "y_end AS y", "100 AS area_low", "400 AS area_high")
+    stray = src.steps(spark, d).selectExpr("step AS t", "obj AS id", "x", "y", "area")
+    return joins.frozen_strays(holes, stray, 30.0)
+
+
+@query(f"""WITH {DET} SELECT a.id AS id_a, b.id AS id_b, CASE WHEN (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / CAST(greatest(b.w * b.h, 1) AS DOUBLE) >= 0.9 THEN 'accepted' ELSE 'candidate' END AS verdict
+FROM det a JOIN det b ON b.t = a.t + 1 AND {TOUCH} WHERE (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / CAST(greatest(b.w * b.h, 1) AS DOUBLE) >= 0.05""")
+def overlap_verdicts(spark, d):
+    det = src.detections(spark, d)
+    return joins.overlap_share(det, det).select("id_a", "id_b", "verdict")
+
+
+@query(CC.format(body="e AS (SELECT o_custkey AS src, 1000000 + o_orderkey % 97 AS dst FROM orders WHERE o_custkey % 50 = 7)", edges="e").replace("SELECT node, min(root) AS component FROM r GROUP BY node", ", g AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT component, count(*) AS n, CASE WHEN count(*) > 2 THEN 'family' WHEN count(*) = 1 THEN 'solo' ELSE 'pair' END AS kind FROM g GROUP BY component"))
+def history_families(spark, d):
+    log = src.table(spark, d, "orders").where("o_custkey % 50 = 7").selectExpr("o_custkey AS new", "1000000 + o_orderkey % 97 AS old")
+    return graph.history_families(log)
+
+
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, w(start, node) AS (SELECT id, id FROM det WHERE t = 20 UNION SELECT w.start, adj.dst FROM w JOIN adj ON adj.src = w.node JOIN det n ON n.id = adj.dst AND n.t <= 23),
+p AS (SELECT a.id AS fr_node, b.id AS to_node FROM det a, det b WHERE a.t = 20 AND b.t = 23) SELECT p.* FROM p JOIN w ON w.start = p.fr_node AND w.node = p.to_node""")
+def segment_connectivity(spark, d):
+    near = src.detections(spark, d).where("t BETWEEN 20 AND 23")
+    links = joins.overlap_join(near, near, 1).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+    pairs = near.where("t = 20").select(F.col("id").alias("fr_node")).join(near.where("t = 23").select(F.col("id").alias("to_node")))
+    return graph.segment_connectivity(pairs, links, 3)
+
+
+@query()
+def frozen_removal(spark, d):
+    t = track.remove_frozen(src.tracks(spark, d), 102.0, 8.0)
+    return t.groupBy("obj").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {SEG}, {SEGEDGES}, {EVENTS}, ins AS (SELECT "to" AS event, fr AS seg, 1 AS enters FROM typed WHERE state = 'merge'), outs AS (SELECT DISTINCT event, event AS seg, 0 AS enters FROM ins), parts AS (SELECT * FROM ins UNION ALL SELECT * FROM outs),
+m AS (SELECT parts.*, t_start, t_end FROM parts JOIN (SELECT obj * 1000 + seg AS seg, t_start, t_end FROM seg) s ON s.seg = parts.seg), ee AS (SELECT event, min(CASE WHEN enters = 1 THEN t_end END) AS a, max(CASE WHEN enters = 0 THEN t_start END) AS b FROM m GROUP BY event),
+x AS (SELECT event, unnest(range(a, b + 1)) AS t FROM ee WHERE a <= b)
+SELECT x.event, CAST(x.t AS INTEGER) AS t, coalesce(string_agg(DISTINCT CAST(CASE WHEN x.t BETWEEN t_start AND t_end THEN seg END AS VARCHAR), ',' ORDER BY CAST(CASE WHEN x.t BETWEEN t_start AND t_end THEN seg END AS VARCHAR)), '') AS active FROM x JOIN m ON m.event = x.event GROUP BY 1, 2""")
+def merge_event_info(spark, d):
+    typed = graph.event_types(_segment_edges(spark, d)).where("state = 'merge'")
+    events = typed.groupBy(F.col("to").alias("event")).agg(F.collect_set("fr").alias("ins")).withColumn("outs", F.array("event"))
+    segs = src.segments(spark, d).selectExpr("obj * 1000 + seg AS seg", "t_start", "t_end")
+    stray = src.steps(spark, d).selectExpr("step AS t", "obj AS id")
+    info = track.event_info(events, segs, stray)
+    return info.select("event", "t", F.array_join(F.array_sort(F.transform("active", lambda x: x.cast("string"))), ",").alias("active"))
+
+
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, ends AS (SELECT id FROM det WHERE t BETWEEN 10 AND 12 AND id NOT IN (SELECT dst FROM adj)), w(start, node, depth) AS (SELECT id, id, 0 FROM ends UNION SELECT w.start, adj.dst, w.depth + 1 FROM w JOIN adj ON adj.src = w.node WHERE w.depth < 4)
+SELECT start AS seg, node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""")
+def terminal_extension(spark, d):
+    links = _links(spark, d)
+    ends = src.detections(spark, d).where("t BETWEEN 10 AND 12").select(F.col("id").alias("node")).join(links.select(F.col("dst").alias("node")), "node", "left_anti")
+    near = joins.overlap_join(*[src.detections(spark, d).where("t BETWEEN 10 AND 17")] * 2, 1).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+    return track.terminal_extension(ends.select(F.col("node").alias("seg"), "node"), near, 4)
+
+
+@query(f"""WITH {SEG}, {SEGEDGES}, n AS (SELECT obj * 1000 + seg AS seg, step AS t, CAST(area AS DOUBLE) AS area FROM numbered), a AS (SELECT seg, avg(area) AS a FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY t DESC) AS r FROM n) WHERE r <= 4 GROUP BY seg),
+b AS (SELECT seg, avg(area) AS b FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY t) AS r FROM n) WHERE r <= 4 GROUP BY seg)
+SELECT fr, "to", round(abs(a - b) / greatest(a, 1e-4), 4) AS change FROM e JOIN a ON a.seg = fr JOIN b ON b.seg = "to" WHERE abs(a - b) / greatest(a, 1e-4) < 0.3""")
+def area_conservation(spark, d):
+    s = src.segments(spark, d).select("obj", "seg", "t_start", "t_end")
+    nodes = src.steps(spark, d).join(s, "obj").where("step BETWEEN t_start AND t_end").selectExpr("obj * 1000 + seg AS seg", "step AS t", "CAST(area AS DOUBLE) AS area")
+    return track.area_conserved(_segment_edges(spark, d), nodes)
+
+
+@query()
+def recomputed_segments(spark, d):
+    links = _links(spark, d)
+    old = graph.one_to_one_chains(links.where("src % 3 > 0"))
+    first = old.groupBy("chain").agg(F.min("node").alias("node")).select(F.col("chain").alias("seg"), "node")
+    return track.recompute_segments(links, first)
+
+
+@query()
+def connection_evolutions(spark, d):
+    s = src.steps(spark, d).where("obj < 12").selectExpr("obj DIV 4 AS edge", "step AS t", "obj AS id", "x", "y", "CAST(area AS DOUBLE) AS area").where("t BETWEEN 100 AND 140")
+    web = s.groupBy("edge", "t").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    found = track.resolve_connections(web, s.select("t", "id", "x", "y", "area"), "best_evolution")
+    return found.select("edge", "t", F.array_join("ids", ",").alias("ids"))

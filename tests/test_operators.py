@@ -279,3 +279,35 @@ def test_connections_are_rewritten(spark):
     web = {r.t: r.ids for r in track.stray_web(edge, stray, links).collect()}
     assert web == {1: [10], 2: [11], 3: [12], 4: [13]}
     assert track.collage_grid(6, 10, 10, 1.5) == (3, 2) and len(track.spring_layout([(0, 1)], 3)) == 3
+
+
+def test_evolutions_and_resolution(spark):
+    choices = [(1, 1, [1], 0.0, 0.0, 10.0), (1, 2, [2], 1.0, 0.0, 10.0), (1, 2, [2, 3], 5.0, 0.0, 90.0), (1, 3, [4], 2.0, 0.0, 11.0)]
+    df = spark.createDataFrame(choices, "edge long, t int, ids array<long>, x double, y double, area double")
+    assert track.evolutions(df).select("evol").distinct().count() == 2
+    pruned = track.evolutions(df, most=1).collect()
+    assert [sorted(r.ids) for r in sorted(pruned, key=lambda r: r.t)] == [[1], [2], [4]]
+    web = spark.createDataFrame([(1, 1, [1]), (1, 2, [2, 3]), (1, 3, [4])], "edge long, t int, ids array<long>")
+    contours = spark.createDataFrame([(1, 1, 0.0, 0.0, 10.0), (2, 2, 1.0, 0.0, 10.0), (2, 3, 40.0, 9.0, 80.0), (3, 4, 2.0, 0.0, 11.0)], "t int, id long, x double, y double, area double")
+    best = {r.t: r.ids for r in track.resolve_connections(web, contours, "best_evolution").collect()}
+    assert best == {1: [1], 2: [2], 3: [4]}
+    assert {r.t: r.ids for r in track.resolve_connections(web, contours).collect()} == {1: [1], 2: [2, 3], 3: [4]}
+
+
+def test_annotated_frames_and_masks(spark):
+    frames = spark.createDataFrame([(1, 6, 8, bytearray(48)), (2, 6, 8, bytearray(48))], image.FRAME)
+    boxes = spark.createDataFrame([(1, 1, 1, 4, 3), (1, -2, -2, 4, 4), (2, 90, 9, 3, 3)], "t int, x int, y int, w int, h int")
+    got = {r.frame_id: np.frombuffer(r.px, np.uint8).reshape(6, 8) for r in image.annotate(frames, boxes).collect()}
+    assert got[1][1, 1] == got[1][3, 4] == 255 and got[1][5].sum() == 0 and got[2].sum() == 0
+    assert image.gray_to_rgb(got[1]).shape == (6, 8, 3)
+
+
+def test_isolated_and_solo_time(spark):
+    paths = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (2, 21)], "path int, node int")
+    links = spark.createDataFrame([(10, 11), (20, 21), (21, 99)], "src int, dst int")
+    assert rows(track.isolated_connections(paths, links), "path") == [(1,)]
+    info = spark.createDataFrame([(1, t, list(range(n))) for t, n in ((5, 1), (6, 1), (7, 2), (8, 1), (9, 1))], "event int, t int, ids array<int>")
+    ends = spark.createDataFrame([(1, 4)], "event int, t_end int")
+    assert rows(track.solo_time_extension(info, ends), "t") == [(8,), (9,)]
+    segs = spark.createDataFrame([(1, 0, 4), (2, 6, 9), (3, 5, 7)], "id int, start int, stop int").withColumn("family", F.lit(1))
+    assert rows(track.interval_layers(segs), "id", "layer") == [(1, 0), (2, 1), (3, 0)]
