@@ -27,7 +27,9 @@ from driftnet.storage import settle
 LINE = r"(?s).+?(?:\n[ \t\n\r\f]*|\z)"
 #: A sentence: up to closing marks and white space, or a line break.
 SENTENCE = re.compile(r".+?(?:[.!?]+[\"')\]]*\s+|\n\s*|\Z)", re.S)
-WORDS = re.compile(r"\S+\s*")
+#: A part of a long sentence: up to a word of six characters, so that the cuts follow the words wherever a passage stands, or 16 words.
+PART = re.compile(r"(?:\S+\s+){1,15}?\S{6}(?:\s+|\Z)|(?:\S+\s*){1,16}")
+LONG = 16
 KEY = ("_dn_id", "_dn_hash")
 
 
@@ -89,16 +91,17 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
 # Operator 1
 
 
-def sentences(text: str, longest: int = 16) -> list[str]:
-    """The text cut into sentences, nothing lost; a sentence of over ``longest`` words is cut every ``longest`` words."""
+def sentences(text: str) -> list[str]:
+    """The text cut into sentences, nothing lost; a sentence of over ``LONG`` words is cut into parts."""
     out = []
     for piece in SENTENCE.findall(text):
-        words = WORDS.findall(piece) if len(piece) > 2 * longest else ()
-        if len(words) <= longest:
+        if len(piece) <= 2 * LONG or len(piece.split()) <= LONG:
             out.append(piece)
         else:
-            lead = piece[: len(piece) - sum(map(len, words))]
-            out += [lead * (i == 0) + "".join(words[i : i + longest]) for i in range(0, len(words), longest)]
+            bare = piece.lstrip()
+            parts = PART.findall(bare)
+            parts[0] = piece[: len(piece) - len(bare)] + parts[0]
+            out += parts
     return out
 
 

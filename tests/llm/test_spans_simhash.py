@@ -14,10 +14,24 @@ def docs_of(spark, texts, ids=None):
     return spark.createDataFrame([(i if ids is None else ids[i], t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
 
 
-@given(st.text(alphabet="ab .!?\n\t\"", max_size=80))
+@given(st.text(alphabet="ab .!?\n\t\"", max_size=80), st.lists(st.text(alphabet="abc.é", min_size=1, max_size=8), max_size=60))
 @settings(max_examples=300, deadline=None)
-def test_sentences_lose_nothing(text):
-    assert "".join(spans.sentences(text, 3)) == text
+def test_sentences_lose_nothing(text, words):
+    for t in (text, " ".join(words), text + "  ".join(words) + text):
+        assert "".join(spans.sentences(t)) == t
+
+
+def test_a_passage_within_a_sentence_is_found(spark):
+    import random
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    passage = " ".join(word() for _ in range(70))
+    texts = [f"{word()} {word()} {word() * k} {passage} {word()} {word()} tail." for k in range(1, 6)]
+    got = {r.doc_id: r.text for r in spans.dedup_substrings(docs_of(spark, texts)).collect()}
+    assert got[0] == texts[0]
+    for i in range(1, 5):
+        assert len(set(passage.split()) & set(got[i].split())) < 35
 
 
 def brute_runs(texts, run=3, words=10):
