@@ -27,8 +27,8 @@ from driftnet.storage import settle
 LINE = r"(?s).+?(?:\n[ \t\n\r\f]*|\z)"
 #: A sentence: up to closing marks and white space, or a line break.
 SENTENCE = re.compile(r".+?(?:[.!?]+[\"')\]]*\s+|\n\s*|\Z)", re.S)
-#: A part of a long sentence: up to a word of six characters, so that the cuts follow the words wherever a passage stands, or 16 words.
-PART = re.compile(r"(?:\S+\s+){1,15}?\S{6}(?:\s+|\Z)|(?:\S+\s*){1,16}")
+#: A part of a long sentence: up to a word of eight characters, so that the cuts follow the words wherever a passage stands, or 16 words.
+PART = re.compile(r"(?:\S+\s+){1,15}?\S{8}(?:\s+|\Z)|(?:\S+\s*){1,16}")
 LONG = 16
 KEY = ("_dn_id", "_dn_hash")
 
@@ -45,7 +45,7 @@ def later_occurrences(runs: DataFrame) -> DataFrame:
     split the rows of a frequent run.
     """
     place = F.struct(*KEY, "pos")
-    repeated = settle(runs.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first"))
+    repeated = settle(runs.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first"))
     later = runs.join(repeated, "h").where(place != F.col("first"))
     return later.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "len")).alias("_dn_spans"))
 
