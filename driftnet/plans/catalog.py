@@ -90,20 +90,20 @@ def chain_displacements(spark, d):
 # Scans, sinks and frames
 
 
-@query("SELECT CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) AS frame_id, c_name AS path, lpad(CAST(CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) AS VARCHAR), 5, '0') AS name FROM customer WHERE CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) BETWEEN 20 AND 899")
+@query("SELECT CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) AS frame_id, c_name AS path, lpad(CAST(CAST(regexp_extract(c_name, '(\\d+)', 1) AS BIGINT) AS VARCHAR), 5, '0') AS name FROM customer")
 def frame_index(spark, d):
     c = src.table(spark, d, "customer").select(F.col("c_name").alias("path")).withColumn("frame_id", files.frame_number("path"))
-    return c.where("frame_id BETWEEN 20 AND 899").select("frame_id", "path", F.lpad(F.col("frame_id").cast("string"), 5, "0").alias("name"))
+    return c.select("frame_id", "path", F.lpad(F.col("frame_id").cast("string"), 5, "0").alias("name"))
 
 
-@query("SELECT i AS id FROM range(0, 1000) r(i) WHERE i NOT IN (SELECT l_orderkey FROM lineitem)")
+@query("SELECT i AS id FROM (SELECT unnest(range(0, max(o_orderkey) + 1)) AS i FROM orders) WHERE i NOT IN (SELECT l_orderkey FROM lineitem)")
 def missing_index(spark, d):
-    return files.missing_frames(src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id")), 0, 1000)
+    return files.missing_frames(src.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("frame_id")), 0, src.table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0] + 1)
 
 
-@query("SELECT CAST(o_orderkey // 100 AS BIGINT) AS k, lpad(CAST(min(o_orderkey) AS VARCHAR), 5, '0') || '-' || lpad(CAST(max(o_orderkey) AS VARCHAR), 5, '0') AS folder FROM orders WHERE o_orderkey < 90000 GROUP BY 1")
+@query("SELECT CAST(o_orderkey // 100 AS BIGINT) AS k, lpad(CAST(min(o_orderkey) AS VARCHAR), CAST(greatest(5, length(CAST(min(o_orderkey) AS VARCHAR))) AS INTEGER), '0') || '-' || lpad(CAST(max(o_orderkey) AS VARCHAR), CAST(greatest(5, length(CAST(max(o_orderkey) AS VARCHAR))) AS INTEGER), '0') AS folder FROM orders GROUP BY 1")
 def output_hierarchy(spark, d):
-    o = src.table(spark, d, "orders").where("o_orderkey < 90000").groupBy(F.expr("o_orderkey DIV 100").alias("k")).agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+    o = src.table(spark, d, "orders").groupBy(F.expr("o_orderkey DIV 100").alias("k")).agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
     return o.select("k", files.range_name(F.col("a"), F.col("b")).alias("folder"))
 
 
@@ -118,10 +118,13 @@ def artifact_catalog(spark, d):
     return found.select("flow", F.col("artifacts")["graphs"].alias("graphs"), F.col("artifacts")["segments"].alias("segments"))
 
 
-@query(f"WITH {TRK} SELECT t, round(max(CASE WHEN obj = 1 THEN x END), 4) AS \"1\", round(max(CASE WHEN obj = 2 THEN x END), 4) AS \"2\", round(max(CASE WHEN obj = 3 THEN x END), 4) AS \"3\" FROM trk WHERE obj IN (1, 2, 3) GROUP BY t")
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"WITH {TRK} SELECT t, " + ", ".join(f"round(max(CASE WHEN kind = '{k}' THEN x END), 4) AS {k}" for k in KINDS) + " FROM trk GROUP BY t")
 def trajectory_pivot(spark, d):
-    t = src.tracks(spark, d).where("obj IN (1, 2, 3)").withColumn("x", F.round("x", 4))
-    return reshape.pivot_tracks(t, [1, 2, 3])
+    t = src.tracks(spark, d).groupBy("t", F.col("kind").alias("obj")).agg(F.round(F.max("x"), 4).alias("x"))
+    return reshape.pivot_tracks(t, KINDS)
 
 
 @query()
@@ -230,9 +233,9 @@ def polygon_moments(spark, d):
     return m.select("id", F.col("m.area").alias("area"), F.round(F.col("m.cx") + F.col("o.x"), 4).alias("cx"), F.round(F.col("m.cy") + F.col("o.y"), 4).alias("cy"), checked.alias("mzz")).join(ends, "id")
 
 
-@query(f"WITH {DET}, cover AS (SELECT DISTINCT t, px, py FROM (SELECT t, unnest(range(x, x + w)) AS px, y, h FROM det WHERE t < 12), LATERAL (SELECT unnest(range(y, y + h)) AS py)) SELECT t, count(*) AS area FROM cover GROUP BY t")
+@query(f"WITH {DET}, cover AS (SELECT DISTINCT t, px, py FROM (SELECT t, unnest(range(x, x + w)) AS px, y, h FROM det), LATERAL (SELECT unnest(range(y, y + h)) AS py)) SELECT t, count(*) AS area FROM cover GROUP BY t")
 def union_area(spark, d):
-    return geo.union_area(src.detections(spark, d).where("t < 12"), ("t",))
+    return geo.union_area(src.detections(spark, d), ("t",))
 
 
 @query(f"WITH {DET} SELECT a.id AS id_a, b.id AS id_b, round(abs(degrees(atan(a.h / CAST(a.w AS DOUBLE))) - degrees(atan(b.h / CAST(b.w AS DOUBLE)))), 4) AS angle FROM det a JOIN det b ON a.t = b.t AND a.id < b.id AND {TOUCH}")
@@ -348,9 +351,9 @@ def hole_free_pairs(spark, d):
     return joins.hole_free(pairs, stray, ("g",)).select("obj", "fr", "to", "dist")
 
 
-@query(f"WITH {STEPS} SELECT a.obj AS a, b.obj AS b, string_agg(CAST(a.step AS VARCHAR), ',' ORDER BY a.step) AS ts FROM steps a JOIN steps b ON a.step = b.step AND a.obj < b.obj WHERE a.obj < 40 AND b.obj < 40 GROUP BY 1, 2")
+@query(f"WITH {STEPS} SELECT a.obj AS a, b.obj AS b, string_agg(CAST(a.step AS VARCHAR), ',' ORDER BY a.step) AS ts FROM steps a JOIN steps b ON a.step = b.step AND a.obj < b.obj GROUP BY 1, 2")
 def common_intervals(spark, d):
-    a = src.steps(spark, d).where("obj < 40").select(F.col("obj").alias("id"), F.col("step").alias("t"))
+    a = src.steps(spark, d).select(F.col("obj").alias("id"), F.col("step").alias("t"))
     return joins.common_intervals(a).select("a", "b", F.array_join("ts", ",").alias("ts"))
 
 
@@ -365,11 +368,11 @@ def interval_overlap(spark, d):
     return joins.interval_overlaps(s, 48, ("obj",)).select("obj", "id_a", "id_b", F.col("amount").cast("long").alias("amount"))
 
 
-@query(f"WITH {SEG}, {GAPS} SELECT DISTINCT t.obj, t.t, t.step FROM trk t JOIN gaps g ON g.obj // 5 = t.obj // 5 AND t.step > g.t_end AND t.step < g.t_start WHERE t.obj < 50")
+@query(f"WITH {SEG}, {GAPS} SELECT DISTINCT t.obj, t.t, t.step FROM trk t JOIN gaps g ON g.obj // 5 = t.obj // 5 AND t.step > g.t_end AND t.step < g.t_start")
 def stray_in_gaps(spark, d):
     s = src.segments(spark, d)
     gaps = joins.gap_join(s, s, 60).selectExpr("obj DIV 5 AS g", "t_end AS t_min", "t_start AS t_max").distinct()
-    nodes = src.tracks(spark, d).where("obj < 50").selectExpr("obj DIV 5 AS g", "obj", "t AS k", "step AS t", "-1 AS owner")
+    nodes = src.tracks(spark, d).selectExpr("obj DIV 5 AS g", "obj", "t AS k", "step AS t", "-1 AS owner")
     return joins.nodes_in_interval(nodes, gaps, ("g",)).select("obj", F.col("k").alias("t"), F.col("t").alias("step"))
 
 
@@ -385,9 +388,9 @@ def inlet_box(spark, d):
 
 
 @query(f"""WITH {DET}, n AS (SELECT t, id // 1000 AS o, list_sort(list(id % 7)) AS ids FROM det GROUP BY 1, 2), e AS (SELECT * FROM n WHERE o % 2 = 0), g AS (SELECT * FROM n WHERE o % 2 = 1)
-SELECT e.o AS seg, g.o AS target, e.t, CASE WHEN e.ids = g.ids THEN 'full' ELSE 'partial' END AS hit FROM e JOIN g ON e.t = g.t AND list_has_any(e.ids, g.ids) WHERE e.t < 40""")
+SELECT e.o AS seg, g.o AS target, e.t, CASE WHEN e.ids = g.ids THEN 'full' ELSE 'partial' END AS hit FROM e JOIN g ON e.t = g.t AND list_has_any(e.ids, g.ids)""")
 def target_hits(spark, d):
-    n = src.detections(spark, d).where("t < 40").groupBy("t", F.expr("id DIV 1000").alias("o")).agg(F.array_sort(F.collect_list(F.expr("id % 7"))).alias("ids"))
+    n = src.detections(spark, d).groupBy("t", F.expr("id DIV 1000").alias("o")).agg(F.array_sort(F.collect_list(F.expr("id % 7"))).alias("ids"))
     return joins.target_hits(n.where("o % 2 = 0").withColumnRenamed("o", "seg"), n.where("o % 2 = 1").withColumnRenamed("o", "target"))
 
 
@@ -397,16 +400,16 @@ CC = """WITH RECURSIVE {body}, u AS (SELECT src, dst FROM {edges} UNION SELECT d
 SELECT node, min(root) AS component FROM r GROUP BY node"""
 
 
-@query(CC.format(body=f"{DET}, e AS (SELECT a.id AS src, b.id AS dst FROM det a JOIN det b ON a.t = b.t AND a.id < b.id AND a.t % 10 = 0 AND {TOUCH})", edges="e"))
+@query(CC.format(body=f"{DET}, e AS (SELECT a.id AS src, b.id AS dst FROM det a JOIN det b ON a.t = b.t AND a.id < b.id AND {TOUCH})", edges="e"))
 def box_clusters(spark, d):
-    det = src.detections(spark, d).where("t % 10 = 0")
+    det = src.detections(spark, d)
     return graph.connected_components(joins.self_overlap(det).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
 
 
-@query(CC.format(body="e AS (SELECT o_custkey AS src, 1000000 + o_orderkey AS dst FROM orders WHERE o_orderkey % 20 = 3 UNION ALL SELECT 1000000 + l_orderkey, 9000000 + l_partkey FROM lineitem WHERE l_orderkey % 20 = 3)", edges="e").replace("GROUP BY node", "WHERE node < 1000000 GROUP BY node"))
+@query()
 def catalyst_components(spark, d):
-    o = src.table(spark, d, "orders").where("o_orderkey % 20 = 3").selectExpr("o_custkey AS src", "1000000 + o_orderkey AS dst")
-    c = src.table(spark, d, "lineitem").where("l_orderkey % 20 = 3").selectExpr("1000000 + l_orderkey AS src", "9000000 + l_partkey AS dst")
+    o = src.table(spark, d, "orders").selectExpr("o_custkey AS src", "1000000 + o_orderkey AS dst")
+    c = src.table(spark, d, "lineitem").selectExpr("1000000 + l_orderkey AS src", "9000000 + l_partkey AS dst")
     return graph.components_with_catalysts(o, c, o.select(F.col("src").alias("node")))
 
 
@@ -430,22 +433,18 @@ def reindex_edges(spark, d):
     return graph.reindex_edges(o.selectExpr("o_orderkey AS a", "o_custkey AS b"), o.selectExpr("o_orderkey AS slave", "o_orderkey DIV 10 AS master"))
 
 
-@query(f"""WITH RECURSIVE {DET}, {NEXT}, w(start, node, depth) AS (SELECT id, id, 0 FROM det WHERE t = 20 UNION SELECT w.start, adj.dst, w.depth + 1 FROM w JOIN adj ON adj.src = w.node WHERE w.depth < 3)
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, w(start, node, depth) AS (SELECT id, id, 0 FROM det UNION SELECT w.start, adj.dst, w.depth + 1 FROM w JOIN adj ON adj.src = w.node WHERE w.depth < 3)
 SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""")
 def bounded_reach(spark, d):
-    det = src.detections(spark, d)
-    near = det.where("t BETWEEN 20 AND 24")
-    links = joins.overlap_join(near, near, 1).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    return graph.reachable(links, near.where("t = 20").select(F.col("id").alias("start")), 3)
+    return graph.reachable(_links(spark, d), src.detections(spark, d).select(F.col("id").alias("start")), 3)
 
 
-@query(f"""WITH RECURSIVE {DET}, {NEXT}, w(start, node, path) AS (SELECT id, id, [id] FROM det WHERE t = 30 UNION ALL SELECT w.start, adj.dst, list_append(w.path, adj.dst) FROM w JOIN adj ON adj.src = w.node WHERE len(w.path) < 4),
-p AS (SELECT start, node AS "end", path, row_number() OVER (PARTITION BY start, node ORDER BY path) AS r, count(*) OVER (PARTITION BY start, node) AS n FROM w JOIN det ON det.id = w.node AND det.t = 33)
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, w(start, node, path) AS (SELECT id, id, [id] FROM det UNION ALL SELECT w.start, adj.dst, list_append(w.path, adj.dst) FROM w JOIN adj ON adj.src = w.node WHERE len(w.path) < 4),
+p AS (SELECT start, node AS "end", path, row_number() OVER (PARTITION BY start, node ORDER BY path) AS r, count(*) OVER (PARTITION BY start, node) AS n FROM w WHERE len(path) > 1)
 SELECT start, "end", array_to_string(path, ',') AS path, n > 3 AS to_many_paths FROM p WHERE r <= 3""")
 def simple_paths_capped(spark, d):
-    near = src.detections(spark, d).where("t BETWEEN 30 AND 33")
-    links = joins.overlap_join(near, near, 1).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    p = graph.simple_paths(links, near.where("t = 30").select(F.col("id").alias("start")), near.where("t = 33").select(F.col("id").alias("end")), 3, 3)
+    nodes = src.detections(spark, d)
+    p = graph.simple_paths(_links(spark, d), nodes.select(F.col("id").alias("start")), nodes.select(F.col("id").alias("end")), 3, 3)
     return p.select("start", "end", F.array_join("path", ",").alias("path"), "to_many_paths")
 
 
@@ -533,10 +532,10 @@ def floored_stats(spark, d):
     return reshape.floored_stats(src.tracks(spark, d), "area").select("obj", "t", _r("mean"), _r("std"))
 
 
-@query(f"""WITH {DET}, g AS (SELECT id // 1000 AS o, min(t) AS a, max(t) AS b, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM det WHERE id < 300000 GROUP BY 1)
-SELECT o, unnest(range(a, b + 1))::INTEGER AS t, x, y, w, h FROM g""")
+@query(f"""WITH {DET}, g AS (SELECT id // 1000 AS o, t // 26 AS p, min(t) AS a, max(t) AS b, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM det GROUP BY 1, 2)
+SELECT o, CAST(p AS INTEGER) AS p, unnest(range(a, b + 1))::INTEGER AS t, x, y, w, h FROM g""")
 def event_box(spark, d):
-    return reshape.event_box(src.detections(spark, d).where("id < 300000").withColumn("o", F.expr("id DIV 1000")), ("o",))
+    return reshape.event_box(src.detections(spark, d).selectExpr("*", "id DIV 1000 AS o", "CAST(t DIV 26 AS INT) AS p"), ("o", "p"))
 
 
 @query("SELECT CAST(least(69, floor((l_extendedprice - lo) * 70 / (hi - lo))) AS INTEGER) AS bin, count(*) AS n FROM lineitem, (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem) GROUP BY 1")
@@ -569,18 +568,18 @@ def node_set_ops(spark, d):
 # Combinatorics
 
 
-@query("""WITH o AS (SELECT l_orderkey AS o, list_sort(list(DISTINCT l_partkey)) AS ids FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) <= 4), m AS (SELECT o, ids, unnest(range(1, CAST(pow(2, len(ids)) AS BIGINT))) AS m FROM o)
+@query("""WITH o AS (SELECT l_orderkey AS o, list_sort(list(DISTINCT l_partkey)) AS ids FROM lineitem GROUP BY 1), m AS (SELECT o, ids, unnest(range(1, CAST(pow(2, len(ids)) AS BIGINT))) AS m FROM o)
 SELECT o, array_to_string(list_filter(ids, lambda x, i: (m >> (i - 1)) % 2 = 1), ',') AS subset FROM m""")
 def power_set(spark, d):
-    o = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids")).where("size(ids) <= 4")
+    o = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids"))
     return o.select("o", F.explode(combi.power_set("ids")).alias("s")).select("o", F.array_join("s", ",").alias("subset"))
 
 
-CHOICES = "o AS (SELECT l_orderkey AS o, l_suppkey % 3 AS t, list_sort(list(DISTINCT l_partkey)) AS ids FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1, 2)"
+CHOICES = "o AS (SELECT l_orderkey AS o, l_suppkey % 3 AS t, list_sort(list(DISTINCT l_partkey)) AS ids FROM lineitem GROUP BY 1, 2)"
 
 
 def _choices(spark, d) -> DataFrame:
-    item = src.table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    item = src.table(spark, d, "lineitem")
     by_t = item.groupBy(F.col("l_orderkey").alias("o"), F.expr("l_suppkey % 3").alias("t")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids"))
     return by_t.groupBy("o").agg(F.expr("transform(array_sort(collect_list(struct(t, ids))), x -> x.ids)").alias("lists"))
 
@@ -598,7 +597,7 @@ def cartesian_choices(spark, d):
 
 @query()
 def set_partitions(spark, d):
-    o = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids")).where("size(ids) BETWEEN 2 AND 5")
+    o = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids"))
     return combi.distribute(o, "ids", 2).select("o", F.array_join(F.col("parts")[0], ",").alias("a"), F.array_join(F.col("parts")[1], ",").alias("b"))
 
 
@@ -667,9 +666,9 @@ def holdout_error(spark, d):
     return series.holdout_error(src.tracks(spark, d))
 
 
-@query(f"WITH {TRK} SELECT obj, count(*) AS n, CAST(CASE WHEN count(*) >= 20 THEN 8 WHEN count(*) > 5 THEN least(8, greatest(3, count(*) - 5)) ELSE 3 END AS INTEGER) AS buffer, count(*) > 13 AS search FROM trk WHERE step < 150 GROUP BY obj")
+@query(f"WITH {TRK} SELECT obj, count(*) AS n, CAST(CASE WHEN count(*) >= 20 THEN 8 WHEN count(*) > 5 THEN least(8, greatest(3, count(*) - 5)) ELSE 3 END AS INTEGER) AS buffer, count(*) > 13 AS search FROM trk GROUP BY obj")
 def history_rule(spark, d):
-    n = src.tracks(spark, d).where("step < 150").groupBy("obj").agg(F.count(F.lit(1)).alias("n"))
+    n = src.tracks(spark, d).groupBy("obj").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumns(series.history_rule(F.col("n")))
 
 
@@ -782,7 +781,7 @@ def tiered_choice(spark, d):
 
 @query()
 def first_pass_clusters(spark, d):
-    c = track.first_pass(src.detections(spark, d).where("t % 8 = 0"), 100)
+    c = track.first_pass(src.detections(spark, d), 100)
     return c.select("t", "cluster", F.array_join("ids", ",").alias("ids"), "x", "y", "w", "h")
 
 
@@ -829,7 +828,7 @@ def segment_layers(spark, d):
 @query()
 def branch_extrapolation(spark, d):
     t = src.tracks(spark, d).selectExpr("obj DIV 2 AS event", "obj % 2 AS branch", "t", "x", "y", "area", "obj * 1000 + t AS id")
-    known, found = t.where("t <= 3"), t.where("t > 3 AND t < 12")
+    known, found = t.where("t <= 3"), t.where("t > 3")
     return track.extrapolate_branches(t.select("event").distinct(), known, found).select("event", "branch", "t", F.array_join("ids", ",").alias("ids"), "accepted")
 
 
@@ -878,19 +877,17 @@ def overlap_verdicts(spark, d):
     return joins.overlap_share(det, det).select("id_a", "id_b", "verdict")
 
 
-@query(CC.format(body="e AS (SELECT o_custkey AS src, 1000000 + o_orderkey % 97 AS dst FROM orders WHERE o_custkey % 50 = 7)", edges="e").replace("SELECT node, min(root) AS component FROM r GROUP BY node", ", g AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT component, count(*) AS n, CASE WHEN count(*) > 2 THEN 'family' WHEN count(*) = 1 THEN 'solo' ELSE 'pair' END AS kind FROM g GROUP BY component"))
+@query(CC.format(body="e AS (SELECT o_orderkey AS src, CASE WHEN o_custkey % 3 = 0 THEN o_orderkey - o_orderkey % 7 ELSE o_orderkey END AS dst FROM orders)", edges="e").replace("SELECT node, min(root) AS component FROM r GROUP BY node", ", g AS (SELECT node, min(root) AS component FROM r GROUP BY node) SELECT component, count(*) AS n, CASE WHEN count(*) > 2 THEN 'family' WHEN count(*) = 1 THEN 'solo' ELSE 'pair' END AS kind FROM g GROUP BY component"))
 def history_families(spark, d):
-    log = src.table(spark, d, "orders").where("o_custkey % 50 = 7").selectExpr("o_custkey AS new", "1000000 + o_orderkey % 97 AS old")
-    return graph.history_families(log)
+    return graph.history_families(src.table(spark, d, "orders").selectExpr("o_orderkey AS new", "CASE WHEN o_custkey % 3 = 0 THEN o_orderkey - o_orderkey % 7 ELSE o_orderkey END AS old"))
 
 
-@query(f"""WITH RECURSIVE {DET}, {NEXT}, w(start, node) AS (SELECT id, id FROM det WHERE t = 20 UNION SELECT w.start, adj.dst FROM w JOIN adj ON adj.src = w.node JOIN det n ON n.id = adj.dst AND n.t <= 23),
-p AS (SELECT a.id AS fr_node, b.id AS to_node FROM det a, det b WHERE a.t = 20 AND b.t = 23) SELECT p.* FROM p JOIN w ON w.start = p.fr_node AND w.node = p.to_node""")
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, w(start, node, k) AS (SELECT id, id, 0 FROM det UNION SELECT w.start, adj.dst, w.k + 1 FROM w JOIN adj ON adj.src = w.node WHERE w.k < 3),
+p AS (SELECT a.id AS fr_node, b.id AS to_node FROM det a JOIN det b ON b.t = a.t + 3 AND {TOUCH}) SELECT p.* FROM p JOIN w ON w.start = p.fr_node AND w.node = p.to_node AND k = 3""")
 def segment_connectivity(spark, d):
-    near = src.detections(spark, d).where("t BETWEEN 20 AND 23")
-    links = joins.overlap_join(near, near, 1).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    pairs = near.where("t = 20").select(F.col("id").alias("fr_node")).join(near.where("t = 23").select(F.col("id").alias("to_node")))
-    return graph.segment_connectivity(pairs, links, 3)
+    det = src.detections(spark, d)
+    pairs = joins.overlap_join(det, det, 3).select(F.col("id_a").alias("fr_node"), F.col("id_b").alias("to_node"))
+    return graph.segment_connectivity(pairs, _links(spark, d), 3)
 
 
 @query()
@@ -912,13 +909,12 @@ def merge_event_info(spark, d):
     return info.select("event", "t", F.array_join(F.array_sort(F.transform("active", lambda x: x.cast("string"))), ",").alias("active"))
 
 
-@query(f"""WITH RECURSIVE {DET}, {NEXT}, ends AS (SELECT id FROM det WHERE t BETWEEN 10 AND 12 AND id NOT IN (SELECT dst FROM adj)), w(start, node, depth) AS (SELECT id, id, 0 FROM ends UNION SELECT w.start, adj.dst, w.depth + 1 FROM w JOIN adj ON adj.src = w.node WHERE w.depth < 4)
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, ends AS (SELECT id FROM det WHERE id NOT IN (SELECT dst FROM adj)), w(start, node, depth) AS (SELECT id, id, 0 FROM ends UNION SELECT w.start, adj.dst, w.depth + 1 FROM w JOIN adj ON adj.src = w.node WHERE w.depth < 4)
 SELECT start AS seg, node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""")
 def terminal_extension(spark, d):
     links = _links(spark, d)
-    ends = src.detections(spark, d).where("t BETWEEN 10 AND 12").select(F.col("id").alias("node")).join(links.select(F.col("dst").alias("node")), "node", "left_anti")
-    near = joins.overlap_join(*[src.detections(spark, d).where("t BETWEEN 10 AND 17")] * 2, 1).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    return track.terminal_extension(ends.select(F.col("node").alias("seg"), "node"), near, 4)
+    ends = src.detections(spark, d).select(F.col("id").alias("node")).join(links.select(F.col("dst").alias("node")), "node", "left_anti")
+    return track.terminal_extension(ends.select(F.col("node").alias("seg"), "node"), links, 4)
 
 
 @query(f"""WITH {SEG}, {SEGEDGES}, n AS (SELECT obj * 1000 + seg AS seg, step AS t, CAST(area AS DOUBLE) AS area FROM numbered), a AS (SELECT seg, avg(area) AS a FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY t DESC) AS r FROM n) WHERE r <= 4 GROUP BY seg),
@@ -932,15 +928,44 @@ def area_conservation(spark, d):
 
 @query()
 def recomputed_segments(spark, d):
-    links = _links(spark, d)
-    old = graph.one_to_one_chains(links.where("src % 3 > 0"))
-    first = old.groupBy("chain").agg(F.min("node").alias("node")).select(F.col("chain").alias("seg"), "node")
-    return track.recompute_segments(links, first)
+    det = src.detections(spark, d)
+    tight = joins.with_overlap_type(joins.overlap_join(det, det, 1)).where("share >= 0.3").select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
+    first = graph.one_to_one_chains(tight).select(F.col("chain").alias("seg"), F.col("chain").alias("node")).distinct()
+    return track.recompute_segments(_links(spark, d), first)
 
 
 @query()
 def connection_evolutions(spark, d):
-    s = src.steps(spark, d).where("obj < 12").selectExpr("obj DIV 4 AS edge", "step AS t", "obj AS id", "x", "y", "CAST(area AS DOUBLE) AS area").where("t BETWEEN 100 AND 140")
+    s = src.steps(spark, d).selectExpr("(obj DIV 4) * 1000 + step DIV 8 AS edge", "step AS t", "obj AS id", "x", "y", "CAST(area AS DOUBLE) AS area")
     web = s.groupBy("edge", "t").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     found = track.resolve_connections(web, s.select("t", "id", "x", "y", "area"), "best_evolution")
     return found.select("edge", "t", F.array_join("ids", ",").alias("ids"))
+
+
+
+RED = "px AS (SELECT l_partkey % 200 AS x, l_suppkey % 100 AS y, CAST(l_quantity AS INTEGER) * 5 AS r, l_linenumber * 20 AS g, CAST(l_orderkey % 60 AS INTEGER) AS b, l_orderkey % 10 AS t FROM lineitem)"
+
+
+@query(f"""WITH {RED}, s AS (SELECT *, greatest(r, g, b) AS top, least(r, g, b) AS low FROM px)
+SELECT t, CAST(min(x) AS BIGINT) AS x, CAST(min(y) AS BIGINT) AS y, CAST(max(x) - min(x) + 1 AS BIGINT) AS w, CAST(max(y) - min(y) + 1 AS BIGINT) AS h FROM s
+WHERE top = r AND top > low AND abs(60 * (g - b) / CAST(top - low AS DOUBLE)) <= 20 AND top >= 50 AND (top - low) / CAST(top AS DOUBLE) * 255 >= 50 GROUP BY t""")
+def red_crop(spark, d):
+    px = src.table(spark, d, "lineitem").selectExpr("l_partkey % 200 AS x", "l_suppkey % 100 AS y", "CAST(l_quantity AS INT) * 5 AS r", "l_linenumber * 20 AS g", "CAST(l_orderkey % 60 AS INT) AS b", "l_orderkey % 10 AS t")
+    kept = px.where(image.red(F.col("r"), F.col("g"), F.col("b")))
+    return kept.groupBy("t").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
+
+
+@query(f"""WITH {TRK}, a AS (SELECT obj, area FROM trk WHERE t = 1), b AS (SELECT obj // 8 AS g, obj, area FROM trk WHERE t = 2) SELECT a.obj AS src, b.obj AS dst FROM a JOIN b ON b.g = a.obj // 8 AND abs(b.area - a.area) <= 120""")
+def layer_edges(spark, d):
+    t = src.tracks(spark, d)
+    w = t.where("t = 1").selectExpr("obj DIV 8 AS g", "obj AS src", "area")
+    n = t.where("t = 2").selectExpr("obj DIV 8 AS g", "obj AS dst", "area AS nxt")
+    return w.join(n, "g").where("abs(nxt - area) <= 120").select("src", "dst")
+
+
+@query()
+def best_subset_search(spark, d):
+    det = src.detections(spark, d)
+    parts = F.array_sort(F.collect_list(F.struct(F.col("id_b").alias("id"), F.expr("x_b + w_b / 2D AS x"), F.expr("y_b + h_b / 2D AS y"), F.expr("CAST(w_b * h_b AS DOUBLE) AS area"))))
+    cases = joins.overlap_join(det, det, 1).groupBy(F.col("id_a").alias("k"), F.expr("x + w / 2D AS tx"), F.expr("y + h / 2D AS ty"), F.expr("CAST(greatest(w * h, 1) AS DOUBLE) AS tarea")).agg(parts.alias("parts"))
+    return combi.best_subset(cases, ("k",), 30, 0.8).select("k", F.array_join("ids", ",").alias("ids"), "score")

@@ -33,7 +33,8 @@ def missing_frames(frames: DataFrame, start: int, stop: int, key: str = "frame_i
 
 def range_name(start: Column, stop: Column) -> Column:
     """The name of a range's folder, both ends filled up to five digits."""
-    return F.concat_ws("-", F.lpad(start.cast("string"), 5, "0"), F.lpad(stop.cast("string"), 5, "0"))
+    filled = lambda c: F.lpad(c.cast("string"), F.greatest(F.length(c.cast("string")), F.lit(5)), F.lit("0"))
+    return F.concat_ws("-", filled(start), filled(stop))
 
 
 def read_frames(spark: SparkSession, folder: str, suffix: str = ".bmp", map_x: np.ndarray | None = None, map_y: np.ndarray | None = None) -> DataFrame:
