@@ -311,3 +311,19 @@ def test_isolated_and_solo_time(spark):
     assert rows(track.solo_time_extension(info, ends), "t") == [(8,), (9,)]
     segs = spark.createDataFrame([(1, 0, 4), (2, 6, 9), (3, 5, 7)], "id int, start int, stop int").withColumn("family", F.lit(1))
     assert rows(track.interval_layers(segs), "id", "layer") == [(1, 0), (2, 1), (3, 0)]
+
+
+def test_catalysts_connect_but_do_not_appear(spark):
+    edges = spark.createDataFrame([(1, 2), (7, 8)], "src int, dst int")
+    catalysts = spark.createDataFrame([(2, 100), (100, 7), (9, 101)], "src int, dst int")
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 7, 8, 9)], "node int")
+    assert rows(graph.components_with_catalysts(edges, catalysts, nodes), "node", "component") == [(1, 1), (2, 1), (7, 1), (8, 1), (9, 9)]
+
+
+def test_set_partitions_are_whole(spark):
+    df = spark.createDataFrame([(1, [1, 2, 3]), (2, [5]), (3, [1, 2, 3, 4, 5])], "k int, ids array<int>")
+    got = combi.distribute(df, "ids", 3).collect()
+    for k, ids in ((1, [1, 2, 3]), (3, [1, 2, 3, 4, 5])):
+        mine = [tuple(map(tuple, r.parts)) for r in got if r.k == k]
+        assert len(mine) == len(set(mine)) == len(combi.set_partitions(len(ids), 3)) and all(sorted(sum(p, ())) == ids for p in mine)
+    assert not [r for r in got if r.k == 2]
