@@ -32,6 +32,8 @@ WEIGHTS, SAMPLE, EPOCHS, GRADES = 1 << 18, 20_000, 30, 3
 WHOLE = 4
 #: Signs that prose seldom has.
 ODD = re.compile(r"[^\w\s.,;:!?'\"()-]")
+#: Tail probability from which a document is accepted.
+LEAST = 0.7
 #: Words kept with their weights in a worker at most.
 KNOWN = 300_000
 
@@ -153,7 +155,7 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = SAMPLE, epochs: int =
     return np.frombuffer(got["w"], "float32"), np.frombuffer(got["theta"])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float = LEAST) -> DataFrame:
     """``docs`` with expected_grade, tail_probability (of the highest grade) and accepted (tail_probability >= least)."""
     w, theta = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
 
@@ -187,5 +189,5 @@ def _known(model: int) -> dict[str, float]:
     return {}
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
     return score(docs, train(docs, ratings(labels), sample), least)
