@@ -41,10 +41,13 @@ def _fingerprint(links: DataFrame) -> tuple:
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Each node's larger neighbours point to the smallest of its neighbours and itself."""
+    """Each node's larger neighbours point to the smallest of its neighbours and itself.
+
+    The nodes that have a smaller neighbour are kept first, so that both sides of the join are plain shuffles and the rows of a hub can be split.
+    """
     near = links.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(links.select(F.col("v").alias("a"), F.col("u").alias("b")))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return near.join(least, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+    least = settle(near.groupBy("a").agg(F.min("b").alias("m")).where("m < a"))
+    return near.join(least, "a", "left").where("b > a").select(F.col("b").alias("u"), F.coalesce("m", "a").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
