@@ -70,7 +70,7 @@ def links(prints: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
             for n, (a, b) in enumerate(combinations(BLOCKS, 2))
         ],
     )
-    sizes = keyed.groupBy("pair", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = settle(keyed.groupBy("pair", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))  # kept, so that a full bucket's rows can be split in the join
     shared = settle(keyed.join(sizes, ["pair", "bucket"]))
     few, many = shared.where(F.col("n") <= pairwise), shared.where(F.col("n") > pairwise)
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= 2
