@@ -13,11 +13,14 @@ bears the name of a result column is replaced. An empty table gives an empty res
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +30,12 @@ from driftnet.storage import settle
 LINE = r"(?s).+?(?:\n[ \t\n\r\f]*|\z)"
 #: A sentence: up to closing marks and white space, or a line break.
 SENTENCE = re.compile(r".+?(?:[.!?]+[\"')\]]*\s+|\n\s*|\Z)", re.S)
-#: A part of a long sentence: up to a word of eight characters, so that the cuts follow the words wherever a passage stands, or 16 words.
-PART = re.compile(r"(?:\S+\s+){1,15}?\S{8}(?:\s+|\Z)|(?:\S+\s*){1,16}")
+WORD = re.compile(r"\S+\s*")
 LONG = 16
+#: One word in so many ends a part of a long sentence, by its hash.
+ENDS = 4
+#: A table of so many bits marks the runs that may be repeated.
+MARKS = 1 << 26
 KEY = ("_dn_id", "_dn_hash")
 
 
@@ -91,6 +97,42 @@ def dedup_lines(docs: DataFrame, window: int = 3) -> DataFrame:
 # Operator 1
 
 
+class _Hashes(dict):
+    """The hash of each word, kept for so many words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        h = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) * 2654435761 >> 7 & 0xFFFFFFFF
+        return h
+
+
+HASHES = _Hashes()
+
+
+def _parts(sentence: str) -> list[str]:
+    """A long sentence cut after the words whose hash ENDS divides, wherever a passage stands; of 16 words without one, after the last
+    of least hash. A part has two words at least, but for the last."""
+    bare = sentence.split()
+    spaced = " ".join(bare)
+    if sentence.startswith(spaced):  # single spaces, which need no second look
+        words = [x + " " for x in bare]
+        words[-1] = bare[-1] + sentence[len(spaced) :]
+    else:
+        words = WORD.findall(sentence)
+    hashes = [HASHES[x] for x in bare]
+    out, start, n = [], 0, len(words)
+    for cut in [*[i for i, h in enumerate(hashes) if not h % ENDS], n - 1]:
+        while cut - start >= LONG:
+            at = min(range(start + LONG - 1, start, -1), key=hashes.__getitem__)
+            out.append("".join(words[start : at + 1]))
+            start = at + 1
+        if cut > start or cut == n - 1 == start:
+            out.append("".join(words[start : cut + 1]))
+            start = cut + 1
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """The text cut into sentences, nothing lost; a sentence of over ``LONG`` words is cut into parts."""
     out = []
@@ -99,7 +141,7 @@ def sentences(text: str) -> list[str]:
             out.append(piece)
         else:
             bare = piece.lstrip()
-            parts = PART.findall(bare)
+            parts = _parts(bare)
             parts[0] = piece[: len(piece) - len(bare)] + parts[0]
             out += parts
     return out
@@ -122,16 +164,23 @@ def sentence_runs(text: str, run: int = 3, words: int = 10) -> list[tuple[int, i
     return out
 
 
-def runs_of(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:
+def runs_of(docs: DataFrame, run: int = 3, words: int = 10, marks: Broadcast | None = None) -> DataFrame:
+    """(h, _dn_id, _dn_hash, pos, len) of every run, or of those whose bit in ``marks`` is set."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 found = [sentence_runs(t, run, words) if t else [] for t in part.column(2).to_pylist()]
-                rows = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
-                flat = [y for x in found for y in x]
+                rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                flat = np.array([y for x in found for y in x], np.int64).reshape(-1, 3)
+                if marks is not None:
+                    slot = flat[:, 0] & (MARKS - 1)
+                    kept = marks.value[slot >> 6] >> (slot & 63) & 1 == 1
+                    rows, flat = rows[kept], flat[kept]
+                taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([y[0] for y in flat], pa.int64()), part.column(0).take(rows), part.column(1).take(rows), pa.array([y[1] for y in flat], pa.int32()), pa.array([y[2] for y in flat], pa.int32())],
+                    [pa.array(flat[:, 0].copy()), part.column(0).take(taken), part.column(1).take(taken), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32))],
                     names=["h", *KEY, "pos", "len"],
                 )
 
@@ -139,6 +188,28 @@ def runs_of(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:
     return source.mapInArrow(each, f"h long, _dn_id {docs.schema['doc_id'].dataType.simpleString()}, _dn_hash long, pos int, len int")
 
 
+def _hashes_of(docs: DataFrame, run: int, words: int) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                yield pa.RecordBatch.from_arrays([pa.array([y[0] for t in batch.column(0).slice(at, 512).to_pylist() if t for y in sentence_runs(t, run, words)], pa.int64())], names=["h"])
+
+    return docs.select("text").mapInArrow(each, "h long")
+
+
+def repeated_runs(docs: DataFrame, run: int, words: int) -> DataFrame:
+    """The runs of ``runs_of`` that may be repeated: a first pass counts hashes alone, a second makes the wide rows of those counted twice.
+
+    The second knows them by a table of ``MARKS`` bits, whatever the size of the input; other runs with the same bit come through and
+    are told apart by their hashes.
+    """
+    twice = _hashes_of(docs, run, words).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    bits = twice.selectExpr(f"CAST((h & {MARKS - 1}) >> 6 AS INT) AS word", "shiftleft(1L, CAST(h & 63 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(MARKS >> 6, np.int64)
+    table[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    return settle(runs_of(docs, run, words, docs.sparkSession.sparkContext.broadcast(table)))
+
+
 def dedup_substrings(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:
     """``docs`` without the sentences that a later occurrence of a repeated run of sentences covers.
 
@@ -155,6 +226,6 @@ def dedup_substrings(docs: DataFrame, run: int = 3, words: int = 10) -> DataFram
             out.append(("".join(x for i, x in enumerate(pieces) if i not in gone) if gone else t, len(pieces), len(gone)))
         return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
 
-    found = _with_verdicts(docs, later_occurrences(runs_of(docs, run, words)))
+    found = _with_verdicts(docs, later_occurrences(repeated_runs(docs, run, words)))
     done = found.withColumn("_dn_out", cleaned("text", F.col("_dn_spans.pos"), F.col("_dn_spans.len")))
     return done.withColumns({k: F.col("_dn_out")[k] for k in ("text", "n_sentences", "n_removed")}).drop("_dn_out", "_dn_spans")

@@ -34,6 +34,20 @@ def test_a_passage_within_a_sentence_is_found(spark):
         assert len(set(passage.split()) & set(got[i].split())) < 35
 
 
+def test_a_passage_in_any_vocabulary_is_found(spark):
+    import random
+
+    for lengths in ((2, 5), (5, 7), (9, 12)):
+        rng = random.Random(5)
+        vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(*lengths))) for _ in range(400)]
+        some = lambda k: rng.choices(vocabulary, k=k)  # noqa: B023, E731
+        passages = [some(51) for _ in range(100)]
+        texts = [" ".join(some(rng.randint(0, 40)) + p + some(rng.randint(0, 40))) for p in passages for _ in range(2)]
+        got = {r.doc_id: r.text for r in spans.dedup_substrings(docs_of(spark, texts)).collect()}
+        share = [(len(texts[i].split()) - len(got[i].split())) / 51 for i in range(1, len(texts), 2)]
+        assert sum(share) / len(share) > 0.75 and min(share) > 0.3, (lengths, sum(share) / len(share), min(share))
+
+
 def brute_runs(texts, run=3, words=10):
     seen, gone = {}, defaultdict(set)
     for i, t in enumerate(texts):
