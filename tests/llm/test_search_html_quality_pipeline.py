@@ -108,6 +108,14 @@ def test_no_word_is_lost(parts):
     assert sorted(x for x in text.split() if x.isalpha()) == sorted(want)
 
 
+def test_stray_quotes_lose_nothing():
+    for tag in ('<a href="x"">', "<b data-n=it's>", '<a href="x" ">', "<a '>", '<a x=y"z>', '<a title=">" b=\'>\'>', '<a href = "x>y" c>', "<a =\">", '<a href="x"title="y"">', "<a/'/>", "<a b==\">", "<a b=>"):
+        for quote in ("", "<i class='k'>it's \"so\"</i>"):
+            words = html.page_text(f"<p>one</p>{tag}two</a><p>three</p>{quote}<p title=\"t\">four</p>").split()
+            assert [x for x in words if x in ("one", "two", "three", "four")] == ["one", "two", "three", "four"], tag
+    assert html.page_text("<p>a</p><ol start='3'><li>x</ol><p b='never ends>c</p>") == "a\n\n3. x"
+
+
 def test_deep_and_wide_pages():
     start = time.time()
     assert html.page_text("<div>" * 30_000 + "deep") == "deep"
