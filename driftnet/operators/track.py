@@ -6,6 +6,7 @@ nodes: (t, id, x, y, w, h); segment nodes: (seg, t, ids); segment edges: (fr, to
 from __future__ import annotations
 
 import math
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftnet.functions.geometry import expand_box, union_box
-from driftnet.operators.combi import power_set, set_partitions
+from driftnet.operators.combi import power_set
 from driftnet.operators.graph import connected_components, families, one_to_one_chains, reachable
 from driftnet.operators.joins import close_pairs, overlap_join, self_overlap
 from driftnet.operators.score import evolution_criteria, weighted_vote
@@ -101,22 +102,12 @@ def terminal_extension(ends: DataFrame, links: DataFrame, steps: int = 20) -> Da
     return ends.join(found.withColumnRenamed("node", "reached"), ends["node"] == found["start"]).select("seg", F.col("reached").alias("node"), "depth")
 
 
-def _nearest(items: np.ndarray, told: list[np.ndarray]) -> list[int]:
-    """Each contour to the branch expected nearest, and to each branch without one its nearest contour of a branch with several."""
-    d = np.array([[np.hypot(*(i[1:3] - b[:2])) for b in told] for i in items])
-    deal = d.argmin(1)
-    for b in range(len(told)):
-        if not (deal == b).any():
-            spare = [i for i in range(len(items)) if (deal == deal[i]).sum() > 1]
-            deal[min(spare, key=lambda i: d[i, b])] = b
-    return deal.tolist()
-
-
-def extrapolate_branches(events: DataFrame, branches: DataFrame, candidates: DataFrame, most_bins: int = 4) -> DataFrame:
+def extrapolate_branches(events: DataFrame, branches: DataFrame, candidates: DataFrame) -> DataFrame:
     """(event, branch, t, ids, accepted): step by step, every active branch is extrapolated and the contours of the step are dealt among them.
 
     branches: (event, branch, t, x, y, area), up to three last known steps. candidates: (event, t, id, x, y, area). The deal of least mean of
-    scaled distance and relative area wins; a branch whose distance passes max(5, mean) + 5 deviations goes on, another stops. Events are
+    scaled distance and relative area wins; a single branch may leave contours out, so all non-empty subsets are tried. All deals are
+    rated, so a step's work grows as branches to the power of contours; a branch whose distance passes max(5, mean) + 5 deviations goes on, another stops. Events are
     independent and run in parallel; within one the steps follow each other. With fewer contours than branches all stop.
     """
 
@@ -130,12 +121,14 @@ def extrapolate_branches(events: DataFrame, branches: DataFrame, candidates: Dat
         active = sorted(history)
         for t, g in sorted(found.groupby("t"), key=lambda k: k[0]):
             items = g.sort_values("id")[["id", "x", "y", "area"]].to_numpy(float)
-            if not active or len(items) < len(active) or len(active) > most_bins:
+            if not active or len(items) < len(active):
                 break
             told = {b: np.array(h[-1]) + (np.array(h[-1]) - np.array(h[-2]) if len(h) > 1 else 0) for b, h in ((b, history[b]) for b in active)}
             rated = []
-            deals = set_partitions(len(items), len(active)) if len(active) ** len(items) <= 4096 else [_nearest(items, [told[b] for b in active])]
-            for deal in deals:
+            # a deal has each contour's branch; one beyond the active branches leaves the contour out
+            for deal in product(range(max(len(active), 2)), repeat=len(items)):
+                if not set(range(len(active))) <= set(deal):
+                    continue
                 d, a, groups = 0.0, 0.0, []
                 for k, b in enumerate(active):
                     own = items[[i for i, x in enumerate(deal) if x == k]]

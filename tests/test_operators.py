@@ -268,6 +268,16 @@ def test_branches_follow_their_objects(spark):
     assert got == {(0, 4): [40], (1, 4): [41], (0, 5): [50], (1, 5): [51, 59]}
 
 
+def test_branches_take_the_best_of_all_deals(spark):
+    single = [(1, 0, t, 10.0 * t, 0.0, 50.0) for t in (1, 2, 3)]
+    many = [(2, b, t, 10.0 * t, 100.0 * b, 50.0) for b in range(5) for t in (1, 2, 3)]
+    found = [(1, 4, 1, 40.0, 0.0, 50.0), (1, 4, 2, 900.0, 900.0, 50.0)] + [(2, 4, b, 40.0, 100.0 * b, 50.0) for b in range(5)]
+    k = spark.createDataFrame(single + many, "event long, branch long, t int, x double, y double, area double")
+    c = spark.createDataFrame(found, "event long, t int, id long, x double, y double, area double")
+    got = {(r.event, r.branch): r.ids for r in track.extrapolate_branches(k.select("event").distinct(), k, c).collect()}
+    assert got == {(1, 0): [1], **{(2, b): [b] for b in range(5)}}
+
+
 def test_connections_are_rewritten(spark):
     nodes = spark.createDataFrame([(1, 1, [5]), (1, 2, [6]), (2, 4, [8]), (3, 9, [1])], "seg int, t int, ids array<int>")
     filled = spark.createDataFrame([(1, 2, 2, [6, 7]), (1, 2, 3, [7])], "fr int, to int, t int, ids array<int>")
