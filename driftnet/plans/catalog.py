@@ -15,6 +15,7 @@ from driftnet.functions import geometry as geo
 from driftnet.operators import combi, graph, image, joins, reshape, score, series, track
 from driftnet.sources import adapters as src
 from driftnet.sources import files
+from driftnet.storage import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -963,6 +964,15 @@ def layer_edges(spark, d):
     return w.join(n, "g").where("abs(nxt - area) <= 120").select("src", "dst")
 
 
+@query(f"""WITH RECURSIVE {TRK}, r(layer, src, dst) AS (SELECT 0, CAST(NULL AS BIGINT), obj FROM trk WHERE t = 1
+UNION SELECT r.layer + 1, a.obj, b.obj FROM r JOIN trk a ON a.obj = r.dst AND a.t = r.layer + 1 JOIN trk b ON b.t = a.t + 1 AND b.obj // 8 = a.obj // 8 AND abs(b.area - a.area) <= 120)
+SELECT layer, src, dst FROM r WHERE layer > 0""")
+def all_layer_edges(spark, d):
+    t = src.tracks(spark, d).selectExpr("t AS layer", "obj AS id", "named_struct('g', obj DIV 8, 'area', area) AS v")
+    last = t.agg(F.max("layer")).first()[0] or 1
+    return graph.layered_edges(settle(t), 1, max(last, 2), "v.g = v_next.g AND abs(v_next.area - v.area) <= 120")
+
+
 @query()
 def best_subset_search(spark, d):
     det = src.detections(spark, d)
