@@ -330,6 +330,12 @@ def test_catalysts_connect_but_do_not_appear(spark):
     assert rows(graph.components_with_catalysts(edges, catalysts, nodes), "node", "component") == [(1, 1), (2, 1), (7, 1), (8, 1), (9, 9)]
 
 
+def test_all_choices_of_long_lists(spark):
+    df = spark.createDataFrame([(1, [list(range(20))] * 3)], "k int, lists array<array<int>>")
+    got = combi.cartesian(df, ("k",), "lists").selectExpr("concat_ws(',', choice) AS c")
+    assert got.count() == got.distinct().count() == 8000
+
+
 def test_set_partitions_are_whole(spark):
     df = spark.createDataFrame([(1, [1, 2, 3]), (2, [5]), (3, [1, 2, 3, 4, 5])], "k int, ids array<int>")
     got = combi.distribute(df, "ids", 3).collect()
