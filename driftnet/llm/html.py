@@ -2,13 +2,19 @@
 
 A tolerant tree builder (implied and missing tags, void and raw-text elements) is followed by a renderer that leaves
 out what a browser does not show and lays the rest out: blocks on lines of their own with blank lines where margins are,
-lists with markers and indents, preformatted text as it is, and table cells in aligned columns. All visible text is
-kept, navigation and footers too. Both steps are loops with stacks, so deep nesting does no harm.
-
-Defined cases: a null or empty page gives an empty text. An unfinished tag or comment ends with the page. Padding of a
-table column is at most ``WIDEST`` characters, so a wide cell cannot swell the others. Tables nested deeper than ``NESTED`` are laid
-out as blocks. Rows are independent, so repeated rows and null page_ids stay; extra columns pass through, text and n_chars are replaced. An empty
-table gives an empty result.
+lists with markers and indents, preformatted text as it is, and table cells in aligned columns, with colspan and rowspan. All visible
+text is kept, navigation and footers too. Every step is a loop with a stack and works in time linear in the page but for indents and
+padding, so deep nesting does no harm: the builder knows the places of the open elements by tag, and tables are laid out from the innermost.
+
+Visibility: hidden attributes, closed dialogs and details, elements without text of their own (``HIDDEN``), and display and visibility
+from style attributes and style elements, by the cascade's order. Of style elements, selectors of one element (tag, classes, id) count;
+at-rules other than for screens and selectors of several elements do not. Visibility is inherited, so a visible child of a hidden
+parent shows. In a drawing (svg) only text elements show, each on a line.
+
+Defined cases: a null or empty page gives an empty text. An unfinished tag or comment ends with the page. Layout has three widths that keep
+a page's text bounded and lose none of it: a column counts as at most ``WIDEST`` characters wide, and a wider cell moves the rest of its line;
+a run of blanks before a cell has at most ``GAP``; indents at most ``INDENT``. Rows are independent, so repeated rows and null page_ids stay; extra
+columns pass through, text and n_chars are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDEST, NESTED = 80, 8
+WIDEST, GAP, INDENT = 80, 400, 80
+#: The greatest spans that HTML knows.
+COLSPAN, ROWSPAN = 1000, 65534
 
 #: A quote delimits a value only directly after the equals sign; anywhere else it is a letter like others.
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|(?!["'])[^\s>]*+))?+|=)*+)>?""", re.S)
@@ -29,7 +37,9 @@ SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist title meta link noembed noframes rp".split())
+HIDDEN = frozenset("head script style template noscript iframe object audio video canvas datalist title meta link noembed noframes rp annotation annotation-xml".split())
+#: What a drawing defines and does not show, and what shows text in it.
+DEFINED, INK = frozenset("defs symbol desc metadata clippath mask marker pattern".split()), frozenset({"text", "foreignobject"})
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table ul xmp caption tr".split()
 )
@@ -49,30 +59,57 @@ CLOSES = {
 ENDS_P = BLOCK - {"option", "tr", "caption", "body", "html", "legend"}
 #: An end tag of something outside does not close these.
 WALLS = frozenset({"table", "td", "th", "caption", "template", "html"})
+INLINE_WALLS = WALLS | (BLOCK - {"p", "li"})
+PARTS = frozenset({"table", "tr", "thead", "tbody", "tfoot"})
+GROUPS = frozenset({"thead", "tbody", "tfoot"})
 LISTS = frozenset({"ul", "ol", "menu", "dir"})
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    """An element. Until the page's visibility is known it counts as ``gone``; ``ink`` tells whether its own text shows."""
+
+    __slots__ = ("attributes", "children", "gone", "ink", "lines", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None):
         self.tag, self.attributes, self.children = tag, attributes or {}, []
+        self.gone, self.ink, self.lines = True, False, None
+
+
+class Open:
+    """The open elements, and by tag their places among them, so that the innermost of a tag is found without a walk."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.walls = [root], {}, []
+
+    def add(self, node: Node) -> None:
+        self.stack[-1].children.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in INLINE_WALLS:
+            self.walls.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        places = self.places
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(self, tags, wall: int) -> bool:
+        """Close the innermost of ``tags``, and all within, unless it is outside of the place ``wall``."""
+        at = self.last(tags)
+        if not at or at < wall:
+            return False
+        while len(self.stack) > at:
+            tag = self.stack.pop().tag
+            self.places[tag].pop()
+            if tag in INLINE_WALLS:
+                self.walls.pop()
+        return True
 
 
 def build(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root")
-    stack = [root]
-
-    def close(tags: set[str] | frozenset[str], walls) -> None:
-        """Close the innermost of ``tags`` that no wall hides, and all within; for table parts, the outermost such."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in walls:
-                return
-
+    opened = Open(root)
+    stack, places = opened.stack, opened.places
     at, n = 0, len(page)
     while at < n:
         found = TOKEN.search(page, at)
@@ -90,46 +127,161 @@ def build(page: str) -> Node:
         if found[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            elif tag == "p" or tag in BLOCK or tag in CLOSES:
-                close({tag}, WALLS - {tag} if tag not in ("table", "tr", "thead", "tbody", "tfoot") else {"table", "html"} - {tag})
+            elif tag in BLOCK or tag in CLOSES:
+                opened.close((tag,), opened.last((WALLS if tag not in PARTS else {"table", "html"}) - {tag}))
             else:
-                close({tag}, WALLS | (BLOCK - {"p", "li"}))
+                opened.close((tag,), opened.walls[-1] if opened.walls else 0)
             continue
-        attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(found[3])} if found[3] else {}
-        if tag in ENDS_P:
-            close({"p"}, WALLS | {"button"})
+        attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in reversed(ATTRIBUTE.findall(found[3]))} if found[3] else {}
+        if tag in ENDS_P and places.get("p"):
+            opened.close(("p",), opened.last(WALLS | {"button"}))
         if tag in CLOSES:
             tags, walls = CLOSES[tag]
-            while True:
-                before = len(stack)
-                close(tags, walls | {"table"})
-                if len(stack) == before or tag in ("li", "dt", "dd"):
-                    break
-        if tag in ("td", "th") and stack[-1].tag != "tr" and any(x.tag == "table" for x in stack):
-            stack[-1].children.append(row := Node("tr"))
-            stack.append(row)
+            while opened.close(tags, opened.last(walls | {"table"} - tags)) and tag not in ("li", "dt", "dd"):
+                pass
+        if tag in ("td", "th") and stack[-1].tag != "tr" and places.get("table"):
+            opened.add(Node("tr"))
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
         if tag in RAW:
+            stack[-1].children.append(node)
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             body = page[at : end.start() if end else n]
             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
             at = end.end() if end else n
-        elif tag not in VOID and not found[0].endswith("/>"):
-            stack.append(node)
-        elif tag not in VOID and tag in BLOCK:
-            stack.append(node)  # the slash of a non-void element has no meaning
+        elif tag in VOID or found[0].endswith("/>") and (tag in ("svg", "math") or places.get("svg") or places.get("math")):
+            stack[-1].children.append(node)
+        else:  # outside of drawings and formulas the slash of an element that can have content has no meaning
+            opened.add(node)
     return root
 
 
-def hidden(node: Node) -> bool:
-    a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in a:
-        return True
-    if node.tag == "input" or "style" not in a:
-        return False
-    style = SPACE.sub("", a["style"].lower())
-    return "display:none" in style or "visibility:hidden" in style or "visibility:collapse" in style
+# Visibility
+
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SELECTOR = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+)*)")
+SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:screen|all)\s*", re.I)
+
+
+def declarations(text: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility of a list of declarations: (important, value), the last of the most important."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in text.lower().split(";"):
+        name, _, value = part.partition(":")
+        if (name := name.strip()) in ("display", "visibility"):
+            value, _, mark = value.partition("!")
+            now = (mark.strip() == "important", value.strip())
+            if value.strip() and (name not in out or now[0] >= out[name][0]):
+                out[name] = now
+    return out
+
+
+class Sheet:
+    """The rules of a page's style elements that concern visibility, by their id, a class, or their tag."""
+
+    def __init__(self, texts: list[str]):
+        self.rules: dict[str, list[tuple]] = {}
+        self.known: dict[tuple, dict] = {}
+        order = 0
+        for text in texts:
+            opened: list[str] = []
+            skip = 0
+            for found in re.finditer(r"([^{}]*+)([{}])", COMMENT.sub(" ", text)):
+                words, brace = found[1].rpartition(";")[2].strip() if found[2] == "{" else found[1], found[2]
+                if brace == "{":
+                    opened.append(words)
+                    skip += words.startswith("@") and not SCREEN.fullmatch(words)
+                elif opened:
+                    selectors = opened.pop()
+                    if selectors.startswith("@"):
+                        skip -= not SCREEN.fullmatch(selectors)
+                    elif not skip and (told := declarations(words)):
+                        for s in selectors.split(","):
+                            order += 1
+                            self._add(s.strip(), told, order)
+
+    def _add(self, selector: str, told: dict, order: int) -> None:
+        found = SELECTOR.fullmatch(selector)
+        if not selector or found is None:
+            return
+        names = re.findall(r"[.#][\w-]+", found[2])
+        ids, classes = [x[1:] for x in names if x[0] == "#"], frozenset(x[1:] for x in names if x[0] == ".")
+        tag = (found[1] or "*").lower()
+        if len(set(ids)) > 1:
+            return
+        key = "#" + ids[0] if ids else "." + max(classes) if classes else tag
+        self.rules.setdefault(key, []).append((tag, classes, (len(ids), len(classes), tag != "*", order), told))
+
+    def of(self, node: Node) -> dict[str, tuple]:
+        """(importance and rank, value) of the rules that match a node."""
+        a = node.attributes
+        if not self.rules:
+            return {}
+        who = (node.tag, a.get("id", ""), a.get("class", ""))
+        if (out := self.known.get(who)) is None:
+            out = self.known[who] = {}
+            classes = set(who[2].split())
+            for key in ("#" + who[1], *("." + c for c in classes), who[0], "*"):
+                for tag, needs, rank, told in self.rules.get(key, ()):
+                    if tag in ("*", who[0]) and needs <= classes:
+                        for name, (important, value) in told.items():
+                            now = ((important, rank), value)
+                            if name not in out or now > out[name]:
+                                out[name] = now
+        return out
+
+
+def show(root: Node) -> list[Node]:
+    """Tell of every element whether it shows; returns the tables, outer ones first."""
+    texts, queue = [], [root]
+    while queue:
+        for x in queue.pop().children:
+            if isinstance(x, Node):
+                if x.tag == "style":
+                    texts += x.children
+                elif x.children:
+                    queue.append(x)
+    sheet = Sheet([t for t in texts if "display" in t.lower() or "visibility" in t.lower()])
+    tables = []
+    # a node, whether visibility is inherited as visible, and whether its text is drawn
+    queue = [(root, True, True)]
+    while queue:
+        node, seen, drawn = queue.pop()
+        tag, a = node.tag, node.attributes
+        told = sheet.of(node)
+        if "style" in a:
+            told = dict(told)
+            for name, (important, value) in declarations(a["style"]).items():
+                now = ((important, (9,)), value)
+                if name not in told or now > told[name]:
+                    told[name] = now
+        display = told["display"][1] if "display" in told else "none" if "hidden" in a and a["hidden"].lower() != "until-found" or tag == "dialog" and "open" not in a else ""
+        if tag in HIDDEN or display == "none":
+            continue
+        if "visibility" in told and told["visibility"][1] not in ("inherit", "unset"):
+            seen = told["visibility"][1] not in ("hidden", "collapse")
+            if tag in PARTS and tag != "table" and told["visibility"][1] == "collapse":
+                continue
+        if tag == "svg":
+            drawn = False
+        elif not drawn and tag in INK:
+            drawn = True
+        elif not drawn and tag in DEFINED:
+            continue
+        node.gone, node.ink = False, seen and drawn
+        if tag == "table":
+            tables.append(node)
+        queue += [(x, seen, drawn) for x in reversed(_children(node)) if isinstance(x, Node)]
+    return tables
+
+
+def _children(node: Node) -> list:
+    """The children that can show: of closed details the first summary."""
+    if node.tag == "details" and "open" not in node.attributes:
+        return [x for x in node.children if isinstance(x, Node) and x.tag == "summary"][:1]
+    return node.children
+
+
+# Layout
 
 
 class Page:
@@ -140,7 +292,21 @@ class Page:
         self.now: list[str] = []
         self.blank = False
         self.ends_in_space = True
-        self.indents: list[list[str]] = []
+        self.widths: list[int] = []
+        self.width = 0
+        self.marks: list[str] = []
+
+    def indent(self, mark: str) -> None:
+        """Later lines are indented by a mark's width; the first of them bears the mark."""
+        self.widths.append(len(mark))
+        self.marks.append(mark)
+
+    def outdent(self) -> None:
+        width = self.widths.pop()
+        if self.marks:
+            self.marks.pop()  # no line was made under it
+        else:
+            self.width -= width
 
     def text(self, s: str) -> None:
         s = SPACE.sub(" ", s)
@@ -154,11 +320,22 @@ class Page:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        lead = "".join(x[0] for x in self.indents)
-        for x in self.indents:
-            x[0] = x[1]
+        lead = " " * min(self.width, INDENT)
+        if self.marks:
+            lead += "".join(self.marks)
+            self.width += sum(map(len, self.marks))
+            self.marks.clear()
         self.lines.append((lead + s).rstrip(" "))
 
+    def block(self, lines: list[str]) -> None:
+        """Lines that are laid out already, set off by blank ones."""
+        self.edge(True)
+        if lines:
+            self.line(lines[0])
+            lead = " " * min(self.width, INDENT)
+            self.lines += [(lead + x).rstrip(" ") for x in lines[1:]] if lead else lines[1:]
+            self.blank = True
+
     def flush(self) -> None:
         s = "".join(self.now).rstrip(" ")
         self.now.clear()
@@ -167,9 +344,9 @@ class Page:
             self.line(s)
 
     def br(self) -> None:
-        if "".join(self.now).strip(" "):
-            self.flush()
-        elif self.lines and self.lines[-1]:
+        before = len(self.lines)
+        self.flush()
+        if len(self.lines) == before and self.lines and self.lines[-1]:
             self.lines.append("")
 
     def edge(self, margin: bool) -> None:
@@ -177,8 +354,8 @@ class Page:
         self.blank |= margin
 
 
-def render(root: Node, depth: int = 0) -> list[str]:
-    """The visible text of a node, in lines."""
+def render(root: Node) -> list[str]:
+    """The visible text of a node, in lines; tables within it are laid out already."""
     page = Page()
     pre = 0
     stack: list[tuple[Node | str | None, Node | None]] = [(x, root) for x in reversed(root.children)]
@@ -186,6 +363,8 @@ def render(root: Node, depth: int = 0) -> list[str]:
     while stack:
         node, parent = stack.pop()
         if isinstance(node, str):
+            if not parent.ink:
+                continue
             if pre:
                 first, *more = node.split("\n")
                 page.now.append(first)
@@ -200,28 +379,26 @@ def render(root: Node, depth: int = 0) -> list[str]:
             continue
         if node is None:  # the end of ``parent``
             tag = parent.tag
-            if tag in BLOCK or tag in ("td", "th"):
-                page.edge(tag in MARGIN and not (tag in LISTS and counts[:-1]))
+            if tag in BLOCK or tag in ("td", "th") or tag == "text":
+                page.edge(tag in MARGIN and not (tag in LISTS and len(counts) > 1))
             if tag in ("pre", "xmp"):
                 pre -= 1
             if tag in LISTS:
                 counts.pop()
             if tag in ("li", "dd", "blockquote"):
-                page.indents.pop()
+                page.outdent()
             continue
         tag = node.tag
-        if hidden(node):
+        if node.gone:
             continue
         if tag == "br":
             page.br()
             continue
-        if tag == "table" and depth < NESTED:
-            page.edge(True)
-            for s in table_lines(node, depth):
-                page.line(s)
-            page.blank = True
+        if tag == "table":
+            page.block(node.lines)
+            node.lines = None
             continue
-        if tag in BLOCK or tag in ("td", "th"):
+        if tag in BLOCK or tag in ("td", "th") or tag == "text":
             page.edge(tag in MARGIN and not (tag in LISTS and counts))
         if tag in LISTS:
             start = node.attributes.get("start", "1").strip()
@@ -231,91 +408,130 @@ def render(root: Node, depth: int = 0) -> list[str]:
             if counts and counts[-1] is not None:
                 mark = f"{counts[-1]}. "
                 counts[-1] += 1
-            page.indents.append([mark, " " * len(mark)])
+            page.indent(mark)
         elif tag in ("dd", "blockquote"):
-            page.indents.append(["  ", "  "])
+            page.indent("  ")
         if tag in ("pre", "xmp"):
             pre += 1
         stack.append((None, node))
-        children = node.children
-        if tag == "details" and "open" not in node.attributes:
-            children = [x for x in children if isinstance(x, Node) and x.tag == "summary"][:1]
-        stack += [(x, node) for x in reversed(children)]
+        stack += [(x, node) for x in reversed(_children(node))]
     page.flush()
     while page.lines and not page.lines[-1]:
         page.lines.pop()
     return page.lines
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
-    """The rows of a table, their cells in columns two spaces apart; what is no cell stands before."""
-    rows: list[list[tuple[list[str], int]]] = []
+def _alone(node: Node) -> list[str]:
+    holder = Node("#part")
+    holder.children = [node]
+    return render(holder)
+
+
+def _span(cell: Node, name: str, most: int) -> int:
+    told = cell.attributes.get(name, "1").strip()
+    return min(most, int(told)) if re.fullmatch(r"[0-9]{1,9}", told) else 1
+
+
+def _groups(table: Node, before: list[str]) -> list[list[Node]]:
+    """The rows of a table by group, a head first and a foot last, wherever they are written; what is no row goes to ``before``."""
+    heads, bodies, feet = [], [], []
+    loose = None
+    for x in table.children:
+        if isinstance(x, Node) and not x.gone and x.tag == "tr":
+            if loose is None:
+                bodies.append(loose := [])
+            loose.append(x)
+        elif isinstance(x, Node) and not x.gone and x.tag in GROUPS:
+            loose = None
+            place = heads if x.tag == "thead" and not heads else feet if x.tag == "tfoot" and not feet else bodies
+            place.append(rows := [])
+            for y in x.children:
+                rows.append(y) if isinstance(y, Node) and y.tag == "tr" and not y.gone else _stray(y, x, before)
+        else:
+            _stray(x, table, before)
+    return heads + bodies + feet
+
+
+def _stray(x: Node | str, parent: Node, before: list[str]) -> None:
+    if isinstance(x, Node):
+        if not x.gone and x.tag not in ("col", "colgroup"):
+            before += _alone(x)
+    elif parent.ink and (s := SPACE.sub(" ", x).strip(" ")):
+        before.append(s)
+
+
+def table_lines(table: Node) -> list[str]:
+    """The rows of a table, their cells in columns two spaces apart; what is no cell stands before.
+
+    A cell takes the first columns that are free, of which cells from rows above may hold some, as HTML has it.
+    """
     before: list[str] = []
-    queue = [table]
-    while queue:
-        node = queue.pop()
-        for x in node.children if node is table or node.tag in ("thead", "tbody", "tfoot") else ():
-            if isinstance(x, str):
-                if x.strip(" \t\n\r\f"):
-                    before.append(SPACE.sub(" ", x).strip(" "))
-            elif hidden(x):
-                continue
-            elif x.tag in ("thead", "tbody", "tfoot"):
-                inner = [y for y in x.children if not (isinstance(y, Node) and y.tag == "tr")]
-                for y in x.children:
-                    if isinstance(y, Node) and y.tag == "tr" and not hidden(y):
-                        rows.append(_cells(y, depth, before))
-                queue.append(holder := Node("tbody"))
-                holder.children = inner
-            elif x.tag == "tr":
-                rows.append(_cells(x, depth, before))
-            elif x.tag not in ("col", "colgroup"):
-                before += render_alone(x, depth)
-    widths: list[int] = []
+    rows: list[list[tuple[int, int, list[str]]]] = []
+    for group in _groups(table, before):
+        held: list[tuple[int, int, int]] = []  # columns that cells from above hold: start, stop, first row that is free
+        for r, row in enumerate(group):
+            held = [x for x in held if x[2] > r]
+            rows.append(placed := [])
+            column, k = 0, 0
+            new = []
+            for x in row.children:
+                if not isinstance(x, Node) or x.gone or x.tag not in ("td", "th"):
+                    _stray(x, row, before)
+                    continue
+                while k < len(held) and held[k][0] <= column:
+                    column = max(column, held[k][1])
+                    k += 1
+                wide, down = _span(x, "colspan", COLSPAN) or 1, _span(x, "rowspan", ROWSPAN) or ROWSPAN
+                placed.append((column, column + wide, render(x)))
+                if down > 1:
+                    new.append((column, column + wide, r + down))
+                column += wide
+            if new:
+                held = sorted(held + new)
+    edges = sorted({e for row in rows for a, b, _ in row for e in (a, b)})
+    index = {e: i for i, e in enumerate(edges)}
+    widths = [0] * len(edges)  # of the columns from each edge to the next
+    spanning = []
     for row in rows:
-        c = 0
-        for lines, span in row:
-            widths += [0] * (c + span - len(widths))
-            if span == 1:
-                widths[c] = max(widths[c], min(WIDEST, max(map(len, lines), default=0)))
-            c += span
+        for a, b, lines in row:
+            need = min(WIDEST, max(map(len, lines), default=0))
+            if index[b] == index[a] + 1:
+                widths[index[a]] = max(widths[index[a]], need)
+            elif need:
+                spanning.append((index[b] - index[a], index[a], index[b], need))
+    for _, a, b, need in sorted(spanning):
+        inner = [w for w in widths[a:b] if w]
+        if (lack := need - sum(inner) - 2 * (len(inner) - 1)) > 0:
+            widths[b - 1] += lack if inner else need
+    starts, place = {}, 0
+    for e, w in zip(edges, widths, strict=True):
+        starts[e] = place
+        place += w + 2 if w else 0
     out = before
     for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            s, c = "", 0
-            for lines, span in row:
-                cell = lines[k] if k < len(lines) else ""
-                width = sum(widths[c : c + span]) + 2 * (span - 1)
-                s += cell.ljust(width) + "  "
-                c += span
-            out.append(s.rstrip(" "))
-    return [x for x in out if x]
-
-
-def _cells(row: Node, depth: int, before: list[str]) -> list[tuple[list[str], int]]:
-    out = []
-    for x in row.children:
-        if isinstance(x, str):
-            if x.strip(" \t\n\r\f"):
-                before.append(SPACE.sub(" ", x).strip(" "))
-        elif hidden(x):
+        if len(row) == 1 and not starts[row[0][0]]:
+            out += row[0][2]
             continue
-        elif x.tag in ("td", "th"):
-            span = x.attributes.get("colspan", "1").strip()
-            out.append((render(x, depth + 1), min(100, int(span)) if re.fullmatch(r"[1-9][0-9]{0,3}", span) else 1))
-        else:
-            before += render_alone(x, depth)
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            parts, length = [], 0
+            for a, _, lines in row:
+                if k < len(lines) and lines[k]:
+                    gap = min(GAP, max(starts[a] - length, 2 if length else 0))
+                    parts.append(" " * gap + lines[k])
+                    length += gap + len(lines[k])
+            out.append("".join(parts))
+    while out and not out[-1]:
+        out.pop()
     return out
 
 
-def render_alone(node: Node, depth: int) -> list[str]:
-    holder = Node("#part")
-    holder.children = [node]
-    return render(holder, depth + 1)
-
-
 def page_text(page: str | None) -> str:
-    return "\n".join(render(build(page))) if page else ""
+    if not page:
+        return ""
+    root = build(page)
+    for table in reversed(show(root)):
+        table.lines = table_lines(table)
+    return "\n".join(render(root))
 
 
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:

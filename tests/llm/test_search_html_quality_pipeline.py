@@ -116,6 +116,141 @@ def test_stray_quotes_lose_nothing():
     assert html.page_text("<p>a</p><ol start='3'><li>x</ol><p b='never ends>c</p>") == "a\n\n3. x"
 
 
+LAYOUT = [
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A  B\n   C"),
+    ("<table><tr><td rowspan=0>A<td>B<tr><td>C<tbody><tr><td>D<td>E</table>", "A  B\n   C\nD  E"),
+    ("<table><tfoot><tr><td>f<tbody><tr><td>b<thead><tr><td>h</table>", "h\nb\nf"),
+    ("<table><tr><td colspan=2>long cell<td>x<tr><td>a<td>b<td>c</table>", "long cell  x\na  b       c"),
+    ("<table><tr><td><p>a<p>b<td>c</table>", "a  c\n\nb"),
+    ("<table><tr><td>1<td><table><tr><td>x<td>y<tr><td>z</table></table>", "1  x  y\n   z"),
+    ("<svg><title>t</title><g>no<text>axis</text><text>one</text></g></svg>", "axis\none"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>", "yes"),
+    ("<style>.h{display:none} @media print{p{display:none}} #i{visibility:hidden}</style><p class='a h'>no<p>yes<p id=i>no", "yes"),
+    ("<style>p.h{display:none}.k{display:block!important}</style><p class='h k' style='display:none'>yes<p class=h style='display:block'>too", "yes\n\ntoo"),
+    ("<style>/* .x{ */ div p{display:none} .x,.y{display:none}</style><p>yes<i class=y>no</i>", "yes"),
+    ("<details><summary>s</summary>no<table><tr><td>no</table></details>", "s"),
+    ("<b/>still <i hidden/>no", "still"),
+    ("<ul><li><ul><li>x</ul><li>y</ul>", "- - x\n- y"),
+    ("<p a=1 hidden a=2>no</p><p title=it's>hello</p><a href=x\" >world</a>", "hello\n\nworld"),
+]
+
+
+def test_layout_and_visibility():
+    for page, text in LAYOUT:
+        assert html.page_text(page) == text, page
+
+
+def slow_text(node):
+    """A plain recursive renderer of a tree of p, div, ul, ol, li, b, br and tables, with a cell for each place of a table."""
+
+    def parts(x):  # text, line and margin marks, indents, and tables
+        if isinstance(x, str):
+            return [x]
+        if x.tag == "br":
+            return ["<br"]
+        if x.tag == "table":
+            return ["<margin", ("table", grid(x)), "<margin"]
+        inner = [p for y in x.children for p in parts(y)]
+        edge = ["<margin"] if x.tag in ("p", "ul") else ["<line"] if x.tag in ("div", "li") else []
+        return edge + ([("in", "- ")] if x.tag == "li" else []) + inner + edge + ([("out",)] if x.tag == "li" else [])
+
+    def grid(table):
+        taken, cells, r = {}, [], 0
+        for row in table.children[0].children:
+            c = 0
+            for cell in row.children:
+                while (r, c) in taken:
+                    c += 1
+                wide, down = int(cell.attributes.get("colspan", 1)), int(cell.attributes.get("rowspan", 1))
+                for i in range(down):
+                    for j in range(wide):
+                        taken[r + i, c + j] = 1
+                cells.append((r, c, wide, lines([p for y in cell.children for p in parts(y)])))
+                c += wide
+            r += 1
+        ends = sorted({e for _, c, w, _ in cells for e in (c, c + w)})
+        width = dict.fromkeys(ends, 0)
+        for single in (True, False):
+            for _, c, w, text in sorted(cells, key=lambda x: (ends.index(x[1] + x[2]) - ends.index(x[1]), ends.index(x[1]), max(map(len, x[3]), default=0))):
+                over = [e for e in ends if c <= e < c + w]
+                need = max(map(len, text), default=0)
+                if (len(over) == 1) == single:
+                    have = sum(width[e] + 2 for e in over if width[e]) - 2
+                    width[over[-1]] += max(0, need - have) if have >= 0 else need
+        out = []
+        for i in range(r):
+            mine = [x for x in cells if x[0] == i]
+            for k in range(max((len(x[3]) for x in mine), default=0)):
+                s = ""
+                for _, c, _, text in mine:
+                    if k < len(text) and text[k]:
+                        s = s.ljust(max(len(s) + 2 if s else 0, sum(width[e] + 2 for e in ends if e < c and width[e]))) + text[k]
+                out.append(s)
+        return out
+
+    def lines(items):
+        out, now, gap, marks = [], "", False, []
+
+        def put(s):
+            nonlocal gap
+            if gap and out:
+                out.append("")
+            gap = False
+            out.append(("".join(m[0] for m in marks) + s).rstrip())
+            for m in marks:
+                m[0] = " " * len(m[0])
+
+        for x in [*items, "<line"]:
+            if isinstance(x, str) and not x.startswith("<"):
+                now += x
+                continue
+            if s := " ".join(now.split()):
+                put(s)
+            elif x == "<br" and out and out[-1]:
+                out.append("")
+            now = ""
+            if x == "<margin":
+                gap = True
+            elif x[0] == "in":
+                marks.append([x[1]])
+            elif x[0] == "out":
+                marks.pop()
+            elif x[0] == "table":
+                for s in x[1]:
+                    put(s)
+        while out and not out[-1]:
+            out.pop()
+        return out
+
+    return "\n".join(lines([p for y in node.children for p in parts(y)]))
+
+
+WORDS = st.from_regex("[a-z]{1,6}", fullmatch=True)
+
+
+def _inside(inner):
+    many = st.lists(inner, max_size=4).map(" ".join)
+    cell = st.tuples(st.integers(1, 3), st.integers(1, 3), many).map(lambda x: f"<td colspan={x[0]} rowspan={x[1]}>{x[2]}</td>")
+    table = st.lists(st.lists(cell, max_size=3).map(lambda x: f"<tr>{''.join(x)}</tr>"), min_size=1, max_size=4).map(lambda x: f"<table><tbody>{''.join(x)}</tbody></table>")
+    return table | many.map(lambda x: f"<div>{x}</div>") | many.map(lambda x: f"<b>{x}</b>") | st.lists(many, max_size=3).map(lambda x: "<div>" + "".join(f"<li>{y}</li>" for y in x) + "</div>")
+
+
+@given(st.lists(st.recursive(WORDS | st.just("<br>") | WORDS.map(lambda x: f"<p>{x}</p>"), _inside, max_leaves=25), max_size=5).map(" ".join))
+@settings(max_examples=300, deadline=None)
+def test_against_a_slow_renderer(page):
+    assert html.page_text(page) == slow_text(html.build(page))
+
+
+def test_time_grows_with_the_page():
+    start = time.time()
+    for page in ("<p><div>" * 20_000, "<b>" * 40_000 + "</i>" * 40_000, "<table><tr><td>" * 5_000 + "x", "<table><tr><td>a<tr><td>" * 1_000, "<ul><li>a" * 5_000, "<pre>" + "  <br>" * 20_000, "<" * 300_000, '<a "' * 100_000, "<svg>" * 10_000):
+        html.page_text(page)
+    spans = html.page_text("<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 300 + "<tr><td>y" * 500)
+    assert len(spans) < 600_000 and spans.count("y") == 500
+    assert time.time() - start < 20
+
+
 def test_deep_and_wide_pages():
     start = time.time()
     assert html.page_text("<div>" * 30_000 + "deep") == "deep"
