@@ -4,8 +4,9 @@ Texts are read once and become pieces of at most a sequence's length; only the p
 Full pieces fill a sequence each. The others are dealt by hash into pools of about ``POOL``; several islands
 evolve packings of each pool from different seeds, the best packing of every island migrates to the next one, and after the
 last epoch the best of a pool's islands counts. Crossover injects whole well-filled bins of one packing
-into another, drops the bins that share documents with them, and best-fits the displaced documents. What the pools leave poorly
-filled, and a tenth of the rest, is pooled again, across pools, and packed the same way, until one pool is left.
+into another, drops the bins that share documents with them, and best-fits the displaced documents. The bins that have room left,
+and a tenth of the full ones, are pooled again, across pools, and packed the same way, until one pool is left or a round saves
+no bin. A last pool goes on until ``PATIENCE`` epochs have saved none.
 
 Defined cases: a null or empty text is the end token alone. Rows with equal doc_id are separate documents. Extra columns are
 ignored. An empty table gives an empty result. Very long texts are cut; nothing is dropped.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import math
 import random
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -34,16 +36,24 @@ from driftnet.storage import settle
 
 LENGTH = 2048
 #: Documents packed together on an island; islands of a pool; epochs between migrations; generations in an epoch.
-POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 16, 4
-#: Bins filled below this share are pooled again, and one of so many others, whose documents fill what is left.
-WELL_FILLED, AGAIN = 0.99, 10
+POOL, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 2, 16, 4
+#: Of so many full bins one is pooled again with those that have room, so that its documents may fill them; epochs without gain that end a last pool.
+AGAIN, PATIENCE = 10, 2
 
 # Token ids
 
 
+#: Texts are read in parts of about so many characters, cut where the vocabulary's pattern always cuts: before a space after a letter or digit.
+PART = 1 << 18
+CUT = re.compile("(?<=[A-Za-z0-9]) ")
+#: A run of so many blanks, or of other characters, goes to the file's own library: the fast reader's pattern engine keeps a state for each of them.
+RUN = re.compile(r"(?<!\s)\s{4096}|(?<!\S)\S{4096}")
+
+
 @lru_cache(maxsize=2)
 def _encoders(path: str | None):
-    """Both readers of the same vocabulary file: a fast one, which is used for texts of Latin-1 characters, and the file's own library."""
+    """Both readers of the same vocabulary file: a fast one, which is used for texts of Latin-1 characters, the file's own library, and the
+    added tokens, which only the latter knows."""
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -52,32 +62,44 @@ def _encoders(path: str | None):
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         told = json.load(f)
     vocab = told["model"]["vocab"]
-    special = {x["content"] for x in told["added_tokens"]}
+    special = frozenset(x["content"] for x in told["added_tokens"])
     shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in set(shown)]
     byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
     ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), own
+    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), own, special
+
+
+def _parts(text: str) -> Iterator[str]:
+    """The text in parts of at least PART characters that are read alone as they are read together."""
+    start = 0
+    while len(text) - start > PART and (found := CUT.search(text, start + PART)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
 
 
 def token_ids(text: str | None, path: str | None = None) -> np.ndarray:
     """The ids of a whole text, then id 0, as little-endian unsigned 32-bit integers."""
     if not text:
         return np.zeros(1, "<u4")
-    fast, own = _encoders(path)
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        ids = own.encode(text, add_special_tokens=False).ids
-    else:
-        ids = fast.encode_ordinary(text)
-    ids.append(0)
-    return np.array(ids, "<u4")
+    fast, own, special = _encoders(path)
+    ids = []
+    for part in _parts(text):
+        if any(x in part for x in special) or RUN.search(part):
+            ids.append(np.array(own.encode(part, add_special_tokens=False).ids, "<u4"))
+            continue
+        try:
+            part.encode("latin-1")
+        except UnicodeEncodeError:
+            ids.append(np.array(own.encode(part, add_special_tokens=False).ids, "<u4"))
+        else:
+            ids.append(np.array(fast.encode_ordinary(part), "<u4"))
+    return np.concatenate([*ids, np.zeros(1, "<u4")])
 
 
 def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
@@ -175,13 +197,16 @@ def mutate(sizes, a, length, rng, share: float = 0.1):
     return bins, room
 
 
-def fill_better(sizes, bins, room, loose, rng, tries: int = 400) -> list[int]:
-    """Exchange one or two documents of a bin for a larger loose one that fills it better; returns what is loose now."""
+def fill_better(sizes, bins, room, loose, rng, tries: int = 400, some_of: int = 8) -> list[int]:
+    """Exchange one or two documents of a bin for a larger loose one that fills it better; returns what is loose now.
+
+    A mutation tries ``tries`` bins, and ``some_of`` documents of each, drawn at random: these bound a generation's effort, and lose nothing.
+    """
     free = sorted((sizes[i], i) for i in loose)
     open_bins = [b for b, r in enumerate(room) if r]
     for b in rng.sample(open_bins, min(tries, len(open_bins))):
         x = bins[b]
-        some = x if len(x) <= 8 else rng.sample(x, 8)
+        some = x if len(x) <= some_of else rng.sample(x, some_of)
         for out in (*combinations(some, 2), *((i,) for i in some)):
             low = sum(sizes[i] for i in out)
             at = bisect_right(free, (low + room[b], math.inf)) - 1
@@ -226,32 +251,39 @@ def evolve(sizes: list[int], packings: list[list[int]], seed: int, length: int =
     return out
 
 
-def _epoch(length: int, generations: int):
+def _epoch(length: int, generations: int, number: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["origin", "uid"])
         pool, island = int(rows["pool"].iloc[0]), int(rows["island"].iloc[0])
         given = [g for _, g in rows.groupby("origin", sort=True)]
         base = given[0]
         packings = [g["bin"].tolist() for g in given] if base["bin"].iloc[0] >= 0 else []
-        found = evolve(base["length"].tolist(), packings, hash((pool, island, len(packings))), length, generations)
+        found = evolve(base["length"].tolist(), packings, hash((pool, island, number)), length, generations)
         return pd.DataFrame({"pool": pool, "island": island, "uid": base["uid"].to_numpy(), "length": base["length"].to_numpy(), "bin": found})
 
     return run
 
 
-def _pack_round(parts: DataFrame, seed: int, length: int, generations: int) -> tuple[DataFrame, int]:
-    """(uid, length, pool, bin), and the number of pools, for parts (uid, length)."""
-    pools = max(1, math.ceil(parts.count() / POOL))
+def _pack_round(parts: DataFrame, seed: int, length: int, generations: int) -> tuple[DataFrame, int, int]:
+    """(uid, length, pool, bin), the number of pools and that of bins, for parts (uid, length)."""
+    n, size = parts.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    pools = max(1, math.ceil(n / POOL))
     kind = "pool long, island int, uid long, length long, bin int"
     dealt = parts.select(F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(pools)).alias("pool"), F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"), "uid", "length", F.lit(-1).alias("bin"))
     dealt = dealt.withColumn("origin", F.col("island"))
-    for e in range(EPOCHS):
-        if e:  # the elite of each island stays and goes to the next
-            dealt = elite.select("pool", F.explode(F.array("island", (F.col("island") + 1) % ISLANDS)).alias("island"), "uid", "length", "bin", F.col("island").alias("origin"))  # noqa: F821
-        elite = settle(dealt.groupBy("pool", "island").applyInPandas(_epoch(length, generations), kind))
-    used = elite.groupBy("pool", "island").agg(F.max("bin").alias("bins"))
-    best = used.groupBy("pool").agg(F.min(F.struct("bins", "island")).alias("k")).select("pool", F.col("k.island").alias("island"))
-    return elite.join(best, ["pool", "island"]).select("uid", "length", "pool", "bin"), pools
+    least, epoch, idle = None, 0, 0
+    while True:
+        elite = settle(dealt.groupBy("pool", "island").applyInPandas(_epoch(length, generations, epoch), kind))
+        used = elite.groupBy("pool", "island").agg(F.max("bin").alias("bins"))
+        best = used.groupBy("pool").agg(F.min(F.struct("bins", "island")).alias("k"))
+        bins = best.agg(F.coalesce(F.sum(F.col("k.bins") + 1), F.lit(0))).first()[0]
+        least, idle, epoch = (bins, 0, epoch + 1) if least is None or bins < least else (least, idle + 1, epoch + 1)
+        if bins == -(-size // length) or (epoch >= EPOCHS and (pools > 1 or idle >= PATIENCE)):
+            break
+        # the elite of each island stays and goes to the next
+        dealt = elite.select("pool", F.explode(F.array("island", (F.col("island") + 1) % ISLANDS)).alias("island"), "uid", "length", "bin", F.col("island").alias("origin"))
+    best = best.select("pool", F.col("k.island").alias("island"))
+    return elite.join(best, ["pool", "island"]).select("uid", "length", "pool", "bin"), pools, bins
 
 
 def pack(parts: DataFrame, length: int = LENGTH, generations: int = GENERATIONS) -> DataFrame:
@@ -260,20 +292,21 @@ def pack(parts: DataFrame, length: int = LENGTH, generations: int = GENERATIONS)
     A sequence's id is the smallest uid in it.
     """
     full = parts.where(F.col("length") == length).select("uid", F.col("uid").alias("sequence_id"))
-    left, pools, kept = parts.where(F.col("length") < length).select("uid", "length"), 2, []
-    while pools > 1:
-        found, pools = _pack_round(left, len(kept) + 1, length, generations)
+    left, before, kept = parts.where(F.col("length") < length).select("uid", "length"), None, []
+    while True:
+        found, pools, bins = _pack_round(left, len(kept) + 1, length, generations)
         placed = found.select("uid", "length", F.lit(len(kept)).alias("round"), "pool", "bin")
-        if pools > 1:
-            bins = placed.groupBy("pool", "bin").agg((F.sum("length") < WELL_FILLED * length).alias("poor"))
-            again = F.col("poor") | (F.pmod(F.xxhash64("pool", "bin"), F.lit(AGAIN)) == 0)
-            placed = settle(placed.join(bins.select("pool", "bin", again.alias("again")), ["pool", "bin"]))
+        last = pools == 1 or before is not None and bins >= before
+        if not last:
+            open_ = placed.groupBy("pool", "bin").agg((F.sum("length") < length).alias("open"))
+            again = F.col("open") | (F.pmod(F.xxhash64("pool", "bin"), F.lit(AGAIN)) == 0)
+            placed = settle(placed.join(open_.select("pool", "bin", again.alias("again")), ["pool", "bin"]))
             left = placed.where("again").select("uid", "length")
-            if left.count() > pools * POOL // 2:  # most bins cannot be filled, as of documents over half a sequence
-                pools = 1
-            else:
-                placed = placed.where("NOT again")
+            before = placed.where("again").select("pool", "bin").distinct().count()
+            placed = placed.where("NOT again")
         kept.append(placed.select("uid", "round", "pool", "bin"))
+        if last:
+            break
     placed = reduce(DataFrame.unionByName, kept)
     placed = placed.select("uid", F.min("uid").over(Window.partitionBy("round", "pool", "bin")).alias("sequence_id"))
     return full.unionByName(placed)

@@ -109,6 +109,21 @@ def test_ids_are_the_librarys(text):
     assert packing.token_ids(text).tolist() == [*own.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_ids_of_added_tokens_and_parts(monkeypatch):
+    own = packing._encoders(None)[1]
+    assert 50256 in packing.token_ids("a<|endoftext|>b")
+    monkeypatch.setattr(packing, "PART", 5)
+    for text in ("some words, é and more 12 34  5", "a<|endoftext|>b c d e f g<|endoftext|> h", "x" * 40 + "   y  z" * 9, "\x1c a\x1c b c d \u2028 e f"):
+        assert packing.token_ids(text).tolist() == [*own.encode(text, add_special_tokens=False).ids, 0]
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "!", " \t", "é", "7", "ab ", ". "])
+def test_ids_of_very_long_runs(unit):
+    text = (unit * 1_200_000)[:1_200_000]
+    own = packing._encoders(None)[1]
+    assert packing.token_ids(text).tolist() == [*own.encode(text, add_special_tokens=False).ids, 0]
+
+
 @given(st.integers(1, 9000))
 def test_cuts(n):
     parts = packing.cuts(n)
@@ -139,6 +154,39 @@ def test_evolution_beats_best_fit_where_it_can():
     assert check_packing(sizes, packing.evolve(sizes, [], 1, 100, 60), 100) < len(bins)
 
 
+def fewest(sizes, length):
+    """The least number of bins, by trying every place for each piece."""
+    best = len(sizes)
+
+    def place(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(sizes):
+            best = len(room)
+            return
+        for b in {r: b for b, r in enumerate(room) if r >= sizes[k]}.values():
+            place(k + 1, [r - sizes[k] if i == b else r for i, r in enumerate(room)])
+        place(k + 1, [*room, length - sizes[k]])
+
+    place(0, [])
+    return best
+
+
+@given(st.lists(st.integers(1, 100), min_size=1, max_size=9), st.integers(0, 3))
+@settings(max_examples=150, deadline=None)
+def test_evolution_against_the_least_number_of_bins(sizes, seed):
+    assert check_packing(sizes, packing.evolve(sizes, [], seed, 100), 100) == fewest(sizes, 100)
+
+
+def test_rounds_end_where_nothing_is_gained(spark, monkeypatch):
+    monkeypatch.setattr(packing, "POOL", 30)
+    half = spark.createDataFrame([(i, 60 + i % 30) for i in range(300)], "uid long, length long")
+    assert packing.pack(half, 100, 4).select("sequence_id").distinct().count() == 300
+    fine = spark.createDataFrame([(i, 20 + 20 * (i % 3)) for i in range(300)], "uid long, length long")
+    assert packing.pack(fine, 100, 4).select("sequence_id").distinct().count() == 120
+
+
 @pytest.mark.parametrize("pool", [25, 4096])
 def test_packing_is_whole(spark, monkeypatch, pool):
     monkeypatch.setattr(packing, "POOL", pool)
