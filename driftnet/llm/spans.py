@@ -28,8 +28,8 @@ from driftnet.storage import settle
 
 #: A line with its line break and the blank space after it.
 LINE = r"(?s).+?(?:\n[ \t\n\r\f]*|\z)"
-#: A sentence: up to closing marks and white space, or a line break.
-SENTENCE = re.compile(r".+?(?:[.!?]+[\"')\]]*\s+|\n\s*|\Z)", re.S)
+#: The end of a sentence: closing marks and white space, or a line break. A run of marks is entered at its start only, so the search is linear.
+SENTENCE_END = re.compile(r"(?<![.!?])[.!?]++[\"')\]]*+\s++|\n\s*+")
 WORD = re.compile(r"\S+\s*")
 LONG = 16
 #: One word in so many ends a part of a long sentence, by its hash.
@@ -133,10 +133,19 @@ def _parts(sentence: str) -> list[str]:
     return out
 
 
+def _sentences(text: str) -> Iterator[str]:
+    start = 0
+    for end in SENTENCE_END.finditer(text):
+        yield text[start : end.end()]
+        start = end.end()
+    if start < len(text):
+        yield text[start:]
+
+
 def sentences(text: str) -> list[str]:
     """The text cut into sentences, nothing lost; a sentence of over ``LONG`` words is cut into parts."""
     out = []
-    for piece in SENTENCE.findall(text):
+    for piece in _sentences(text):
         if len(piece) <= 2 * LONG or len(piece.split()) <= LONG:
             out.append(piece)
         else:
@@ -151,6 +160,8 @@ def sentence_runs(text: str, run: int = 3, words: int = 10) -> list[tuple[int, i
     """(hash, position, length) of the run that begins at each sentence: ``run`` sentences, or as many more as make ``words`` words."""
     clean = [" ".join(x.split()) for x in sentences(text)]
     counts = [x.count(" ") + 1 for x in clean]
+    digest = xxhash.xxh64_digest
+    digests = b"".join([digest(x) for x in clean])
     out, end, total, n = [], 0, 0, len(clean)
     for start in range(n):
         while end < n and (end - start < run or total < words):
@@ -158,7 +169,7 @@ def sentence_runs(text: str, run: int = 3, words: int = 10) -> list[tuple[int, i
             end += 1
         if end - start < run or total < words:
             break
-        h = xxhash.xxh64_intdigest("\n".join(clean[start:end]))
+        h = xxhash.xxh64_intdigest(digests[8 * start : 8 * end])
         out.append((h - (1 << 64) if h >> 63 else h, start, end - start))
         total -= counts[start]
     return out

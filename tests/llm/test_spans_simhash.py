@@ -166,3 +166,15 @@ def test_repeated_rows_and_empty_table(spark):
     assert simhash.dedup(df).count() == 1
     assert [r.component_id for r in simhash.label(df).collect()] == [1, 1, 1]
     assert simhash.dedup(df.limit(0)).count() == 0
+
+
+def test_cutting_grows_with_the_text():
+    import time
+
+    start = time.time()
+    for unit in (".", "'", "\n", " ", '."', "?! ", "a.\n", "word "):
+        text = unit * (1_000_000 // len(unit))
+        assert "".join(spans.sentences(text)) == text
+        spans.sentence_runs(text)
+    assert time.time() - start < 30
+    assert spans.sentences("One. Two?! 'Three.' Four\n\n five... six") == ["One. ", "Two?! ", "'Three.' ", "Four\n\n ", "five... ", "six"]
