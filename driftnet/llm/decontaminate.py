@@ -1,13 +1,15 @@
 """Benchmark decontamination by a positional inverted index (operator 8); DataFrame functions only.
 
-The index holds postings (term, document, position) of the training tokens, each with the few tokens around it.
-Of every benchmark window, the term that is rarest in the whole corpus is looked up; its list, moved by the term's
-offset in the window, gives the places where the window can stand, and the neighbouring tokens decide.
+The index is a table of postings (term, document, position), made in one pass over the texts and kept in the shared folder: any number of
+benchmarks can be searched in it. A window of benchmark words is found by its terms' lists, from the rarest on: the list of the term that is
+rarest in the whole corpus, moved by the term's offset in the window, gives the places where the window could begin; of these stay those that
+the list of the second rarest term, moved by its own offset, has too; and those that all other lists have are the exact matches. Only the
+first two kinds of lists are read for all documents, so what is shuffled are their short lists; frequent terms are looked up only
+in documents where two rarer ones stand as they should. With ``slop`` the lists are intersected by nearness instead (``near``).
 
-Only postings of such rarest terms are kept, so the index is small against the corpus, and it is cut down
-where the text is read: no token that no window asks for is shuffled. Windows and terms belong to the
-benchmark and do not grow with the corpus; terms go to the executors in lists of at most ``TERMS`` (one more
-pass for each further list), windows are broadcast up to ``BROADCAST_ROWS`` and joined by shuffle beyond.
+The report's index holds the postings of the benchmark's terms only. Terms and windows belong to the benchmark and do not grow with the corpus; they
+are broadcast where their measured size is at most ``BROADCAST_BYTES`` and joined by shuffle beyond, after they were kept, so that the rows of a
+frequent term can be split.
 
 Defined cases: a null or empty text has no words, and no items. An item without words has no window. An item
 whose item_id is null marks words as hit but is not counted or listed. Rows with equal doc_id and text get the same
@@ -16,18 +18,18 @@ result, once for each row. Extra columns are ignored by ``report``. Empty tables
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from driftnet.storage import settle
+from driftnet.storage import settle, written
 
-#: Terms in one list of a pass over the corpus.
-TERMS = 100_000
-#: Windows up to which they are broadcast.
-BROADCAST_ROWS = 200_000
+#: Measured bytes up to which a table made from the benchmark, or of candidates, is broadcast.
+BROADCAST_BYTES = 16 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The term of a document's head row, which tells its number of words; no word is empty.
+HEAD = ""
+DOC = ("doc_id", "text_hash")
 
 
 def words_of(text: str | Column) -> Column:
@@ -37,97 +39,151 @@ def words_of(text: str | Column) -> Column:
     return F.array_remove(F.split(small, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(item_id, words): each run of ``n`` words of an item; all words of an item that has fewer."""
+def _small(df: DataFrame, *texts: str) -> bool:
+    """Whether the kept table ``df``, with text columns ``texts``, is small enough to be broadcast: 64 bytes a row and those of its texts."""
+    size = F.lit(64)
+    for c in texts:
+        size = size + F.octet_length(c)
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def _bounded(df: DataFrame, *texts: str) -> DataFrame:
+    return F.broadcast(df) if _small(df, *texts) else df
+
+
+def index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """The postings (doc_id, text_hash, n_words, pos, term) of ``docs``, kept as a table; of ``terms`` (term) only, if given.
+
+    A document has a head row besides, of term ``HEAD``.
+    """
+    tokens = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_hash"), words_of("text").alias("w"))
+    rows = tokens.select(*DOC, F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(HEAD)), "w")).alias("k", "term"))
+    posts = rows.select(*DOC, "n_words", (F.col("k") - 1).alias("pos"), "term")
+    if terms is not None:
+        head = docs.sparkSession.createDataFrame([(HEAD,)], "term string")
+        posts = posts.join(_bounded(settle(terms.select("term").unionByName(head).distinct().coalesce(4)), "term"), "term").select(*posts.columns)
+    return written(posts)
+
+
+def windows(benchmark: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Each run of ``n`` words of an item, all words of an item that has fewer: (win, words), once each; and the items that have it: (win, item_id)."""
     items = benchmark.select("item_id", words_of("text").alias("w")).where(F.size("w") > 0)
     starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array(F.lit(1)))
-    return items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, n))).alias("words")).distinct()
+    each = settle(items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, n))).alias("words")).distinct().coalesce(4))
+    wins = settle(each.select("words").distinct().coalesce(4).select(F.monotonically_increasing_id().alias("win"), "words"))
+    return wins, settle(each.where("item_id IS NOT NULL").join(wins, "words").select("win", "item_id").coalesce(4))
 
 
-def _lists(terms: DataFrame) -> list[list[str]]:
-    """The rows of a one-column table of benchmark terms, in lists of at most TERMS."""
-    rows = [r[0] for r in terms.distinct().toLocalIterator()]
-    return [rows[i : i + TERMS] for i in range(0, len(rows), TERMS)] or [[]]
+def ordered(posts: DataFrame, wins: DataFrame) -> DataFrame:
+    """(win, len, terms): the terms of each window with their offsets, struct(n, term, off), from the rarest in ``posts``; windows with a term
+    that never occurs are out."""
+    counts = posts.where(F.col("term") != HEAD).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = wins.select("win", F.posexplode("words").alias("off", "term")).join(counts, "term")
+    lists = terms.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("n", "term", "off"))).alias("terms"))
+    whole = wins.join(lists, "win").where(F.size("words") == F.size("terms"))
+    return settle(whole.select("win", F.size("words").alias("len"), "terms").coalesce(4))
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): how often each of ``terms`` occurs in the texts of ``docs``."""
-    tokens = docs.select(words_of("text").alias("w"))
+def _listed(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of ``terms`` (term), kept."""
+    return posts.join(_bounded(settle(terms.select("term").distinct().coalesce(4)), "term"), "term", "left_semi")
 
-    def of(some: list[str]) -> DataFrame:
-        return tokens.select(F.explode(F.filter("w", lambda t: t.isin(some))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
-    lists = _lists(terms)
-    counts = reduce(DataFrame.unionByName, map(of, lists))
-    return F.broadcast(counts) if len(lists) == 1 else counts  # of one list there are at most TERMS rows
+def _of_documents(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings of the documents of ``found``."""
+    ids = settle(found.select(F.col("doc_id").alias("_dn_id2"), F.col("text_hash").alias("_dn_hash2")).distinct())
+    few = F.broadcast(ids) if _small(ids) else ids
+    return posts.join(few, (posts["text_hash"] == few["_dn_hash2"]) & posts["doc_id"].eqNullSafe(few["_dn_id2"]), "left_semi")
 
 
-def anchored(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(term, windows): by the rarest term of each window, the windows (words, offset, item_id). Windows with a term that never occurs are out."""
-    wins = windows(benchmark, n)
-    counts = term_counts(docs, wins.select(F.explode("words")))
-    terms = wins.select("item_id", "words", F.posexplode("words").alias("offset", "term"))
-    rarest = terms.join(counts, "term", "left").groupBy("item_id", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")).alias("k")).where("k.n > 0")
-    return rarest.groupBy(F.col("k.term").alias("term")).agg(F.collect_list(F.struct("words", F.col("k.offset").alias("offset"), "item_id")).alias("windows"))
+def _standing(wanted: DataFrame, posts: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (doc_id, text_hash, term, pos, ...) whose term stands there."""
+    p = posts.select(F.col("doc_id").alias("_dn_id2"), F.col("text_hash").alias("_dn_hash2"), F.col("term").alias("_dn_term2"), F.col("pos").alias("_dn_pos2"))
+    here = (wanted["text_hash"] == p["_dn_hash2"]) & (wanted["pos"] == p["_dn_pos2"]) & (wanted["term"] == p["_dn_term2"]) & wanted["doc_id"].eqNullSafe(p["_dn_id2"])
+    return wanted.join(p, here, "left_semi")
 
 
-def postings(docs: DataFrame, terms: list[str], reach: int) -> DataFrame:
-    """The index of ``terms``: doc_id, text_hash, n_words, and in ``posts`` by document (term, pos, first, around).
-
-    ``around`` holds the tokens from ``first``, ``reach`` before and after the position.
-    """
-    tokens = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_hash"), words_of("text").alias("w"))
-    places = tokens.withColumn("p", F.filter(F.transform("w", lambda t, i: F.when(t.isin(terms), i)), lambda i: i.isNotNull()))
-    first = lambda i: F.greatest(i - reach, F.lit(0))
-    post = lambda i: F.struct(F.element_at("w", i + 1).alias("term"), i.alias("pos"), first(i).alias("first"), F.slice("w", first(i) + 1, i - first(i) + reach + 1).alias("around"))
-    return places.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.transform("p", post).alias("posts"))
+def _first(posts: DataFrame, wins: DataFrame) -> DataFrame:
+    """The list of each window's rarest term: (doc_id, text_hash, n_words, win, pos, off, len)."""
+    rarest = settle(wins.select("win", "len", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["off"].alias("off")))
+    return posts.join(_bounded(rarest, "term"), "term").select(*DOC, "n_words", "win", "pos", "off", "len")
 
 
-def _stands(post: Column, slop: int):
-    """Whether a window stands at a posting of its rarest term: its words in order, or with ``slop`` all of them within reach."""
+def _by_window(found: DataFrame, wins: DataFrame, rank: int) -> DataFrame:
+    """The rows of ``found`` (win, ...) that have a term of that rank, with term and off."""
+    own = settle(wins.where(F.size("terms") > rank).select("win", F.col("terms")[rank]["term"].alias("term"), F.col("terms")[rank]["off"].alias("off")))
+    return found.join(_bounded(own, "term"), "win")
 
-    def test(w: Column) -> Column:
-        begin = post["pos"] - w["offset"] - post["first"]
-        exact = (begin >= 0) & (F.slice(post["around"], F.greatest(begin, F.lit(0)) + 1, F.size(w["words"])) == w["words"])
-        if not slop:
-            return exact
-        low = F.greatest(begin - slop, F.lit(0))
-        near = F.slice(post["around"], low + 1, begin + F.size(w["words"]) + slop - low)
-        return F.size(F.array_except(w["words"], near)) == 0
 
-    return test
+def phrases(posts: DataFrame, wins: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, win, start, len): every place of ``posts`` where a window of ``wins`` (``ordered``) stands word for word."""
+    begins = _first(posts, wins).withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 AND start + len <= n_words")
+    begins = settle(begins.select(*DOC, "win", "start", "len").distinct())
+    second = _listed(posts, wins.where(F.size("terms") > 1).select(F.col("terms")[1]["term"].alias("term")))
+    two = settle(_standing(_by_window(begins, wins, 1).withColumn("pos", F.col("start") + F.col("off")), second).select(*begins.columns))
+    short = two.join(F.broadcast(one) if _small(one := settle(wins.where(F.size("terms") == 2).select("win"))) else one, "win", "left_semi")
+    others = settle(wins.where(F.size("terms") > 2).select("win", F.explode(F.slice("terms", 3, F.size("terms"))).alias("t")).select("win", "t.term", "t.off"))
+    wanted = two.join(_bounded(others, "term"), "win").withColumn("pos", F.col("start") + F.col("off"))
+    stand = _standing(wanted, _of_documents(_listed(posts, others), two)).groupBy(*DOC, "win", "start", "len").agg(F.count(F.lit(1)).alias("n"))
+    return settle(begins.where("len = 1").unionByName(short.select(*begins.columns)).unionByName(stand.where("n = len - 2").select(*begins.columns)))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0) -> DataFrame:
-    """A row for each distinct document: doc_id, text_hash, copies, n_words and hits, the set of (start, len, item_id).
+def near(posts: DataFrame, wins: DataFrame, slop: int) -> DataFrame:
+    """(doc_id, text_hash, win, start, len): the words of proximity matches, in any order, each a span of one word.
 
-    With ``slop`` 0 a hit is an exact phrase; else a place where all words of the window stand at most ``slop`` tokens outside of it.
+    A match is a stretch of at most ``slop`` tokens more than the window has, in which each of the window's words occurs as often as in
+    the window or oftener; it hits the tokens of the stretch that are words of the window.
+    """
+    reach = (wins.agg(F.max("len")).first()[0] or 1) + slop
+    bucket = lambda c: F.floor(F.col(c) / reach).cast("int")
+    anchors = settle(_first(posts, wins).select(*DOC, "win", F.col("pos").alias("at"), (F.col("len") + slop).alias("most")).distinct())
+    here = F.abs(F.col("_dn_pos2") - F.col("at")) < F.col("most")
+
+    def met(found: DataFrame, own: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+        """``found`` with the postings of ``own`` terms (win, term) within its reach."""
+        wide = found.join(_bounded(settle(own.distinct()), "term"), "win").withColumn("bucket", F.explode(F.array(bucket("at") - 1, bucket("at"), bucket("at") + 1)))
+        p = lists.select(F.col("doc_id").alias("_dn_id2"), F.col("text_hash").alias("_dn_hash2"), F.col("term").alias("_dn_term2"), F.col("pos").alias("_dn_pos2"), bucket("pos").alias("_dn_bucket2"))
+        same = (wide["text_hash"] == p["_dn_hash2"]) & (wide["term"] == p["_dn_term2"]) & (wide["bucket"] == p["_dn_bucket2"]) & wide["doc_id"].eqNullSafe(p["_dn_id2"])
+        return wide.join(p, same & here, how)
+
+    second = wins.where(F.size("terms") > 1).select("win", F.col("terms")[1]["term"].alias("term"))
+    two = met(anchors, second, _listed(posts, second), "left_semi").select(*anchors.columns).distinct()
+    two = settle(two.unionByName(anchors.where(F.col("most") == 1 + slop)))
+    own = wins.select("win", F.explode("terms").alias("t")).select("win", "t.term")
+    around = met(two, own, _of_documents(_listed(posts, own), two), "inner").select(*DOC, "win", "most", F.col("_dn_pos2").alias("pos"), "term").distinct()
+    ahead = Window.partitionBy(*DOC, "win").orderBy("pos").rangeBetween(0, reach - 1)
+    seen = around.withColumn("ahead", F.collect_list(F.struct("pos", "term")).over(ahead))
+    stretch = F.filter("ahead", lambda x: x["pos"] < F.col("pos") + F.col("most"))
+    needs = settle(wins.select("win", F.transform("terms", lambda x: x["term"]).alias("needs")))
+    told = seen.withColumn("ahead", stretch).join(F.broadcast(needs) if _small(wins.select(F.array_join(F.col("terms")["term"], " ").alias("t")), "t") else needs, "win")
+    times = lambda array, t: F.size(F.filter(array, lambda x: x == t))
+    words = F.transform("ahead", lambda x: x["term"])
+    whole = F.forall("needs", lambda t: times(words, t) >= times(F.col("needs"), t))
+    hit = told.where(whole).select(*DOC, "win", F.explode(F.transform("ahead", lambda x: x["pos"])).alias("start")).distinct()
+    return settle(hit.withColumn("len", F.lit(1)))
+
+
+def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0, posts: DataFrame | None = None) -> DataFrame:
+    """doc_id, text_hash, n_words, n_hit, n_items, items, contaminated: a row for each of ``docs``.
+
+    ``posts`` is an ``index`` of docs that is at hand already. With ``slop`` 0 a hit is an exact phrase, else see ``near``.
     """
-    by_term = settle(anchored(docs, benchmark, n).coalesce(4))  # as large as the benchmark: a few files, not one for each shuffle partition
-    small = by_term.count() <= BROADCAST_ROWS
-    parts = []
-    for k, terms in enumerate(_lists(by_term.select("term"))):
-        index = postings(docs, terms, n - 1 + slop).select("doc_id", "text_hash", "n_words", F.posexplode_outer("posts").alias("k", "post"))
-        met = index.withColumn("term", F.col("post.term")).join(F.broadcast(by_term) if small else by_term, "term", "left")
-        stands = F.filter("windows", _stands(F.col("post"), slop))
-        hits = F.transform(stands, lambda w: F.struct((F.col("post.pos") - w["offset"]).alias("start"), F.size(w["words"]).alias("len"), w["item_id"].alias("item_id")))
-        parts.append(met.select("doc_id", "text_hash", "n_words", F.expr("k IS NULL OR k = 0").alias("head") if k == 0 else F.lit(False).alias("head"), F.when(F.size(stands) > 0, hits).alias("hits")))
-    return (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("doc_id", "text_hash")
-        .agg(F.count_if("head").alias("copies"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("hits"))).alias("hits"))
-    )
-
-
-def report(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0) -> DataFrame:
-    """doc_id, text_hash, n_words, n_hit, n_items, items, contaminated: a row for each of ``docs``."""
-    found = matches(docs, benchmark, n, slop)
-    spans = F.array_sort(F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"], (h["start"] + h["len"]).alias("stop")))))
+    wins, items_of = windows(benchmark, n)
+    if posts is None:
+        posts = index(docs, wins.select(F.explode("words").alias("term")))
+    order = ordered(posts, wins)
+    hits = near(posts, order, slop) if slop else phrases(posts, order)
+    spans = F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("stop"))))
     zero = F.struct(F.lit(0).alias("stop"), F.lit(0).cast("long").alias("n"))
-    n_hit = F.aggregate(spans, zero, lambda a, s: F.struct(F.greatest(a["stop"], s["stop"]).alias("stop"), (a["n"] + F.greatest(s["stop"] - F.greatest(a["stop"], s["start"]), F.lit(0))).alias("n")))["n"]
-    items = F.array_sort(F.array_compact(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string")))))
-    told = found.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), items.alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return told.select("doc_id", "text_hash", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    merged = F.aggregate("spans", zero, lambda a, s: F.struct(F.greatest(a["stop"], s["stop"]).alias("stop"), (a["n"] + F.greatest(s["stop"] - F.greatest(a["stop"], s["start"]), F.lit(0))).alias("n")))["n"]
+    n_hit = hits.groupBy(*DOC).agg(spans.alias("spans")).select(F.col("doc_id").alias("_dn_id2"), F.col("text_hash").alias("_dn_hash2"), merged.alias("n_hit"))
+    named = hits.select(*DOC, "win").distinct().join(F.broadcast(items_of) if _small(items_of) else items_of, "win")
+    items = named.groupBy(*DOC).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items")).select(F.col("doc_id").alias("_dn_id3"), F.col("text_hash").alias("_dn_hash3"), "items")
+    heads = posts.where(F.col("term") == HEAD).select(*DOC, F.col("n_words").cast("long").alias("n_words"))
+    told = heads.join(n_hit, (heads["text_hash"] == n_hit["_dn_hash2"]) & heads["doc_id"].eqNullSafe(n_hit["_dn_id2"]), "left")
+    told = told.join(items, (told["text_hash"] == items["_dn_hash3"]) & told["doc_id"].eqNullSafe(items["_dn_id3"]), "left")
+    told = told.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    return told.select(*DOC, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0) -> DataFrame:

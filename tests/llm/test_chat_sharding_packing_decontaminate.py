@@ -232,9 +232,9 @@ def brute(text, items, n):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("lists", [2, 100_000])
-def test_decontamination_against_brute_force(spark, monkeypatch, lists):
-    monkeypatch.setattr(decontaminate, "TERMS", lists)
+@pytest.mark.parametrize("broadcast", [-1, 1 << 24])
+def test_decontamination_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", broadcast)
     items = [(1, "a b c d e f"), (10, "A, b! c"), (2, "the the the the"), (3, None), (4, "..."), (5, "É é x1"), (None, "q r s t"), (7, "zz")]
     texts = ["x a B c d y", "the the the the the the", None, "", "É é x1 tail", "é é x1", "q r s t q r s", "ZZ", "a b c d e f a b c", "none here", "a b c d\x7fe f"]
     df = docs_of(spark, [*texts, texts[0]], [*range(len(texts)), 0]).withColumns({"term": F.lit(1), "item_id": F.lit(2)})
@@ -255,3 +255,35 @@ def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     df = docs_of(spark, ["alpha gamma beta delta", "alpha x beta y gamma delta", "alpha beta gamma far far far far delta"])
     assert [r.contaminated for r in decontaminate.report(df, bench, 4, 2).orderBy("doc_id").collect()] == [True, True, False]
+
+
+def brute_near(text, items, n, slop):
+    w, hit, found = words(text), set(), set()
+    for i, t in items:
+        iw = words(t)
+        for win in [iw[s : s + n] for s in range(len(iw) - n + 1)] if len(iw) >= n else [iw] if iw else []:
+            for s in range(len(w)):
+                stretch = range(s, min(len(w), s + len(win) + slop))
+                if not Counter(win) - Counter(w[p] for p in stretch):
+                    hit |= {p for p in stretch if w[p] in win}
+                    found |= {str(i)} - {"None"}
+    return len(w), len(hit), sorted(found)
+
+
+def test_phrases_and_proximity_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    items = [(1, "a a a b"), (2, "a b c d e f"), (3, "x y"), (None, "q"), (4, ""), (5, "c"), (6, "b a a d c")]
+    texts = ["b a", "x y b a", "a b a a", "a a b", None, "", "x z y", "x z z y", "d c a a b", "q", "c c c"] + [" ".join(rng.choices("aabbcdefxyqz", k=rng.randint(1, 40))) for _ in range(150)]
+    df = docs_of(spark, [*texts, texts[2]], [*range(len(texts)), None])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.index(df)  # one index of every token serves every search
+    for slop in (0, 1, 3):
+        for n in (1, 3, 4):
+            rows = decontaminate.report(df, bench, n, slop, whole).collect()
+            assert len(rows) == len(texts) + 1
+            for r in rows:
+                text = texts[2 if r.doc_id is None else r.doc_id]
+                want = brute_near(text, items, n, slop) if slop else brute(text, items, n)
+                assert (r.n_words, r.n_hit, r["items"]) == want, (text, n, slop)
