@@ -60,7 +60,7 @@ def index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     rows = tokens.select(*DOC, F.size("w").alias("n_words"), F.posexplode(F.concat(F.array(F.lit(HEAD)), "w")).alias("k", "term"))
     posts = rows.select(*DOC, "n_words", (F.col("k") - 1).alias("pos"), "term")
     if terms is not None:
-        head = docs.sparkSession.createDataFrame([(HEAD,)], "term string")
+        head = docs.sparkSession.range(1).select(F.lit(HEAD).alias("term"))
         posts = posts.join(_bounded(settle(terms.select("term").unionByName(head).distinct().coalesce(4)), "term"), "term").select(*posts.columns)
     return written(posts)
 

@@ -24,6 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftnet.llm.marks import marked, repeated
 from driftnet.storage import settle
 
 #: A line with its line break and the blank space after it.
@@ -34,8 +35,6 @@ WORD = re.compile(r"\S+\s*")
 LONG = 16
 #: One word in so many ends a part of a long sentence, by its hash.
 ENDS = 4
-#: A table of so many bits marks the runs that may be repeated.
-MARKS = 1 << 26
 KEY = ("_dn_id", "_dn_hash")
 
 
@@ -186,8 +185,7 @@ def runs_of(docs: DataFrame, run: int = 3, words: int = 10, marks: Broadcast | N
                 rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
                 flat = np.array([y for x in found for y in x], np.int64).reshape(-1, 3)
                 if marks is not None:
-                    slot = flat[:, 0] & (MARKS - 1)
-                    kept = marks.value[slot >> 6] >> (slot & 63) & 1 == 1
+                    kept = marked(marks, flat[:, 0])
                     rows, flat = rows[kept], flat[kept]
                 taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -209,16 +207,8 @@ def _hashes_of(docs: DataFrame, run: int, words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, run: int, words: int) -> DataFrame:
-    """The runs of ``runs_of`` that may be repeated: a first pass counts hashes alone, a second makes the wide rows of those counted twice.
-
-    The second knows them by a table of ``MARKS`` bits, whatever the size of the input; other runs with the same bit come through and
-    are told apart by their hashes.
-    """
-    twice = _hashes_of(docs, run, words).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    bits = twice.selectExpr(f"CAST((h & {MARKS - 1}) >> 6 AS INT) AS word", "shiftleft(1L, CAST(h & 63 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(MARKS >> 6, np.int64)
-    table[bits["word"].to_numpy()] = bits["bits"].to_numpy()
-    return settle(runs_of(docs, run, words, docs.sparkSession.sparkContext.broadcast(table)))
+    """The runs of ``runs_of`` that may be repeated: a first pass counts hashes alone, a second makes the wide rows of those counted twice."""
+    return settle(runs_of(docs, run, words, repeated(_hashes_of(docs, run, words))))
 
 
 def dedup_substrings(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -178,3 +179,84 @@ def test_cutting_grows_with_the_text():
         spans.sentence_runs(text)
     assert time.time() - start < 30
     assert spans.sentences("One. Two?! 'Three.' Four\n\n five... six") == ["One. ", "Two?! ", "'Three.' ", "Four\n\n ", "five... ", "six"]
+
+
+def shingles(text, n=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) > n else {b" ".join(w)} if w else set()
+
+
+def brute_similar(ids, texts, least=0.8):
+    """The smallest id of the group of each text, by links of a Jaccard similarity of ``least`` or more between shingles."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s or {None}:
+            where.setdefault(x, []).append(i)
+    for i, s in enumerate(sets):
+        common = {}
+        for x in s or {None}:
+            for j in where[x]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, c in common.items():
+            if not s or c >= least * (len(s) + len(sets[j]) - c):
+                root[find(i)] = find(j)
+    return [min(d for k, d in enumerate(ids) if find(k) == find(i)) for i in range(len(ids))]
+
+
+def test_similar_texts_against_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = [None, "", "One", "one two", "One  Two", "a b c d e f g h i", "a b c d e f g h j", "x"]
+    for k in range(40):  # variants with two words replaced: 0.87 and more to their base, under 0.8 to many others
+        w = list(base)
+        for i in rng.sample(range(300), 2):
+            w[i] = f"new{k}{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base), " ".join(base).upper()]
+    for k in range(30):
+        w = [f"v{rng.randrange(9000)}" for _ in range(rng.randrange(60, 200))]
+        texts += [" ".join(w), " ".join([*w[:2], "other", *w[3:]])]
+    ids = [500 - i for i in range(len(texts))]
+    want = set(brute_similar(ids, texts))
+    df = docs_of(spark, [*texts, texts[9]], [*ids, ids[9]]).withColumns({"node": F.lit(1), "print": F.lit(2)})
+    for bucket in (3, 64):
+        monkeypatch.setattr(simhash, "BUCKET", bucket)
+        got = simhash.dedup_similar(df)
+        assert {r.doc_id for r in got.collect()} == want and got.count() == len(want) and got.columns == df.columns
+    assert simhash.dedup_similar(df.limit(0)).count() == 0
+    alone = docs_of(spark, ["same text here"] * 3, [None, None, 7])
+    assert [r.doc_id for r in simhash.dedup_similar(alone).collect()] == [7]
+
+
+def test_recall_and_error_of_wide_prints():
+    import random
+
+    rng = random.Random(5)
+    seen, errors = {0.8: [], 0.85: [], 0.9: []}, []
+    for _ in range(300):
+        w = [f"w{rng.randrange(20000)}" for _ in range(rng.randrange(100, 500))]
+        v = list(w)
+        for i in rng.sample(range(len(w)), rng.choice([1, 2, 3, 5, 8])):
+            v[i] = f"x{i}"
+        a, b = shingles(" ".join(w)), shingles(" ".join(v))
+        j = len(a & b) / len(a | b)
+        p, q = simhash.wide_print(" ".join(w)), simhash.wide_print(" ".join(v))
+        differ = int(np.bitwise_count(np.frombuffer(p[0], np.uint64) ^ np.frombuffer(q[0], np.uint64)).sum())
+        errors.append(simhash.similarity(p, q, differ) - j)
+        keys = simhash.block_keys([p[0], q[0]])
+        for least in seen:
+            if j >= least:
+                seen[least].append((keys[0] == keys[1]).any())
+    assert abs(np.mean(errors)) < 0.005 and np.std(errors) < 0.02
+    assert np.mean(seen[0.9]) > 0.99 and np.mean(seen[0.85]) > 0.97 and np.mean(seen[0.8]) > 0.93
