@@ -23,7 +23,6 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from driftnet.llm.marks import marked, repeated
 from driftnet.operators.graph import connected_components
@@ -136,8 +135,8 @@ BITS, BLOCK, STRIDES = 3072, 32, (1, 97, 133, 205)
 FEW = 64
 #: An estimate so near to the similarity asked for is settled by the shingles themselves.
 DOUBT = 0.05
-#: Prints of a block's bucket up to which all its pairs are compared, and others with which each is compared beyond.
-BUCKET = 64
+#: Prints of a block's bucket up to which all its pairs are compared at once.
+BUCKET = 4
 #: Rows of three numbers up to which a counted table is broadcast: a few MB.
 BROADCAST_ROWS = 100_000
 #: Rows whose bits are summed in bytes at a time.
@@ -186,24 +185,24 @@ def similarity(a: tuple[bytes, int, bytes | None], b: tuple[bytes, int, bytes |
     return common / (a[1] + b[1] - common)
 
 
-def block_keys(prints: list[bytes]) -> np.ndarray:
-    """A row of keys for each print, of its blocks by every stride; a block's number stands before its bits."""
+def block_keys(prints: list[bytes], strides: tuple[int, ...] = STRIDES) -> np.ndarray:
+    """A row of keys for each print, of its blocks by each stride; a block's number stands before its bits."""
     whole = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), BITS // 8)
-    order = np.concatenate([np.arange(BITS // 8) * stride % (BITS // 8) for stride in STRIDES])
+    order = np.concatenate([np.arange(BITS // 8) * stride % (BITS // 8) for stride in strides])
     bits = np.ascontiguousarray(whole[:, order]).view("<u4")
     # a bit table goes by a key's low bits, so the block's number is mixed into them; the key stays one to one
     number = np.arange(bits.shape[1], dtype=np.int64)
     return number << 32 | (bits ^ (number * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32)).astype(np.int64)
 
 
-def _keyed_blocks(prints: DataFrame, marks: Broadcast | None = None) -> DataFrame:
-    """(h) of every block of ``prints`` (node, print); with ``marks`` (h, node) of those that may be shared."""
+def _keyed_blocks(prints: DataFrame, stride: int, marks: Broadcast | None = None) -> DataFrame:
+    """(h) of every block of ``prints`` (node, print) by a stride; with ``marks`` (h, node) of those that may be shared."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                keys = block_keys(part.column(1).to_pylist())
+                keys = block_keys(part.column(1).to_pylist(), (stride,))
                 if marks is None:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel())], names=["h"])
                 else:
@@ -213,53 +212,46 @@ def _keyed_blocks(prints: DataFrame, marks: Broadcast | None = None) -> DataFram
     return prints.select("node", "print").mapInArrow(each, "h long" if marks is None else "h long, node long")
 
 
-def similar_links(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """(src, dst, sure): pairs of ``prints`` (node, print, n, few), one row for each distinct print, that share a block and are similar, or may be.
+def _pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """(src, dst): pairs of ``rows`` (h, node, root) in a bucket h and of different roots: all of a bucket of up to ``BUCKET`` rows, and of a larger one
+    those of a print drawn by turn with each other. So pairs are in proportion to rows, whatever a bucket's size."""
+    draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "root")
+    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(draw).alias("drawn"), F.min("root").alias("least"), F.max("root").alias("most"))
+    sizes = settle(sizes.where("size > 1 AND least < most"))
+    shared = settle(rows.join(sizes.select("h", "size", "drawn"), "h"))
+    few, many = shared.where(F.col("size") <= BUCKET), shared.where(F.col("size") > BUCKET)
+    star = many.where("root <> drawn.root").select(F.least("node", F.col("drawn.node")).alias("src"), F.greatest("node", F.col("drawn.node")).alias("dst"))
+    other = few.select("h", F.col("node").alias("dst"), F.col("root").alias("other"))
+    met = few.select("h", F.col("node").alias("src"), "root").join(other, "h").where("src < dst AND root <> other")
+    return star.unionByName(met.select("src", "dst")).distinct()
 
-    Of a bucket of up to ``BUCKET`` prints all pairs are compared. Of a larger one, as of a template's variants, each print is compared with as many
-    others, drawn by block; those drawn and those surely similar to one of them leave, and the rest is a bucket again. A bucket is never gathered: its
-    rows meet in joins that can be split.
-    """
 
-    @F.pandas_udf("int")
-    def verdict(print_a: pd.Series, n_a: pd.Series, few_a: pd.Series, print_b: pd.Series, n_b: pd.Series, few_b: pd.Series) -> pd.Series:
+def _rated(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """(src, dst, told, sure): the pairs whose prints tell that they are similar, or may be."""
+
+    @F.pandas_udf("double")
+    def rate(print_a: pd.Series, n_a: pd.Series, few_a: pd.Series, print_b: pd.Series, n_b: pd.Series, few_b: pd.Series) -> pd.Series:
         bits = [np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1) for x in (print_a, print_b)]
         differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
-        out = []
-        for a, b, d in zip(zip(print_a, n_a, few_a, strict=True), zip(print_b, n_b, few_b, strict=True), differ, strict=True):
-            doubt = 0 if a[2] is not None and b[2] is not None else DOUBT
-            told = similarity(a, b, d)
-            out.append(2 if told >= least + doubt else 1 if told >= least - doubt else 0)
-        return pd.Series(out, dtype="int32")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (prints.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("print", "n", "few")]) for c in ("src", "dst"))
-        met = pairs.select("src", "dst").distinct().join(a, "src").join(b, "dst")
-        told = met.select("src", "dst", verdict("print_src", "n_src", "few_src", "print_dst", "n_dst", "few_dst").alias("verdict"))
-        return settle(told.where("verdict > 0").select("src", "dst", (F.col("verdict") == 2).alias("sure")))
-
-    found = []
-    rows = settle(_keyed_blocks(prints, repeated(_keyed_blocks(prints))))
-    while True:
-        sizes = settle(rows.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
-        shared = settle(rows.join(sizes, "h"))
-        few, many = shared.where(F.col("size") <= BUCKET), shared.where(F.col("size") > BUCKET)
-        pairs = few.select("h", F.col("node").alias("src")).join(few.select("h", F.col("node").alias("dst")), "h").where("src < dst")
-        found.append(verified(pairs))
-        if many.isEmpty():
-            return reduce(DataFrame.unionByName, found).distinct()
-        rank = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("node", "h"), "node"))
-        drawn = settle(many.withColumn("rank", rank).where(F.col("rank") <= BUCKET).select("h", F.col("node").alias("drawn")))
-        against = many.select("h", "node").join(drawn, "h")
-        ends = {"src": F.least("node", "drawn"), "dst": F.greatest("node", "drawn")}
-        alike = verified(against.where("node <> drawn").withColumns(ends))
-        found.append(alike)
-        left = against.withColumns(ends).join(alike.where("sure"), ["src", "dst"], "left_semi").select("h", "node").unionByName(drawn.select("h", F.col("drawn").alias("node")))
-        rows = many.select("h", "node").join(left.distinct(), ["h", "node"], "left_anti")
-
-
-def _settled_doubts(doubtful: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """The pairs (src, dst) of ``doubtful`` whose shingles are as similar; texts: (node, text)."""
+        rows = zip(zip(print_a, n_a, few_a, strict=True), zip(print_b, n_b, few_b, strict=True), differ, strict=True)
+        return pd.Series([similarity(a, b, d) for a, b, d in rows], dtype=float)
+
+    a, b = (prints.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("print", "n", "few")]) for c in ("src", "dst"))
+    met = pairs.join(a, "src").join(b, "dst")
+    exact = F.col("few_src").isNotNull() & F.col("few_dst").isNotNull()
+    told = met.select("src", "dst", rate("print_src", "n_src", "few_src", "print_dst", "n_dst", "few_dst").alias("told"), F.when(exact, F.lit(0.0)).otherwise(F.lit(DOUBT)).alias("doubt"))
+    return settle(told.where(F.col("told") >= least - F.col("doubt")).select("src", "dst", "told", (F.col("told") >= least + F.col("doubt")).alias("sure")))
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``pairs`` whose ends lie in different groups of ``found`` (node, component)."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}"))
+    apart = F.coalesce("root_src", "src") != F.coalesce("root_dst", "dst")
+    return settle(pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left").where(apart).select(*pairs.columns))
+
+
+def _settled_doubts(doubtful: DataFrame, texts, least: float, shingle: int) -> DataFrame:
+    """The pairs (src, dst) of ``doubtful`` whose shingles are as similar; ``texts`` gives (node, text) for nodes."""
 
     @F.pandas_udf("binary")
     def hashes(text: pd.Series) -> pd.Series:
@@ -269,9 +261,42 @@ def _settled_doubts(doubtful: DataFrame, texts: DataFrame, least: float, shingle
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    sets = settle(texts.select("node", hashes("text").alias("hashes")))
+    sets = settle(texts(doubtful.select(F.explode(F.array("src", "dst")).alias("node")).distinct()).select("node", hashes("text").alias("hashes")))
     a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in ("src", "dst"))
-    return settle(doubtful.join(a, "src").join(b, "dst").where(similar("hashes_src", "hashes_dst")).select("src", "dst"))
+    return settle(doubtful.select("src", "dst").join(a, "src").join(b, "dst").where(similar("hashes_src", "hashes_dst")).select("src", "dst"))
+
+
+def similar_groups(prints: DataFrame, texts, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(node, component): the groups that links of a similarity of ``least`` or more make of ``prints`` (node, print, n, few), one row for each
+    distinct print, where they have another member. ``texts`` gives (node, text) for a table of nodes.
+
+    Prints are compared in turns, one for each cut of the prints into blocks: a small bucket's prints with each other, a large one's with one that is
+    drawn anew each turn, as far as they are not in one group yet. What prints leave in doubt is settled by the shingles at the end: first each
+    text's likeliest pair, then those pairs that are still apart.
+    """
+    links, doubtful = None, []
+    found = prints.limit(0).select("node", F.col("node").alias("component"))
+    for turn, stride in enumerate(STRIDES):
+        rows = settle(_keyed_blocks(prints, stride, repeated(_keyed_blocks(prints, stride))))
+        rooted = rows.join(found, "node", "left").select("h", "node", F.coalesce("component", "node").alias("root"))
+        rated = _rated(_pairs(rooted, turn), prints, least)
+        fresh = rated.where("sure").select("src", "dst")
+        doubtful.append(rated.where("NOT sure").select("src", "dst", "told"))
+        links = settle((fresh if links is None else links.unionByName(fresh)).distinct())  # one frame of few partitions, whatever the turns
+        if not fresh.isEmpty():
+            found = settle(connected_components(links))
+    rest = _apart(reduce(DataFrame.unionByName, doubtful).groupBy("src", "dst").agg(F.max("told").alias("told")), found)
+    for likeliest in (True, False):
+        if rest.isEmpty():
+            break
+        now = rest
+        if likeliest:
+            ends = rest.select(F.explode(F.array("src", "dst")).alias("node"), "src", "dst", "told")
+            now = settle(ends.groupBy("node").agg(F.max(F.struct("told", "src", "dst")).alias("p")).select("p.src", "p.dst").distinct())
+        links = settle(links.unionByName(_settled_doubts(now, texts, least, shingle)).distinct())
+        found = settle(connected_components(links))
+        rest = _apart(rest.join(now.select("src", "dst"), ["src", "dst"], "left_anti"), found) if likeliest else rest
+    return found
 
 
 def dedup_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -279,8 +304,7 @@ def dedup_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> Data
     such the one with the smallest hash.
 
     Similarity is Jaccard's, over distinct shingles of ``shingle`` words. Texts without words are alike. Copies fold into one print before anything is
-    compared. Prints decide what their estimate leaves no doubt about; of the pairs in doubt, those that no sure links connect are held against
-    each other by their shingles.
+    compared; see ``similar_groups``.
     """
 
     @F.pandas_udf("print binary, n int, few binary")
@@ -289,21 +313,16 @@ def dedup_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> Data
 
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("doc_id", "text").alias("text_hash"))
     printed = settle(docs.select(key.alias("k"), told("text").alias("p")).select("k", "p.*"))
-    groups = printed.groupBy("print", "n", "few").agg(F.min("k").alias("k"))
-    prints = settle(groups.withColumn("node", F.monotonically_increasing_id()))
-    links = settle(similar_links(prints.select("node", "print", "n", "few"), least))
-    sure = links.where("sure").select("src", "dst")
-    found = settle(connected_components(sure))
-    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}"))
-    apart = F.coalesce("root_src", "src") != F.coalesce("root_dst", "dst")
-    doubtful = settle(links.where("NOT sure").join(of("src"), "src", "left").join(of("dst"), "dst", "left").where(apart).select("src", "dst"))
-    if not doubtful.isEmpty():
-        needed = doubtful.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        ids = settle(prints.join(needed, "node", "left_semi").select("node", F.col("k.doc_id").alias("_dn_id2"), F.col("k.text_hash").alias("_dn_hash2")))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a print makes hundreds of keys, so few partitions would be large
+    prints = settle(printed.groupBy("print", "n", "few").agg(F.min("k").alias("k")).repartition(spread).withColumn("node", F.monotonically_increasing_id()))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        ids = settle(prints.join(nodes, "node", "left_semi").select("node", F.col("k.doc_id").alias("_dn_id2"), F.col("k.text_hash").alias("_dn_hash2")))
         ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
         keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_dn_hash"))
-        texts = keyed.join(ids, (keyed["_dn_hash"] == ids["_dn_hash2"]) & keyed["doc_id"].eqNullSafe(ids["_dn_id2"])).select("node", "text").dropDuplicates(["node"])
-        found = settle(connected_components(sure.unionByName(_settled_doubts(doubtful, texts, least, shingle))))
+        return keyed.join(ids, (keyed["_dn_hash"] == ids["_dn_hash2"]) & keyed["doc_id"].eqNullSafe(ids["_dn_id2"])).select("node", "text").dropDuplicates(["node"])
+
+    found = similar_groups(prints.select("node", "print", "n", "few"), texts, least, shingle)
     rooted = prints.select("node", "k").join(found, "node", "left").select(F.coalesce("component", "node").alias("root"), "k")
     kept = rooted.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_dn_id2"), F.col("k.text_hash").alias("_dn_hash2"))
     return _only(docs, kept)
