@@ -217,25 +217,43 @@ def edge_priority(edges: DataFrame) -> DataFrame:
     return edges.withColumns({"total": total, "diff": diff}).orderBy(F.desc("total"), "diff", "src_ids", "dst_ids")
 
 
+def _degrees(edges: DataFrame) -> DataFrame:
+    """Edges (fr, to, ...) with n_out, the edges that leave fr, and n_in, those that enter to."""
+    n = F.count(F.lit(1))
+    return edges.withColumn("n_in", n.over(Window.partitionBy("to"))).withColumn("n_out", n.over(Window.partitionBy("fr")))
+
+
 def event_types(edges: DataFrame, solo_gap: int = 2) -> DataFrame:
-    """(fr, to, state): each segment edge (fr, to, dist) as solo, solo_zp (dist up to ``solo_gap``), merge, split or mixed."""
-    out, into = edges.groupBy("fr").agg(F.count(F.lit(1)).alias("n_out")), edges.groupBy("to").agg(F.count(F.lit(1)).alias("n_in"))
-    e = edges.join(out, "fr").join(into, "to")
-    state = "CASE WHEN n_out > 1 AND n_in > 1 THEN 'mixed' WHEN n_out > 1 THEN 'split' WHEN n_in > 1 THEN 'merge' ELSE 'solo' END"
-    e = e.withColumn("role", F.expr(state))
-    by_fr, by_to = e.groupBy("fr").agg(F.collect_set("role").alias("fr_roles")), e.groupBy("to").agg(F.collect_set("role").alias("to_roles"))
-    mixed = (F.col("role") == "mixed") | ((F.col("role") == "split") & F.array_contains("fr_roles", "mixed")) | ((F.col("role") == "merge") & F.array_contains("to_roles", "mixed"))
-    named = F.when(mixed, "mixed").when((F.col("role") == "solo") & (F.col("dist") <= solo_gap), "solo_zp").otherwise(F.col("role"))
-    return e.join(by_fr, "fr").join(by_to, "to").select("fr", "to", "dist", named.alias("state"))
+    """(fr, to, dist, state): what each segment edge (fr, to, dist) is part of.
+
+    An edge is solo if it is the only one at both its ends (solo_zp with a dist up to ``solo_gap``), and mixed if it is one of several at both. A split is
+    classic if none of its edges is mixed, and so is a merge; the other edges at one with a mixed edge are ``beside`` it and part of neither.
+    """
+    e = _degrees(edges).withColumn("most_in", F.max("n_in").over(Window.partitionBy("fr"))).withColumn("most_out", F.max("n_out").over(Window.partitionBy("to")))
+    solo = F.when(F.col("dist") <= solo_gap, "solo_zp").otherwise("solo")
+    alone = F.expr("CASE WHEN n_out > 1 AND n_in > 1 THEN 'mixed' WHEN n_out > 1 AND most_in = 1 THEN 'split' WHEN n_in > 1 AND most_out = 1 THEN 'merge' ELSE 'beside' END")
+    return e.select("fr", "to", "dist", F.when(F.expr("n_out = 1 AND n_in = 1"), solo).otherwise(alone).alias("state"))
 
 
 def mixed_events(edges: DataFrame) -> DataFrame:
-    """(event, ins, outs): mixed segment edges (fr, to) gathered into events, with the segments that enter and leave each."""
-    left, right = F.concat(F.lit("a"), F.col("fr").cast("string")), F.concat(F.lit("b"), F.col("to").cast("string"))
-    e = edges.select("fr", "to", left.alias("src"), right.alias("dst"))
-    found = connected_components(e.select("src", "dst"))
-    met = e.join(found.withColumnRenamed("node", "src"), "src")
-    return met.groupBy("component").agg(F.array_sort(F.collect_set("fr")).alias("ins"), F.array_sort(F.collect_set("to")).alias("outs")).select(F.array_min("ins").alias("event"), "ins", "outs")
+    """(event, ins, outs): the events around the mixed ones of all segment edges (fr, to), with the segments that enter and leave each.
+
+    A mixed edge gathers its ends, the predecessors of the successors of its fr, and the successors of the predecessors of its to; equal gatherings
+    are one event. Within it those without successors leave, all others enter: so internal segments, with both, enter too. Events are
+    named by their smallest entering segment and may share segments.
+    """
+    e = edges.select("fr", "to").distinct()
+    mixed = _degrees(e).where("n_out > 1 AND n_in > 1").select(F.col("fr").alias("a"), F.col("to").alias("b"))
+    first, second = e.select(F.col("fr").alias("x"), F.col("to").alias("y")), e.select(F.col("fr").alias("u"), F.col("to").alias("v"))
+    ahead = mixed.join(first, mixed["a"] == first["x"]).join(second, F.col("y") == F.col("v")).select("a", "b", F.col("u").alias("m"))
+    back = mixed.join(first, mixed["b"] == first["y"]).join(second, F.col("x") == F.col("u")).select("a", "b", F.col("v").alias("m"))
+    members = ahead.unionByName(back).groupBy("a", "b").agg(F.array_sort(F.collect_set("m")).alias("cluster"))
+    each = members.select("cluster").distinct().withColumn("m", F.explode("cluster"))
+    within = lambda c: F.coalesce(F.max(F.array_contains("cluster", F.col(c))), F.lit(False))
+    leads = each.join(first, each["m"] == first["x"], "left").groupBy("cluster", "m").agg(within("y").alias("leads"))
+    # a member of a cluster of two or more has an edge within it, so one that leads to no other is led to
+    parts = leads.groupBy("cluster").agg(F.array_sort(F.collect_set(F.expr("CASE WHEN leads THEN m END"))).alias("ins"), F.array_sort(F.collect_set(F.expr("CASE WHEN NOT leads THEN m END"))).alias("outs"))
+    return parts.select(F.array_min("ins").alias("event"), "ins", "outs")
 
 
 def neighbours(edges: DataFrame, key: str = "fr", value: str = "to") -> DataFrame:

@@ -200,7 +200,7 @@ def isolated_connections(paths: DataFrame, links: DataFrame) -> DataFrame:
 
 def position_class(edges: DataFrame, typed: DataFrame) -> DataFrame:
     """Solo edges (fr, to) by how many of their sides touch a split or merge of ``typed`` (fr, to, state): neither, one or both."""
-    busy = typed.where("state IN ('split', 'merge', 'mixed')")
+    busy = typed.where("state IN ('split', 'merge', 'mixed', 'beside')")
     a = busy.select(F.col("to").alias("fr")).distinct().withColumn("left", F.lit(1))
     b = busy.select(F.col("fr").alias("to")).distinct().withColumn("right", F.lit(1))
     met = edges.join(a, "fr", "left").join(b, "to", "left")

@@ -450,9 +450,9 @@ def simple_paths_capped(spark, d):
 
 
 EVENTS = """deg AS (SELECT *, count(*) OVER (PARTITION BY fr) AS o, count(*) OVER (PARTITION BY "to") AS i FROM e),
-role AS (SELECT *, CASE WHEN o > 1 AND i > 1 THEN 'mixed' WHEN o > 1 THEN 'split' WHEN i > 1 THEN 'merge' ELSE 'solo' END AS role FROM deg),
-typed AS (SELECT fr, "to", dist, CASE WHEN role = 'mixed' OR (role = 'split' AND max(CAST(role = 'mixed' AS INTEGER)) OVER (PARTITION BY fr) = 1) OR (role = 'merge' AND max(CAST(role = 'mixed' AS INTEGER)) OVER (PARTITION BY "to") = 1) THEN 'mixed'
-  WHEN role = 'solo' AND dist <= 2 THEN 'solo_zp' ELSE role END AS state FROM role)"""
+typed AS (SELECT fr, "to", dist, CASE WHEN o = 1 AND i = 1 THEN CASE WHEN dist <= 2 THEN 'solo_zp' ELSE 'solo' END WHEN o > 1 AND i > 1 THEN 'mixed'
+  WHEN o > 1 AND NOT EXISTS (SELECT 1 FROM deg x WHERE x.fr = d.fr AND x.i > 1) THEN 'split'
+  WHEN i > 1 AND NOT EXISTS (SELECT 1 FROM deg x WHERE x."to" = d."to" AND x.o > 1) THEN 'merge' ELSE 'beside' END AS state FROM deg d)"""
 SEGEDGES = "e AS (SELECT a.obj * 1000 + a.seg AS fr, b.obj * 1000 + b.seg AS \"to\", b.t_start - a.t_end + 1 AS dist FROM seg a JOIN seg b ON a.obj // 10 = b.obj // 10 AND b.t_start - a.t_end BETWEEN 1 AND 2)"
 
 
@@ -466,11 +466,15 @@ def event_types(spark, d):
     return graph.event_types(_segment_edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {SEG}, {SEGEDGES}, {EVENTS}, m AS (SELECT fr, "to" FROM typed WHERE state = 'mixed'), l AS (SELECT a.fr AS x, b.fr AS y FROM m a JOIN m b ON a."to" = b."to"),
-w(x, y) AS (SELECT x, y FROM l UNION SELECT w.x, l.y FROM w JOIN l ON l.x = w.y), g AS (SELECT x AS fr, min(y) AS event FROM w GROUP BY x)
-SELECT event, string_agg(DISTINCT CAST(g.fr AS VARCHAR), ',' ORDER BY CAST(g.fr AS VARCHAR)) AS ins, string_agg(DISTINCT CAST(m."to" AS VARCHAR), ',' ORDER BY CAST(m."to" AS VARCHAR)) AS outs FROM g JOIN m ON m.fr = g.fr GROUP BY event""")
+@query(f"""WITH {SEG}, {SEGEDGES}, {EVENTS}, mx AS (SELECT fr AS a, "to" AS b FROM typed WHERE state = 'mixed'),
+mem AS (SELECT a, b, a AS m FROM mx UNION SELECT a, b, b FROM mx UNION SELECT a, b, q.fr FROM mx JOIN e p ON p.fr = a JOIN e q ON q."to" = p."to" UNION SELECT a, b, q."to" FROM mx JOIN e p ON p."to" = b JOIN e q ON q.fr = p.fr),
+cl AS (SELECT DISTINCT c FROM (SELECT list_sort(list(m)) AS c FROM mem GROUP BY a, b)), cm AS (SELECT c, unnest(c) AS m FROM cl),
+inner_e AS (SELECT x.c, x.m AS fr, y.m AS "to" FROM cm x JOIN e ON e.fr = x.m JOIN cm y ON y.c = x.c AND y.m = e."to"),
+pt AS (SELECT c, m, (c, m) IN (SELECT (c, fr) FROM inner_e) AS s, (c, m) IN (SELECT (c, "to") FROM inner_e) AS p FROM cm)
+SELECT min(m) FILTER (WHERE NOT p OR s) AS event, string_agg(CAST(m AS VARCHAR), ',' ORDER BY CAST(m AS VARCHAR)) FILTER (WHERE NOT p OR s) AS ins,
+  string_agg(CAST(m AS VARCHAR), ',' ORDER BY CAST(m AS VARCHAR)) FILTER (WHERE NOT s) AS outs FROM pt GROUP BY c""")
 def mixed_events(spark, d):
-    e = graph.mixed_events(graph.event_types(_segment_edges(spark, d)).where("state = 'mixed'"))
+    e = graph.mixed_events(_segment_edges(spark, d))
     text = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: x.cast("string"))), ",").alias(c)
     return e.select("event", text("ins"), text("outs"))
 
@@ -800,7 +804,7 @@ def stuck_boxes(spark, d):
     return track.stuck(joins.overlap_join(det, det, 1), 12.0).select("id_a", "id_b")
 
 
-@query(f"""WITH {SEG}, {SEGEDGES}, {EVENTS}, busy AS (SELECT * FROM typed WHERE state IN ('split', 'merge', 'mixed'))
+@query(f"""WITH {SEG}, {SEGEDGES}, {EVENTS}, busy AS (SELECT * FROM typed WHERE state IN ('split', 'merge', 'mixed', 'beside'))
 SELECT s.fr, s."to", CASE CAST(s.fr IN (SELECT "to" FROM busy) AS INTEGER) + CAST(s."to" IN (SELECT fr FROM busy) AS INTEGER) WHEN 0 THEN 'neither' WHEN 1 THEN 'one' ELSE 'both' END AS position FROM typed s WHERE state LIKE 'solo%'""")
 def solo_positions(spark, d):
     typed = graph.event_types(_segment_edges(spark, d))
