@@ -55,7 +55,7 @@ def polygon_moments(points: str | Column) -> Column:
     yy = total(lambda s: cross(s) * (s["y0"] ** 2 + s["y0"] * s["y1"] + s["y1"] ** 2)) / 12
     area = F.abs(m00).cast("bigint")
     mzz = sign * (xx + yy) - F.try_divide((sign * m10) ** 2 + (sign * m01) ** 2, F.abs(m00))
-    return F.struct(area.alias("area"), F.try_divide(sign * m10, area).alias("cx"), F.try_divide(sign * m01, area).alias("cy"), mzz.cast("bigint").alias("mzz"))
+    return F.struct(area.alias("area"), F.try_divide(sign * m10, area).alias("cx"), F.try_divide(sign * m01, area).alias("cy"), (mzz + 1e-6).cast("bigint").alias("mzz"))  # a whole number may come out a trace below itself
 
 
 def hull(points: np.ndarray) -> np.ndarray:

@@ -128,7 +128,9 @@ def match_by_first_node(old: DataFrame, new: DataFrame, keys: tuple[str, ...] =
 
 def target_hits(extended: DataFrame, targets: DataFrame) -> DataFrame:
     """Extended nodes (seg, t, ids) at a target (target, t, ids): hit is full for equal id sets, partial for a common id."""
-    met = extended.join(targets.withColumnRenamed("ids", "target_ids"), "t").where(F.arrays_overlap("ids", "target_ids"))
+    ours = extended.select("seg", "t", "ids", F.explode("ids").alias("_id"))
+    theirs = targets.select("target", "t", F.col("ids").alias("target_ids"), F.explode("ids").alias("_id"))
+    met = ours.join(theirs, ["t", "_id"]).select("seg", "target", "t", "ids", "target_ids").distinct()
     full = F.array_sort("ids") == F.array_sort("target_ids")
     return met.select("seg", "target", "t", F.when(full, "full").otherwise("partial").alias("hit"))
 

@@ -7,7 +7,6 @@ from xml.sax.saxutils import quoteattr
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +51,11 @@ def read_frames(spark: SparkSession, folder: str, suffix: str = ".bmp", map_x: n
 
 
 def stage(spark: SparkSession, path: str, make: Callable[[], DataFrame], compression: str = "zstd") -> DataFrame:
-    """The table at ``path``, made and written first if it is not there yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        make().write.option("compression", compression).parquet(path)
-        return spark.read.parquet(path)
+    """The table at ``path``, made and written first if it is not there yet; what an interrupted write left there is replaced."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").option("compression", compression).parquet(path)
+    return spark.read.parquet(path)
 
 
 def artifact_catalog(files: DataFrame, prefixes: list[str]) -> DataFrame:
