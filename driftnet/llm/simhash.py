@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from driftnet.llm.marks import marked, repeated
 from driftnet.operators.graph import connected_components
-from driftnet.storage import settle
+from driftnet.storage import settle, written
 
 #: Where the 64 bits are cut: two differing bits leave at least two of four blocks alike.
 BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
@@ -240,14 +240,14 @@ def _rated(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
     met = pairs.join(a, "src").join(b, "dst")
     exact = F.col("few_src").isNotNull() & F.col("few_dst").isNotNull()
     told = met.select("src", "dst", rate("print_src", "n_src", "few_src", "print_dst", "n_dst", "few_dst").alias("told"), F.when(exact, F.lit(0.0)).otherwise(F.lit(DOUBT)).alias("doubt"))
-    return settle(told.where(F.col("told") >= least - F.col("doubt")).select("src", "dst", "told", (F.col("told") >= least + F.col("doubt")).alias("sure")))
+    return written(told.where(F.col("told") >= least - F.col("doubt")).select("src", "dst", "told", (F.col("told") >= least + F.col("doubt")).alias("sure")))
 
 
 def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The ``pairs`` whose ends lie in different groups of ``found`` (node, component)."""
     of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}"))
     apart = F.coalesce("root_src", "src") != F.coalesce("root_dst", "dst")
-    return settle(pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left").where(apart).select(*pairs.columns))
+    return written(pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left").where(apart).select(*pairs.columns))
 
 
 def _settled_doubts(doubtful: DataFrame, texts, least: float, shingle: int) -> DataFrame:
@@ -261,9 +261,9 @@ def _settled_doubts(doubtful: DataFrame, texts, least: float, shingle: int) -> D
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    sets = settle(texts(doubtful.select(F.explode(F.array("src", "dst")).alias("node")).distinct()).select("node", hashes("text").alias("hashes")))
+    sets = written(texts(doubtful.select(F.explode(F.array("src", "dst")).alias("node")).distinct()).select("node", hashes("text").alias("hashes")))
     a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in ("src", "dst"))
-    return settle(doubtful.select("src", "dst").join(a, "src").join(b, "dst").where(similar("hashes_src", "hashes_dst")).select("src", "dst"))
+    return written(doubtful.select("src", "dst").join(a, "src").join(b, "dst").where(similar("hashes_src", "hashes_dst")).select("src", "dst"))
 
 
 def similar_groups(prints: DataFrame, texts, least: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -274,6 +274,7 @@ def similar_groups(prints: DataFrame, texts, least: float = 0.8, shingle: int =
     drawn anew each turn, as far as they are not in one group yet. What prints leave in doubt is settled by the shingles at the end: first each
     text's likeliest pair, then those pairs that are still apart.
     """
+    # tables, not checkpoints, go from turn to turn: a checkpoint keeps its plan's constraints, which multiply with each turn's joins
     links, doubtful = None, []
     found = prints.limit(0).select("node", F.col("node").alias("component"))
     for turn, stride in enumerate(STRIDES):
@@ -282,9 +283,9 @@ def similar_groups(prints: DataFrame, texts, least: float = 0.8, shingle: int =
         rated = _rated(_pairs(rooted, turn), prints, least)
         fresh = rated.where("sure").select("src", "dst")
         doubtful.append(rated.where("NOT sure").select("src", "dst", "told"))
-        links = settle((fresh if links is None else links.unionByName(fresh)).distinct())  # one frame of few partitions, whatever the turns
+        links = written((fresh if links is None else links.unionByName(fresh)).distinct())  # one frame of few partitions, whatever the turns
         if not fresh.isEmpty():
-            found = settle(connected_components(links))
+            found = written(connected_components(links))
     rest = _apart(reduce(DataFrame.unionByName, doubtful).groupBy("src", "dst").agg(F.max("told").alias("told")), found)
     for likeliest in (True, False):
         if rest.isEmpty():
@@ -293,8 +294,8 @@ def similar_groups(prints: DataFrame, texts, least: float = 0.8, shingle: int =
         if likeliest:
             ends = rest.select(F.explode(F.array("src", "dst")).alias("node"), "src", "dst", "told")
             now = settle(ends.groupBy("node").agg(F.max(F.struct("told", "src", "dst")).alias("p")).select("p.src", "p.dst").distinct())
-        links = settle(links.unionByName(_settled_doubts(now, texts, least, shingle)).distinct())
-        found = settle(connected_components(links))
+        links = written(links.unionByName(_settled_doubts(now, texts, least, shingle)).distinct())
+        found = written(connected_components(links))
         rest = _apart(rest.join(now.select("src", "dst"), ["src", "dst"], "left_anti"), found) if likeliest else rest
     return found
 
