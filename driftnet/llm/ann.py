@@ -8,31 +8,39 @@ those with exact products of the original vectors. The codebooks are fitted in o
 those of smallest hash; every vector is coded and scanned.
 
 Equal vectors are one candidate that stands for its members; as many of the smallest ids are kept as one result can
-hold, so a vector that a third of all rows share neither fills a block nor crowds others out. Candidates and queries meet in blocks of
-bounded size; a query's results of the blocks are merged by rank.
+hold, so a vector that a third of all rows share neither fills a block nor crowds others out. Candidates stay where they are: a pass
+broadcasts at most ``QUERY_BYTES`` of queries, each task scans its candidates block by block and sends a query's best alone, which are
+merged by rank. No vector and no code is shuffled after the candidates are coded.
 
 Defined cases: vectors that are null, zero, or hold nulls or non-finite components take no part; nor do those whose number of
 dimensions is not the most frequent one, or a null vec_id. Repeated rows are separate candidates with the same id, and only the
-query's own id is left out. Extra columns are ignored. With fewer candidates than asked for, all are returned. An empty table gives an empty
+query's own id is left out; repeated queries count once, and queries of one id with different vectors are ranked apart. Extra columns are ignored. With fewer candidates than asked for, all are returned. An empty table gives an empty
 result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftnet.storage import settle
+from driftnet.storage import fresh_path, settle
 
 #: Dimensions of a subspace; codes in it; distinct vectors to fit on; rounds of the fit; threshold of the loss.
 WIDTH, CODES, SAMPLE, ROUNDS, THRESHOLD = 2, 16, 20_000, 8, 0.2
-#: Distinct candidates of a block, queries of a block, and candidates of a block that are reranked for a query.
-BLOCK, QUERIES, REFINE = 8192, 512, 128
+#: Distinct candidates of a block, and of these as many as are reranked for a query.
+BLOCK, REFINE = 8192, 128
+#: Bytes of queries that a pass broadcasts, and of candidates that a task holds at least where the cluster's cores leave a choice.
+QUERY_BYTES, TASK_BYTES = 16 << 20, 128 << 20
+#: Queries whose tables are made at once; rows of a batch that a task sends.
+CHUNK, ROWS = 64, 20_000
 
 
 def eta(dims: int, threshold: float = THRESHOLD) -> float:
@@ -126,7 +134,7 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 def index(vectors: DataFrame, keep: int, sample: int = SAMPLE) -> tuple[DataFrame, np.ndarray | None]:
-    """((v, ids, code, block), codebooks): distinct vectors with up to ``keep`` smallest ids of their rows, coded.
+    """((v, ids, code), codebooks): distinct vectors with up to ``keep`` smallest ids of their rows, coded, dealt evenly.
 
     The limit per vector is applied on the map side too, so a frequent vector sends few rows. It drops nothing that could be a result.
     """
@@ -141,7 +149,7 @@ def index(vectors: DataFrame, keep: int, sample: int = SAMPLE) -> tuple[DataFram
     chosen = distinct.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample)
     got = chosen.groupBy(F.lit(0).alias("one")).applyInPandas(one, "books binary, dims int").first()
     if got is None:
-        return distinct.select("v", "ids", F.lit(None).cast("binary").alias("code"), F.lit(0).cast("long").alias("block")), None
+        return distinct.select("v", "ids", F.lit(None).cast("binary").alias("code")), None
     books = np.frombuffer(got["books"]).reshape(-1, CODES, WIDTH)
     weight = eta(got["dims"])
 
@@ -149,47 +157,82 @@ def index(vectors: DataFrame, keep: int, sample: int = SAMPLE) -> tuple[DataFram
     def coded(v: pd.Series) -> pd.Series:
         return pd.Series([c.tobytes() for c in pack(encode(np.stack(v.to_numpy()).astype("float64"), books, weight))])
 
-    blocks = max(1, math.ceil(distinct.count() / BLOCK))
-    return distinct.select("v", "ids", coded("v").alias("code"), F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block")), books
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(distinct.count() * got["dims"] * 8 / TASK_BYTES))
+    return settle(distinct.repartition(tasks, "v").select("v", "ids", coded("v").alias("code"))), books
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(vectors, ids of each, packed codes) of ``BLOCK`` candidates at a time, by their smallest ids."""
+
+    def block(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        v, ids, code = (rows.column(c).combine_chunks() for c in ("v", "ids", "code"))
+        n = rows.num_rows
+        ids = np.split(ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+        order = np.argsort([x[0] for x in ids], kind="stable")
+        packed = np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(n, -1)
+        return v.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)[order], [ids[i] for i in order], packed[order]
+
+    held = None
+    for batch in batches:
+        more = pa.Table.from_batches([batch])
+        held = more if held is None else pa.concat_tables([held, more])
+        while held.num_rows >= BLOCK:
+            yield block(held.slice(0, BLOCK))
+            held = held.slice(BLOCK)
+    if held is not None and held.num_rows:
+        yield block(held)
+
+
+def _nearest(asked: Broadcast, k: int, refine: int):
+    """For the candidates of a task: (row, query_id, vec_id, score) of the k best for each query of ``asked`` (rows, query ids, vectors, codebooks)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, query_ids, x, books = asked.value
+        best = np.full((len(x), k), -np.inf)
+        who = np.full((len(x), k), np.iinfo(np.int64).max)
+        for v, ids, packed in _blocks(batches):
+            for at in range(0, len(x), CHUNK):
+                for q, approx in enumerate(scan(x[at : at + CHUNK], packed, books), at):
+                    top = np.sort(np.argpartition(-approx, refine)[:refine]) if len(approx) > refine else np.arange(len(approx))
+                    exact = v[top] @ x[q]
+                    near = np.argsort(-exact, kind="stable")[: k + 1]
+                    if exact[near[0]] < best[q, -1]:
+                        continue
+                    members = [ids[i] for i in top[near]]
+                    found, score = np.concatenate(members), np.repeat(exact[near], [len(m) for m in members])
+                    other = found != query_ids[q]
+                    found, score = np.concatenate([who[q], found[other]]), np.concatenate([best[q], score[other]])
+                    order = np.lexsort((found, -score))[:k]
+                    best[q], who[q] = score[order], found[order]
+        for at in range(0, len(x), step := max(1, ROWS // k)):
+            row, rank = np.nonzero(best[at : at + step] > -np.inf)
+            columns = [rows[at + row], query_ids[at + row], who[at + row, rank], best[at + row, rank]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "query_id", "vec_id", "score"])
+
+    return each
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, refine: int = REFINE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of ``queries`` (vec_id, v) the k of ``vectors`` (vec_id, v) of largest product.
 
-    A query's own id is left out. Equal scores go by vec_id.
+    A query's own id is left out. Equal scores go by vec_id. What is shuffled are k rows for each query from each task.
     """
+    spark, kind = vectors.sparkSession, "query_id long, rank int, vec_id long, score double"
     coded, books = index(vectors, k + 1, sample)
-    coded = settle(coded)
-    q_blocks = max(1, math.ceil(queries.count() / QUERIES))
-    c_blocks = max(1, math.ceil(coded.count() / BLOCK))
-    kind = "query_id long, vec_id long, score double"
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("qb"))
-    left = coded.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<long>")))
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)).cast("array<long>")))
-
-    def meet(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if c.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        v = np.stack(c["v"].to_numpy()).astype("float64")
-        ids = c["ids"].tolist()
-        first = np.array([x[0] for x in ids])
-        order = np.argsort(first, kind="stable")  # so that equal scores go by id
-        v, ids = v[order], [ids[i] for i in order]
-        packed = np.frombuffer(b"".join(c["code"].iloc[order]), np.uint8).reshape(len(v), -1)
-        out = []
-        for at in range(0, len(q), 64):
-            some = np.stack(q["q"].iloc[at : at + 64].to_numpy()).astype("float64")
-            near = scan(some, packed, books)
-            for query, x, approx in zip(q["query_id"].iloc[at : at + 64], some, near, strict=True):
-                top = np.sort(np.argpartition(-approx, refine)[:refine]) if len(approx) > refine else np.arange(len(approx))
-                exact = v[top] @ x
-                found = []
-                for j in np.argsort(-exact, kind="stable")[: k + 1]:
-                    found += [(float(exact[j]), int(i)) for i in ids[top[j]] if i != query]
-                found.sort(key=lambda t: (-t[0], t[1]))
-                out += [(query, i, s) for s, i in found[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    met = left.groupBy("block", "qb").cogroup(right.groupBy("block", "qb")).applyInPandas(meet, kind)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = settle(queries.select("vec_id", "v").distinct().withColumn("row", F.monotonically_increasing_id()))
+    if books is None or (n := asked.count()) == 0:
+        return spark.createDataFrame([], kind)
+    passes = math.ceil(n * asked.select(F.size("v")).first()[0] * 8 / QUERY_BYTES)
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
+    path = fresh_path(spark)
+    for turn in range(passes):
+        part = asked.where(F.pmod(F.xxhash64("row"), F.lit(passes)) == turn).toArrow()
+        if part.num_rows == 0:
+            continue
+        x = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+        given = spark.sparkContext.broadcast((part.column("row").to_numpy(), part.column("vec_id").to_numpy(), x, books))
+        found = coded.mapInArrow(_nearest(given, k, refine), "row long, query_id long, vec_id long, score double")
+        found = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found.write.mode("append").parquet(path)  # kept, so that the queries can be let go
+        given.destroy()
+    return spark.read.schema(kind).parquet(path)

@@ -44,7 +44,7 @@ def test_search_ties_bad_vectors_and_copies(spark):
 
 def test_search_in_blocks_has_recall(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 100)
-    monkeypatch.setattr(ann, "QUERIES", 7)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 64 * 8 * 20)
     rows = spark.read.parquet(f"{SF}/embeddings.parquet")
     x = {r.vec_id: np.array(r.embedding, float) for r in rows.collect()}
     v = ann.usable(rows)
