@@ -29,8 +29,9 @@ from driftnet.storage import settle
 
 #: A line with its line break and the blank space after it.
 LINE = r"(?s).+?(?:\n[ \t\n\r\f]*|\z)"
-#: The end of a sentence: closing marks and white space, or a line break. A run of marks is entered at its start only, so the search is linear.
-SENTENCE_END = re.compile(r"(?<![.!?])[.!?]++[\"')\]]*+\s++|\n\s*+")
+#: The end of a sentence: closing marks and white space, or a line break. A run of marks is entered at its start only, so the search is linear;
+#: the pattern begins with a set of characters, to which the engine skips.
+SENTENCE_END = re.compile(r"[.!?\n](?:(?<=\n)\s*+|(?<![.!?][.!?])(?<!\n)[.!?]*+[\"')\]]*+\s++)")
 WORD = re.compile(r"\S+\s*")
 LONG = 16
 #: One word in so many ends a part of a long sentence, by its hash.
