@@ -20,12 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftnet.llm.marks import marked, repeated
-from driftnet.storage import settle
+from driftnet.storage import settle, written
 
 #: A line with its line break and the blank space after it.
 LINE = r"(?s).+?(?:\n[ \t\n\r\f]*|\z)"
@@ -56,8 +55,8 @@ def later_occurrences(runs: DataFrame) -> DataFrame:
     return later.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "len")).alias("_dn_spans"))
 
 
-def _with_verdicts(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    a, b = _keyed(docs), spans.select(F.col(KEY[0]).alias("_dn_id2"), F.col(KEY[1]).alias("_dn_hash2"), "_dn_spans")
+def _with_verdicts(docs: DataFrame, spans: DataFrame, *more: str) -> DataFrame:
+    a, b = _keyed(docs), spans.select(F.col(KEY[0]).alias("_dn_id2"), F.col(KEY[1]).alias("_dn_hash2"), "_dn_spans", *more)
     return a.join(b, (a["_dn_hash"] == b["_dn_hash2"]) & a["_dn_id"].eqNullSafe(b["_dn_id2"]), "left").drop(*KEY, "_dn_id2", "_dn_hash2")
 
 
@@ -110,26 +109,18 @@ class _Hashes(dict):
 HASHES = _Hashes()
 
 
-def _parts(sentence: str) -> list[str]:
-    """A long sentence cut after the words whose hash ENDS divides, wherever a passage stands; of 16 words without one, after the last
-    of least hash. A part has two words at least, but for the last."""
-    bare = sentence.split()
-    spaced = " ".join(bare)
-    if sentence.startswith(spaced):  # single spaces, which need no second look
-        words = [x + " " for x in bare]
-        words[-1] = bare[-1] + sentence[len(spaced) :]
-    else:
-        words = WORD.findall(sentence)
+def _cuts(bare: list[str]) -> list[int]:
+    """Where the parts of a long sentence of these words end: after the words whose hash ENDS divides, wherever a passage stands; of 16 words
+    without one, after the last of least hash. A part has two words at least, but for the last."""
     hashes = [HASHES[x] for x in bare]
-    out, start, n = [], 0, len(words)
+    out, start, n = [], 0, len(bare)
     for cut in [*[i for i, h in enumerate(hashes) if not h % ENDS], n - 1]:
         while cut - start >= LONG:
-            at = min(range(start + LONG - 1, start, -1), key=hashes.__getitem__)
-            out.append("".join(words[start : at + 1]))
-            start = at + 1
+            start = min(range(start + LONG - 1, start, -1), key=hashes.__getitem__) + 1
+            out.append(start)
         if cut > start or cut == n - 1 == start:
-            out.append("".join(words[start : cut + 1]))
             start = cut + 1
+            out.append(start)
     return out
 
 
@@ -146,20 +137,42 @@ def sentences(text: str) -> list[str]:
     """The text cut into sentences, nothing lost; a sentence of over ``LONG`` words is cut into parts."""
     out = []
     for piece in _sentences(text):
-        if len(piece) <= 2 * LONG or len(piece.split()) <= LONG:
+        bare = piece.split() if len(piece) > 2 * LONG else ()
+        if len(bare) <= LONG:
             out.append(piece)
-        else:
-            bare = piece.lstrip()
-            parts = _parts(bare)
-            parts[0] = piece[: len(piece) - len(bare)] + parts[0]
-            out += parts
+            continue
+        words = WORD.findall(piece)
+        words[0] = piece[: len(piece) - len(piece.lstrip())] + words[0]
+        start = 0
+        for end in _cuts(bare):
+            out.append("".join(words[start:end]))
+            start = end
     return out
 
 
+def bare_sentences(text: str) -> tuple[list[str], list[int]]:
+    """The words of each of ``sentences``, with single spaces, and their number, 1 at least."""
+    clean, counts = [], []
+    for piece in _sentences(text):
+        bare = piece.split()
+        if len(bare) <= LONG:
+            clean.append(" ".join(bare))
+            counts.append(len(bare) or 1)
+            continue
+        start = 0
+        for end in _cuts(bare):
+            clean.append(" ".join(bare[start:end]))
+            counts.append(end - start)
+            start = end
+    return clean, counts
+
+
 def sentence_runs(text: str, run: int = 3, words: int = 10) -> list[tuple[int, int, int]]:
     """(hash, position, length) of the run that begins at each sentence: ``run`` sentences, or as many more as make ``words`` words."""
-    clean = [" ".join(x.split()) for x in sentences(text)]
-    counts = [x.count(" ") + 1 for x in clean]
+    return _runs(*bare_sentences(text), run, words)
+
+
+def _runs(clean: list[str], counts: list[int], run: int, words: int) -> list[tuple[int, int, int]]:
     digest = xxhash.xxh64_digest
     digests = b"".join([digest(x) for x in clean])
     out, end, total, n = [], 0, 0, len(clean)
@@ -175,59 +188,71 @@ def sentence_runs(text: str, run: int = 3, words: int = 10) -> list[tuple[int, i
     return out
 
 
-def runs_of(docs: DataFrame, run: int = 3, words: int = 10, marks: Broadcast | None = None) -> DataFrame:
-    """(h, _dn_id, _dn_hash, pos, len) of every run, or of those whose bit in ``marks`` is set."""
+def sentence_index(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:
+    """(_dn_id, _dn_hash, n, hs, lens): each text's number of sentences, and the hash and length of the run that begins at each sentence from the first
+    on. A table in the shared folder, for which the texts are read once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [sentence_runs(t, run, words) if t else [] for t in part.column(2).to_pylist()]
-                rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                flat = np.array([y for x in found for y in x], np.int64).reshape(-1, 3)
-                if marks is not None:
-                    kept = marked(marks, flat[:, 0])
-                    rows, flat = rows[kept], flat[kept]
-                taken = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[:, 0].copy()), part.column(0).take(taken), part.column(1).take(taken), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32))],
-                    names=["h", *KEY, "pos", "len"],
-                )
+                cut = [bare_sentences(t) if t else ([], []) for t in part.column(2).to_pylist()]
+                found = [_runs(*x, run, words) for x in cut]
+                lists = [pa.array([[y[k] for y in x] for x in found], pa.list_(kind)) for k, kind in ((0, pa.int64()), (2, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x[0]) for x in cut], pa.int64()), *lists], names=[*KEY, "n", "hs", "lens"])
 
     source = _keyed(docs.select("doc_id", "text")).select(*KEY, "text")
-    return source.mapInArrow(each, f"h long, _dn_id {docs.schema['doc_id'].dataType.simpleString()}, _dn_hash long, pos int, len int")
+    return written(source.mapInArrow(each, f"_dn_id {docs.schema['doc_id'].dataType.simpleString()}, _dn_hash long, n long, hs array<long>, lens array<int>"))
+
 
+def repeated_runs(index: DataFrame) -> DataFrame:
+    """(h, _dn_id, _dn_hash, pos, len): the runs of ``sentence_index`` that may be repeated. Hashes alone are counted first; wide rows are made only
+    of those counted twice."""
+    marks = repeated(index.select(F.explode("hs").alias("h")))
 
-def _hashes_of(docs: DataFrame, run: int, words: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                yield pa.RecordBatch.from_arrays([pa.array([y[0] for t in batch.column(0).slice(at, 512).to_pylist() if t for y in sentence_runs(t, run, words)], pa.int64())], names=["h"])
-
-    return docs.select("text").mapInArrow(each, "h long")
-
+            ids, hashes, hs, lens = (batch.column(k) for k in range(4))
+            sizes = hs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            h = hs.flatten().to_numpy(zero_copy_only=False)
+            kept = np.flatnonzero(marked(marks, h))
+            row = np.repeat(np.arange(batch.num_rows), sizes)[kept]
+            pos = kept - (np.cumsum(sizes) - sizes)[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[kept]), ids.take(pa.array(row)), hashes.take(pa.array(row)), pa.array(pos.astype(np.int32)), lens.flatten().take(pa.array(kept))],
+                names=["h", *KEY, "pos", "len"],
+            )
 
-def repeated_runs(docs: DataFrame, run: int, words: int) -> DataFrame:
-    """The runs of ``runs_of`` that may be repeated: a first pass counts hashes alone, a second makes the wide rows of those counted twice."""
-    return settle(runs_of(docs, run, words, repeated(_hashes_of(docs, run, words))))
+    kind = index.schema["_dn_id"].dataType.simpleString()
+    return settle(index.select(*KEY, "hs", "lens").mapInArrow(each, f"h long, _dn_id {kind}, _dn_hash long, pos int, len int"))
 
 
 def dedup_substrings(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:
     """``docs`` without the sentences that a later occurrence of a repeated run of sentences covers.
 
     A run is at least ``run`` consecutive sentences and ``words`` words; sentences compare by their words, so white space
-    does not count. Adds n_sentences and n_removed.
+    does not count. Adds n_sentences and n_removed. Texts are cut into sentences once, for ``sentence_index``, and those that lose some once more.
     """
 
-    @F.pandas_udf("text string, n_sentences long, n_removed long")
+    @F.pandas_udf("text string, n_removed long")
     def cleaned(text: pd.Series, pos: pd.Series, length: pd.Series) -> pd.DataFrame:
         out = []
         for t, ps, ls in zip(text, pos, length, strict=True):
-            pieces = sentences(t) if t else []
-            gone = set() if ps is None else {i for p, n in zip(ps, ls, strict=True) for i in range(p, p + n)}
-            out.append(("".join(x for i, x in enumerate(pieces) if i not in gone) if gone else t, len(pieces), len(gone)))
-        return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
-
-    found = _with_verdicts(docs, later_occurrences(repeated_runs(docs, run, words)))
-    done = found.withColumn("_dn_out", cleaned("text", F.col("_dn_spans.pos"), F.col("_dn_spans.len")))
-    return done.withColumns({k: F.col("_dn_out")[k] for k in ("text", "n_sentences", "n_removed")}).drop("_dn_out", "_dn_spans")
+            gone = set() if t is None else {i for p, n in zip(ps, ls, strict=True) for i in range(p, p + n)}
+            out.append(("".join(x for i, x in enumerate(sentences(t)) if i not in gone) if gone else None, len(gone)))
+        return pd.DataFrame(out, columns=["text", "n_removed"])
+
+    index = sentence_index(docs, run, words)
+    later = later_occurrences(repeated_runs(index))
+    counts = index.groupBy(*KEY).agg(F.max("n").alias("n"))  # equal rows are one
+    verdicts = counts.withColumn("_dn_spans", F.lit(None).cast(later.schema["_dn_spans"].dataType)).unionByName(later.withColumn("n", F.lit(None).cast("long")))
+    found = _with_verdicts(docs, verdicts.groupBy(*KEY).agg(F.max("n").alias("_dn_n"), F.first("_dn_spans", ignorenulls=True).alias("_dn_spans")), "_dn_n")
+    # only texts that change go through Python
+    done = found.withColumn("_dn_out", cleaned(F.when(F.col("_dn_spans").isNotNull(), F.col("text")), F.col("_dn_spans.pos"), F.col("_dn_spans.len")))
+    return done.withColumns(
+        {
+            "text": F.when(F.col("_dn_spans").isNull(), F.col("text")).otherwise(F.col("_dn_out.text")),
+            "n_sentences": F.col("_dn_n"),
+            "n_removed": F.col("_dn_out.n_removed"),
+        }
+    ).drop("_dn_out", "_dn_spans", "_dn_n")
