@@ -107,6 +107,15 @@ def nearest_points(a: Column, b: Column, step: int = 2) -> Column:
     return F.struct(F.sqrt(best["s"]).cast("int").alias("d"), best["dx"].alias("dx"), best["dy"].alias("dy"))
 
 
+def distance_matrix(contours: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, id, id_other, d): the distance of every two contours (keys, id, pts) of a group, in both orders. A pair is measured once; rows grow
+    with the square of a group, which is what the matrix is."""
+    a = contours.select(*keys, "id", "pts")
+    b = contours.select(*keys, F.col("id").alias("id_other"), F.col("pts").alias("pts_other"))
+    once = a.join(b, list(keys)).where("id < id_other").select(*keys, "id", "id_other", nearest_points(F.col("pts"), F.col("pts_other"))["d"].alias("d"))
+    return once.select(*keys, F.explode(F.array(F.struct("id", "id_other", "d"), F.struct(F.col("id_other").alias("id"), F.col("id").alias("id_other"), "d"))).alias("p")).select(*keys, "p.*")
+
+
 def interval_overlap(a: tuple[str, str], b: tuple[str, str]) -> tuple[Column, Column]:
     """The amount two intervals overlap (negative: their distance), and whether half-open they do."""
     amount = F.least(a[1], b[1]) - F.greatest(a[0], b[0])

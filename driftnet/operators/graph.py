@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -161,11 +161,17 @@ def reachable(edges: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
     return seen
 
 
-def reachable_by_time(edges: DataFrame, starts: DataFrame, before: DataFrame | int, limit: int) -> DataFrame:
+def reachable_by_time(edges: DataFrame, starts: DataFrame, before: Column | int, limit: int) -> DataFrame:
     """As ``reachable``, over nodes (their edges carry dst_t) with a time under ``before``, the start included whatever its time."""
     return reachable(edges.where(F.col("dst_t") < before), starts, limit)
 
 
+def reachable_back_by_time(edges: DataFrame, starts: DataFrame, after: Column | int, limit: int) -> DataFrame:
+    """As ``reachable`` against the edges' direction, over nodes (their edges carry src_t) with a time over ``after``, the start included whatever its time."""
+    back = edges.where(F.col("src_t") > after).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reachable(back, starts, limit)
+
+
 def segment_connectivity(pairs: DataFrame, stray_edges: DataFrame, limit: int = 60) -> DataFrame:
     """The pairs (fr_node, to_node, ...) that a path over ``stray_edges`` (src, dst) joins."""
     found = reachable(stray_edges, pairs.select(F.col("fr_node").alias("start")).distinct(), limit)
@@ -197,6 +203,18 @@ def simple_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, max_edges
     return ranked.where(F.col("rank") <= max_paths).select("start", "end", "path", (F.col("n") > max_paths).alias("to_many_paths"))
 
 
+def path_failures(paths: DataFrame, starts: DataFrame, ends: DataFrame, keys: tuple[str, ...] = ("event",)) -> DataFrame:
+    """(keys, start, missed, no_path): the number of a group's ``ends`` (keys, end) that no row of ``paths`` (start, end) reaches from each of its
+    ``starts`` (keys, start), and whether every start of the group misses one. A start that is an end has reached itself; without ends nothing is missed."""
+    first, last = starts.select(*keys, "start").distinct(), ends.select(*keys, "end").distinct()
+    own = first.select(*keys, "start", F.col("start").alias("end")).join(last, [*keys, "end"], "left_semi")
+    met = first.join(paths.select("start", "end").distinct(), "start").join(last, [*keys, "end"], "left_semi").select(*keys, "start", "end").unionByName(own).distinct()
+    all_ends, n = last.groupBy(*keys).agg(F.count(F.lit(1)).alias("ends")), met.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("met"))
+    missed = first.join(n, [*keys, "start"], "left").join(all_ends, list(keys), "left").withColumn("missed", F.coalesce("ends", F.lit(0)) - F.coalesce("met", F.lit(0)))
+    none = missed.groupBy(*keys).agg((F.min("missed") > 0).alias("no_path"))
+    return missed.join(none, list(keys)).select(*keys, "start", "missed", "no_path")
+
+
 def layered_edges(layers: DataFrame, first: int, last: int, keep: str) -> DataFrame:
     """(layer, src, dst): edges between consecutive layers of ``layers`` (layer, id, v) for which ``keep`` (over v and v_next) holds and
     whose source was reached."""

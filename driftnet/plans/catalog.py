@@ -298,6 +298,14 @@ def contour_distance(spark, d):
     return det.select(F.col("id").alias("id_a"), "id_b", geo.nearest_points(F.col("pts"), F.col("pts_b"))["d"].alias("d"))
 
 
+@query(f"""WITH {DET}, p AS (SELECT a.id // 1000 AS g, a.id, b.id AS id_other, [[a.x, a.y], [a.x + a.w, a.y + a.h]] AS pa, [[b.x, b.y], [b.x + b.w, b.y], [b.x + b.w, b.y + b.h], [b.x, b.y + b.h]] AS pb FROM det a JOIN det b ON a.id // 1000 = b.id // 1000 AND a.id < b.id),
+e AS (SELECT g, id, id_other, unnest(pa) AS a, pb FROM p), q AS (SELECT g, id, id_other, a, unnest(pb) AS b FROM e),
+r AS (SELECT g, id, id_other, CAST(trunc(sqrt(min((a[1] - b[1]) * (a[1] - b[1]) + (a[2] - b[2]) * (a[2] - b[2])))) AS INTEGER) AS d FROM q GROUP BY 1, 2, 3)
+SELECT * FROM r UNION ALL SELECT g, id_other, id, d FROM r""")
+def contour_distance_matrix(spark, d):
+    return geo.distance_matrix(src.detections(spark, d).select(F.expr("id DIV 1000 AS g"), "id", geo.corners().alias("pts")), ("g",))
+
+
 # Joins
 
 
@@ -405,7 +413,10 @@ def box_clusters(spark, d):
     return graph.connected_components(joins.self_overlap(det).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS src, 1000000 + o_orderkey AS dst FROM orders UNION SELECT 1000000 + l_orderkey, 9000000 + l_partkey FROM lineitem),
+u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+r(node, root) USING KEY (node) AS (SELECT a, a FROM u UNION SELECT u.b, min(r.root) FROM r JOIN u ON u.a = r.node JOIN recurring.r AS w ON w.node = u.b WHERE r.root < w.root GROUP BY u.b)
+SELECT node, min(node) OVER (PARTITION BY root) AS component FROM r WHERE node IN (SELECT o_custkey FROM orders)""")
 def catalyst_components(spark, d):
     o = src.table(spark, d, "orders").selectExpr("o_custkey AS src", "1000000 + o_orderkey AS dst")
     c = src.table(spark, d, "lineitem").selectExpr("1000000 + l_orderkey AS src", "9000000 + l_partkey AS dst")
@@ -447,6 +458,23 @@ def simple_paths_capped(spark, d):
     return p.select("start", "end", F.array_join("path", ",").alias("path"), "to_many_paths")
 
 
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, back AS (SELECT dst, src FROM adj WHERE t > 20), w(start, node, depth) AS (SELECT id, id, 0 FROM det UNION SELECT w.start, back.src, w.depth + 1 FROM w JOIN back ON back.dst = w.node WHERE w.depth < 3)
+SELECT start, node, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY 1, 2""")
+def reach_back_by_time(spark, d):
+    det = src.detections(spark, d)
+    links = joins.overlap_join(det, det, 1).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"), F.col("t").alias("src_t"))
+    return graph.reachable_back_by_time(links, det.select(F.col("id").alias("start")), 20, 3)
+
+
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, two AS (SELECT DISTINCT a.src AS start, b.dst AS "end" FROM adj a JOIN adj b ON b.src = a.dst), met AS (SELECT start, count(*) AS met FROM two GROUP BY start),
+n AS (SELECT t - 2 AS event, count(*) AS ends FROM det GROUP BY t), m AS (SELECT t AS event, id AS start, coalesce(ends, 0) - coalesce(met, 0) AS missed FROM det LEFT JOIN n ON event = t LEFT JOIN met ON start = id)
+SELECT CAST(event AS INTEGER) AS event, start, missed, min(missed) OVER (PARTITION BY event) > 0 AS no_path FROM m""")
+def path_failures(spark, d):
+    det = src.detections(spark, d)
+    starts, ends = det.selectExpr("t AS event", "id AS start"), det.selectExpr("t - 2 AS event", "id AS end")
+    return graph.path_failures(graph.simple_paths(_links(spark, d), starts, ends, 2), starts, ends)
+
+
 EVENTS = """deg AS (SELECT *, count(*) OVER (PARTITION BY fr) AS o, count(*) OVER (PARTITION BY "to") AS i FROM e),
 typed AS (SELECT fr, "to", dist, CASE WHEN o = 1 AND i = 1 THEN CASE WHEN dist <= 2 THEN 'solo_zp' ELSE 'solo' END WHEN o > 1 AND i > 1 THEN 'mixed'
   WHEN o > 1 AND NOT EXISTS (SELECT 1 FROM deg x WHERE x.fr = d.fr AND x.i > 1) THEN 'split'
@@ -598,7 +626,8 @@ def cartesian_choices(spark, d):
     return combi.cartesian(_choices(spark, d), ("o",), "lists").select("o", F.array_join("choice", ",").alias("choice"))
 
 
-@query()
+@query("""WITH o AS (SELECT l_orderkey AS o, list_sort(list_distinct(list(l_partkey))) AS ids FROM lineitem GROUP BY 1), m AS (SELECT o, ids, unnest(range(1, (1 << len(ids)) - 1)) AS m FROM o WHERE len(ids) > 1)
+SELECT o, array_to_string([ids[i] FOR i IN range(1, len(ids) + 1) IF (m >> (i - 1)) & 1 = 0], ',') AS a, array_to_string([ids[i] FOR i IN range(1, len(ids) + 1) IF (m >> (i - 1)) & 1 = 1], ',') AS b FROM m""")
 def set_partitions(spark, d):
     o = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids"))
     return combi.distribute(o, "ids", 2).select("o", F.array_join(F.col("parts")[0], ",").alias("a"), F.array_join(F.col("parts")[1], ",").alias("b"))
@@ -782,7 +811,10 @@ def tiered_choice(spark, d):
 # Tracking stages
 
 
-@query()
+@query(f"""WITH RECURSIVE {DET}, grown AS (SELECT t, id, x - CAST(trunc(greatest((100 - w) / 2.0, 0)) AS INTEGER) AS x, y - CAST(trunc(greatest((100 - h) / 2.0, 0)) AS INTEGER) AS y, greatest(100, w) AS w, greatest(100, h) AS h FROM det),
+u AS (SELECT a.id AS a, b.id AS b FROM grown a JOIN grown b ON a.t = b.t AND {TOUCH}),
+r(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM u UNION SELECT u.b, min(r.root) FROM r JOIN u ON u.a = r.node JOIN recurring.r AS v ON v.node = u.b WHERE r.root < v.root GROUP BY u.b)
+SELECT t, root AS cluster, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM det JOIN r ON r.node = det.id GROUP BY t, root""")
 def first_pass_clusters(spark, d):
     c = track.first_pass(src.detections(spark, d), 100)
     return c.select("t", "cluster", F.array_join("ids", ",").alias("ids"), "x", "y", "w", "h")
@@ -893,7 +925,9 @@ def segment_connectivity(spark, d):
     return graph.segment_connectivity(pairs, _links(spark, d), 3)
 
 
-@query()
+@query(f"""WITH {TRK}, m AS (SELECT obj, x, y, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t)),
+s AS (SELECT obj, avg(x) AS x, avg(y) AS y FROM m GROUP BY obj HAVING avg(d) <= 102), gone AS (SELECT a.obj FROM s a JOIN s b ON a.obj <> b.obj AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 8)
+SELECT obj, count(*) AS n FROM trk WHERE obj NOT IN (SELECT obj FROM gone) GROUP BY obj""")
 def frozen_removal(spark, d):
     t = track.remove_frozen(src.tracks(spark, d), 102.0, 8.0)
     return t.groupBy("obj").agg(F.count(F.lit(1)).alias("n"))
@@ -929,7 +963,12 @@ def area_conservation(spark, d):
     return track.area_conserved(_segment_edges(spark, d), nodes)
 
 
-@query()
+@query(f"""WITH RECURSIVE {DET}, {NEXT}, {ONE}, {CHAIN}, tight AS (SELECT a.id AS src, b.id AS dst FROM det a JOIN det b ON b.t = a.t + 1 AND {TOUCH}
+  WHERE (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) / CAST(a.w * a.h AS DOUBLE) >= 0.3),
+one2 AS (SELECT src, dst FROM (SELECT *, count(*) OVER (PARTITION BY src) AS o, count(*) OVER (PARTITION BY dst) AS i FROM tight) WHERE o = 1 AND i = 1),
+walk2(head, node) AS (SELECT src, src FROM one2 WHERE src NOT IN (SELECT dst FROM one2) UNION ALL SELECT w.head, o.dst FROM walk2 w JOIN one2 o ON o.src = w.node),
+old AS (SELECT min(node) AS seg FROM walk2 GROUP BY head HAVING count(*) > 2), named AS (SELECT chain, min(seg) AS seg FROM old JOIN chains ON node = seg GROUP BY chain)
+SELECT node, coalesce(CAST(seg AS VARCHAR), 'new ' || c.chain) AS seg FROM chains c LEFT JOIN named n ON n.chain = c.chain""")
 def recomputed_segments(spark, d):
     det = src.detections(spark, d)
     tight = joins.with_overlap_type(joins.overlap_join(det, det, 1)).where("share >= 0.3").select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
@@ -967,7 +1006,13 @@ def layer_edges(spark, d):
     return graph.layered_edges(settle(t), 1, max(last, 2), "v.g = v_next.g AND abs(v_next.area - v.area) <= 120")
 
 
-@query()
+@query(f"""WITH {DET}, c AS (SELECT a.id AS k, a.x + a.w / 2.0 AS tx, a.y + a.h / 2.0 AS ty, CAST(greatest(a.w * a.h, 1) AS DOUBLE) AS tarea,
+  list({{'id': b.id, 'x': b.x + b.w / 2.0, 'y': b.y + b.h / 2.0, 'area': CAST(b.w * b.h AS DOUBLE)}} ORDER BY b.id) AS ps FROM det a JOIN det b ON b.t = a.t + 1 AND {TOUCH} GROUP BY 1, 2, 3, 4),
+m AS (SELECT *, unnest(range(1, 1 << len(ps))) AS m FROM c), s AS (SELECT k, tx, ty, tarea, [ps[i] FOR i IN range(1, len(ps) + 1) IF (m >> (i - 1)) & 1 = 1] AS s FROM m),
+f AS (SELECT k, tx, ty, tarea, [p.id FOR p IN s] AS ids, list_sum([p.area FOR p IN s]) AS area, list_sum([p.x * p.area FOR p IN s]) AS sx, list_sum([p.y * p.area FOR p IN s]) AS sy FROM s),
+g AS (SELECT k, ids, sqrt(pow(sx / area - tx, 2) + pow(sy / area - ty, 2)) AS d, abs(area - tarea) / tarea AS r FROM f),
+z AS (SELECT k, ids, round((coalesce(d / nullif(max(d) OVER w, 0), 0) + coalesce(r / nullif(max(r) OVER w, 0), 0)) / 2, 6) AS score FROM g WHERE d < 30 AND r < 0.8 WINDOW w AS (PARTITION BY k))
+SELECT k, array_to_string(ids, ',') AS ids, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score, ids) AS n FROM z) WHERE n = 1""")
 def best_subset_search(spark, d):
     det = src.detections(spark, d)
     parts = F.array_sort(F.collect_list(F.struct(F.col("id_b").alias("id"), F.expr("x_b + w_b / 2D AS x"), F.expr("y_b + h_b / 2D AS y"), F.expr("CAST(w_b * h_b AS DOUBLE) AS area"))))

@@ -346,3 +346,26 @@ def test_set_partitions_are_whole(spark):
         mine = [tuple(map(tuple, r.parts)) for r in got if r.k == k]
         assert len(mine) == len(set(mine)) == len(combi.set_partitions(len(ids), 3)) and all(sorted(sum(p, ())) == ids for p in mine)
     assert not [r for r in got if r.k == 2]
+
+
+def test_path_failures(spark):
+    e = spark.createDataFrame([(1, 3), (2, 4), (3, 5), (8, 9)], "src long, dst long")
+    starts = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 8), ("c", 5)], "event string, start long")
+    ends = spark.createDataFrame([("a", 5), ("a", 4), ("b", 5), ("c", 5)], "event string, end long")
+    paths = graph.simple_paths(e, starts, ends, 5)
+    got = {tuple(r) for r in graph.path_failures(paths, starts, ends).collect()}
+    assert got == {("a", 1, 1, True), ("a", 2, 1, True), ("b", 1, 0, False), ("b", 8, 1, False), ("c", 5, 0, False)}
+    assert {tuple(r) for r in graph.path_failures(paths, starts, ends.limit(0)).collect()} == {(*map(r.__getitem__, ("event", "start")), 0, False) for r in starts.collect()}
+
+
+def test_reach_back_stops_at_time(spark):
+    e = spark.createDataFrame([(1, 2, 0), (2, 3, 1), (3, 4, 2), (9, 4, 2)], "src long, dst long, src_t int")
+    starts = spark.createDataFrame([(4,), (1,)], "start long")
+    assert {tuple(r) for r in graph.reachable_back_by_time(e, starts, 0, 5).collect()} == {(4, 4, 0), (4, 3, 1), (4, 9, 1), (4, 2, 2), (1, 1, 0)}
+
+
+def test_distance_matrix_is_symmetric(spark):
+    rows = [(1, k, [(x, 0), (x + 3, 0), (x + 3, 4), (x, 4)]) for k, x in ((1, 0), (2, 10), (3, 30))] + [(2, 4, [(0, 0)])]
+    df = spark.createDataFrame(rows, "g int, id long, pts array<struct<x int, y int>>")
+    got = {(r.id, r.id_other): r.d for r in geo.distance_matrix(df, ("g",)).collect()}
+    assert got == {(1, 2): 7, (2, 1): 7, (2, 3): 17, (3, 2): 17, (1, 3): 27, (3, 1): 27}
