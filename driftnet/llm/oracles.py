@@ -63,4 +63,66 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_chat_prefix_targets": OP2, "op4_line_dedup": OP4, "op8_decontamination": OP8}
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), grams AS (
+  SELECT row, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT row, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), twice AS (
+  SELECT row, i FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS n FROM grams) WHERE n > 1
+), rep AS (
+  SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY row
+), f AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•]'))) AS n_bullets,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\x0b\f\r]*$'))) AS n_cut,
+    length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS n_digits,
+    length(text) - length(regexp_replace(text, '[{}\[\]\\]', '', 'g')) AS n_braces
+  FROM d LEFT JOIN rep ON rep.row = d.row
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_dup_lines <= 3 * n_lines
+  AND 10 * n_bullets <= 9 * n_lines AND 10 * n_cut <= 3 * n_lines AND 5 * n_digits <= word_chars AND 20 * n_braces <= word_chars AS kept
+FROM b
+"""
+
+OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), f AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM (
+    SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) AS v(k) WHERE len(w) >= k)
+  ) GROUP BY ALL HAVING count(*) >= 100
+), n AS (
+  SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cuts AS (
+  SELECT lang, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS head, array_to_string(list_slice(w, j + 1, k), ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), s AS (
+  SELECT c.lang, c.phrase, c.a, c.j, h.f AS l, t.f AS r, n.n, (1000 * c.a * n.n) // (h.f * t.f) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail JOIN n ON n.lang = c.lang
+), low AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inner_phrases AS (
+  SELECT lang, a, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+  FROM (SELECT lang, a, w, size, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM c WHERE k > 2))
+), held AS (
+  SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM low LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR longer < a
+QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL = {"op2_chat_prefix_targets": OP2, "op4_line_dedup": OP4, "op8_decontamination": OP8, "op11_rule_cascade": OP11, "op12_collocations": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftnet.llm import ann, chat, decontaminate, html, packing, quality, sharding, simhash, spans
+from driftnet.llm import align, ann, chat, decontaminate, html, packing, phrases, quality, rules, sharding, simhash, spans
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,4 +60,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "expected_grade", "tail_probability", "accepted")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_prefix_targets, op3_kk_sharding, op4_line_dedup, op5_genetic_packing, op6_anisotropic_search, op7_simhash_dedup, op8_decontamination, op9_html_layout, op10_quality_classifier)}
+def op11_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(_read(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.ranked(phrases.mine(_read(spark, sf_dir, "documents")))
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_chat_prefix_targets, op3_kk_sharding, op4_line_dedup, op5_genetic_packing, op6_anisotropic_search, op7_simhash_dedup, op8_decontamination, op9_html_layout, op10_quality_classifier, op11_rule_cascade, op12_collocations, op13_token_alignment)}
