@@ -88,8 +88,8 @@ WITH d AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_dup_lines <= 3 * n_lines
-  AND 10 * n_bullets <= 9 * n_lines AND 10 * n_cut <= 3 * n_lines AND 5 * n_digits <= word_chars AND 20 * n_braces <= word_chars AS kept
+  NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 2 * n_dup_lines <= n_lines
+  AND 10 * n_bullets <= 9 * n_lines AND 10 * n_cut <= 3 * n_lines AND 2 * n_digits <= word_chars AND 20 * n_braces <= word_chars AS kept
 FROM b
 """
 

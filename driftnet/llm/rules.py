@@ -22,6 +22,7 @@ from driftnet.storage import written
 SAMPLE, TIMES = 4000, 2
 SPACE = " \t\n\x0b\f\r"
 GRAM = 5
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 Features = Mapping[str, Column]
 Rules = Mapping[str, Callable[[Features], Column]]
@@ -34,7 +35,7 @@ def with_base(docs: DataFrame) -> DataFrame:
     """
     long = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     trimmed = F.btrim(F.col("text"), F.lit(SPACE))
-    cut = docs.withColumn("_dn_words", F.when(trimmed != "", F.split(trimmed, "[ \t-\r]+")))
+    cut = docs.drop(*BASE).withColumn("_dn_words", F.when(trimmed != "", F.split(trimmed, "[ \t-\r]+")))
     words = F.col("_dn_words")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^ \t-\r]"))
     grams = F.when(F.size(words) >= GRAM, F.transform(F.sequence(F.lit(1), F.size(words) - (GRAM - 1)), lambda i: F.xxhash64(*[F.element_at(words, i + j) for j in range(GRAM)])))
@@ -54,7 +55,9 @@ def with_base(docs: DataFrame) -> DataFrame:
     placed = twice.withColumn("_dn_at", F.sort_array(F.array_distinct(F.flatten("_dn_at"))))
     steps = beside("_dn_at", lambda a, b: F.least(b - a, F.lit(GRAM)))
     covered = F.aggregate(steps, F.lit(GRAM), lambda total, x: total + x)
-    return placed.withColumn("n_repeat_words", long(covered)).drop("_dn_words", "_dn_grams", "_dn_lines", "_dn_sorted", "_dn_at")
+    # generated, not projected: else a filter on a feature would be pushed down, its expression copied into each place that refers to it
+    told = F.inline(F.array(F.struct(*BASE[:-1], long(covered).alias(BASE[-1]))))
+    return placed.select(*[c for c in docs.columns if c not in BASE], told)
 
 
 def more_features(text: Column) -> dict[str, Column]:
@@ -75,13 +78,12 @@ RULES: dict[str, Callable[[Features], Column]] = {
     "few_repeats": lambda x: 100 * x["n_repeat_words"] <= 20 * x["n_words"],
     "few_symbols": lambda x: 10 * x["n_symbols"] <= x["n_words"],
     "word_length": lambda x: (x["word_chars"] >= 2 * x["n_words"]) & (x["word_chars"] <= 15 * x["n_words"]),
-    "few_equal_lines": lambda x: 10 * x["n_dup_lines"] <= 3 * x["n_lines"],
+    "few_equal_lines": lambda x: 2 * x["n_dup_lines"] <= x["n_lines"],
     "few_bullets": lambda x: 10 * x["n_bullets"] <= 9 * x["n_lines"],
     "few_cut_lines": lambda x: 10 * x["n_cut_lines"] <= 3 * x["n_lines"],
-    "few_digits": lambda x: 5 * x["n_digits"] <= x["word_chars"],
+    "few_digits": lambda x: 2 * x["n_digits"] <= x["word_chars"],
     "few_braces": lambda x: 20 * x["n_braces"] <= x["word_chars"],
 }
-BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def arranged(costs: Mapping[str, float], failures: list[tuple[frozenset[str], int]]) -> list[str]:
@@ -106,7 +108,7 @@ def sampled(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
 def order(some: DataFrame, features: Features, rules: Rules) -> list[str]:
     """``rules`` by rejection per cost, estimated on the sample ``some``."""
     tests = {name: F.coalesce(rule(features), F.lit(False)) for name, rule in rules.items()}
-    seen = some.groupBy(*[x.alias(name) for name, x in tests.items()]).agg(F.count(F.lit(1)).alias("_n")).collect()  # at most a row for each of the sample's
+    seen = some.select(*[x.alias(name) for name, x in tests.items()]).groupBy(*rules).agg(F.count(F.lit(1)).alias("_n")).collect()  # at most a row for each of the sample's
     failures = [(frozenset(name for name in rules if not row[name]), row["_n"]) for row in seen]
 
     def took(test: Column) -> float:
