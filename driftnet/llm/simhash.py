@@ -1,8 +1,7 @@
 """SimHash near-duplicates (operator 7): fingerprints, pigeonhole blocks, Hamming check, components.
 
-``label`` and ``dedup`` link short fingerprints of 64 bits that differ in at most two. ``dedup_similar`` links texts by a similarity of their
-shingles, for which 64 bits are too few: at a similarity of 0.8 about ten of them differ. Its prints have ``BITS`` bits, of which blocks are compared in
-the same way; the number of bits that differ then tells the similarity.
+``label`` and ``dedup`` link fingerprints of 64 bits that differ in at most two. The pipeline's stage links texts by a similarity of their
+shingles instead, at which ten or more of 64 bits differ: see ``similar``.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero, and zero links like any
 other. Rows with equal doc_id and text get the same result. A null doc_id is never a representative; a component
@@ -12,21 +11,17 @@ replaced. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftnet.llm.marks import marked, repeated
 from driftnet.operators.graph import connected_components
-from driftnet.storage import settle, written
+from driftnet.storage import settle
 
 #: Where the 64 bits are cut: two differing bits leave at least two of four blocks alike.
 BLOCKS = ((0, 16), (16, 16), (32, 16), (48, 16))
@@ -124,206 +119,3 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_dn_hash", F.xxhash64("doc_id", "text"))
     met = keyed.join(kept, (keyed["_dn_hash"] == kept["_dn_hash2"]) & keyed["doc_id"].eqNullSafe(kept["_dn_id2"]), "left_semi")
     return met.dropDuplicates(["doc_id", "_dn_hash"]).drop("_dn_hash")
-
-
-# Wide prints, for a similarity
-
-#: Bits of a wide print, and of its blocks. The print is cut into blocks several times, its bytes taken in steps of so many. A pair shares
-#: a block surely if fewer bits differ than one cut has blocks, and with a similarity of 0.8, 0.85, 0.9 and 0.95 in about 86, 99, 100 and 100 of 100 cases.
-BITS, BLOCK, STRIDES = 3072, 32, (1, 97, 133, 205)
-#: Texts of up to so many distinct shingles are compared by the shingles themselves: too few of them decide a bit to tell a similarity.
-FEW = 64
-#: An estimate so near to the similarity asked for is settled by the shingles themselves.
-DOUBT = 0.05
-#: Prints of a block's bucket up to which all its pairs are compared at once.
-BUCKET = 4
-#: Rows of three numbers up to which a counted table is broadcast: a few MB.
-BROADCAST_ROWS = 100_000
-#: Rows whose bits are summed in bytes at a time.
-ROWS = 240
-STEPS = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-#: Fixed values of the finalizer of SplitMix64.
-MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
-
-
-def shingle_hashes(text: str | None, shingle: int = 5) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles; fewer words are one shingle, none are none."""
-    words = (text or "").encode().lower().split()
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)] if words else []
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(g, 42) for g in grams), np.uint64))
-
-
-def wide_print(text: str | None, shingle: int = 5) -> tuple[bytes, int, bytes | None]:
-    """The wide SimHash over a text's distinct shingles, their number, and their sorted hashes if they are few."""
-    h = shingle_hashes(text, shingle)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), ROWS):
-        z = h[at : at + ROWS, None] + STEPS
-        for shift, factor in MIX:
-            z ^= z >> np.uint64(shift)
-            z *= np.uint64(factor)
-        z ^= z >> np.uint64(31)
-        ones += np.unpackbits(z.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(h)).tobytes(), len(h), h.tobytes() if len(h) <= FEW else None
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    """The similarity of two sets of sorted hashes; two empty ones are alike."""
-    common = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
-    return common / ((len(a) + len(b)) // 8 - common) if a or b else 1.0
-
-
-def similarity(a: tuple[bytes, int, bytes | None], b: tuple[bytes, int, bytes | None], differ: int) -> float:
-    """The Jaccard similarity of two texts' shingles: exact where both have few, else by the angle that the differing bits tell.
-
-    Its standard error is then 0.015 at a similarity of 0.8.
-    """
-    if a[2] is not None and b[2] is not None:
-        return jaccard(a[2], b[2])
-    common = np.cos(np.pi * differ / BITS) * np.sqrt(a[1] * b[1])
-    return common / (a[1] + b[1] - common)
-
-
-def block_keys(prints: list[bytes], strides: tuple[int, ...] = STRIDES) -> np.ndarray:
-    """A row of keys for each print, of its blocks by each stride; a block's number stands before its bits."""
-    whole = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), BITS // 8)
-    order = np.concatenate([np.arange(BITS // 8) * stride % (BITS // 8) for stride in strides])
-    bits = np.ascontiguousarray(whole[:, order]).view("<u4")
-    # a bit table goes by a key's low bits, so the block's number is mixed into them; the key stays one to one
-    number = np.arange(bits.shape[1], dtype=np.int64)
-    return number << 32 | (bits ^ (number * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32)).astype(np.int64)
-
-
-def _keyed_blocks(prints: DataFrame, stride: int, marks: Broadcast | None = None) -> DataFrame:
-    """(h) of every block of ``prints`` (node, print) by a stride; with ``marks`` (h, node) of those that may be shared."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                keys = block_keys(part.column(1).to_pylist(), (stride,))
-                if marks is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel())], names=["h"])
-                else:
-                    row, place = np.nonzero(marked(marks, keys))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[row, place]), part.column(0).take(pa.array(row))], names=["h", "node"])
-
-    return prints.select("node", "print").mapInArrow(each, "h long" if marks is None else "h long, node long")
-
-
-def _pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """(src, dst): pairs of ``rows`` (h, node, root) in a bucket h and of different roots: all of a bucket of up to ``BUCKET`` rows, and of a larger one
-    those of a print drawn by turn with each other. So pairs are in proportion to rows, whatever a bucket's size."""
-    draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), "node", "root")
-    sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min(draw).alias("drawn"), F.min("root").alias("least"), F.max("root").alias("most"))
-    sizes = settle(sizes.where("size > 1 AND least < most"))
-    shared = settle(rows.join(sizes.select("h", "size", "drawn"), "h"))
-    few, many = shared.where(F.col("size") <= BUCKET), shared.where(F.col("size") > BUCKET)
-    star = many.where("root <> drawn.root").select(F.least("node", F.col("drawn.node")).alias("src"), F.greatest("node", F.col("drawn.node")).alias("dst"))
-    other = few.select("h", F.col("node").alias("dst"), F.col("root").alias("other"))
-    met = few.select("h", F.col("node").alias("src"), "root").join(other, "h").where("src < dst AND root <> other")
-    return star.unionByName(met.select("src", "dst")).distinct()
-
-
-def _rated(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """(src, dst, told, sure): the pairs whose prints tell that they are similar, or may be."""
-
-    @F.pandas_udf("double")
-    def rate(print_a: pd.Series, n_a: pd.Series, few_a: pd.Series, print_b: pd.Series, n_b: pd.Series, few_b: pd.Series) -> pd.Series:
-        bits = [np.frombuffer(b"".join(x), np.uint64).reshape(len(x), -1) for x in (print_a, print_b)]
-        differ = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
-        rows = zip(zip(print_a, n_a, few_a, strict=True), zip(print_b, n_b, few_b, strict=True), differ, strict=True)
-        return pd.Series([similarity(a, b, d) for a, b, d in rows], dtype=float)
-
-    a, b = (prints.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("print", "n", "few")]) for c in ("src", "dst"))
-    met = pairs.join(a, "src").join(b, "dst")
-    exact = F.col("few_src").isNotNull() & F.col("few_dst").isNotNull()
-    told = met.select("src", "dst", rate("print_src", "n_src", "few_src", "print_dst", "n_dst", "few_dst").alias("told"), F.when(exact, F.lit(0.0)).otherwise(F.lit(DOUBT)).alias("doubt"))
-    return written(told.where(F.col("told") >= least - F.col("doubt")).select("src", "dst", "told", (F.col("told") >= least + F.col("doubt")).alias("sure")))
-
-
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The ``pairs`` whose ends lie in different groups of ``found`` (node, component)."""
-    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"root_{c}"))
-    apart = F.coalesce("root_src", "src") != F.coalesce("root_dst", "dst")
-    return written(pairs.join(of("src"), "src", "left").join(of("dst"), "dst", "left").where(apart).select(*pairs.columns))
-
-
-def _settled_doubts(doubtful: DataFrame, texts, least: float, shingle: int) -> DataFrame:
-    """The pairs (src, dst) of ``doubtful`` whose shingles are as similar; ``texts`` gives (node, text) for nodes."""
-
-    @F.pandas_udf("binary")
-    def hashes(text: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(t, shingle).tobytes() for t in text], dtype="object")
-
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    sets = written(texts(doubtful.select(F.explode(F.array("src", "dst")).alias("node")).distinct()).select("node", hashes("text").alias("hashes")))
-    a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in ("src", "dst"))
-    return written(doubtful.select("src", "dst").join(a, "src").join(b, "dst").where(similar("hashes_src", "hashes_dst")).select("src", "dst"))
-
-
-def similar_groups(prints: DataFrame, texts, least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(node, component): the groups that links of a similarity of ``least`` or more make of ``prints`` (node, print, n, few), one row for each
-    distinct print, where they have another member. ``texts`` gives (node, text) for a table of nodes.
-
-    Prints are compared in turns, one for each cut of the prints into blocks: a small bucket's prints with each other, a large one's with one that is
-    drawn anew each turn, as far as they are not in one group yet. What prints leave in doubt is settled by the shingles at the end: first each
-    text's likeliest pair, then those pairs that are still apart.
-    """
-    # tables, not checkpoints, go from turn to turn: a checkpoint keeps its plan's constraints, which multiply with each turn's joins
-    links, doubtful = None, []
-    found = prints.limit(0).select("node", F.col("node").alias("component"))
-    for turn, stride in enumerate(STRIDES):
-        rows = settle(_keyed_blocks(prints, stride, repeated(_keyed_blocks(prints, stride))))
-        rooted = rows.join(found, "node", "left").select("h", "node", F.coalesce("component", "node").alias("root"))
-        rated = _rated(_pairs(rooted, turn), prints, least)
-        fresh = rated.where("sure").select("src", "dst")
-        doubtful.append(rated.where("NOT sure").select("src", "dst", "told"))
-        links = written((fresh if links is None else links.unionByName(fresh)).distinct())  # one frame of few partitions, whatever the turns
-        if not fresh.isEmpty():
-            found = written(connected_components(links))
-    rest = _apart(reduce(DataFrame.unionByName, doubtful).groupBy("src", "dst").agg(F.max("told").alias("told")), found)
-    for likeliest in (True, False):
-        if rest.isEmpty():
-            break
-        now = rest
-        if likeliest:
-            ends = rest.select(F.explode(F.array("src", "dst")).alias("node"), "src", "dst", "told")
-            now = settle(ends.groupBy("node").agg(F.max(F.struct("told", "src", "dst")).alias("p")).select("p.src", "p.dst").distinct())
-        links = written(links.unionByName(_settled_doubts(now, texts, least, shingle)).distinct())
-        found = written(connected_components(links))
-        rest = _apart(rest.join(now.select("src", "dst"), ["src", "dst"], "left_anti"), found) if likeliest else rest
-    return found
-
-
-def dedup_similar(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
-    """One document, whole, of each group that links of a similarity of ``least`` or more connect: the one with the smallest doc_id, and of several
-    such the one with the smallest hash.
-
-    Similarity is Jaccard's, over distinct shingles of ``shingle`` words. Texts without words are alike. Copies fold into one print before anything is
-    compared; see ``similar_groups``.
-    """
-
-    @F.pandas_udf("print binary, n int, few binary")
-    def told(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_print(t, shingle) for t in text], columns=["print", "n", "few"])
-
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("doc_id", "text").alias("text_hash"))
-    printed = settle(docs.select(key.alias("k"), told("text").alias("p")).select("k", "p.*"))
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a print makes hundreds of keys, so few partitions would be large
-    prints = settle(printed.groupBy("print", "n", "few").agg(F.min("k").alias("k")).repartition(spread).withColumn("node", F.monotonically_increasing_id()))
-
-    def texts(nodes: DataFrame) -> DataFrame:
-        ids = settle(prints.join(nodes, "node", "left_semi").select("node", F.col("k.doc_id").alias("_dn_id2"), F.col("k.text_hash").alias("_dn_hash2")))
-        ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_dn_hash"))
-        return keyed.join(ids, (keyed["_dn_hash"] == ids["_dn_hash2"]) & keyed["doc_id"].eqNullSafe(ids["_dn_id2"])).select("node", "text").dropDuplicates(["node"])
-
-    found = similar_groups(prints.select("node", "print", "n", "few"), texts, least, shingle)
-    rooted = prints.select("node", "k").join(found, "node", "left").select(F.coalesce("component", "node").alias("root"), "k")
-    kept = rooted.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.doc_id").alias("_dn_id2"), F.col("k.text_hash").alias("_dn_hash2"))
-    return _only(docs, kept)
