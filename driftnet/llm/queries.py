@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of three sentences have 16 words at least: of ten words, phrases that clean documents share by chance count too."""
+    """Runs of three sentences have 16 words at least, but for short texts and ends of texts: of ten words, phrases that clean documents share by chance count too."""
     return spans.dedup_substrings(_read(spark, sf_dir, "documents"), words=16).select("doc_id", "text", "n_sentences", "n_removed")
 
 

@@ -34,7 +34,7 @@ SENTENCE_END = re.compile(r"[.!?\n](?:(?<=\n)\s*+|(?<![.!?][.!?])(?<!\n)[.!?]*+[
 WORD = re.compile(r"\S+\s*")
 LONG = 16
 #: One word in so many ends a part of a long sentence, by its hash.
-ENDS = 4
+ENDS = 2
 KEY = ("_dn_id", "_dn_hash")
 
 
@@ -168,7 +168,11 @@ def bare_sentences(text: str) -> tuple[list[str], list[int]]:
 
 
 def sentence_runs(text: str, run: int = 3, words: int = 10) -> list[tuple[int, int, int]]:
-    """(hash, position, length) of the run that begins at each sentence: ``run`` sentences, or as many more as make ``words`` words."""
+    """(hash, position, length) of the run that begins at each sentence: ``run`` sentences, or as many more as make ``words`` words.
+
+    Where a text ends before it has so many words, the run goes to its end, and compares only with others that do; a text of fewer than ``run`` sentences is one such run. So texts
+    and endings of any length are compared whole.
+    """
     return _runs(*bare_sentences(text), run, words)
 
 
@@ -180,9 +184,10 @@ def _runs(clean: list[str], counts: list[int], run: int, words: int) -> list[tup
         while end < n and (end - start < run or total < words):
             total += counts[end]
             end += 1
-        if end - start < run or total < words:
+        if end - start < run and start:
             break
-        h = xxhash.xxh64_intdigest(digests[8 * start : 8 * end])
+        at_end = end - start < run or total < words
+        h = xxhash.xxh64_intdigest(digests[8 * start : 8 * end], 1 if at_end else 0)
         out.append((h - (1 << 64) if h >> 63 else h, start, end - start))
         total -= counts[start]
     return out
@@ -230,7 +235,7 @@ def repeated_runs(index: DataFrame) -> DataFrame:
 def dedup_substrings(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:
     """``docs`` without the sentences that a later occurrence of a repeated run of sentences covers.
 
-    A run is at least ``run`` consecutive sentences and ``words`` words; sentences compare by their words, so white space
+    A run is at least ``run`` consecutive sentences and ``words`` words, or the end of a text that has no more (see ``sentence_runs``); sentences compare by their words, so white space
     does not count. Adds n_sentences and n_removed. Texts are cut into sentences once, for ``sentence_index``, and those that lose some once more.
     """
 

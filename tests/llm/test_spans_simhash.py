@@ -55,9 +55,13 @@ def brute_runs(texts, run=3, words=10):
         clean = [" ".join(x.split()) for x in spans.sentences(t or "")]
         for a in range(len(clean)):
             b = next((b for b in range(a + run, len(clean) + 1) if sum(len(x.split()) for x in clean[a:b]) >= words), None)
-            if b is None:
+            if b is None and (len(clean) - a >= run or a == 0):
+                b = len(clean)
+                k = ("to the end", *clean[a:b])
+            elif b is None:
                 continue
-            k = tuple(clean[a:b])
+            else:
+                k = tuple(clean[a:b])
             if k in seen:
                 gone[i] |= set(range(a, b))
             else:
@@ -74,6 +78,17 @@ def test_substrings_against_brute_force(spark):
     assert got[1].n_removed > 0 and got[0].n_removed == 0
 
 
+def test_short_texts_and_endings_are_compared_whole(spark):
+    short = "The cat sat here. The dog ran off. The bird sang well."
+    filler = lambda k: " ".join(f"Sentence {k} number {i} of its own kind." for i in range(4))
+    texts = [short] * 5 + [f"{filler(k)} {short}" for k in range(3)] + ["One."] * 2 + ["Two words", "two words"] + [f"{short} {filler(9)}"]
+    got = [r.text for r in spans.dedup_substrings(docs_of(spark, texts), words=16).sort("doc_id").collect()]
+    assert got == brute_runs(texts, words=16)
+    assert got[0] == short and set(got[1:5]) == {""}
+    assert all(short not in t for t in got[5:8])
+    assert got[8:12] == ["One.", "", "Two words", "two words"] and got[12] == texts[12]
+
+
 def brute_lines(texts, k=3):
     import re
 
