@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from driftnet.functions.splines import distinct_times, smoothing_spline
+
 
 def _by(key: str = "obj", time: str = "t") -> Window:
     return Window.partitionBy(key).orderBy(time)
@@ -69,40 +71,167 @@ def fill_holes(tracks: DataFrame, values: tuple[str, ...] = ("x", "y"), key: str
     return nxt.select("*", at).select(key, F.col("_at").alias(time), *part, (F.col("_at") != F.col(time)).alias("filled"))
 
 
-def smoothing_line(t: np.ndarray, y: np.ndarray, s: float) -> np.ndarray:
-    """Piecewise linear smoothing: knots are added where the error is largest until the squared error is at most s."""
-    knots = [0, len(t) - 1]
-    if len(t) < 3:
-        return y
-    while True:
-        basis = np.stack([np.interp(t, t[knots], np.eye(len(knots))[i]) for i in range(len(knots))], axis=1)
-        fit = basis @ np.linalg.lstsq(basis, y, rcond=None)[0]
-        err = ((y - fit) ** 2).reshape(len(t), -1).sum(1)
-        if err.sum() <= s or len(knots) == len(t):
-            return fit
-        gaps = [(err[a + 1 : b].sum(), a, b) for a, b in zip(knots, knots[1:], strict=False) if b - a > 1]
-        if not gaps:
-            return fit
-        _, a, b = max(gaps)
-        knots = sorted({*knots, a + 1 + int(err[a + 1 : b].argmax())})
-
-
-def smooth_fill(tracks: DataFrame, s: float = 15.0, rescale: bool = False) -> DataFrame:
-    """(obj, t, x, y): smoothed over all known points of each track and read at every step between its first and last.
-
-    With ``rescale`` each value is brought to the width of the times first and back after; a constant stays as it is.
+#: Points of a track that one task smooths together, and points of the neighbouring pieces that it sees.
+PIECE, OVERLAP = 96, 16
+
+
+def in_pieces(tracks: DataFrame, values: tuple[str, ...], key: str = "obj", time: str = "t", piece: int = PIECE, before: int = OVERLAP, after: int = OVERLAP) -> DataFrame:
+    """(obj, piece, t, values, i, n, core): the known points of each track in pieces of ``piece`` points, each with some of its neighbours' (core: false).
+
+    So a long track is many groups. i is a point's number in its track, n their number.
+    """
+    known = tracks.select(F.col(key).alias("obj"), F.col(time).cast("int").alias("t"), *[F.col(v).cast("double").alias(v) for v in values])
+    for c in ("obj", "t", *values):
+        known = known.where(F.col(c).isNotNull())
+    w = Window.partitionBy("obj")
+    counted = known.withColumns({"i": (F.row_number().over(w.orderBy("t", *values)) - 1).cast("int"), "n": F.count(F.lit(1)).over(w).cast("int")})
+    at = lambda shift: F.floor((F.col("i") + shift) / piece).cast("int")
+    there = F.filter(F.sequence(at(-after), at(before)), lambda p: (p >= 0) & (p <= F.floor((F.col("n") - 1) / piece)))
+    return counted.withColumn("piece", F.explode(there)).withColumn("core", F.col("piece") == at(0))
+
+
+def smooth_fill(tracks: DataFrame, s: float = 15.0, rescale: bool = False, k: int = 1, values: tuple[str, ...] = ("x", "y"), key: str = "obj", time: str = "t", piece: int = PIECE) -> DataFrame:
+    """(obj, t, values): a smoothing spline through all known points of each track, read at every step between its first and last.
+
+    The values are one parametric curve whose sum of squared errors is at most s. With ``rescale`` each value is a curve of its own, brought to the width of the
+    times first and back after; one of no width is constant. Points of equal time count by their mean, those with a null not at all. A track of over
+    ``piece`` points is smoothed in overlapping pieces, each with its share of s.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        later = rows[~rows["core"] & (rows["i"] > rows.loc[rows["core"], "i"].max())]
+        core = rows[rows["core"]]
+        at = np.arange(core["t"].iloc[0], later["t"].iloc[0] if len(later) else core["t"].iloc[-1] + 1)
+        if (earlier := rows[~rows["core"] & (rows["i"] < core["i"].iloc[0])])["t"].eq(core["t"].iloc[0]).any() and len(earlier):
+            at = at[1:]  # a time on the border belongs to the piece before
+        t, y = distinct_times(rows["t"].to_numpy(float), rows[list(values)].to_numpy(float))
+        share = s * len(rows) / rows["n"].iloc[0]
+        if not rescale:
+            out = smoothing_spline(t, y, share, k)(at)
+        else:
+            low, width, span = y.min(0), np.ptp(y, axis=0), max(np.ptp(t), 1)
+            curves = [smoothing_spline(t, (c - a) * span / w, share, k)(at)[:, 0] / span * w + a if w > 0 else np.full(len(at), a) for c, a, w in zip(y.T, low, width, strict=True)]
+            out = np.stack(curves, axis=1)
+        return pd.DataFrame({"obj": rows["obj"].iloc[0], "t": at.astype("int32")} | dict(zip(values, out.T, strict=True)))
+
+    pieces = in_pieces(tracks, values, key, time, piece)
+    kind = pieces.schema["obj"].dataType.simpleString()
+    return pieces.groupBy("obj", "piece").applyInPandas(one, f"obj {kind}, t int, " + ", ".join(f"{v} double" for v in values))
+
+
+def spline_at(tracks: DataFrame, times: DataFrame, s: float = 10.0, k: int = 1, last: int = 8, key: str = "obj", time: str = "t") -> DataFrame:
+    """(obj, t, x, y): the spline of the ``last`` points of each track, read at each of its ``times`` (obj, t), within or beyond them.
+
+    A track without known points is left out.
+    """
+
+    def one(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(known) or not len(asked):
+            return pd.DataFrame({"obj": [], "t": [], "x": [], "y": []})
+        t, y = distinct_times(known["t"].to_numpy(float), known[["x", "y"]].to_numpy(float))
+        out = smoothing_spline(t, y, s, k)(asked["t"].to_numpy(float))
+        return pd.DataFrame({"obj": asked["obj"], "t": asked["t"], "x": out[:, 0], "y": out[:, 1]})
+
+    ends = Window.partitionBy(key).orderBy(F.desc(time))
+    recent = tracks.where("x IS NOT NULL AND y IS NOT NULL").withColumn("_n", F.row_number().over(ends)).where(F.col("_n") <= last)
+    known = recent.select(F.col(key).alias("obj"), F.col(time).cast("int").alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    asked = times.select(F.col("obj"), F.col("t").cast("int").alias("t"))
+    kind = known.schema["obj"].dataType.simpleString()
+    return known.groupBy("obj").cogroup(asked.groupBy("obj")).applyInPandas(one, f"obj {kind}, t int, x double, y double")
+
+
+def predictions(tracks: DataFrame, grid: list[tuple[int, float]], buffer: int = 3, key: str = "obj", time: str = "t", piece: int = PIECE) -> DataFrame:
+    """(obj, i, k, s, d): how far each point lies from its prediction by the spline of the ``buffer`` points before it, for each (degree, smoothing) of the grid.
+
+    Windows are local, so a long track is split into pieces that see ``buffer`` points of the piece before.
     """
 
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        t, y, i, core = rows["t"].to_numpy(float), rows[["x", "y"]].to_numpy(float), rows["i"].to_numpy(), rows["core"].to_numpy()
+        out = []
+        for at in range(buffer, len(rows)):
+            if core[at]:
+                known = distinct_times(t[at - buffer : at], y[at - buffer : at])
+                out += [(i[at], k, s, np.hypot(*(smoothing_spline(*known, s, k)(t[at : at + 1])[0] - y[at]))) for k, s in grid]
+        return pd.DataFrame(out, columns=["i", "k", "s", "d"]).assign(obj=rows["obj"].iloc[0])[["obj", "i", "k", "s", "d"]]
+
+    pieces = in_pieces(tracks, ("x", "y"), key, time, piece, buffer, 0)
+    kind = pieces.schema["obj"].dataType.simpleString()
+    return pieces.groupBy("obj", "piece").applyInPandas(one, f"obj {kind}, i int, k int, s double, d double")
+
+
+def walk_forward_spline(tracks: DataFrame, grid: list[tuple[int, float]], buffer: int = 3, key: str = "obj", time: str = "t") -> DataFrame:
+    """(obj, k, s, error): the mean of ``predictions`` for each (degree, smoothing), rounded to two places."""
+    return predictions(tracks, [(k, float(s)) for k, s in grid], buffer, key, time).groupBy("obj", "k", "s").agg(F.round(F.avg("d"), 2).alias("error"))
+
+
+KS, SS = (1, 2), (0.0, 1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 1000.0, 10000.0)
+
+
+def order_choice(tracks: DataFrame, ks: tuple[int, ...] = KS, ss: tuple[float, ...] = SS, buffer_full: int = 8, buffer_few: int = 3, points_few: int = 5, points_full: int = 20, key: str = "obj", time: str = "t") -> DataFrame:
+    """(obj, k, s, error, deltas): the first (degree, smoothing) of least mean error when a buffer is moved over the end of each track, and that choice's errors.
+
+    Of a track of over ``points_full`` + ``buffer_full`` points the last ``points_full`` are predicted, each from ``buffer_full`` points; of a shorter one of over ``points_few`` +
+    ``buffer_few`` the last ``points_few``, from as many as that leaves. Others take (1, 5), a null error, and halves of their last displacements.
+    """
+    grid = [(k, float(s)) for k in ks for s in ss]
+
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("t")
-        t, y = rows["t"].to_numpy(float), rows[["x", "y"]].to_numpy(float)
-        low, width = y.min(0), np.ptp(y, axis=0)
-        k = np.where(width > 0, max(np.ptp(t), 1) / np.where(width > 0, width, 1), 1) if rescale else np.ones(2)
-        fit = smoothing_line(t, (y - low) * k, s) / k + low
-        at = np.arange(t[0], t[-1] + 1)
-        return pd.DataFrame({"obj": rows["obj"].iloc[0], "t": at.astype("int32"), "x": np.interp(at, t, fit[:, 0]), "y": np.interp(at, t, fit[:, 1])})
-
-    return tracks.select("obj", F.col("t").cast("int").alias("t"), "x", "y").groupBy("obj").applyInPandas(one, "obj long, t int, x double, y double")
+        t, y, n = rows["t"].to_numpy(float), rows[["x", "y"]].to_numpy(float), rows["n"].iloc[0]
+        buffer = buffer_full if n > points_full + buffer_full else n - points_few if n > points_few + buffer_few else 0
+        if not buffer:
+            steps = np.hypot(*np.diff(y, axis=0).T)[-buffer_full:] * 0.5
+            return pd.DataFrame({"obj": rows["obj"].iloc[:1], "k": 1, "s": 5.0, "error": None, "deltas": [steps.tolist()]})
+        errors = np.zeros((len(grid), len(t) - buffer))
+        for i in range(errors.shape[1]):
+            known = distinct_times(t[i : i + buffer], y[i : i + buffer])
+            for g, (k, s) in enumerate(grid):
+                errors[g, i] = np.hypot(*(smoothing_spline(*known, s, k)(t[i + buffer : i + buffer + 1])[0] - y[i + buffer]))
+        mean = np.round(errors.mean(1), 2)
+        best = int(mean.argmin())
+        return pd.DataFrame({"obj": rows["obj"].iloc[:1], "k": grid[best][0], "s": grid[best][1], "error": mean[best], "deltas": [errors[best].tolist()]})
+
+    w = Window.partitionBy(key)
+    back = F.row_number().over(w.orderBy(F.desc(time), F.desc("x"), F.desc("y")))
+    recent = tracks.where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_back": back, "_n": F.count(F.lit(1)).over(w)}).where(F.col("_back") <= points_full + buffer_full)
+    known = recent.select(F.col(key).alias("obj"), F.col(time).cast("int").alias("t"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("_n").alias("n"))
+    kind = known.schema["obj"].dataType.simpleString()
+    return known.groupBy("obj").applyInPandas(one, f"obj {kind}, k int, s double, error double, deltas array<double>")
+
+
+def holdout_choice(tracks: DataFrame, ks: tuple[int, ...] = KS, ss: tuple[float, ...] = SS, share: float = 0.2, trials: int = 3, seed: int = 0, key: str = "obj", time: str = "t", piece: int = PIECE) -> DataFrame:
+    """(obj, k, s, error): the first (degree, smoothing) of least mean error when a seeded ``share`` of the inner points is left out and read from the spline of the rest.
+
+    The error is the mean over ``trials``, rounded to three places. As smoothings of one degree are tried in order until one gives the error of the one before,
+    later ones do not count. Tracks of which nothing can be left out take (1, 5), with a null error.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        t, y = distinct_times(rows["t"].to_numpy(float), rows[["x", "y"]].to_numpy(float))
+        drop, out = int(np.ceil(max(len(t) - 2, 0) * share)), []
+        for trial in range(trials if drop else 0):
+            gone = np.random.default_rng((seed, trial, int(rows["piece"].iloc[0]))).choice(np.arange(1, len(t) - 1), drop, replace=False)
+            left = np.delete(np.arange(len(t)), gone)
+            for k in ks:
+                if len(left) > k:
+                    for s in ss:
+                        d = np.hypot(*(smoothing_spline(t[left], y[left], s, k)(t[gone]) - y[gone]).T)
+                        out.append((trial, k, float(s), d.sum(), len(d)))
+        return pd.DataFrame(out, columns=["trial", "k", "s", "d", "m"]).assign(obj=rows["obj"].iloc[0])[["obj", "trial", "k", "s", "d", "m"]]
+
+    pieces = in_pieces(tracks, ("x", "y"), key, time, piece, 0, 0)
+    kind = pieces.schema["obj"].dataType.simpleString()
+    told = pieces.groupBy("obj", "piece").applyInPandas(one, f"obj {kind}, trial int, k int, s double, d double, m long")
+    each = told.groupBy("obj", "trial", "k", "s").agg((F.sum("d") / F.sum("m")).alias("d")).groupBy("obj", "k", "s").agg(F.round(F.avg("d"), 3).alias("error"))
+    w = Window.partitionBy("obj", "k").orderBy("s")
+    counted = each.withColumn("again", (F.lag("error").over(w) == F.col("error")).cast("int")).withColumn("stopped", F.coalesce(F.max("again").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    best = select_by_error(counted.where("stopped = 0").select("obj", "k", "s", "error"), "obj")
+    everyone = tracks.where(f"{time} IS NOT NULL").select(F.col(key).alias("obj")).where("obj IS NOT NULL").distinct()
+    return everyone.join(best, "obj", "left").select("obj", F.coalesce("k", F.lit(1)).alias("k"), F.coalesce("s", F.lit(5.0)).alias("s"), "error")
 
 
 def walk_forward_error(tracks: DataFrame, grid: list[tuple[int, float]], key: str = "obj", time: str = "t") -> DataFrame:

@@ -687,9 +687,41 @@ def walk_forward_error(spark, d):
     return series.walk_forward_error(src.tracks(spark, d), [(0, 0.0)])
 
 
-@query()
+def _three_point_errors(smooth: tuple[float, ...]) -> str:
+    """SQL for the mean error of predictions from three points by a line smoothed by each of ``smooth``: closed form."""
+    return f"""{TRK}, p AS (SELECT *, lag(x, 3) OVER w AS x0, lag(x, 2) OVER w AS x1, lag(x) OVER w AS x2, lag(y, 3) OVER w AS y0, lag(y, 2) OVER w AS y1, lag(y) OVER w AS y2 FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t)),
+f AS (SELECT *, (x2 - x0) / 2 AS sx, (x0 + x1 + x2) / 3 AS mx, (y2 - y0) / 2 AS sy, (y0 + y1 + y2) / 3 AS my FROM p WHERE x0 IS NOT NULL),
+e AS (SELECT *, x1 - mx AS ex1, x2 - mx - sx AS ex2, y1 - my AS ey1, y2 - my - sy AS ey2, pow(x0 - mx + sx, 2) + pow(x1 - mx, 2) + pow(x2 - mx - sx, 2) + pow(y0 - my + sy, 2) + pow(y1 - my, 2) + pow(y2 - my - sy, 2) AS ee FROM f),
+g AS (SELECT *, CASE WHEN ee <= s THEN 0 ELSE 1 - sqrt(s / ee) END AS q FROM e, (VALUES {", ".join(f"({float(s)}::DOUBLE)" for s in smooth)}) AS v(s)),
+errors AS (SELECT obj, s, round(avg(sqrt(pow(2 * (mx + sx + ex2 * q) - (mx + ex1 * q) - x, 2) + pow(2 * (my + sy + ey2 * q) - (my + ey1 * q) - y, 2))), 2) AS error FROM g GROUP BY obj, s)"""
+
+
+@query(f"WITH {_three_point_errors((5,))} SELECT obj, CAST(1 AS INTEGER) AS k, s, error FROM errors")
+def walk_forward_spline(spark, d):
+    return series.walk_forward_spline(src.tracks(spark, d), [(1, 5.0)])
+
+
+@query(f"WITH {_three_point_errors((1, 5, 1000))} SELECT obj, CAST(1 AS INTEGER) AS k, arg_min(s, (error, s)) AS s, min(error) AS error FROM errors GROUP BY obj")
 def spline_order_choice(spark, d):
-    return series.select_by_error(series.walk_forward_error(src.tracks(spark, d), [(0, 0.0), (1, 1.0), (1, 5.0), (1, 1000.0)]))
+    return series.select_by_error(series.walk_forward_spline(src.tracks(spark, d), [(1, 1.0), (1, 5.0), (1, 1000.0)]))
+
+
+@query()
+def extrapolation_orders(spark, d):
+    found = series.order_choice(src.tracks(spark, d))
+    return found.select("obj", "k", "s", "error", F.size("deltas").alias("n"))
+
+
+@query()
+def holdout_orders(spark, d):
+    return series.holdout_choice(src.tracks(spark, d), ss=(0.0, 5.0, 50.0, 1000.0))
+
+
+@query()
+def spline_ahead(spark, d):
+    t = src.tracks(spark, d)
+    ahead = t.groupBy("obj").agg(F.max("t").alias("m")).select("obj", F.explode(F.sequence(F.col("m") + 1, F.col("m") + 3)).alias("t"))
+    return series.spline_at(t, ahead, 10.0, 2).select("obj", "t", _r("x", 2), _r("y", 2))
 
 
 @query(f"""WITH {TRK}, p AS (SELECT *, lag(x) OVER w AS xa, lead(x) OVER w AS xb, lag(y) OVER w AS ya, lead(y) OVER w AS yb FROM trk WINDOW w AS (PARTITION BY obj ORDER BY t))

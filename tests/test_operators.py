@@ -250,13 +250,6 @@ def test_extrapolation_of_three_points(spark):
     assert rings == {1: [0.0], 2: [0.0, 1.0], 3: [1.0, 2.0]}
 
 
-def test_smoothing_line():
-    t = np.arange(12.0)
-    y = np.stack([np.abs(t - 6), t], axis=1)
-    assert np.allclose(series.smoothing_line(t, y, 0.01), y, atol=0.1)
-    assert np.allclose(series.smoothing_line(t, y, 1e9), np.stack([np.polyval(np.polyfit(t, y[:, 0], 1), t), t], 1))
-
-
 def test_two_choices_with_equal_scores(spark):
     df = spark.createDataFrame([(1, 0, 0, 1.0, 9.0), (1, 0, 1, 2.0, 8.0)], "c int, branch int, choice int, a double, b double")
     assert score.min_max_score(df, "c", "branch", "choice", "a", "b").first().choice == 1
