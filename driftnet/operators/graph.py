@@ -257,8 +257,8 @@ def mixed_events(edges: DataFrame) -> DataFrame:
     """(event, ins, outs): the events around the mixed ones of all segment edges (fr, to), with the segments that enter and leave each.
 
     A mixed edge gathers its ends, the predecessors of the successors of its fr, and the successors of the predecessors of its to; equal gatherings
-    are one event. Within it those without successors leave, all others enter: so internal segments, with both, enter too. Events are
-    named by their smallest entering segment and may share segments.
+    are one event. Within it those without successors leave, all others enter: so internal segments, with both, enter too. Events may share
+    segments, so an event's name is all of them: those that enter, ">", those that leave, and no two events share it.
     """
     e = edges.select("fr", "to").distinct()
     mixed = _degrees(e).where("n_out > 1 AND n_in > 1").select(F.col("fr").alias("a"), F.col("to").alias("b"))
@@ -271,7 +271,8 @@ def mixed_events(edges: DataFrame) -> DataFrame:
     leads = each.join(first, each["m"] == first["x"], "left").groupBy("cluster", "m").agg(within("y").alias("leads"))
     # a member of a cluster of two or more has an edge within it, so one that leads to no other is led to
     parts = leads.groupBy("cluster").agg(F.array_sort(F.collect_set(F.expr("CASE WHEN leads THEN m END"))).alias("ins"), F.array_sort(F.collect_set(F.expr("CASE WHEN NOT leads THEN m END"))).alias("outs"))
-    return parts.select(F.array_min("ins").alias("event"), "ins", "outs")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return parts.select(F.concat(text("ins"), F.lit(">"), text("outs")).alias("event"), "ins", "outs")
 
 
 def neighbours(edges: DataFrame, key: str = "fr", value: str = "to") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftnet.functions import geometry as geo
-from driftnet.operators import combi, graph, image, joins, reshape, score, series, track
+from driftnet.operators import combi, events, graph, image, joins, reshape, rewrite, score, series, track
 from driftnet.sources import adapters as src
 from driftnet.sources import files
 from driftnet.storage import settle
@@ -497,7 +497,7 @@ mem AS (SELECT a, b, a AS m FROM mx UNION SELECT a, b, b FROM mx UNION SELECT a,
 cl AS (SELECT DISTINCT c FROM (SELECT list_sort(list(m)) AS c FROM mem GROUP BY a, b)), cm AS (SELECT c, unnest(c) AS m FROM cl),
 inner_e AS (SELECT x.c, x.m AS fr, y.m AS "to" FROM cm x JOIN e ON e.fr = x.m JOIN cm y ON y.c = x.c AND y.m = e."to"),
 pt AS (SELECT c, m, (c, m) IN (SELECT (c, fr) FROM inner_e) AS s, (c, m) IN (SELECT (c, "to") FROM inner_e) AS p FROM cm)
-SELECT min(m) FILTER (WHERE NOT p OR s) AS event, string_agg(CAST(m AS VARCHAR), ',' ORDER BY CAST(m AS VARCHAR)) FILTER (WHERE NOT p OR s) AS ins,
+SELECT string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) FILTER (WHERE NOT p OR s) || '>' || string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) FILTER (WHERE NOT s) AS event, string_agg(CAST(m AS VARCHAR), ',' ORDER BY CAST(m AS VARCHAR)) FILTER (WHERE NOT p OR s) AS ins,
   string_agg(CAST(m AS VARCHAR), ',' ORDER BY CAST(m AS VARCHAR)) FILTER (WHERE NOT s) AS outs FROM pt GROUP BY c""")
 def mixed_events(spark, d):
     e = graph.mixed_events(_segment_edges(spark, d))
@@ -505,6 +505,77 @@ def mixed_events(spark, d):
     return e.select("event", text("ins"), text("outs"))
 
 
+RESOLVED = f"""{SEG}, nx AS (
+  SELECT *, obj * 1000 + seg AS id, lead(t_start) OVER w AS t_next, lag(t_end) OVER w AS t_before FROM seg WINDOW w AS (PARTITION BY obj ORDER BY seg)
+), kinds AS (
+  SELECT *, CASE WHEN t_next - t_end <= 12 THEN 'both' WHEN t_next - t_end <= 24 THEN 'forward' WHEN t_next - t_end <= 48 THEN 'backward' END AS kind,
+    CASE WHEN t_start - t_before <= 12 THEN 'both' WHEN t_start - t_before <= 24 THEN 'forward' WHEN t_start - t_before <= 48 THEN 'backward' END AS kind_before FROM nx)"""
+
+
+def _rewritten(spark, d) -> rewrite.Graphs:
+    """Gaps between an object's segments as solved connections: of up to 12 steps tied with a second contour, of up to 24 extended by a step from the left, of up to 48 from the right."""
+    steps = src.steps(spark, d).select("obj", F.col("step").alias("t"))
+    w = Window.partitionBy("obj").orderBy("seg")
+    segs = src.segments(spark, d).withColumns({"t_next": F.lead("t_start").over(w), "next": F.lead("seg").over(w), "after": F.lead("seg", 2).over(w)})
+    gap = F.col("t_next") - F.col("t_end")
+    segs = settle(segs.withColumn("kind", F.when(gap <= 12, "both").when(gap <= 24, "forward").when(gap <= 48, "backward")))
+    seg = F.expr("obj * 1000 + seg").alias("seg")
+    inside = segs.join(steps, "obj").where("t BETWEEN t_start AND t_end").select(seg, "obj", "t")
+    hours = segs.where("t_next IS NOT NULL").select("obj", F.explode(F.sequence(F.col("t_end") + 1, F.col("t_next") - 1)).alias("t"))
+    line = inside.select("obj", "t").unionByName(hours).withColumn("t2", F.lead("t").over(Window.partitionBy("obj").orderBy("t"))).where("t2 IS NOT NULL")
+    at = lambda t: F.struct(F.col(t).alias("t"), F.array("obj").alias("ids"))
+    told = segs.where("kind IS NOT NULL").withColumn("ts", F.expr("CASE kind WHEN 'both' THEN sequence(t_end + 1, t_next - 1) WHEN 'forward' THEN array(t_end + 1) ELSE array(t_next - 1) END"))
+    solutions = told.select("kind", seg.alias("fr"), F.expr("obj * 1000 + next").alias("to"), F.explode("ts").alias("t"), F.array("obj", F.col("obj") + 1000000).alias("ids"))
+    ahead = segs.select(seg.alias("fr"), F.explode(F.expr("filter(array(obj * 1000 + next, obj * 1000 + after), x -> x IS NOT NULL)")).alias("to")).withColumn("dist", F.lit(0))
+    return rewrite.rewrite(inside.select("seg", "t", F.array("obj").alias("ids")), line.select(at("t").alias("src"), at("t2").alias("dst")), ahead, solutions)
+
+
+@query(f"""WITH {RESOLVED}, runs AS (
+  SELECT *, max(CASE WHEN kind_before IS DISTINCT FROM 'both' THEN id END) OVER (PARTITION BY obj ORDER BY seg) AS master FROM kinds
+), ends AS (SELECT master, max(t_end + CASE WHEN kind = 'forward' THEN 1 ELSE 0 END) AS t_end FROM runs GROUP BY master
+), ahead AS (SELECT id AS fr, lead(id, d) OVER (PARTITION BY obj, d ORDER BY seg) AS "to" FROM kinds, (VALUES (1), (2)) AS v(d))
+SELECT DISTINCT f.master AS fr, a."to", CAST(t.t_start - CASE WHEN t.kind_before = 'backward' THEN 1 ELSE 0 END - e.t_end AS INTEGER) AS dist
+FROM ahead a JOIN runs f ON f.id = a.fr JOIN runs t ON t.id = a."to" JOIN ends e ON e.master = f.master WHERE t.kind_before IS DISTINCT FROM 'both' AND t.t_start - e.t_end > 0""")
+def rewritten_segment_edges(spark, d):
+    return _rewritten(spark, d).segment_edges.select("fr", "to", F.col("dist").cast("int").alias("dist"))
+
+
+@query(f"""WITH {RESOLVED}, line AS (
+  SELECT obj, step AS t, 1 AS n FROM steps UNION ALL
+  SELECT obj, t, CASE WHEN kind = 'both' OR kind = 'forward' AND t = t_end + 1 OR kind = 'backward' AND t = t_next - 1 THEN 2 ELSE 1 END FROM (SELECT *, unnest(range(t_end + 1, t_next)) AS t FROM kinds WHERE t_next IS NOT NULL)
+) SELECT obj, CAST(t AS INTEGER) AS t, CAST(n AS INTEGER) AS n, CAST(t2 AS INTEGER) AS t2, CAST(n2 AS INTEGER) AS n2
+FROM (SELECT *, lead(t) OVER w AS t2, lead(n) OVER w AS n2 FROM line WINDOW w AS (PARTITION BY obj ORDER BY t)) WHERE t2 IS NOT NULL""")
+def rewritten_node_edges(spark, d):
+    e = _rewritten(spark, d).node_edges
+    return e.select(F.col("src.ids")[0].alias("obj"), "src.t", F.size("src.ids").alias("n"), F.col("dst.t").alias("t2"), F.size("dst.ids").alias("n2"))
+
+
+@query(f"""WITH {RESOLVED}, runs AS (SELECT *, max(CASE WHEN kind_before IS DISTINCT FROM 'both' THEN id END) OVER (PARTITION BY obj ORDER BY seg) AS master FROM kinds)
+SELECT id AS slave, master FROM runs WHERE id <> master""")
+def rewritten_masters(spark, d):
+    return _rewritten(spark, d).inherited.where("slave <> master")
+
+
+@query(f"""WITH {SEG}, {SEGEDGES}, {EVENTS}, mx AS (SELECT fr AS a, "to" AS b FROM typed WHERE state = 'mixed'),
+mem AS (SELECT a, b, a AS m FROM mx UNION SELECT a, b, b FROM mx UNION SELECT a, b, q.fr FROM mx JOIN e p ON p.fr = a JOIN e q ON q."to" = p."to" UNION SELECT a, b, q."to" FROM mx JOIN e p ON p."to" = b JOIN e q ON q.fr = p.fr),
+cl AS (SELECT DISTINCT c FROM (SELECT list_sort(list(m)) AS c FROM mem GROUP BY a, b)), cm AS (SELECT c, unnest(c) AS m FROM cl),
+inner_e AS (SELECT x.c, x.m AS fr, y.m AS "to" FROM cm x JOIN e ON e.fr = x.m JOIN cm y ON y.c = x.c AND y.m = e."to"),
+pt AS (SELECT c, m, (c, m) IN (SELECT (c, fr) FROM inner_e) AS s, (c, m) IN (SELECT (c, "to") FROM inner_e) AS p FROM cm),
+ev AS (SELECT 'mixed' AS state, list_sort(list(m) FILTER (WHERE NOT p OR s)) AS ins, list_sort(list(m) FILTER (WHERE NOT s)) AS outs FROM pt GROUP BY c
+  UNION ALL SELECT 'merge', list_sort(list(fr)), ["to"] FROM typed WHERE state = 'merge' GROUP BY "to" UNION ALL SELECT 'split', [fr], list_sort(list("to")) FROM typed WHERE state = 'split' GROUP BY fr),
+named AS (SELECT *, array_to_string(ins, ',') || '>' || array_to_string(outs, ',') AS event FROM ev),
+sides AS (SELECT state, event, unnest(ins) AS seg, TRUE AS enters FROM named UNION ALL SELECT state, event, unnest(outs), FALSE FROM named),
+met AS (SELECT sides.*, CASE WHEN enters THEN t_end ELSE t_start END AS ts FROM sides JOIN (SELECT obj * 1000 + seg AS seg, t_start, t_end FROM seg) x USING (seg)),
+bounds AS (SELECT state, event, min(ts) FILTER (WHERE enters) + 1 AS a, max(ts) FILTER (WHERE NOT enters) - CASE WHEN state = 'mixed' THEN 0 ELSE 1 END AS b FROM met GROUP BY ALL),
+steps AS (SELECT state, event, unnest(range(a, b + 1)) AS t FROM bounds WHERE a <= b)
+SELECT s.state, s.event, CAST(s.t AS INTEGER) AS t, coalesce(string_agg(CAST(m.seg AS VARCHAR), ',' ORDER BY m.seg) FILTER (WHERE CASE WHEN s.state = 'split' THEN NOT m.enters AND s.t < m.ts ELSE m.enters AND s.t > m.ts END), '') AS active
+FROM steps s JOIN met m ON m.state = s.state AND m.event = s.event GROUP BY ALL""")
+def event_steps(spark, d):
+    segs = src.segments(spark, d).selectExpr("obj * 1000 + seg AS seg", "t_start", "t_end")
+    steps = events.event_steps(events.event_bounds(events.segment_events(_segment_edges(spark, d)), segs))
+    return steps.select("state", "event", F.col("t").cast("int").alias("t"), F.array_join("active", ",").alias("active"))
+
+
 @query("SELECT o_custkey AS fr, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS near FROM orders GROUP BY 1")
 def neighbour_lists(spark, d):
     n = graph.neighbours(src.table(spark, d, "orders").selectExpr("o_custkey AS fr", "o_orderkey AS to"))
@@ -971,10 +1042,10 @@ x AS (SELECT event, unnest(range(a, b + 1)) AS t FROM ee WHERE a <= b)
 SELECT x.event, CAST(x.t AS INTEGER) AS t, coalesce(string_agg(DISTINCT CAST(CASE WHEN x.t BETWEEN t_start AND t_end THEN seg END AS VARCHAR), ',' ORDER BY CAST(CASE WHEN x.t BETWEEN t_start AND t_end THEN seg END AS VARCHAR)), '') AS active FROM x JOIN m ON m.event = x.event GROUP BY 1, 2""")
 def merge_event_info(spark, d):
     typed = graph.event_types(_segment_edges(spark, d)).where("state = 'merge'")
-    events = typed.groupBy(F.col("to").alias("event")).agg(F.collect_set("fr").alias("ins")).withColumn("outs", F.array("event"))
+    merges = typed.groupBy(F.col("to").alias("event")).agg(F.collect_set("fr").alias("ins")).withColumn("outs", F.array("event"))
     segs = src.segments(spark, d).selectExpr("obj * 1000 + seg AS seg", "t_start", "t_end")
     stray = src.steps(spark, d).selectExpr("step AS t", "obj AS id")
-    info = track.event_info(events, segs, stray)
+    info = track.event_info(merges, segs, stray)
     return info.select("event", "t", F.array_join(F.array_sort(F.transform("active", lambda x: x.cast("string"))), ",").alias("active"))
 
 

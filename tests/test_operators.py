@@ -202,10 +202,12 @@ def test_event_types(spark):
     got = {(r.fr, r.to): r.state for r in graph.event_types(e).collect()}
     assert got == {(1, 3): "merge", (2, 3): "merge", (3, 4): "solo_zp", (5, 6): "split", (5, 7): "split", (8, 10): "beside", (8, 11): "mixed", (9, 11): "beside"}
     mixed = graph.mixed_events(e.where("fr IN (8, 9)")).collect()
-    assert [(r.event, r.ins, r.outs) for r in mixed] == [(8, [8, 9], [10, 11])]
+    assert [(r.event, r.ins, r.outs) for r in mixed] == [("8,9>10,11", [8, 9], [10, 11])]
     seven = spark.createDataFrame([(1, 3), (2, 3), (1, 4), (3, 5), (4, 5), (2, 6), (3, 6)], "fr int, to int")
     found = {(tuple(r.ins), tuple(r.outs)) for r in graph.mixed_events(seven).collect()}
     assert found == {((1, 2, 3), (4, 6)), ((1, 2, 3), (5, 6)), ((2, 3, 4), (5, 6))}
+    names = [r.event for r in graph.mixed_events(seven).collect()]
+    assert len(set(names)) == len(names) == 3
 
 
 # Reshaping and combinatorics
