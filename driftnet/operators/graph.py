@@ -51,8 +51,8 @@ def _large_star(links: DataFrame) -> DataFrame:
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours point to the smallest of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    """Each node and its smaller neighbours point to the smallest of them, which is kept first, so that a hub's rows can be split in the join."""
+    least = settle(links.groupBy("u").agg(F.min("v").alias("m")))
     onward = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return onward.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -68,7 +68,7 @@ def components_with_catalysts(edges: DataFrame, catalysts: DataFrame, nodes: Dat
     """Components over ``edges`` and ``catalysts`` (src, dst), without the nodes that are not in ``nodes`` (node)."""
     found = connected_components(edges.select("src", "dst").unionByName(catalysts.select("src", "dst")))
     kept = found.join(nodes.select("node").distinct(), "node", "left_semi")
-    label = kept.groupBy("component").agg(F.min("node").alias("least"))
+    label = settle(kept.groupBy("component").agg(F.min("node").alias("least")))
     return kept.join(label, "component").select("node", F.col("least").alias("component"))
 
 
@@ -93,7 +93,7 @@ def one_to_one_chains(edges: DataFrame, min_length: int = 2) -> DataFrame:
     circles = one.join(named.select(F.col("slave").alias("src")), "src", "left_anti")
     if not circles.isEmpty():
         named = named.unionByName(connected_components(circles).select(F.col("node").alias("slave"), F.col("component").alias("master")))
-    sizes = named.groupBy("master").agg(F.count(F.lit(1)).alias("n"), F.min("slave").alias("chain")).where(F.col("n") > min_length)
+    sizes = settle(named.groupBy("master").agg(F.count(F.lit(1)).alias("n"), F.min("slave").alias("chain")).where(F.col("n") > min_length))
     return named.join(sizes, "master").select(F.col("slave").alias("node"), "chain")
 
 

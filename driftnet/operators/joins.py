@@ -115,9 +115,17 @@ def interval_overlaps(a: DataFrame, bucket: int, keys: tuple[str, ...] = ()) ->
 
 
 def nodes_in_interval(nodes: DataFrame, gaps: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The stray nodes (owner null or -1) strictly within some interval (keys, t_min, t_max)."""
-    stray = nodes.where("owner IS NULL OR owner = -1")
-    return stray.join(gaps.select(*keys, "t_min", "t_max"), list(keys)).where("t > t_min AND t < t_max").select(*nodes.columns).distinct()
+    """The stray nodes (owner null or -1) strictly within some interval (keys, t_min, t_max), in whole steps; equal rows once.
+
+    A step lies within an interval exactly if the largest t_max of those that begin before it is past it, so a running maximum and one as-of lookup answer
+    every step, instead of a row for each node and interval of a key.
+    """
+    stray = nodes.where("owner IS NULL OR owner = -1").distinct()
+    starts = gaps.groupBy(*keys, F.col("t_min").alias("t")).agg(F.max("t_max").alias("t_max"))
+    running = starts.withColumn("t_max", F.max("t_max").over(Window.partitionBy(*keys).orderBy("t")))
+    asked = stray.select(*keys, (F.col("t") - 1).alias("t")).distinct()
+    inside = asof(asked, running, keys, "t", "t_max").where("t_max > t + 1").select(*keys, (F.col("t") + 1).alias("t"))
+    return stray.join(inside, [*keys, "t"], "left_semi")
 
 
 def match_by_first_node(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -143,11 +151,15 @@ def virtual_box(df: DataFrame, x: int, y: int, w: int, h: int) -> DataFrame:
 def frozen_strays(holes: DataFrame, stray: DataFrame, radius: float = 5.0) -> DataFrame:
     """(cluster, t, id): stray nodes (t, id, x, y, area) within a hole (cluster, t_from, t_to, x, y, area_low, area_high) in time, place and area.
 
-    Holes are spread over their steps, so the join is on the step.
+    Holes are spread over their steps and the grid cells of ``radius`` around them, so the join is on the step and the cell.
     """
     at = holes.where("t_from <= t_to").select("cluster", "area_low", "area_high", F.col("x").alias("hx"), F.col("y").alias("hy"), F.explode(F.sequence("t_from", "t_to")).alias("t"))
-    near = F.sqrt((F.col("x") - F.col("hx")) ** 2 + (F.col("y") - F.col("hy")) ** 2) <= radius
-    return stray.join(at, "t").where(near & F.expr("area BETWEEN area_low AND area_high")).select("cluster", "t", "id")
+    cell = lambda c: F.floor(F.col(c) / radius)
+    near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    spread = at.withColumn("dx", F.explode(near)).withColumn("gx", cell("hx") + F.col("dx")).withColumn("dy", F.explode(near)).withColumn("gy", cell("hy") + F.col("dy")).drop("dx", "dy")
+    close = F.sqrt((F.col("x") - F.col("hx")) ** 2 + (F.col("y") - F.col("hy")) ** 2) <= radius
+    met = stray.withColumns({"gx": cell("x"), "gy": cell("y")}).join(spread, ["t", "gx", "gy"])
+    return met.where(close & F.expr("area BETWEEN area_low AND area_high")).select("cluster", "t", "id")
 
 
 def overlap_share(a: DataFrame, b: DataFrame, accept: float = 0.9, candidate: float = 0.05) -> DataFrame:

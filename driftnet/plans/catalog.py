@@ -566,10 +566,10 @@ ev AS (SELECT 'mixed' AS state, list_sort(list(m) FILTER (WHERE NOT p OR s)) AS
 named AS (SELECT *, array_to_string(ins, ',') || '>' || array_to_string(outs, ',') AS event FROM ev),
 sides AS (SELECT state, event, unnest(ins) AS seg, TRUE AS enters FROM named UNION ALL SELECT state, event, unnest(outs), FALSE FROM named),
 met AS (SELECT sides.*, CASE WHEN enters THEN t_end ELSE t_start END AS ts FROM sides JOIN (SELECT obj * 1000 + seg AS seg, t_start, t_end FROM seg) x USING (seg)),
-bounds AS (SELECT state, event, min(ts) FILTER (WHERE enters) + 1 AS a, max(ts) FILTER (WHERE NOT enters) - CASE WHEN state = 'mixed' THEN 0 ELSE 1 END AS b FROM met GROUP BY ALL),
-steps AS (SELECT state, event, unnest(range(a, b + 1)) AS t FROM bounds WHERE a <= b)
+bounds AS (SELECT state, event, min(ts) FILTER (WHERE enters) + 1 AS a, max(ts) FILTER (WHERE NOT enters) - CASE WHEN state = 'mixed' THEN 0 ELSE 1 END AS b FROM met GROUP BY state, event),
+ticks AS (SELECT state, event, unnest(range(a, b + 1)) AS t FROM bounds WHERE a <= b)
 SELECT s.state, s.event, CAST(s.t AS INTEGER) AS t, coalesce(string_agg(CAST(m.seg AS VARCHAR), ',' ORDER BY m.seg) FILTER (WHERE CASE WHEN s.state = 'split' THEN NOT m.enters AND s.t < m.ts ELSE m.enters AND s.t > m.ts END), '') AS active
-FROM steps s JOIN met m ON m.state = s.state AND m.event = s.event GROUP BY ALL""")
+FROM ticks s JOIN met m ON m.state = s.state AND m.event = s.event GROUP BY ALL""")
 def event_steps(spark, d):
     segs = src.segments(spark, d).selectExpr("obj * 1000 + seg AS seg", "t_start", "t_end")
     steps = events.event_steps(events.event_bounds(events.segment_events(_segment_edges(spark, d)), segs))
@@ -674,7 +674,7 @@ def node_set_ops(spark, d):
 SELECT o, array_to_string(list_filter(ids, lambda x, i: (m >> (i - 1)) % 2 = 1), ',') AS subset FROM m""")
 def power_set(spark, d):
     o = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_partkey")).alias("ids"))
-    return o.select("o", F.explode(combi.power_set("ids")).alias("s")).select("o", F.array_join("s", ",").alias("subset"))
+    return combi.subsets(o, ("o",), "ids").select("o", F.array_join("subset", ",").alias("subset"))
 
 
 CHOICES = "o AS (SELECT l_orderkey AS o, l_suppkey % 3 AS t, list_sort(list(DISTINCT l_partkey)) AS ids FROM lineitem GROUP BY 1, 2)"

@@ -230,6 +230,7 @@ def test_contested_and_redistributions(spark):
 def test_combinatorics(spark):
     df = spark.createDataFrame([(1, [1, 2, 3, 4], [["a1"], ["a2", "b2"], ["a3"]])], "k int, ids array<int>, lists array<array<string>>")
     r = df.select(combi.power_set("ids").alias("p"), combi.product_size("lists").alias("n")).first()
+    assert sorted(x.subset for x in combi.subsets(df, (), "ids").collect()) == sorted(r.p)
     assert len(r.p) == 15 and r.p[:5] == [[1], [2], [3], [4], [1, 2]] and r.n == 2
     assert sorted(tuple(x.choice) for x in combi.cartesian(df, ("k",), "lists").collect()) == [("a1", "a2", "a3"), ("a1", "b2", "a3")]
     parts = combi.distribute(df, "ids", 2).collect()
@@ -364,3 +365,20 @@ def test_distance_matrix_is_symmetric(spark):
     df = spark.createDataFrame(rows, "g int, id long, pts array<struct<x int, y int>>")
     got = {(r.id, r.id_other): r.d for r in geo.distance_matrix(df, ("g",)).collect()}
     assert got == {(1, 2): 7, (2, 1): 7, (2, 3): 17, (3, 2): 17, (1, 3): 27, (3, 1): 27}
+
+
+def test_interval_lookups_against_loops(spark):
+    import random
+
+    rng = random.Random(2)
+    gaps = [(k, t, t + rng.randint(0, 9)) for k in (1, 2) for t in rng.sample(range(60), 9)] + [(1, 5, 5), (1, 5, 9)]
+    nodes = [(rng.randint(1, 3), rng.randint(0, 70), i, rng.choice([None, -1, 4])) for i in range(200)]
+    got = joins.nodes_in_interval(spark.createDataFrame(nodes, "k int, t int, id int, owner int"), spark.createDataFrame(gaps, "k int, t_min int, t_max int"), ("k",))
+    want = {n for n in nodes if n[3] != 4 and any(k == n[0] and a < n[1] < b for k, a, b in gaps)}
+    assert {tuple(r) for r in got.select("k", "t", "id", "owner").collect()} == want
+    holes = [(c, t, t + 6, rng.uniform(-20, 20), rng.uniform(-20, 20), 0.0, 50.0) for c, t in enumerate(rng.sample(range(40), 12))]
+    stray = [(rng.randint(0, 46), i, rng.uniform(-25, 25), rng.uniform(-25, 25), rng.uniform(0, 60)) for i in range(600)]
+    found = joins.frozen_strays(spark.createDataFrame(holes, "cluster int, t_from int, t_to int, x double, y double, area_low double, area_high double"), spark.createDataFrame(stray, "t int, id int, x double, y double, area double"), 5.0)
+    want = {(c, t, i) for c, a, b, hx, hy, lo, hi in holes for t, i, x, y, s in stray if a <= t <= b and lo <= s <= hi and (x - hx) ** 2 + (y - hy) ** 2 <= 25}
+    rows_ = [tuple(r) for r in found.collect()]
+    assert set(rows_) == want and len(rows_) == len(want) and len(want) > 5
