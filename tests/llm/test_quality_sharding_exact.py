@@ -19,7 +19,7 @@ def probabilities(x, theta):
 def likelihood(parameters, rows, grades, ids):
     """The mean negative log likelihood of ordered grades; the parameters are a weight for each of ids, then the thresholds."""
     w = dict(zip(ids, parameters, strict=False))
-    return -sum(math.log(max(probabilities(sum(w.get(f, 0.0) for f in r.tolist()) * quality.scale(len(r) + 1), parameters[len(ids) :])[y], 1e-12)) for r, y in zip(rows, grades, strict=True)) / len(rows)
+    return -sum(math.log(max(probabilities(sum(w.get(f, 0.0) for f in r.tolist()) * quality.scale(len(r)), parameters[len(ids) :])[y], 1e-12)) for r, y in zip(rows, grades, strict=True)) / len(rows)
 
 
 def slopes(f, at, step=1e-5):
@@ -32,14 +32,14 @@ def graded_rows(n, seed):
     rows, grades = [], []
     for _ in range(n):
         r = np.array([i for i in ids if rng.random() < 0.5], np.int32)
-        x = sum(weights[ids.index(f)] for f in r.tolist()) * quality.scale(len(r) + 1)
+        x = sum(weights[ids.index(f)] for f in r.tolist()) * quality.scale(len(r))
         rows.append(r)
         grades.append(int(rng.choice(3, p=probabilities(x, theta))))
     return ids, rows, np.array(grades)
 
 
 def test_fit_nears_the_greatest_likelihood():
-    """Descent along finite differences finds the optimum; the fit, whose steps shrink before they reach it, gains nine tenths of what that gains over no weights."""
+    """Descent along finite differences finds the optimum; the fit gains nearly all that this gains over no weights, and tells the same probabilities."""
     ids, rows, grades = graded_rows(500, 3)
     f = lambda p: likelihood(p, rows, grades, ids)
     best, rate = np.array([0.0, 0, 0, -1, 1]), 4.0
@@ -52,11 +52,11 @@ def test_fit_nears_the_greatest_likelihood():
     w, theta = quality.fit(rows, grades, epochs=30, rate=1.0)
     found = np.array([*w[ids], *theta], float)
     null = f(np.array([0.0, 0, 0, *(np.log(x / (1 - x)) for x in np.cumsum(np.bincount(grades))[:-1] / len(grades))]))
-    assert null - f(found) > 0.9 * (null - f(best))
+    assert null - f(found) > 0.98 * (null - f(best))
     assert np.count_nonzero(w) == 3 and (np.sign(w[ids]) == np.sign(best[:3])).all()
     for r in product((0, 1), repeat=3):
-        x = lambda p: float(np.dot(p[:3], r)) * quality.scale(sum(r) + 1)  # noqa: B023, E731
-        assert np.allclose(probabilities(x(found), found[3:]), probabilities(x(best), best[3:]), atol=0.15)
+        x = lambda p: float(np.dot(p[:3], r)) * quality.scale(sum(r))  # noqa: B023, E731
+        assert np.allclose(probabilities(x(found), found[3:]), probabilities(x(best), best[3:]), atol=0.12)
 
 
 def test_grade_probabilities_by_the_formula():
