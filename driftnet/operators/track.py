@@ -18,7 +18,7 @@ from driftnet.functions.geometry import expand_box, union_box
 from driftnet.operators.combi import power_set
 from driftnet.operators.graph import connected_components, families, one_to_one_chains, reachable
 from driftnet.operators.joins import close_pairs, overlap_join, self_overlap
-from driftnet.operators.score import evolution_criteria, weighted_vote
+from driftnet.operators.score import WEIGHTS
 from driftnet.operators.series import frozen
 from driftnet.storage import settle
 
@@ -271,25 +271,78 @@ def evolutions(choices: DataFrame, most: int = 5000, change: float = 2.0) -> Dat
     return choices.selectExpr("CAST(edge AS BIGINT) edge", "CAST(t AS INT) t", "CAST(ids AS array<bigint>) ids", "CAST(x AS DOUBLE) x", "CAST(y AS DOUBLE) y", "CAST(area AS DOUBLE) area").groupBy("edge").applyInPandas(one, kind)
 
 
+def _first_least(values: np.ndarray) -> int:
+    return int(np.flatnonzero(values <= values.min() + 1e-9)[0])
+
+
+def _cheapest(steps: list[np.ndarray]) -> tuple[int, ...]:
+    """The path through layers of least total of ``steps`` (a matrix from each layer to the next), the first in order on ties: costs to the end, from the end back."""
+    togo = [np.zeros(steps[-1].shape[1])]
+    for m in reversed(steps):
+        togo.append((m + togo[-1]).min(1))
+    togo.reverse()
+    path = [_first_least(togo[0])]
+    for m, rest in zip(steps, togo[1:], strict=True):
+        path.append(_first_least(m[path[-1]] + rest))
+    return tuple(path)
+
+
+def _nearest_to_line(places: list[np.ndarray], times: np.ndarray) -> tuple[int, ...]:
+    """The path whose inner places lie nearest to the line between its own ends: for each two ends every inner step has a nearest place of its own."""
+    share = (times - times[0]) / max(times[-1] - times[0], 1)
+    first, last = places[0][:, None, None], places[-1][None, :, None]
+    away = [np.linalg.norm(first + (last - first) * s - p[None, None], axis=-1) for s, p in zip(share[1:-1], places[1:-1], strict=True)]
+    total = sum((d.min(-1) for d in away), np.zeros((len(places[0]), len(places[-1]))))
+    ties = [tuple(map(int, x)) for x in np.argwhere(total <= total.min() + 1e-9)]
+    return min((a, *(_first_least(d[a, b]) for d in away), b) for a, b in ties)
+
+
+def best_evolutions(choices: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """(edge, t, ids): of all ways to choose one subset of contours for each step, the one that the criteria vote for, from (edge, t, ids, x, y, area).
+
+    The ways of ``evolutions`` are never made: each criterion's winner is a shortest path through the layers of subsets (displacement, change of area and of moment)
+    or, for the distance to the line between its ends, a nearest place for each step and two ends. A way's votes are the weights of the criteria that it wins. So the result is the best of all
+    ways, however many there are; work grows with the steps and the product of neighbouring layers' sizes. Subsets with most contours come first on ties.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(n=rows["ids"].map(len), key=rows["ids"].map(tuple)).sort_values(["t", "n", "key"], ascending=[True, False, True])
+        layers = [g for _, g in rows.groupby("t")]
+        times = np.array([g["t"].iloc[0] for g in layers], float)
+        places, areas = [g[["x", "y"]].to_numpy(float) for g in layers], [g["area"].to_numpy(float) for g in layers]
+        between = lambda f, values: [f(a, b) for a, b in zip(values, values[1:], strict=False)]
+        change = lambda a, b: np.abs(a[:, None] - b[None])
+        votes: dict[tuple[int, ...], float] = {}
+        if len(layers) > 1:
+            winners = [
+                _nearest_to_line(places, times) if len(layers) > 2 else (0,) * len(layers),
+                _cheapest(between(lambda a, b: np.linalg.norm(a[:, None] - b[None], axis=-1), places)),
+                _cheapest(between(change, areas)),
+                _cheapest(between(change, [a**2 for a in areas])),
+            ]
+        else:
+            winners = [(0,)] * 4
+        for way, weight in zip(winners, weights, strict=True):
+            votes[way] = votes.get(way, 0.0) + weight
+        best = min(votes, key=lambda way: (-votes[way], way))
+        return pd.DataFrame({"edge": rows["edge"].iloc[0], "t": [g["t"].iloc[0] for g in layers], "ids": [list(map(int, g["ids"].iloc[i])) for g, i in zip(layers, best, strict=True)]})
+
+    plain = choices.selectExpr("CAST(edge AS BIGINT) edge", "CAST(t AS INT) t", "CAST(ids AS array<bigint>) ids", "CAST(x AS DOUBLE) x", "CAST(y AS DOUBLE) y", "CAST(area AS DOUBLE) area")
+    return plain.groupBy("edge").applyInPandas(one, "edge long, t int, ids array<long>")
+
+
 def resolve_connections(web: DataFrame, contours: DataFrame, mode: str = "absorb_all", longest: int = 6) -> DataFrame:
     """(edge, t, ids): the contours that join two segments, step by step, from the stray web (edge, t, ids) and contours (t, id, x, y, area).
 
     ``absorb_all`` takes every contour of a step. ``best_evolution`` tries the subsets of each step (all contours only, where there are over
-    ``longest``), holds each evolution against the line between its ends, and lets the criteria vote.
+    ``longest``) and takes the way of them that the criteria vote for, see ``best_evolutions``.
     """
     if mode == "absorb_all":
         return web.select("edge", "t", "ids")
     subsets = web.select("edge", "t", F.explode(F.when(F.size("ids") <= longest, power_set("ids")).otherwise(F.array("ids"))).alias("ids"))
     parts = subsets.select("edge", "t", "ids", F.explode("ids").alias("id")).join(contours, ["t", "id"])
     made = parts.groupBy("edge", "t", "ids").agg((F.sum(F.col("x") * F.col("area")) / F.sum("area")).alias("x"), (F.sum(F.col("y") * F.col("area")) / F.sum("area")).alias("y"), F.sum("area").alias("area"))
-    ways = settle(evolutions(made))
-    w = Window.partitionBy("edge", "evol")
-    end = lambda f, c: f(c, "t").over(w)
-    share = (F.col("t") - F.min("t").over(w)) / F.greatest(F.max("t").over(w) - F.min("t").over(w), F.lit(1))
-    line = lambda c: end(F.min_by, c) + (end(F.max_by, c) - end(F.min_by, c)) * share
-    rated = ways.withColumns({"ix": line("x"), "iy": line("y"), "moment": F.col("area") ** 2})
-    chosen = weighted_vote(evolution_criteria(rated), ("inter_mean", "move_mean", "area_mean", "moment_mean"))
-    return ways.join(chosen.select("edge", "evol"), ["edge", "evol"]).select("edge", "t", "ids")
+    return best_evolutions(made)
 
 
 def outer_iterations(segment_nodes: DataFrame, passes: list) -> DataFrame:
@@ -330,21 +383,3 @@ def oscillate(rank):
 def collage_grid(n: int, w: int, h: int, ratio: float) -> tuple[int, int]:
     """(columns, rows) for n pictures w by h whose whole comes nearest to the aspect ratio."""
     return min(((c, math.ceil(n / c)) for c in range(1, n + 1)), key=lambda g: (abs(g[0] * w / (g[1] * h) - ratio), g))
-
-
-def spring_layout(edges: list[tuple[int, int]], n: int, steps: int = 300, seed: int = 0) -> np.ndarray:
-    """Positions of a small graph's nodes by springs along edges and repulsion between all, with friction; driver side, for drawings."""
-    rng = np.random.default_rng(seed)
-    p, v = rng.normal(size=(n, 2)), np.zeros((n, 2))
-    e = np.array(edges, int).reshape(-1, 2)
-    for _ in range(steps):
-        d = p[:, None] - p[None]
-        r2 = (d**2).sum(-1) + 0.01
-        f = (d / r2[..., None] ** 2).clip(-10, 10).sum(1)
-        pull = p[e[:, 1]] - p[e[:, 0]]
-        pull *= 1 - 1 / np.maximum(np.linalg.norm(pull, axis=1, keepdims=True), 1e-9)
-        np.add.at(f, e[:, 0], pull)
-        np.add.at(f, e[:, 1], -pull)
-        v = (v + 0.05 * f) * 0.9
-        p = p + 0.05 * v
-    return p

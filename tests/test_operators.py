@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from driftnet.functions import geometry as geo
 from driftnet.operators import combi, graph, image, joins, reshape, score, series, track
@@ -287,7 +288,7 @@ def test_connections_are_rewritten(spark):
     stray = spark.createDataFrame([(11, 2), (12, 3), (99, 2)], "node int, t int")
     web = {r.t: r.ids for r in track.stray_web(edge, stray, links).collect()}
     assert web == {1: [10], 2: [11], 3: [12], 4: [13]}
-    assert track.collage_grid(6, 10, 10, 1.5) == (3, 2) and len(track.spring_layout([(0, 1)], 3)) == 3
+    assert track.collage_grid(6, 10, 10, 1.5) == (3, 2)
 
 
 def test_evolutions_and_resolution(spark):
@@ -382,3 +383,29 @@ def test_interval_lookups_against_loops(spark):
     want = {(c, t, i) for c, a, b, hx, hy, lo, hi in holes for t, i, x, y, s in stray if a <= t <= b and lo <= s <= hi and (x - hx) ** 2 + (y - hy) ** 2 <= 25}
     rows_ = [tuple(r) for r in found.collect()]
     assert set(rows_) == want and len(rows_) == len(want) and len(want) > 5
+
+
+def test_best_evolutions_against_all_ways(spark):
+    import random
+
+    rng = random.Random(8)
+    choices = []
+    for edge in range(40):
+        for t in range(rng.randint(1, 5)):
+            ids = rng.sample(range(9), rng.randint(1, 2 if edge % 2 else 3))
+            subsets = [[x for i, x in enumerate(ids) if m >> i & 1] for m in range(1, 1 << len(ids))]
+            # half of the edges have grids of places and areas, where criteria agree on a way
+            value = (lambda: float(rng.randint(0, 2))) if edge % 4 < 2 else (lambda: rng.uniform(0, 50))
+            choices += [(edge, 3 * t, sorted(x), value(), value(), value() + 1) for x in subsets]
+    df = spark.createDataFrame(choices, "edge long, t int, ids array<long>, x double, y double, area double")
+    w = Window.partitionBy("edge", "evol")
+    end = lambda f, c: f(c, "t").over(w)
+    share = (F.col("t") - F.min("t").over(w)) / F.greatest(F.max("t").over(w) - F.min("t").over(w), F.lit(1))
+    line = lambda c: end(F.min_by, c) + (end(F.max_by, c) - end(F.min_by, c)) * share
+    ways = track.evolutions(df, most=100_000).withColumns({"ix": line("x"), "iy": line("y"), "moment": F.col("area") ** 2}).cache()
+    chosen = score.weighted_vote(score.evolution_criteria(ways), ("inter_mean", "move_mean", "area_mean", "moment_mean"))
+    want = {(r.edge, r.t): list(r.ids) for r in ways.join(chosen.select("edge", "evol"), ["edge", "evol"]).collect()}
+    got = {(r.edge, r.t): list(r.ids) for r in track.best_evolutions(df).collect()}
+    assert got == want
+    long = spark.createDataFrame([(1, t, [i], float(t + 7 * i), float(i), 10.0 + i) for t in range(40) for i in range(5)], df.schema)  # 5^40 ways
+    assert {r.t: r.ids for r in track.best_evolutions(long).collect()} == {t: [0] for t in range(40)}
