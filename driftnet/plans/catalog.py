@@ -963,6 +963,15 @@ def segment_layers(spark, d):
     return track.interval_layers(s).withColumn("colour", track.colour(F.col("id")))
 
 
+@query()
+def branch_extensions(spark, d):
+    """Two objects an event, known up to their third position; what either holds at its twelfth is a target."""
+    t = src.tracks(spark, d).selectExpr("obj DIV 2 AS event", "obj % 2 AS branch", "t", "x", "y", "area", "obj * 1000 + t AS id")
+    targets = t.where("t = 12").select("event", F.col("branch").alias("target"), "t", F.array("id").alias("ids"))
+    found = events.extend_branches(t.where("t <= 3"), t.where("t > 3"), targets)
+    return found.select("event", "branch", "t", F.array_join("ids", ",").alias("ids"), "hit", "target")
+
+
 @query()
 def branch_extrapolation(spark, d):
     t = src.tracks(spark, d).selectExpr("obj DIV 2 AS event", "obj % 2 AS branch", "t", "x", "y", "area", "obj * 1000 + t AS id")
