@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -409,3 +411,20 @@ def test_best_evolutions_against_all_ways(spark):
     assert got == want
     long = spark.createDataFrame([(1, t, [i], float(t + 7 * i), float(i), 10.0 + i) for t in range(40) for i in range(5)], df.schema)  # 5^40 ways
     assert {r.t: r.ids for r in track.best_evolutions(long).collect()} == {t: [0] for t in range(40)}
+
+
+def test_sole_links_against_all_pairs(spark, monkeypatch):
+    """Few and many boxes a frame: the links whose boxes touch no other, of which boxes in crowds are left out before the join."""
+    rng = np.random.default_rng(7)
+    rows = [(int(t), 1000 * int(t) + i, int(rng.integers(0, side)), int(rng.integers(0, side)), int(rng.integers(1, 50)), int(rng.integers(1, 50))) for t, n, side in ((1, 40, 900), (2, 40, 250), (3, 200, 150), (4, 60, 900), (5, 30, 900)) for i in range(n)]
+    touch = lambda a, b: a[2] <= b[2] + b[4] and b[2] <= a[2] + a[4] and a[3] <= b[3] + b[5] and b[3] <= a[3] + a[5]
+    pairs = [(a[1], b[1]) for a in rows for b in rows if b[0] == a[0] + 1 and touch(a, b)]
+    outs, ins = Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+    want = sorted(p for p in pairs if outs[p[0]] == 1 and ins[p[1]] == 1)
+    boxes = spark.createDataFrame(rows, "t int, id long, x int, y int, w int, h int")
+    joined, whole = [], joins.overlap_join
+    monkeypatch.setattr(joins, "overlap_join", lambda a, b, *more: joined.append((a, b)) or whole(a, b, *more))
+    assert want and sorted(map(tuple, joins.sole_links(boxes, boxes, 1).collect())) == want
+    assert joined[0][0].where("t = 2").count() < 40  # the crowd of frame 3 covers tiles twice
+    again = spark.createDataFrame([*pairs, *pairs, (None, 1), (2, None)], "src long, dst long")
+    assert sorted(map(tuple, graph.one_to_one_edges(again).collect())) == want
