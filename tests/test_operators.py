@@ -428,3 +428,12 @@ def test_sole_links_against_all_pairs(spark, monkeypatch):
     assert joined[0][0].where("t = 2").count() < 40  # the crowd of frame 3 covers tiles twice
     again = spark.createDataFrame([*pairs, *pairs, (None, 1), (2, None)], "src long, dst long")
     assert sorted(map(tuple, graph.one_to_one_edges(again).collect())) == want
+
+
+def test_target_hits_pair_once(spark):
+    ours = spark.createDataFrame([(1, 5, [3, 4, 9]), (2, 5, [4, 4]), (3, 6, [1]), (3, 6, [1])], "seg long, t int, ids array<long>")
+    targets = spark.createDataFrame([(7, 5, [9, 4, 3]), (8, 5, [4, 4, 5]), (8, 5, [4, 4, 5]), (9, 5, [1])], "target long, t int, ids array<long>")
+    hits = joins.target_hits(ours, targets)
+    assert sorted(map(tuple, hits.collect())) == [(1, 7, 5, "full"), (1, 8, 5, "partial"), (2, 7, 5, "partial"), (2, 8, 5, "partial")]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join", 1)[0]  # pairs are not shuffled to be told apart
