@@ -130,6 +130,25 @@ def test_phrases_of_nothing(spark):
     assert phrases.mine(docs_of(spark, [None, "", ". , ;"]), 1, 1 << 10).count() == 0
 
 
+def test_a_pass_reads_its_languages_and_sends_blocks_of_counts(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = docs_of(spark, [" ".join(words)] * 40, ["en", "fr"] * 20).selectExpr("lang", "CAST(text AS BINARY) AS text").repartition(4)
+    patterns = {lang: [w.encode() for w in words] for lang in ("en", "fr")}
+    sent = spark.sparkContext.broadcast(("own", patterns))
+    made = phrases.matches(texts, sent)
+    assert made.count() <= 8  # a row for each task and language, not for each pattern too
+    assert {tuple(r) for r in phrases.summed(made, 4, sent).collect()} == {(lang, w.encode(), 20) for lang in patterns for w in words}
+    passes = phrases.shards_of({"en": 900, "fr": 390, "de": 10, "it": 5}, 400)
+    assert sorted(x for p in passes for x in p) == [("de", 0, 1), ("en", 0, 3), ("en", 1, 3), ("en", 2, 3), ("fr", 0, 1), ("it", 0, 1)]
+    assert len(passes) == 5 and max(len({lang for lang, _, _ in p}) for p in passes) == 2
+
+
+def test_sketches_widen_with_the_texts(spark):
+    texts = spark.range(80, numPartitions=2).selectExpr("repeat('abcde ', 4000000) AS text")
+    assert phrases.width_of(texts.limit(1), 100) == phrases.WIDTH
+    assert phrases.width_of(texts, 100) >= 2 * 80 * 4_000_000 // 100 > phrases.WIDTH
+
+
 def test_scores_beyond_64_bits(spark):
     a, n = 3_000_000_019, 90_000_000_000_017
     counts = spark.createDataFrame([("en", "x y", a), ("en", "x", a + 7), ("en", "y", 5 * a)], "lang string, phrase string, f long").withColumn("phrase", F.col("phrase").cast("binary"))
