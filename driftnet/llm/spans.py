@@ -212,7 +212,7 @@ def sentence_index(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:
 
 def repeated_runs(index: DataFrame) -> DataFrame:
     """(h, _dn_id, _dn_hash, pos, len): the runs of ``sentence_index`` that may be repeated. Hashes alone are counted first; wide rows are made only
-    of those counted twice."""
+    of those counted twice, into a table, whose columns take a fraction of the rows' bytes."""
     marks = repeated(index.select(F.explode("hs").alias("h")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def repeated_runs(index: DataFrame) -> DataFrame:
             )
 
     kind = index.schema["_dn_id"].dataType.simpleString()
-    return settle(index.select(*KEY, "hs", "lens").mapInArrow(each, f"h long, _dn_id {kind}, _dn_hash long, pos int, len int"))
+    return written(index.select(*KEY, "hs", "lens").mapInArrow(each, f"h long, _dn_id {kind}, _dn_hash long, pos int, len int"))
 
 
 def dedup_substrings(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:

@@ -1,4 +1,5 @@
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -78,6 +79,16 @@ def test_substrings_against_brute_force(spark):
     assert got[1].n_removed > 0 and got[0].n_removed == 0
 
 
+def test_repeated_runs_take_few_bytes(spark):
+    text = " ".join(f"Some words stand in sentence {i} of it." for i in range(400))
+    index = spans.sentence_index(docs_of(spark, [text] * 60), 3, 16)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(x.stat().st_size for x in folder.rglob("*") if x.is_file())
+    before = size()
+    rows = spans.repeated_runs(index).count()
+    assert rows > 20_000 and (size() - before) / rows < 24
+
+
 def test_short_texts_and_endings_are_compared_whole(spark):
     short = "The cat sat here. The dog ran off. The bird sang well."
     filler = lambda k: " ".join(f"Sentence {k} number {i} of its own kind." for i in range(4))
