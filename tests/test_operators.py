@@ -472,3 +472,9 @@ def test_hulls_and_ellipses_make_no_object_a_point(spark):
         want = geo.fit_ellipse(geo.resample(geo.hull(np.array([(x, y) for k, x, y in rows if k == r.k])), 64))
         assert np.allclose((r.cx, r.cy, r.major, r.minor, r.angle), want)
     assert geo.convex_hulls(spark.createDataFrame([], "k int, x double, y double"), ("k",)).count() == 0
+
+
+def test_two_bins_are_dealt_by_shifts(spark):
+    got = combi.distribute(spark.createDataFrame([(1, [5, 6, 7]), (2, [8])], "k int, ids array<int>"), "ids", 2)
+    want = {(tuple(i for i, b in zip([5, 6, 7], bins, strict=True) if not b), tuple(i for i, b in zip([5, 6, 7], bins, strict=True) if b)) for bins in combi.set_partitions(3, 2)}
+    assert {tuple(map(tuple, r.parts)) for r in got.collect()} == want and "shiftright" in plan_of(got)
