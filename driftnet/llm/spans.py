@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftnet.llm.marks import marked, repeated
-from driftnet.storage import settle, written
+from driftnet.storage import fresh_path, remove, settle, written
 
 #: A line with its line break and the blank space after it.
 LINE = r"(?s).+?(?:\n[ \t\n\r\f]*|\z)"
@@ -193,9 +193,9 @@ def _runs(clean: list[str], counts: list[int], run: int, words: int) -> list[tup
     return out
 
 
-def sentence_index(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:
+def sentence_index(docs: DataFrame, run: int = 3, words: int = 10, path: str | None = None) -> DataFrame:
     """(_dn_id, _dn_hash, n, hs, lens): each text's number of sentences, and the hash and length of the run that begins at each sentence from the first
-    on. A table in the shared folder, for which the texts are read once."""
+    on. A table in the shared folder (at ``path``, if given), for which the texts are read once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +207,7 @@ def sentence_index(docs: DataFrame, run: int = 3, words: int = 10) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x[0]) for x in cut], pa.int64()), *lists], names=[*KEY, "n", "hs", "lens"])
 
     source = _keyed(docs.select("doc_id", "text")).select(*KEY, "text")
-    return written(source.mapInArrow(each, f"_dn_id {docs.schema['doc_id'].dataType.simpleString()}, _dn_hash long, n long, hs array<long>, lens array<int>"))
+    return written(source.mapInArrow(each, f"_dn_id {docs.schema['doc_id'].dataType.simpleString()}, _dn_hash long, n long, hs array<long>, lens array<int>"), path)
 
 
 def repeated_runs(index: DataFrame) -> DataFrame:
@@ -247,9 +247,12 @@ def dedup_substrings(docs: DataFrame, run: int = 3, words: int = 10) -> DataFram
             out.append(("".join(x for i, x in enumerate(sentences(t)) if i not in gone) if gone else None, len(gone)))
         return pd.DataFrame(out, columns=["text", "n_removed"])
 
-    index = sentence_index(docs, run, words)
-    later = later_occurrences(repeated_runs(index))
-    counts = index.groupBy(*KEY).agg(F.max("n").alias("n"))  # equal rows are one
+    spark = docs.sparkSession
+    index = sentence_index(docs, run, words, path := fresh_path(spark))
+    counts = written(index.groupBy(*KEY).agg(F.max("n").alias("n")))  # equal rows are one
+    runs = repeated_runs(index)
+    remove(spark, path)  # the hashes of all runs are its bulk, and only those of repeated ones are needed from here on
+    later = later_occurrences(runs)
     verdicts = counts.withColumn("_dn_spans", F.lit(None).cast(later.schema["_dn_spans"].dataType)).unionByName(later.withColumn("n", F.lit(None).cast("long")))
     found = _with_verdicts(docs, verdicts.groupBy(*KEY).agg(F.max("n").alias("_dn_n"), F.first("_dn_spans", ignorenulls=True).alias("_dn_spans")), "_dn_n")
     # only texts that change go through Python

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftnet.llm import simhash, similar, spans
+from driftnet.storage import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -36,6 +37,17 @@ def test_a_passage_within_a_sentence_is_found(spark):
         assert len(set(passage.split()) & set(got[i].split())) < 35
 
 
+def test_hashes_of_all_runs_are_not_kept(spark, monkeypatch):
+    """The table of every run's hash, the largest that operator 1 makes, goes once the repeated runs have theirs."""
+    made = []
+    monkeypatch.setattr(spans, "written", lambda df, path=None: made.append(path := path or spans.fresh_path(spark)) or written(df, path))
+    text = "One two three four. Five six seven eight. Nine ten eleven twelve. Last words of all."
+    got = {r.doc_id: r.n_removed for r in spans.dedup_substrings(docs_of(spark, [text, text, None])).collect()}
+    assert got == {0: 0, 1: 4, 2: 0}
+    left = [spark.read.parquet(p).columns for p in made if Path(p.removeprefix("file:")).exists()]
+    assert len(made) > 1 and left and not any("hs" in columns for columns in left)
+
+
 def test_a_passage_in_any_vocabulary_is_found(spark):
     import random
 
