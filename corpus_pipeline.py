@@ -35,6 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that a similarity of 0.8 or more of their five-word shingles connects, the one with the smallest doc_id.
 
+    Candidates are SimHash fingerprints within two bits, by operator 7's blocks, then bands of least hashes for what these cannot tell; all are verified.
     Of several such the one with the smallest text hash stays, and of equal rows one; null doc_ids come last. Texts without words (null, empty, white
     space) are one group. An empty table gives an empty one; columns beyond those of documents are left out.
     """

@@ -1,7 +1,7 @@
 """SimHash near-duplicates (operator 7): fingerprints, pigeonhole blocks, Hamming check, components.
 
-``label`` and ``dedup`` link fingerprints of 64 bits that differ in at most two. The pipeline's stage links texts by a similarity of their
-shingles instead, at which ten or more of 64 bits differ: see ``similar``.
+``label`` and ``dedup`` link fingerprints of 64 bits that differ in at most two. The pipeline's stage takes such links as its first candidates and goes on to texts of
+a similarity at which ten or more of 64 bits differ: see ``similar``.
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero, and zero links like any
 other. Rows with equal doc_id and text get the same result. A null doc_id is never a representative; a component
@@ -39,7 +39,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g, 42) for g in grams), np.uint64)
+    return print_of(np.fromiter((digest(g, 42) for g in grams), np.uint64))
+
+
+def print_of(h: np.ndarray) -> int:
+    """The SimHash of unsigned 64-bit hashes: a bit is 1 if set in over half of them."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         ones += np.unpackbits(h[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

@@ -1,23 +1,30 @@
 """Groups of texts by the similarity of their shingles, for the pipeline's near-duplicate stage.
 
-SimHash blocks tell texts apart that differ in a few bits. At a similarity of 0.8 one bit in seven differs, and hundreds of blocks of 32 bits a text still miss 14 pairs
-in 100. So candidates come from bands of least hash values here: a band is the least values of the shingle set under ROWS random orders, and a pair of similarity s shares it
+Candidates come in two ways, and all are verified by their distinct shingles. First from SimHash fingerprints of the shingles, by the blocks of operator 7: those within two bits, and equal ones.
+This joins groups of close copies with a candidate or two a text. But at a similarity of 0.8 one bit in seven differs, and hundreds of blocks of 32 bits a text still miss 14 pairs
+in 100. So what is still apart gets candidates from bands of least hash values: a band is the least values of the shingle set under ROWS random orders, and a pair of similarity s shares it
 with probability s^ROWS. Of pairs at exactly 0.8, 99.4 in 100 share one of BANDS bands or more; of 0.85 and above all but one in a thousand.
-All candidates are verified by their distinct shingles.
 
 A band's bucket may hold thousands of near copies, so its pairs are not formed. In the first turn every member is compared with one of them, which joins a group of copies; in the next all
 pairs of small buckets that are still apart; then in large buckets more and more of the members outside their largest group, each with all members of other groups. Turns end when no pair in any
 bucket is left that is neither compared nor in one group, so nothing depends on a draw.
+
+To be verified, pairs are dealt over squares of two parts of the nodes, and a set of shingles goes to each square once, however many pairs it has there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftnet.llm.simhash import links as print_links
+from driftnet.llm.simhash import print_of
 from driftnet.operators.graph import connected_components
 from driftnet.storage import fresh_path, remove, settle, written
 
@@ -25,6 +32,8 @@ from driftnet.storage import fresh_path, remove, settle, written
 BANDS, ROWS = 28, 8
 #: Members of a bucket up to which all pairs that are apart are compared in the second turn; members of a larger one that are compared with all in the third, eight times as many in each turn after.
 SMALL, DRAWN = 32, 8
+#: Bytes of the sets in a part of the nodes, on average, and the least number of parts.
+PART, PARTS = 1 << 23, 4
 #: Shingles ordered at a time.
 CHUNK = 256
 _random = np.random.default_rng(20240229)
@@ -62,20 +71,31 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, n, k, keys): a row for each distinct set of shingles, k the first of its documents; a table in the shared folder."""
+    """(node, n, k, print, keys): a row for each distinct set of shingles with its SimHash, k the first of its documents; a table in the shared folder."""
 
-    @F.pandas_udf("whole binary, n int, keys array<long>")
+    @F.pandas_udf("whole binary, n int, print long, keys array<long>")
     def told(text: pd.Series) -> pd.DataFrame:
         out = []
         for t in text:
             h = shingle_hashes(t, shingle)
-            out.append((xxhash.xxh128_digest(h.tobytes()), len(h), band_keys(h)))
-        return pd.DataFrame(out, columns=["whole", "n", "keys"])
+            out.append((xxhash.xxh128_digest(h.tobytes()), len(h), print_of(h), band_keys(h)))
+        return pd.DataFrame(out, columns=["whole", "n", "print", "keys"])
 
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("doc_id", "text").alias("text_hash"))
     rows = docs.select(key.alias("k"), told("text").alias("p")).select("k", "p.*")
-    made = rows.groupBy("whole", "n").agg(F.min(F.struct("k", "keys")).alias("m"))  # equal sets have equal keys
-    return written(made.select(F.monotonically_increasing_id().alias("node"), "n", "m.k", "m.keys"))
+    made = rows.groupBy("whole", "n").agg(F.min(F.struct("k", "print", "keys")).alias("m"))  # equal sets have equal keys
+    return written(made.select(F.monotonically_increasing_id().alias("node"), "n", "m.k", "m.print", "m.keys"))
+
+
+def _print_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """(src, dst): candidates by fingerprint. Of equal ones each node with the first, and the first of each with that of those within two bits to which it is linked."""
+    first = written(nodes.groupBy("print").agg(F.min(F.struct("node", "n")).alias("f")))
+    equal = nodes.join(first, "print").select("f.node", "f.n", F.col("node").alias("node_b"), F.col("n").alias("n_b"))
+    linked = print_links(first.select(F.col("print").alias("_dn_fp")))
+    a, b = (first.select(F.col("print").alias(c), F.col("f").alias(f"f_{c}")) for c in ("src", "dst"))
+    close = linked.join(a, "src").join(b, "dst").select("f_src.node", "f_src.n", F.col("f_dst.node").alias("node_b"), F.col("f_dst.n").alias("n_b"))
+    met = equal.unionByName(close).where("node <> node_b").where(_long_enough(F.col("n"), F.col("n_b"), least))
+    return met.select(F.least("node", "node_b").alias("src"), F.greatest("node", "node_b").alias("dst")).distinct()
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -103,15 +123,32 @@ def _pairs(reps: DataFrame, members: DataFrame, least: float) -> DataFrame:
     return met.select(F.least("node_a", "node_b").alias("src"), F.greatest("node_a", "node_b").alias("dst")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _dealt(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """(square, src, dst, hashes): each of ``pairs`` (src, dst) in the square of its nodes' parts, and each set that a pair there asks for once, as src without dst."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    squares = pairs.select((part("src") * parts + part("dst")).alias("square"), "src", "dst")
+    asked = squares.select("square", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    known = asked.join(sets, "node").select("square", F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), "hashes")
+    return known.unionByName(squares.withColumn("hashes", F.lit(None).cast("binary")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float, parts: int) -> DataFrame:
     """The ``pairs`` (src, dst) of a similarity of ``least`` or more, by their shingles."""
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            found = []
+            for square, src, dst, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if square != now:
+                    now, known = square, {}
+                if dst is None:
+                    known[src] = hashes
+                elif jaccard(known[src], known[dst]) >= least:
+                    found.append((src, dst))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
-    a, b = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in ("src", "dst"))
-    return pairs.join(a, "src").join(b, "dst").where(similar("hashes_src", "hashes_dst")).select("src", "dst")
+    return _dealt(pairs, sets, parts).repartition("square").sortWithinPartitions("square", F.col("dst").asc_nulls_first()).mapInArrow(each, "src long, dst long")
 
 
 def _drawn(members: DataFrame, turn: int) -> DataFrame:
@@ -133,8 +170,15 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, least: float, shingle: int
     rows = written(nodes.select("node", "n", F.explode("keys").alias("h")))
     sizes = settle(rows.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))  # kept, so that a full bucket's rows can be split in the join
     shared = written(rows.join(sizes, "h"))
-    sets = _sets(docs, nodes, shared.select("node").distinct(), shingle)
-    spark, found, links, done, turn = docs.sparkSession, None, None, None, 0
+    close = written(_print_pairs(nodes, least))
+    wanted = shared.select("node").unionByName(close.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    sets = _sets(docs, nodes, wanted, shingle)
+    parts = max(PARTS, -(-(sets.agg(F.sum(F.length("hashes"))).first()[0] or 0) // PART))
+    spark, found, done, turn = docs.sparkSession, None, None, 0
+    links = written(_verified(close, sets, least, parts))
+    links = None if links.isEmpty() else links
+    if links is not None:
+        found = written(connected_components(links))
     while True:
         members = shared.withColumn("root", F.col("node")) if found is None else shared.join(found, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
         open_ = settle(members.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("h"))
@@ -148,7 +192,7 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, least: float, shingle: int
             if reps.isEmpty():
                 break
             done = reps.select("h", "node") if done is None else done.unionByName(reps.select("h", "node"))
-        fresh = written(_verified(written(_pairs(reps, members, least)), sets, least))
+        fresh = written(_verified(written(_pairs(reps, members, least)), sets, least, parts))
         remove(spark, path)
         if not fresh.isEmpty():
             links = fresh if links is None else written(links.unionByName(fresh))

@@ -295,6 +295,29 @@ def test_large_buckets_lose_no_link(spark):
     assert {r.doc_id for r in similar.dedup_similar(docs_of(spark, texts, ids)).collect()} == want
 
 
+def test_close_copies_are_linked_by_their_fingerprints(spark, monkeypatch):
+    """Without any band, texts whose SimHashes are within two bits are one group, and verified: two short texts of one fingerprint are not alike."""
+    words = [f"w{i} v{i % 7}" for i in range(900)]
+    texts = [" ".join([*words[:k], "new", *words[k + 1 :]]) for k in range(0, 900, 30)] + ["quite another text of its own", None]
+    prints = [simhash.print_of(similar.shingle_hashes(t)) for t in texts]
+    want = {min(i for i, c in enumerate(brute_components(list(range(len(texts))), [p % (1 << 64) for p in prints])) if c == k) for k in set(brute_components(list(range(len(texts))), [p % (1 << 64) for p in prints]))}
+    assert len(want) < 15
+    monkeypatch.setattr(similar, "band_keys", lambda hashes: [])
+    got = {r.doc_id for r in similar.dedup_similar(docs_of(spark, texts)).collect()}
+    assert got == want
+
+
+def test_sets_go_to_a_square_once(spark):
+    """Of all pairs of 60 sets no set goes with each pair, and the similar ones are found."""
+    sets = {i: np.arange(100 + i // 6 * 40, dtype=np.uint64) + np.uint64(i % 3) for i in range(60)}
+    pairs = [(i, j) for i in sets for j in sets if i < j]
+    a, b = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "node long, hashes binary")
+    dealt = similar._dealt(a, b, 4)
+    assert dealt.where("dst IS NULL").count() <= 60 * 8 and dealt.where("dst IS NOT NULL").count() == len(pairs)
+    want = {(i, j) for i, j in pairs if similar.jaccard(sets[i].tobytes(), sets[j].tobytes()) >= 0.8}
+    assert want and {tuple(r) for r in similar._verified(a, b, 0.8, 4).collect()} == want
+
+
 def test_recall_of_bands_at_the_similarity_asked_for():
     """Of pairs at 0.80 to 0.82 at least 98 in 100 share a band."""
     rng = np.random.default_rng(5)
