@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from driftnet.functions.geometry import expand_box, union_box
 from driftnet.operators.combi import power_set
-from driftnet.operators.graph import connected_components, families, one_to_one_chains, reachable
-from driftnet.operators.joins import close_pairs, overlap_join, self_overlap
+from driftnet.operators.graph import box_families, connected_components, families, one_to_one_chains, reachable
+from driftnet.operators.joins import close_pairs, overlap_join
 from driftnet.operators.score import WEIGHTS
 from driftnet.operators.series import frozen
 from driftnet.storage import settle
@@ -26,7 +26,7 @@ from driftnet.storage import settle
 def first_pass(boxes: DataFrame, side: int = 100) -> DataFrame:
     """(t, cluster, ids, x, y, w, h): boxes of a frame that touch once grown to ``side``, with the box around each cluster."""
     grown = boxes.withColumns(expand_box(side))
-    found = families(self_overlap(grown).select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")), boxes, "id")
+    found = box_families(grown)
     met = boxes.join(found.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
     ids = met.groupBy("t", "cluster").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     return union_box(met, ("t", "cluster")).join(ids, ["t", "cluster"])

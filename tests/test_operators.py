@@ -500,7 +500,7 @@ def test_box_families_against_all_pairs(spark, monkeypatch):
                     root[high] = low
                     touching |= {a[1], b[1]}
         df = spark.createDataFrame(rows, "t int, id long, x int, y int, w int, h int")
-        for cell, matched in ((16, 2), (64, 384)):
+        for cell, matched in ((16, 2), (64, 768)):
             monkeypatch.setattr(joins, "MATCHED", matched)
             assert {tuple(r) for r in graph.box_families(df, cell=cell).collect()} == {(i, find(i)) for i in root}
             assert {tuple(r) for r in graph.box_families(df, single=False, cell=cell).collect()} == {(i, find(i)) for i in touching}
