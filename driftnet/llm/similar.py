@@ -176,8 +176,7 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, least: float, shingle: int
     parts = max(PARTS, -(-(sets.agg(F.sum(F.length("hashes"))).first()[0] or 0) // PART))
     spark, found, done, turn = docs.sparkSession, None, None, 0
     links = written(_verified(close, sets, least, parts))
-    links = None if links.isEmpty() else links
-    if links is not None:
+    if not links.isEmpty():
         found = written(connected_components(links))
     while True:
         members = shared.withColumn("root", F.col("node")) if found is None else shared.join(found, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
@@ -195,7 +194,8 @@ def similar_groups(docs: DataFrame, nodes: DataFrame, least: float, shingle: int
         fresh = written(_verified(written(_pairs(reps, members, least)), sets, least, parts))
         remove(spark, path)
         if not fresh.isEmpty():
-            links = fresh if links is None else written(links.unionByName(fresh))
+            # the groups so far are stars already, so a turn's rounds are those of its own links
+            links = fresh if found is None else fresh.unionByName(found.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")))
             found = written(connected_components(links))
         turn += 1
     return found

@@ -181,6 +181,21 @@ def test_components_against_brute_force(spark, edges):
     assert rows(graph.connected_components(df), "node", "component") == sorted(root.items())
 
 
+def test_rounds_of_few_links_are_few_tasks(spark, monkeypatch):
+    rows, plain = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df: rows.append(df.rdd.getNumPartitions()) or plain(df))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        got = graph.connected_components(spark.createDataFrame([(k, k + 1) for k in range(30)] + [(90, 91)], "src long, dst long")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(rows[1:]) <= spark.sparkContext.defaultParallelism
+    assert dict(got) == {k: 0 for k in range(31)} | {90: 90, 91: 90}
+
+
 def test_components_of_a_long_path_and_nulls(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(None, 5), (900, 900)], "src int, dst int")
     got = dict(rows(graph.connected_components(path), "node", "component"))
