@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from driftnet.functions.geometry import expand_box, union_box
 from driftnet.operators.combi import power_set
 from driftnet.operators.graph import box_families, connected_components, families, one_to_one_chains, reachable
-from driftnet.operators.joins import close_pairs, overlap_join
+from driftnet.operators.joins import near_another, overlap_join
 from driftnet.operators.score import WEIGHTS
 from driftnet.operators.series import frozen
 from driftnet.storage import settle
@@ -41,8 +41,7 @@ def sequence_families(clusters: DataFrame) -> DataFrame:
 def remove_frozen(tracks: DataFrame, most: float = 5.0, radius: float = 5.0, single: bool = False, key: str = "obj") -> DataFrame:
     """The tracks without those that stand still; one alone stays unless ``single``."""
     still = frozen(tracks, most, key)
-    clusters = connected_components(close_pairs(still.withColumnRenamed(key, "id"), radius), "id_a", "id_b")
-    gone = still.select(key) if single else clusters.select(F.col("node").alias(key))
+    gone = still.select(key) if single else near_another(still.withColumnRenamed(key, "id"), radius).withColumnRenamed("id", key)
     return tracks.join(gone.distinct(), key, "left_anti")
 
 

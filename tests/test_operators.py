@@ -447,6 +447,23 @@ def test_sole_links_against_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, graph.one_to_one_edges(again).collect())) == want
 
 
+def test_near_another_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.uniform(-40, 40), rng.uniform(-40, 40)) for k in range(60)] + [(100 + k, 3.0 + k / 1000, 4.0) for k in range(300)] + [(900, -90.0, 0.0), (901, -82.0, 0.0), (902, -73.9, 0.0)]
+    points = spark.createDataFrame(rows, "id long, x double, y double")
+    want = {a for a, x, y in rows for b, u, v in rows if a != b and ((x - u) ** 2 + (y - v) ** 2) ** 0.5 <= 8.0}
+    got = [r.id for r in joins.near_another(points, 8.0).collect()]
+    assert set(got) == want and len(got) == len(want) and 902 not in want
+    tracks = points.crossJoin(spark.range(3).select(F.col("id").alias("t"))).withColumnRenamed("id", "obj").withColumn("area", F.lit(1.0))
+    assert {r.obj for r in track.remove_frozen(tracks, 5.0, 8.0).collect()} == {a for a, _, _ in rows} - want
+
+
+def test_still_tracks_go_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(track, "connected_components", lambda *_: pytest.fail("pairs are formed"))
+    tracks = spark.createDataFrame([(o, t, 1.0, 1.0 + 50 * (o == 9), 1.0) for o in (1, 2, 9) for t in range(3)], "obj long, t int, x double, y double, area double")
+    assert {r.obj for r in track.remove_frozen(tracks, 5.0, 8.0).collect()} == {9}
+
+
 def test_target_hits_pair_once(spark):
     ours = spark.createDataFrame([(1, 5, [3, 4, 9]), (2, 5, [4, 4]), (3, 6, [1]), (3, 6, [1])], "seg long, t int, ids array<long>")
     targets = spark.createDataFrame([(7, 5, [9, 4, 3]), (8, 5, [4, 4, 5]), (8, 5, [4, 4, 5]), (9, 5, [1])], "target long, t int, ids array<long>")
