@@ -71,6 +71,16 @@ def canonical(frame):
     return columns, sorted(tuple(map(one, r)) for r in frame[columns].itertuples(index=False))
 
 
+def test_steps_know_their_segments_without_a_join(spark, monkeypatch):
+    given, plain = [], catalog.rewrite.rewrite
+    monkeypatch.setattr(catalog.rewrite, "rewrite", lambda *x: given.extend(x) or plain(*x))
+    catalog.QUERIES["rewritten_node_edges"](spark, SF)
+    assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in given[:2])
+    segs, steps = catalog.src.segments(spark, SF), catalog.src.steps(spark, SF)
+    want = segs.join(steps, "obj").where("step BETWEEN t_start AND t_end").select("obj", "step", "seg")
+    assert sorted(catalog.src.numbered_steps(spark, SF).select("obj", "step", "seg").collect()) == sorted(want.collect())
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_against_oracle(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF).toPandas()
